@@ -198,3 +198,146 @@ def technique_invalid(spark, sf_dir):
     t = spark.createDataFrame(TECHNIQUES, "run int, technique string, mode string")
     a = X.responses(spark, sf_dir).filter(F.col("category") == "topic")
     return L.technique_invalid(a, X.vocabulary(spark), t, max_attempts=5, votes=3)
+
+
+# ---- agreement ------------------------------------------------------------------
+
+from ..operators import agree as A  # noqa: E402
+from ..operators import keywords as K  # noqa: E402
+from ..operators import sample as O  # noqa: E402
+from ..operators import upsert as U  # noqa: E402
+from ..functions import prompts as P  # noqa: E402
+
+
+def _scores(spark, sf_dir):
+    return A.consistency(resolved(spark, sf_dir))
+
+
+@query
+def consistency_per_paper(spark, sf_dir):
+    return _scores(spark, sf_dir)
+
+
+@query
+def consistency_by_category(spark, sf_dir):
+    return A.consistency_by_category(_scores(spark, sf_dir))
+
+
+@query
+def consistency_box(spark, sf_dir):
+    return A.consistency_box(_scores(spark, sf_dir))
+
+
+@query
+def consistency_matrix(spark, sf_dir):
+    return A.consistency_matrix(_scores(spark, sf_dir), CATEGORIES)
+
+
+@query
+def assigned_labels(spark, sf_dir):
+    return A.assigned_labels(resolved(spark, sf_dir))
+
+
+@query
+def categories_present(spark, sf_dir):
+    return A.categories_present(resolved(spark, sf_dir))
+
+
+@query
+def labels_long(spark, sf_dir):
+    runs = list(range(1, X.FIXTURE_RUNS + 1))
+    return A.labels_long(A.labels_wide(resolved(spark, sf_dir), CATEGORIES, runs))
+
+
+@query
+def category_short_name(spark, sf_dir):
+    keys = resolved(spark, sf_dir).select(S.wide_key("category", "run").alias("key")).distinct()
+    return A.short_names(keys)
+
+
+@query
+def screen_contingency(spark, sf_dir):
+    return A.contingency(X.papers(spark, sf_dir), "screen_alt", "screen",
+                         a_name="llm_label", b_name="abstract_label")
+
+
+# ---- sampling, write-back ---------------------------------------------------------
+
+@query
+def sample_papers(spark, sf_dir):
+    p = X.papers(spark, sf_dir).filter(F.col("screen_alt") == "yes")
+    return O.sample_report(p, 10, seed=42, show_col="date_publication", default="no date")
+
+
+@query
+def label_upsert(spark, sf_dir):
+    p = X.papers(spark, sf_dir)
+    updates = (p.filter(F.col("screen_alt").isNotNull())
+               .select("paper_id", F.col("screen_alt").alias("screen")))
+    return U.upsert(p.select("paper_id", "screen"), updates, ["paper_id"])
+
+
+# ---- keyword taxonomy -------------------------------------------------------------
+
+@query
+def taxonomy_hits(spark, sf_dir):
+    return K.taxonomy_hits(X.papers(spark, sf_dir), X.volume_stems(spark))
+
+
+@query
+def taxonomy_best_topic(spark, sf_dir):
+    return K.best_topic(X.papers(spark, sf_dir), X.volume_stems(spark))
+
+
+# ---- prompts and answering ----------------------------------------------------------
+
+def _prompt_tasks(spark, sf_dir):
+    p = T.screened(X.papers(spark, sf_dir))
+    t = L.label_tasks(p.select("paper_id"), CATEGORIES, runs=1)
+    return t.join(p.select("paper_id", "abstract", "title", "fulltext"), "paper_id")
+
+
+@query
+def prompt_budget(spark, sf_dir):
+    vj = P.vocabulary_json(X.vocabulary(spark))
+    b = P.with_budget(_prompt_tasks(spark, sf_dir), vj)
+    return b.select("paper_id", "category", "prompt_tokens", "over_budget")
+
+
+def stub_answers(batch):
+    """Deterministic stand-in for a model: a label number from the prompt
+    length and attempt (numbers past the vocabulary are invalid answers);
+    some calls fail."""
+    out = []
+    for pid, prompt, attempt in zip(batch["paper_id"], batch["prompt"], batch["attempt"]):
+        if (int(pid) + int(attempt)) % 5 == 0:
+            out.append(None)
+        else:
+            out.append(f" label {(len(prompt) + 3 * int(attempt)) % 8} ")
+    return out
+
+
+@query
+def label_batch_stub(spark, sf_dir):
+    from ..operators.batch import label_batch
+    vocab = X.vocabulary(spark)
+    tasks = P.with_prompt(_prompt_tasks(spark, sf_dir), P.vocabulary_json(vocab))
+    log = label_batch(tasks, vocab, stub_answers, max_attempts=3)
+    return L.resolve_answers(log, vocab, max_attempts=3)
+
+
+@query
+def stream_resolve(spark, sf_dir):
+    """Answers arrive in three waves (attempt 3, then 1, then 2) and are
+    resolved by the stream; the merged labels equal the batch resolution."""
+    from ..session import scratch_path
+    from ..streaming.resolve_stream import read_labels, start_resolve_stream
+    base = scratch_path(spark, "stream-resolve")
+    src, parts, ckpt = f"{base}/answers", f"{base}/partials", f"{base}/checkpoint"
+    resp = X.responses(spark, sf_dir)
+    for wave in (3, 1, 2):
+        resp.filter(F.col("attempt") == wave).write.mode("append").parquet(src)
+    q = start_resolve_stream(spark, src, X.vocabulary(spark), parts, ckpt, max_attempts=3,
+                             files_per_batch=4)
+    q.awaitTermination()
+    return read_labels(spark, parts).drop("seen")

@@ -252,3 +252,145 @@ SELECT technique, count(*) AS n_entries, count(*) FILTER (WHERE NOT ok) AS n_inv
   SELECT v.technique, EXISTS (SELECT 1 FROM vocab x WHERE x.category = v.category
                               AND x.label = v.answer) AS ok FROM vote v)
 GROUP BY technique"""
+
+# ---- agreement ------------------------------------------------------------------
+
+SCORES = """per_label AS (
+  SELECT paper_id, category, label, count(*) AS n FROM resolved
+  WHERE label IS NOT NULL GROUP BY paper_id, category, label),
+scores AS (
+  SELECT paper_id, category, CAST(max(n) AS DOUBLE) / CAST(sum(n) AS DOUBLE) AS consistency,
+         CAST(sum(n) AS BIGINT) AS n_labels
+  FROM per_label GROUP BY paper_id, category
+  HAVING category IN (SELECT category FROM resolved GROUP BY category
+                      HAVING count(DISTINCT run) >= 2))"""
+
+AGREE_CTES = LABEL_CTES + (SCORES,)
+
+SQL["consistency_per_paper"] = _with(*AGREE_CTES) + "SELECT * FROM scores"
+
+SQL["consistency_by_category"] = _with(*AGREE_CTES) + """
+SELECT category, round(avg(consistency), 6) AS mean_consistency, count(consistency) AS n_papers
+FROM scores GROUP BY category"""
+
+SQL["consistency_box"] = _with(*AGREE_CTES) + """
+, q AS (
+  SELECT category, count(*) AS n, quantile_cont(consistency, 0.25) AS q1,
+         quantile_cont(consistency, 0.5) AS median, quantile_cont(consistency, 0.75) AS q3
+  FROM scores WHERE consistency IS NOT NULL GROUP BY category)
+SELECT q.category, q.n, round(q.q1, 6) AS q1, round(q.median, 6) AS median, round(q.q3, 6) AS q3,
+  min(s.consistency) FILTER (WHERE s.consistency BETWEEN q.q1 - 1.5 * (q.q3 - q.q1)
+                                                     AND q.q3 + 1.5 * (q.q3 - q.q1)) AS whisker_low,
+  max(s.consistency) FILTER (WHERE s.consistency BETWEEN q.q1 - 1.5 * (q.q3 - q.q1)
+                                                     AND q.q3 + 1.5 * (q.q3 - q.q1)) AS whisker_high,
+  CAST(count(*) FILTER (WHERE NOT (s.consistency BETWEEN q.q1 - 1.5 * (q.q3 - q.q1)
+                                                     AND q.q3 + 1.5 * (q.q3 - q.q1))) AS BIGINT)
+    AS n_outliers
+FROM scores s JOIN q ON s.category = q.category
+GROUP BY q.category, q.n, q.q1, q.median, q.q3"""
+
+SQL["consistency_matrix"] = _with(*AGREE_CTES) + """
+SELECT paper_id,
+  max(consistency) FILTER (WHERE category = 'topic') AS topic,
+  max(consistency) FILTER (WHERE category = 'ethics') AS ethics,
+  max(consistency) FILTER (WHERE category = 'openness') AS openness
+FROM scores GROUP BY paper_id"""
+
+SQL["assigned_labels"] = _with(*LABEL_CTES) + """
+SELECT paper_id, category, string_agg(label, ', ' ORDER BY run) AS labels, count(*) AS n_runs
+FROM resolved WHERE label IS NOT NULL GROUP BY paper_id, category"""
+
+SQL["categories_present"] = _with(*LABEL_CTES) + "SELECT DISTINCT category FROM resolved"
+
+SQL["labels_long"] = _with(*LABEL_CTES) + """
+SELECT paper_id, category, run, label FROM resolved WHERE label IS NOT NULL"""
+
+SQL["category_short_name"] = _with(*LABEL_CTES) + """
+SELECT DISTINCT concat('como-tax-', category, '2',
+                       CASE WHEN run > 1 THEN concat('-', CAST(run AS VARCHAR)) ELSE '' END) AS key,
+       category, run
+FROM resolved"""
+
+SQL["screen_contingency"] = SQL["screen_contingency"]
+
+# ---- sampling, write-back ---------------------------------------------------------
+
+SAMPLE_KEY = "md5(concat('42:', CAST(paper_id AS VARCHAR)))"
+
+SQL["sample_papers"] = _with(PAPERS) + f"""
+SELECT CAST(row_number() OVER (ORDER BY {SAMPLE_KEY}, paper_id) AS INTEGER) AS pos, paper_id,
+       coalesce(date_publication, 'no date') AS date_publication
+FROM papers WHERE screen_alt = 'yes'
+ORDER BY {SAMPLE_KEY}, paper_id LIMIT 10"""
+
+SQL["label_upsert"] = _with(PAPERS) + """
+SELECT paper_id, coalesce(screen_alt, screen) AS screen FROM papers"""
+
+# ---- keyword taxonomy -------------------------------------------------------------
+
+STEMS = """stems AS (
+  SELECT * FROM (VALUES ('A', 'th'), ('A', 'an'), ('A', 'he'), ('B', 'on'), ('B', 'er'),
+    ('B', 're'), ('C', 'de'), ('C', 'le'), ('C', 'ou'), ('D', 'or'), ('D', 'the'), ('D', 'in'))
+    AS s(topic, stem)),
+tok AS (
+  SELECT paper_id, unnest(regexp_split_to_array(lower(fulltext), '[^a-z]+')) AS token FROM papers),
+hits AS (
+  SELECT t.paper_id, s.topic, s.stem, count(*) AS hits
+  FROM tok t JOIN stems s ON starts_with(t.token, s.stem)
+  WHERE t.token <> '' GROUP BY t.paper_id, s.topic, s.stem)"""
+
+SQL["taxonomy_hits"] = _with(PAPERS, STEMS) + "SELECT * FROM hits"
+
+SQL["taxonomy_best_topic"] = _with(PAPERS, STEMS) + """
+, per_topic AS (
+  SELECT paper_id, topic, CAST(sum(hits) AS BIGINT) AS hits, count(*) AS stems
+  FROM hits GROUP BY paper_id, topic),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY paper_id ORDER BY hits DESC, stems DESC, topic) AS rk
+  FROM per_topic)
+SELECT p.paper_id, coalesce(r.topic, 'Other') AS topic, coalesce(r.hits, 0) AS hits,
+       coalesce(r.stems, 0) AS stems
+FROM papers p LEFT JOIN ranked r ON r.paper_id = p.paper_id AND r.rk = 1"""
+
+
+# ---- prompts and answering ----------------------------------------------------------
+
+def _json_len(col: str) -> str:
+    short = f"""length(regexp_replace({col}, '[^"\\\\\\n\\r\\t\\x08\\x0c]', '', 'g'))"""
+    ctrl = f"""length(regexp_replace({col}, '[^\\x00-\\x07\\x0b\\x0e-\\x1f]', '', 'g'))"""
+    return f"(CASE WHEN {col} IS NULL THEN 4 ELSE length({col}) + 2 + {short} + 5 * {ctrl} END)"
+
+
+def _prompt_len_sql() -> str:
+    from ..functions.prompts import DEFAULT_TEMPLATE, LABEL_FIELDS
+    fixed_template = len(DEFAULT_TEMPLATE) - len("{entry}") - len("{categories}")
+    fixed_entry = 4 + sum(len(f'  "{f}": ') for f in LABEL_FIELDS) + 2 * (len(LABEL_FIELDS) - 1)
+    return (f"{fixed_template} + {fixed_entry} + {_json_len('CAST(p.paper_id AS VARCHAR)')} + "
+            f"{_json_len('p.abstract')} + {_json_len('p.title')} + {_json_len('p.fulltext')} + vj.cl")
+
+
+PROMPT_LEN = f"""vj AS (
+  SELECT category, 4 + sum(length(label) + 8) + 2 * (count(*) - 1) AS cl FROM vocab GROUP BY category),
+plen AS (
+  SELECT p.paper_id, vj.category, {_prompt_len_sql()} AS plen
+  FROM papers p CROSS JOIN vj WHERE p.screen = 'yes')"""
+
+SQL["prompt_budget"] = _with(PAPERS, VOCAB, PROMPT_LEN) + """
+SELECT paper_id, category, CAST(plen // 4 AS BIGINT) AS prompt_tokens, plen // 4 > 131000 AS over_budget
+FROM plen"""
+
+SQL["label_batch_stub"] = _with(PAPERS, VOCAB, PROMPT_LEN) + f"""
+, att AS (
+  SELECT x.paper_id, x.category, a.attempt,
+    CASE WHEN (x.paper_id + a.attempt) % 5 = 0 THEN NULL ELSE (x.plen + 3 * a.attempt) % 8 END AS k
+  FROM plen x CROSS JOIN (VALUES (1), (2), (3)) AS a(attempt)),
+ok AS (
+  SELECT att.*, k IS NOT NULL AND k < c.n AS valid FROM att JOIN {CATS.replace('AS k(', 'AS c(')}
+    ON att.category = c.category)
+SELECT paper_id, category, 1 AS run,
+  coalesce(arg_min(concat('label ', CAST(k AS VARCHAR)), attempt) FILTER (WHERE valid), 'invalid result')
+    AS label,
+  CAST(min(attempt) FILTER (WHERE valid) AS INTEGER) AS attempts_used
+FROM ok GROUP BY paper_id, category"""
+
+SQL["stream_resolve"] = SQL["resolve_answers"]
