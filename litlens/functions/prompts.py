@@ -77,14 +77,23 @@ def with_prompt(tasks: DataFrame, vocab_json: DataFrame, template: str = DEFAULT
                                            F.col("categories_json"), F.lit(c)))
 
 
+def with_entry_length(papers: DataFrame, fields: Sequence[str] = LABEL_FIELDS) -> DataFrame:
+    """Add ``entry_len`` (length of the paper's JSON text) once per paper,
+    before the paper fans out into one task per category."""
+    return papers.withColumn("entry_len", entry_text_length(fields))
+
+
 def with_budget(tasks: DataFrame, vocab_json: DataFrame, template: str = DEFAULT_TEMPLATE,
                 fields: Sequence[str] = LABEL_FIELDS, limit: int = TOKEN_LIMIT) -> DataFrame:
     """Add ``prompt_tokens`` (characters // 4, from lengths only) and
-    ``over_budget`` (strictly more than ``limit`` tokens)."""
+    ``over_budget`` (strictly more than ``limit`` tokens). Tasks carry either
+    the paper fields or a precomputed ``entry_len``."""
     a, b, c = _split(template)
+    if "entry_len" not in tasks.columns:
+        tasks = with_entry_length(tasks, fields)
     j = tasks.join(sized_broadcast(vocab_json.select(
         "category", F.length("categories_json").alias("_cl"))), "category")
-    n = F.lit(len(a) + len(b) + len(c)) + entry_text_length(fields) + F.col("_cl")
+    n = F.lit(len(a) + len(b) + len(c)) + F.col("entry_len") + F.col("_cl")
     tok = F.floor(n / CHARS_PER_TOKEN).cast("long")
     return (j.withColumn("prompt_tokens", tok).drop("_cl")
              .withColumn("over_budget", F.col("prompt_tokens") > limit))

@@ -12,8 +12,9 @@ DATE_SHAPE = r"^[0-9]{1,2}-[0-9]{1,2}-[0-9]{4}$"  # only this shape is a date
 WIDE_PREFIX = "como-tax-"                      # wide label column: como-tax-<category>2[-<run>]
 WIDE_KEY = r"^como-tax-(.*?)2(?:-([0-9]+))?$"
 CHARS_PER_TOKEN = 4                            # approximate tokens = characters // 4
-# Characters Python's str.strip() removes: Unicode white space plus U+001C..U+001F.
-_STRIP = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
+# Characters Python's str.strip() removes, derived from Python itself
+# (Unicode white space plus U+001C..U+001F; 29 code points).
+STRIP_CHARS = "".join(chr(i) for i in range(0x3001) if chr(i).isspace())
 
 
 def _c(c) -> Column:
@@ -39,8 +40,9 @@ def approx_tokens(text_col) -> Column:
 
 
 def py_strip(text_col) -> Column:
-    """Strip leading/trailing white space the way Python's ``str.strip()`` does."""
-    return F.regexp_replace(_c(text_col), _STRIP, "")
+    """Strip leading/trailing white space the way Python's ``str.strip()`` does
+    (``btrim`` with Python's white-space set: no regular expression)."""
+    return F.btrim(_c(text_col), F.lit(STRIP_CHARS))
 
 
 def json_string(text_col) -> Column:
@@ -67,12 +69,20 @@ def entry_json(fields: list[tuple[str, Column]]) -> Column:
     return F.concat(*parts)
 
 
+# characters JSON writes as a two-character escape, and the other control
+# characters (written as six-character \\u00XX escapes)
+_SHORT_ESC = '"\\\n\r\t\b\f'
+_LONG_ESC = "".join(chr(i) for i in range(0x20) if chr(i) not in "\n\r\t\b\f")
+
+
 def json_text_length(text_col) -> Column:
-    """Length of :func:`json_string` without building it."""
+    """Length of :func:`json_string` without building it (``translate``
+    deletes the escaped characters; the length difference counts them)."""
     c = _c(text_col)
-    short = F.length(F.regexp_replace(c, r'[^"\\\n\r\t\x08\x0c]', ""))
-    ctrl = F.length(F.regexp_replace(c, r"[^\x00-\x07\x0b\x0e-\x1f]", ""))
-    return F.when(c.isNull(), F.lit(4)).otherwise(F.length(c) + short + 5 * ctrl + 2)
+    n = F.length(c)
+    short = n - F.length(F.translate(c, _SHORT_ESC, ""))
+    ctrl = n - F.length(F.translate(c, _LONG_ESC, ""))
+    return F.when(c.isNull(), F.lit(4)).otherwise(n + short + 5 * ctrl + 2)
 
 
 def wide_key(category, run) -> Column:

@@ -24,10 +24,11 @@ INVALID_ENTRY = "invalid entry"     # over the prompt budget; screening uses it
 
 
 def label_tasks(papers: DataFrame, categories: Sequence[str], runs: int = 1,
-                first_run: int = 1) -> DataFrame:
-    """One task per paper x category x run (a generator, no join)."""
+                first_run: int = 1, keep: Sequence[str] = ()) -> DataFrame:
+    """One task per paper x category x run (a generator, no join); ``keep``
+    names paper columns carried along into each task."""
     cats = F.array(*[F.lit(c) for c in categories])
-    return (papers.select("paper_id", F.explode(cats).alias("category"))
+    return (papers.select("paper_id", *keep, F.explode(cats).alias("category"))
             .select("*", F.explode(F.sequence(F.lit(first_run),
                                               F.lit(first_run + runs - 1))).alias("run")))
 

@@ -293,14 +293,15 @@ def taxonomy_best_topic(spark, sf_dir):
 
 def _prompt_tasks(spark, sf_dir):
     p = T.screened(X.papers(spark, sf_dir))
-    t = L.label_tasks(p.select("paper_id"), CATEGORIES, runs=1)
-    return t.join(p.select("paper_id", "abstract", "title", "fulltext"), "paper_id")
+    return L.label_tasks(p, CATEGORIES, runs=1, keep=["abstract", "title", "fulltext"])
 
 
 @query
 def prompt_budget(spark, sf_dir):
     vj = P.vocabulary_json(X.vocabulary(spark))
-    b = P.with_budget(_prompt_tasks(spark, sf_dir), vj)
+    p = P.with_entry_length(T.screened(X.papers(spark, sf_dir))).select("paper_id", "entry_len")
+    tasks = L.label_tasks(p, CATEGORIES, runs=1, keep=["entry_len"])
+    b = P.with_budget(tasks, vj)
     return b.select("paper_id", "category", "prompt_tokens", "over_budget")
 
 
