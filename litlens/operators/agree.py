@@ -59,14 +59,24 @@ def labels_long(wide: DataFrame, id_col: str = "paper_id") -> DataFrame:
                      "label"))
 
 
+def present(df: DataFrame, keys: Sequence[str]) -> list[str]:
+    """The subset of ``keys`` that are columns of ``df`` (a wide frame only
+    has label columns some paper was given)."""
+    return [k for k in keys if k in df.columns]
+
+
 def consistency(labelled: DataFrame, min_runs: int = 2, max_run: int | None = None,
-                id_col: str = "paper_id") -> DataFrame:
+                id_col: str = "paper_id", drop_invalid: bool = False,
+                sentinels: Sequence[str] = ("invalid result", "invalid entry")) -> DataFrame:
     """Per (paper, category): share of runs agreeing with the modal label.
 
     Only categories with at least ``min_runs`` distinct runs are scored;
     ``max_run`` keeps runs up to that number (to reproduce a study that read
-    fewer runs than it wrote)."""
+    fewer runs than it wrote). Sentinel labels count as labels unless
+    ``drop_invalid``."""
     lab = labelled.filter(F.col("label").isNotNull())
+    if drop_invalid:
+        lab = lab.filter(~F.col("label").isin(list(sentinels)))
     if max_run is not None:
         lab = lab.filter(F.col("run") <= max_run)
     per_label = lab.groupBy(id_col, "category", "label").agg(F.count(F.lit(1)).alias("n"))
@@ -77,10 +87,12 @@ def consistency(labelled: DataFrame, min_runs: int = 2, max_run: int | None = No
                              "n_labels")
     if min_runs <= 1:
         return scored
-    # categories whose label columns exist for more than one run
+    # categories whose label columns exist for more than one run: a few rows,
+    # but derived from the data, so no size check up front (it would run the
+    # whole input once more); AQE turns the semi join into a broadcast at run time
     runs = (lab.groupBy("category").agg(F.count_distinct("run").alias("n_runs"))
                .filter(F.col("n_runs") >= min_runs).select("category"))
-    return scored.join(F.broadcast(runs), "category", "left_semi")
+    return scored.join(runs, "category", "left_semi")
 
 
 def consistency_by_category(scores: DataFrame, exclude: Sequence[str] = (),

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import py_strip
@@ -60,16 +60,48 @@ def rejected_answers(answers: DataFrame, vocab: DataFrame) -> DataFrame:
     return a.join(_vocab(vocab).drop("valid"), ["category", "answer"], "left_anti")
 
 
+# (attempt, label id) packed into one long, so the per-task minimum is a plain
+# numeric aggregate (hash aggregation, code-generated) instead of a minimum
+# over a struct with a string inside (sort-based aggregation).
+_ID_BITS = 40
+_VOCAB_MAX_ROWS = 1 << 20
+
+
+def _vocab_ids(vocab: DataFrame) -> DataFrame | None:
+    """``(category, answer, label_id)`` with dense ids, or None if the
+    vocabulary is too large to number in one task."""
+    v = vocab.select("category", F.col("label").alias("answer")).distinct()
+    if v.limit(_VOCAB_MAX_ROWS + 1).count() > _VOCAB_MAX_ROWS:
+        return None
+    w = Window.orderBy("category", "answer")  # a bounded dimension: one small task
+    # the count above bounds the rows, so the numbered vocabulary is broadcast
+    return F.broadcast(v.withColumn("label_id", F.row_number().over(w).cast("long")))
+
+
 def resolve_answers(answers: DataFrame, vocab: DataFrame, max_attempts: int = 3,
                     sentinel: str = INVALID_RESULT,
                     keys: Sequence[str] = TASK_KEYS) -> DataFrame:
     """First valid answer per task within ``max_attempts``; the sentinel when
     every attempt failed. ``attempts_used`` is NULL for exhausted tasks."""
-    v = answer_validity(answers.filter(F.col("attempt") <= max_attempts), vocab)
-    best = F.min(F.when(F.col("valid"), F.struct("attempt", "answer")))
-    return (v.groupBy(*keys).agg(best.alias("best"))
-             .select(*keys, F.coalesce(F.col("best.answer"), F.lit(sentinel)).alias("label"),
-                     F.col("best.attempt").alias("attempts_used")))
+    a = (answers.filter(F.col("attempt") <= max_attempts)
+         .withColumn("answer", py_strip(F.col("response"))))
+    ids = _vocab_ids(vocab)
+    if ids is None:  # very large vocabulary: minimum over (attempt, answer) structs
+        v = answer_validity(answers.filter(F.col("attempt") <= max_attempts), vocab)
+        best = F.min(F.when(F.col("valid"), F.struct("attempt", "answer")))
+        return (v.groupBy(*keys).agg(best.alias("best"))
+                 .select(*keys, F.coalesce(F.col("best.answer"), F.lit(sentinel)).alias("label"),
+                         F.col("best.attempt").alias("attempts_used")))
+    code = F.shiftleft(F.col("attempt").cast("long"), _ID_BITS) + F.col("label_id")
+    best = (a.join(ids, ["category", "answer"], "left")
+             .groupBy(*keys).agg(F.min(code).alias("code")))   # NULL label_id: not valid
+    mask = (1 << _ID_BITS) - 1
+    dec = best.select(*keys, F.shiftright("code", _ID_BITS).cast("int").alias("attempts_used"),
+                      F.col("code").bitwiseAND(F.lit(mask)).alias("label_id"))
+    lab = ids.select("label_id", F.col("answer").alias("label"))
+    return (dec.join(lab, "label_id", "left")
+               .select(*keys, F.coalesce(F.col("label"), F.lit(sentinel)).alias("label"),
+                       "attempts_used"))
 
 
 def majority_vote(answers: DataFrame, vocab: DataFrame, votes: int = 3,

@@ -29,13 +29,18 @@ def dated(papers: DataFrame, date_col: str = "date_publication", width: int = 10
 
 
 def labelled_papers(papers: DataFrame, labelled: DataFrame, run: int = 1,
-                    screen_value: str = "yes", width: int = 10) -> DataFrame:
+                    screen_value: str = "yes", width: int = 10,
+                    drop_invalid: bool = False,
+                    sentinels: Sequence[str] = ("invalid result", "invalid entry")) -> DataFrame:
     """(paper_id, year, decade, category, label) for screened, dated papers
-    and the non-null labels of one run."""
+    and the non-null labels of one run. Sentinel labels count like labels
+    unless ``drop_invalid``."""
     p = dated(screened(papers, screen_value).select("paper_id", "date_publication"),
               width=width).select("paper_id", "year", "decade")
-    lab = (labelled.filter((F.col("run") == run) & F.col("label").isNotNull())
-           .select("paper_id", "category", "label"))
+    lab = labelled.filter((F.col("run") == run) & F.col("label").isNotNull())
+    if drop_invalid:
+        lab = lab.filter(~F.col("label").isin(list(sentinels)))
+    lab = lab.select("paper_id", "category", "label")
     return lab.join(p, "paper_id")
 
 
