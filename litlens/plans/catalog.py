@@ -13,6 +13,7 @@ from ..functions import scalars as S
 from ..operators import labels as L
 from ..operators import trends as T
 from ..sources import fixtures as X
+from ..sources.dims import local_dim
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -195,7 +196,7 @@ TECHNIQUES = [(1, "vanilla", "retry"), (2, "rephrase_and_respond", "retry"),
 
 @query
 def technique_invalid(spark, sf_dir):
-    t = spark.createDataFrame(TECHNIQUES, "run int, technique string, mode string")
+    t = local_dim(spark, TECHNIQUES, [("run", "int"), ("technique", "string"), ("mode", "string")])
     a = X.responses(spark, sf_dir).filter(F.col("category") == "topic")
     return L.technique_invalid(a, X.vocabulary(spark), t, max_attempts=5, votes=3)
 

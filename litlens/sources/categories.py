@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.labels import INVALID_ENTRY, INVALID_RESULT
+from .dims import local_dim
 
 TAXONOMY = "Taxonomy"  # fixed value: the tree entry holding topic -> stems
 
@@ -75,8 +76,8 @@ def task_vocabulary(spark: SparkSession, label_dim: DataFrame) -> DataFrame:
     groups of a category (``Other``) appear once."""
     tree_map = [(t, c) for t, c, fixed, _, _ in TASKS if c is not None]
     fixed = [(t, lab) for t, c, vals, _, _ in TASKS if vals for lab in vals]
-    m = spark.createDataFrame(tree_map, "task string, category string")
+    m = local_dim(spark, tree_map, [("task", "string"), ("category", "string")])
     from_tree = (label_dim.join(F.broadcast(m), "category")
                  .select(F.col("task").alias("category"), "label"))
     return from_tree.unionByName(
-        spark.createDataFrame(fixed, "category string, label string")).distinct()
+        local_dim(spark, fixed, [("category", "string"), ("label", "string")])).distinct()

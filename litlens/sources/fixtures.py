@@ -13,7 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tables import read_table
+from .dims import local_dim
+from .tables import read_table, spread
 
 # Fixed values of the derived views: categories with their number of labels,
 # runs per task and attempts per run.
@@ -30,7 +31,7 @@ def _pad2(c: Column) -> Column:
 def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One paper per document: null / unparsable / impossible dates, null
     abstracts and two screening sources (``screen``, ``screen_alt``)."""
-    d = read_table(spark, sf_dir, "documents")
+    d = spread(spark, read_table(spark, sf_dir, "documents"))
     i = F.col("doc_id")
     date = (F.when(i % 37 == 0, F.lit(None).cast("string"))
             .when(i % 41 == 0, F.lit("n.d."))
@@ -54,7 +55,7 @@ def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def vocabulary(spark: SparkSession) -> DataFrame:
     """Allowed labels per category (``label 0`` .. ``label n-1``)."""
     rows = [(c, f"label {k}") for c, n in FIXTURE_CATEGORIES for k in range(n)]
-    return spark.createDataFrame(rows, "category string, label string")
+    return local_dim(spark, rows, [("category", "string"), ("label", "string")])
 
 
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,7 +64,7 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     NULL = failed call; a wordy sentence outside the vocabulary; otherwise a
     valid label padded with white space. Some (paper, run) pairs never succeed.
     """
-    d = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("paper_id"))
+    d = spread(spark, read_table(spark, sf_dir, "documents")).select(F.col("doc_id").alias("paper_id"))
     cats = F.array(*[F.struct(F.lit(c).alias("category"), F.lit(n).alias("n"))
                      for c, n in FIXTURE_CATEGORIES])
     t = (d.select("paper_id", F.inline(cats))
@@ -86,4 +87,4 @@ VOLUME_STEMS = [("A", ["th", "an", "he"]), ("B", ["on", "er", "re"]),
 
 def volume_stems(spark: SparkSession) -> DataFrame:
     rows = [(t, s) for t, ss in VOLUME_STEMS for s in ss]
-    return spark.createDataFrame(rows, "topic string, stem string")
+    return local_dim(spark, rows, [("topic", "string"), ("stem", "string")])

@@ -11,3 +11,18 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of a scale-factor folder (``<sf_dir>/<name>.parquet``)."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def spread(spark: SparkSession, df: DataFrame) -> DataFrame:
+    """Spread a table stored in fewer files than the cluster has cores.
+
+    A single-file table with one row group is scanned by one task however it
+    is split, and everything downstream of the scan (tokenising, fan-out)
+    would run on one core. Such a table is round-robined over the cores once.
+    A large table arrives in many files and is left alone: no extra shuffle.
+    Filters and column pruning still reach the scan below the repartition.
+    """
+    cores = spark.sparkContext.defaultParallelism
+    if len(df.inputFiles()) < cores:
+        return df.repartition(cores)
+    return df
