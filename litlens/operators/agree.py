@@ -136,9 +136,11 @@ def consistency_matrix(scores: DataFrame, categories: Sequence[str],
             .agg(F.first("consistency")))
 
 
-def assigned_labels(labelled: DataFrame, sep: str = ", ", id_col: str = "paper_id") -> DataFrame:
-    """Labels of each (paper, category) over the runs, in run order, as text."""
-    ordered = F.array_sort(F.collect_list(F.struct("run", "label")))
+def assigned_labels(labelled: DataFrame, sep: str = ", ", id_col: str = "paper_id",
+                    order_col: str = "run") -> DataFrame:
+    """Labels of each (paper, category) over the runs, in run order, as text.
+    The list per key is bounded by the number of runs (or turns)."""
+    ordered = F.array_sort(F.collect_list(F.struct(F.col(order_col).alias("run"), "label")))
     return (labelled.filter(F.col("label").isNotNull())
             .groupBy(id_col, "category")
             .agg(F.array_join(F.transform(ordered, lambda s: s["label"]), sep).alias("labels"),

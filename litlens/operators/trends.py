@@ -44,51 +44,51 @@ def labelled_papers(papers: DataFrame, labelled: DataFrame, run: int = 1,
     return lab.join(p, "paper_id")
 
 
-def papers_per_year(papers: DataFrame) -> DataFrame:
-    """Papers per publication year (input: :func:`dated` papers)."""
-    return papers.groupBy("year").agg(F.count(F.lit(1)).alias("papers_in_year"))
+def papers_per_year(papers: DataFrame, count_col: str = "papers_in_year") -> DataFrame:
+    """Rows per year (input: :func:`dated` papers, or any frame with ``year``)."""
+    return papers.groupBy("year").agg(F.count(F.lit(1)).alias(count_col))
 
 
-def cumulative(year_counts: DataFrame) -> DataFrame:
+def cumulative(year_counts: DataFrame, count_col: str = "papers_in_year",
+               cum_col: str = "cumulative_papers") -> DataFrame:
     """Cumulative papers and cumulative % of all papers, by year.
 
     The window has no partition key, so it runs in one task: call it only on
     the per-year counts (one row per year), never on papers."""
     upto = Window.orderBy("year").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cum = F.sum("papers_in_year").over(upto)
-    total = F.sum("papers_in_year").over(Window.partitionBy())
+    cum = F.sum(count_col).over(upto)
+    total = F.sum(count_col).over(Window.partitionBy())
     return year_counts.select(
-        "year", "papers_in_year", cum.alias("cumulative_papers"),
-        (cum / total * 100).alias("cumulative_pct"))
+        "year", count_col, cum.alias(cum_col), (cum / total * 100).alias("cumulative_pct"))
 
 
-def decade_label_counts(df: DataFrame) -> DataFrame:
-    """Count per (category, decade, label), all categories in one pass."""
-    return df.groupBy("category", "decade", "label").agg(F.count(F.lit(1)).alias("cnt"))
+def decade_label_counts(df: DataFrame, bucket: str = "decade") -> DataFrame:
+    """Count per (category, time bucket, label), all categories in one pass."""
+    return df.groupBy("category", bucket, "label").agg(F.count(F.lit(1)).alias("cnt"))
 
 
-def decade_totals(counts: DataFrame) -> DataFrame:
-    """Labels counted per (category, decade)."""
-    return counts.groupBy("category", "decade").agg(F.sum("cnt").alias("total"))
+def decade_totals(counts: DataFrame, bucket: str = "decade") -> DataFrame:
+    """Labels counted per (category, time bucket)."""
+    return counts.groupBy("category", bucket).agg(F.sum("cnt").alias("total"))
 
 
-def with_share(counts: DataFrame, digits: int = 1) -> DataFrame:
-    """Add the (category, decade) total and the share in percent, rounded half-even."""
-    total = F.sum("cnt").over(Window.partitionBy("category", "decade"))
+def with_share(counts: DataFrame, digits: int = 1, bucket: str = "decade") -> DataFrame:
+    """Add the (category, bucket) total and the share in percent, rounded half-even."""
+    total = F.sum("cnt").over(Window.partitionBy("category", bucket))
     return (counts.withColumn("total", total)
             .withColumn("pct", F.bround(F.col("cnt") / F.col("total") * 100, digits)))
 
 
-def with_share_join(counts: DataFrame, digits: int = 1) -> DataFrame:
+def with_share_join(counts: DataFrame, digits: int = 1, bucket: str = "decade") -> DataFrame:
     """:func:`with_share` written as a join with :func:`decade_totals`."""
-    return (counts.join(decade_totals(counts), ["category", "decade"])
+    return (counts.join(decade_totals(counts, bucket), ["category", bucket])
             .withColumn("pct", F.bround(F.col("cnt") / F.col("total") * 100, digits)))
 
 
-def top_labels(shares: DataFrame, n: int = 1) -> DataFrame:
-    """The ``n`` most frequent labels per (category, decade); ties go to the
+def top_labels(shares: DataFrame, n: int = 1, bucket: str = "decade") -> DataFrame:
+    """The ``n`` most frequent labels per (category, bucket); ties go to the
     alphabetically first label."""
-    w = Window.partitionBy("category", "decade").orderBy(F.col("cnt").desc(), F.col("label"))
+    w = Window.partitionBy("category", bucket).orderBy(F.col("cnt").desc(), F.col("label"))
     return (shares.withColumn("rank", F.row_number().over(w))
             .filter(F.col("rank") <= n))
 

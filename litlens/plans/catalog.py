@@ -343,3 +343,60 @@ def stream_resolve(spark, sf_dir):
                              files_per_batch=4)
     q.awaitTermination()
     return read_labels(spark, parts).drop("seen")
+
+
+# ---- the same operators over the other given tables ------------------------------
+
+from ..sources.tables import read_table, spread  # noqa: E402
+
+
+@query
+def label_source_contingency(spark, sf_dir):
+    """Two label sources on the same documents (quality, toxic) compared."""
+    lab = read_table(spark, sf_dir, "labels").select(
+        F.col("quality").cast("string").alias("quality"), F.col("toxic").cast("string").alias("toxic"))
+    return A.contingency(lab, "quality", "toxic", domain=["0", "1", "missing"])
+
+
+def _orders(spark, sf_dir):
+    o = spread(spark, read_table(spark, sf_dir, "orders"))
+    return o.select(F.year("o_orderdate").alias("year"),
+                    F.lit("o_orderpriority").alias("category"),
+                    F.col("o_orderpriority").alias("label"))
+
+
+@query
+def orders_cumulative(spark, sf_dir):
+    y = _orders(spark, sf_dir).filter(F.col("year").isNotNull())
+    return T.cumulative(T.papers_per_year(y, "orders_in_year"), "orders_in_year", "cumulative_orders")
+
+
+@query
+def orders_priority_span(spark, sf_dir):
+    return T.label_span(_orders(spark, sf_dir).filter(F.col("year").isNotNull()
+                                                      & F.col("label").isNotNull()))
+
+
+@query
+def orders_priority_share_by_year(spark, sf_dir):
+    o = _orders(spark, sf_dir).filter(F.col("year").isNotNull() & F.col("label").isNotNull())
+    return T.with_share(T.decade_label_counts(o, bucket="year"), bucket="year")
+
+
+@query
+def events_top_type_per_day(spark, sf_dir):
+    e = spread(spark, read_table(spark, sf_dir, "events")).filter(
+        F.col("ts").isNotNull() & F.col("event_type").isNotNull())
+    e = e.select(F.to_date("ts").alias("day"), F.lit("event_type").alias("category"),
+                 F.col("event_type").alias("label"))
+    top = T.top_labels(T.with_share(T.decade_label_counts(e, bucket="day"), bucket="day"),
+                       1, bucket="day")
+    return top.withColumn("rank", F.col("rank").cast("int"))
+
+
+@query
+def conversation_roles(spark, sf_dir):
+    """Roles of each conversation in turn order (an ordered list per key)."""
+    c = spread(spark, read_table(spark, sf_dir, "conversations")).select(
+        "conv_id", F.lit("role").alias("category"), "turn", F.col("role").alias("label"))
+    return A.assigned_labels(c, id_col="conv_id", order_col="turn")

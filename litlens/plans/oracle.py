@@ -394,3 +394,48 @@ SELECT paper_id, category, 1 AS run,
 FROM ok GROUP BY paper_id, category"""
 
 SQL["stream_resolve"] = SQL["resolve_answers"]
+
+# ---- the same operators over the other given tables ------------------------------
+
+SQL["label_source_contingency"] = """
+SELECT quality, toxic, count(*) AS n FROM (
+  SELECT coalesce(CAST(quality AS VARCHAR), 'missing') AS quality,
+         coalesce(CAST(toxic AS VARCHAR), 'missing') AS toxic FROM labels)
+WHERE quality IN ('0', '1', 'missing') AND toxic IN ('0', '1', 'missing')
+GROUP BY quality, toxic"""
+
+SQL["orders_cumulative"] = """
+SELECT year, orders_in_year,
+  CAST(sum(orders_in_year) OVER (ORDER BY year ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT)
+    AS cumulative_orders,
+  sum(orders_in_year) OVER (ORDER BY year ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+    / sum(orders_in_year) OVER () * 100 AS cumulative_pct
+FROM (SELECT CAST(year(o_orderdate) AS INTEGER) AS year, count(*) AS orders_in_year
+      FROM orders WHERE o_orderdate IS NOT NULL GROUP BY 1)"""
+
+SQL["orders_priority_span"] = """
+SELECT 'o_orderpriority' AS category, o_orderpriority AS label,
+  CAST(min(year(o_orderdate)) AS INTEGER) AS first_year, CAST(max(year(o_orderdate)) AS INTEGER) AS last_year,
+  CAST(max(year(o_orderdate)) - min(year(o_orderdate)) AS INTEGER) AS span_years
+FROM orders WHERE o_orderdate IS NOT NULL AND o_orderpriority IS NOT NULL
+GROUP BY o_orderpriority"""
+
+SQL["orders_priority_share_by_year"] = """
+SELECT category, year, label, cnt, CAST(sum(cnt) OVER (PARTITION BY category, year) AS BIGINT) AS total,
+  round_even(cnt / sum(cnt) OVER (PARTITION BY category, year) * 100, 1) AS pct
+FROM (SELECT 'o_orderpriority' AS category, CAST(year(o_orderdate) AS INTEGER) AS year,
+             o_orderpriority AS label, count(*) AS cnt
+      FROM orders WHERE o_orderdate IS NOT NULL AND o_orderpriority IS NOT NULL GROUP BY 1, 2, 3)"""
+
+SQL["events_top_type_per_day"] = """
+SELECT category, day, label, cnt, total, pct, CAST(rank AS INTEGER) AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY category, day ORDER BY cnt DESC, label) AS rank FROM (
+    SELECT category, day, label, cnt, CAST(sum(cnt) OVER (PARTITION BY category, day) AS BIGINT) AS total,
+      round_even(cnt / sum(cnt) OVER (PARTITION BY category, day) * 100, 1) AS pct
+    FROM (SELECT 'event_type' AS category, CAST(ts AS DATE) AS day, event_type AS label, count(*) AS cnt
+          FROM events WHERE ts IS NOT NULL AND event_type IS NOT NULL GROUP BY 1, 2, 3)))
+WHERE rank <= 1"""
+
+SQL["conversation_roles"] = """
+SELECT conv_id, 'role' AS category, string_agg(role, ', ' ORDER BY turn) AS labels, count(*) AS n_runs
+FROM conversations WHERE role IS NOT NULL GROUP BY conv_id"""
