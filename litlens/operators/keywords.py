@@ -11,7 +11,7 @@ the only shuffle carries one row per (paper, topic, stem) hit.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.joins import sized_broadcast
@@ -62,15 +62,18 @@ def best_topic(papers: DataFrame, stems: DataFrame, text_col: str = "fulltext",
     """Exactly one topic per paper: most hits, then most distinct stems, then
     the alphabetically first topic; ``Other`` when nothing matched.
 
-    Papers without hits enter as a zero-score ``Other`` candidate through a
-    union, so no join back to the papers is needed."""
-    sc = topic_scores(taxonomy_hits(papers, stems, text_col, id_col), id_col)
-    cand = sc.select(id_col, F.struct((-F.col("hits")).alias("neg_hits"),
-                                      (-F.col("stems")).alias("neg_stems"),
-                                      F.col("topic")).alias("c"))
-    base = papers.select(id_col, F.struct(F.lit(0).cast("long").alias("neg_hits"),
-                                          F.lit(0).cast("long").alias("neg_stems"),
-                                          F.lit(NO_TOPIC).alias("topic")).alias("c"))
-    best = cand.unionByName(base).groupBy(id_col).agg(F.min("c").alias("c"))
-    return best.select(id_col, F.col("c.topic").alias("topic"),
-                       (-F.col("c.neg_hits")).alias("hits"), (-F.col("c.neg_stems")).alias("stems"))
+    Plan: the hit rows (one per paper, topic and stem, already combined
+    map-side) are hash-partitioned by paper once; the per-topic sums and the
+    per-paper ranking then run inside those partitions without another
+    shuffle. Papers without hits enter as a zero-score ``Other`` row through a
+    union, so no join back to the papers is needed. A paper's rows are
+    bounded by the size of the stem dimension."""
+    hits = taxonomy_hits(papers, stems, text_col, id_col)
+    none = papers.select(id_col, F.lit(NO_TOPIC).alias("topic"),
+                         F.lit(None).cast("string").alias("stem"), F.lit(0).cast("long").alias("hits"))
+    rows = hits.unionByName(none).repartition(id_col)
+    sc = rows.groupBy(id_col, "topic").agg(F.sum("hits").alias("hits"),
+                                           F.count("stem").alias("stems"))
+    w = Window.partitionBy(id_col).orderBy(F.col("hits").desc(), F.col("stems").desc(), "topic")
+    return (sc.withColumn("_rk", F.row_number().over(w)).filter(F.col("_rk") == 1)
+              .select(id_col, "topic", "hits", "stems"))

@@ -33,31 +33,34 @@ def label_tasks(papers: DataFrame, categories: Sequence[str], runs: int = 1,
                                               F.lit(first_run + runs - 1))).alias("run")))
 
 
-def _vocab(vocab: DataFrame) -> DataFrame:
-    # a label present in two groups of one category counts once
+def allowed_answers(vocab: DataFrame) -> DataFrame:
+    """``(category, answer, valid=true)`` for a join against stripped answers:
+    distinct (a label present in two groups of one category counts once) and
+    broadcast when its size check passes."""
     v = vocab.select("category", F.col("label").alias("answer")).distinct()
     return sized_broadcast(v.withColumn("valid", F.lit(True)))
 
 
+
 def answer_validity(answers: DataFrame, vocab: DataFrame,
                     response_col: str = "response") -> DataFrame:
     """Each answer with its stripped text and whether it is in the category's
     vocabulary (exact, case-sensitive)."""
     a = answers.withColumn("answer", py_strip(F.col(response_col)))
-    return (a.join(_vocab(vocab), ["category", "answer"], "left")
+    return (a.join(allowed_answers(vocab), ["category", "answer"], "left")
              .withColumn("valid", F.coalesce(F.col("valid"), F.lit(False))))
 
 
 def valid_answers(answers: DataFrame, vocab: DataFrame) -> DataFrame:
     """Answers whose stripped text is an allowed label (left semi join)."""
     a = answers.withColumn("answer", py_strip(F.col("response")))
-    return a.join(_vocab(vocab).drop("valid"), ["category", "answer"], "left_semi")
+    return a.join(allowed_answers(vocab).drop("valid"), ["category", "answer"], "left_semi")
 
 
 def rejected_answers(answers: DataFrame, vocab: DataFrame) -> DataFrame:
     """Answers that are not an allowed label, failed calls included (left anti join)."""
     a = answers.withColumn("answer", py_strip(F.col("response")))
-    return a.join(_vocab(vocab).drop("valid"), ["category", "answer"], "left_anti")
+    return a.join(allowed_answers(vocab).drop("valid"), ["category", "answer"], "left_anti")
 
 
 # (attempt, label id) packed into one long, so the per-task minimum is a plain
@@ -119,7 +122,7 @@ def majority_vote(answers: DataFrame, vocab: DataFrame, votes: int = 3,
     w = tally.groupBy(*keys).agg(win.alias("w")).select(
         *keys, F.col("w.answer").alias("answer"),
         F.coalesce(-F.col("w.neg_n"), F.lit(0)).alias("votes"))
-    j = w.join(_vocab(vocab), ["category", "answer"], "left")
+    j = w.join(allowed_answers(vocab), ["category", "answer"], "left")
     return j.select(*keys, F.when(F.col("valid"), F.col("answer"))
                     .otherwise(F.lit(sentinel)).alias("label"), "votes")
 

@@ -339,8 +339,10 @@ def stream_resolve(spark, sf_dir):
     resp = X.responses(spark, sf_dir)
     for wave in (3, 1, 2):
         resp.filter(F.col("attempt") == wave).write.mode("append").parquet(src)
+    # one wave of files per micro-batch
+    n_files = len(spark.read.parquet(src).inputFiles())
     q = start_resolve_stream(spark, src, X.vocabulary(spark), parts, ckpt, max_attempts=3,
-                             files_per_batch=4)
+                             files_per_batch=max(1, n_files // 3))
     q.awaitTermination()
     return read_labels(spark, parts).drop("seen")
 

@@ -19,12 +19,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.batch import ANSWER_LOG_SCHEMA
-from ..operators.labels import INVALID_RESULT, TASK_KEYS, answer_validity
+from ..functions.scalars import py_strip
+from ..operators.labels import INVALID_RESULT, TASK_KEYS, allowed_answers
 
 
-def partial_resolve(answers: DataFrame, vocab: DataFrame, max_attempts: int = 3) -> DataFrame:
-    """Mergeable per-task partial of :func:`resolve_answers`."""
-    v = answer_validity(answers.filter(F.col("attempt") <= max_attempts), vocab)
+def partial_resolve(answers: DataFrame, allowed: DataFrame, max_attempts: int = 3) -> DataFrame:
+    """Mergeable per-task partial of :func:`resolve_answers`; ``allowed`` is
+    the prepared vocabulary (:func:`allowed_answers`)."""
+    a = (answers.filter(F.col("attempt") <= max_attempts)
+         .withColumn("answer", py_strip(F.col("response"))))
+    v = (a.join(allowed, ["category", "answer"], "left")
+          .withColumn("valid", F.coalesce(F.col("valid"), F.lit(False))))
     return v.groupBy(*TASK_KEYS).agg(
         F.min(F.when(F.col("valid"), F.struct("attempt", "answer"))).alias("best"),
         F.max("attempt").alias("seen"))
@@ -47,9 +52,10 @@ def start_resolve_stream(spark: SparkSession, answers_dir: str, vocab: DataFrame
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     answers = reader.parquet(answers_dir)
+    allowed = allowed_answers(vocab)  # size-checked once, reused by every micro-batch
 
     def write_partial(batch: DataFrame, batch_id: int) -> None:
-        (partial_resolve(batch, vocab, max_attempts)
+        (partial_resolve(batch, allowed, max_attempts)
          .withColumn("batch_id", F.lit(batch_id))
          .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy("batch_id").parquet(partials_dir))
