@@ -137,12 +137,21 @@ def consistency_matrix(scores: DataFrame, categories: Sequence[str],
 
 
 def assigned_labels(labelled: DataFrame, sep: str = ", ", id_col: str = "paper_id",
-                    order_col: str = "run") -> DataFrame:
+                    order_col: str = "run", chunk: int | None = None) -> DataFrame:
     """Labels of each (paper, category) over the runs, in run order, as text.
-    The list per key is bounded by the number of runs (or turns)."""
+
+    A list over runs is bounded by the number of runs. For keys whose lists
+    are not bounded (turns of a conversation), ``chunk`` splits each list
+    into pieces of consecutive ``order_col`` values (``order // chunk``):
+    one output row per piece, so no group grows with the data and nothing
+    is dropped; a list shorter than ``chunk`` is one piece."""
     ordered = F.array_sort(F.collect_list(F.struct(F.col(order_col).alias("run"), "label")))
-    return (labelled.filter(F.col("label").isNotNull())
-            .groupBy(id_col, "category")
+    keys = [id_col, "category"]
+    df = labelled.filter(F.col("label").isNotNull())
+    if chunk:
+        df = df.withColumn("piece", F.floor(F.col(order_col) / chunk).cast("long"))
+        keys.append("piece")
+    return (df.groupBy(*keys)
             .agg(F.array_join(F.transform(ordered, lambda s: s["label"]), sep).alias("labels"),
                  F.count(F.lit(1)).alias("n_runs")))
 

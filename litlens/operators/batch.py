@@ -16,9 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.joins import sized_broadcast
-
 ANSWER_LOG_SCHEMA = "paper_id long, category string, run int, attempt int, response string"
+VOCAB_MAX_ROWS = 100_000
 
 # fn(batch) -> responses: ``batch`` has columns paper_id, category, run,
 # attempt, prompt; return one response (str or None = failed call) per row.
@@ -36,13 +35,17 @@ def label_batch(tasks: DataFrame, vocab: DataFrame, fn: AnswerFn, max_attempts:
     exception in ``fn`` counts as a failed attempt for the rows of that call.
     Over-budget tasks must be filtered out before (see ``with_budget``)."""
     # the vocabulary is a small dimension: size-checked, then shipped to the tasks
-    v = sized_broadcast(vocab.select("category", "label").distinct(), 100_000)
+    v = vocab.select("category", "label").distinct()
+    if v.limit(VOCAB_MAX_ROWS + 1).count() > VOCAB_MAX_ROWS:
+        raise ValueError(f"vocabulary above {VOCAB_MAX_ROWS} labels cannot be shipped to tasks")
     allowed: dict[str, set[str]] = {}
     for cat, lab in v.collect():
         allowed.setdefault(cat, set()).add(lab)
     t = tasks.select("paper_id", "category", "run", "prompt")
     if partitions:
-        t = t.repartition(partitions, "paper_id", "category", "run")
+        # round-robin: tasks are independent, and copies of one task must not
+        # pile up in one Python worker
+        t = t.repartition(partitions)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

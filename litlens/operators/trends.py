@@ -34,9 +34,14 @@ def labelled_papers(papers: DataFrame, labelled: DataFrame, run: int = 1,
                     sentinels: Sequence[str] = ("invalid result", "invalid entry")) -> DataFrame:
     """(paper_id, year, decade, category, label) for screened, dated papers
     and the non-null labels of one run. Sentinel labels count like labels
-    unless ``drop_invalid``."""
+    unless ``drop_invalid``. Copies of a paper (same id) count once, with
+    the earliest year."""
     p = dated(screened(papers, screen_value).select("paper_id", "date_publication"),
-              width=width).select("paper_id", "year", "decade")
+              width=width)
+    # one row per paper even if the collection holds copies of a paper: the
+    # join below is then many-to-one (no pairs multiply), and this
+    # aggregation's hash partitioning on paper_id is reused by the join
+    p = p.groupBy("paper_id").agg(F.min("year").alias("year"), F.min("decade").alias("decade"))
     lab = labelled.filter((F.col("run") == run) & F.col("label").isNotNull())
     if drop_invalid:
         lab = lab.filter(~F.col("label").isin(list(sentinels)))

@@ -401,4 +401,4 @@ def conversation_roles(spark, sf_dir):
     """Roles of each conversation in turn order (an ordered list per key)."""
     c = spread(spark, read_table(spark, sf_dir, "conversations")).select(
         "conv_id", F.lit("role").alias("category"), "turn", F.col("role").alias("label"))
-    return A.assigned_labels(c, id_col="conv_id", order_col="turn")
+    return A.assigned_labels(c, id_col="conv_id", order_col="turn", chunk=1000)

@@ -437,5 +437,6 @@ SELECT category, day, label, cnt, total, pct, CAST(rank AS INTEGER) AS rank FROM
 WHERE rank <= 1"""
 
 SQL["conversation_roles"] = """
-SELECT conv_id, 'role' AS category, string_agg(role, ', ' ORDER BY turn) AS labels, count(*) AS n_runs
-FROM conversations WHERE role IS NOT NULL GROUP BY conv_id"""
+SELECT conv_id, 'role' AS category, CAST(floor(turn / 1000) AS BIGINT) AS piece,
+       string_agg(role, ', ' ORDER BY turn) AS labels, count(*) AS n_runs
+FROM conversations WHERE role IS NOT NULL GROUP BY conv_id, floor(turn / 1000)"""

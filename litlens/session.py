@@ -12,6 +12,12 @@ from pyspark.sql import SparkSession
 # coalesces small shuffle partitions, skew-join splits hot partitions, and
 # UTC keeps timestamp-derived years identical to the SQL oracle.
 DEFAULT_CONF = {
+    # No broadcast from plan-time size estimates: an estimate does not see the
+    # fan-out of explode/inline and can be far too small. Broadcasts happen
+    # only on explicit, size-checked hints (plans/joins.sized_broadcast) or
+    # when AQE has measured a materialised side below its own threshold.
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "64MB",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
