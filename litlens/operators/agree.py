@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import WIDE_PREFIX, key_category, key_run, wide_key
@@ -67,66 +67,93 @@ def present(df: DataFrame, keys: Sequence[str]) -> list[str]:
 
 def consistency(labelled: DataFrame, min_runs: int = 2, max_run: int | None = None,
                 id_col: str = "paper_id", drop_invalid: bool = False,
-                sentinels: Sequence[str] = ("invalid result", "invalid entry")) -> DataFrame:
+                sentinels: Sequence[str] = ("invalid result", "invalid entry"),
+                keep_runs: bool = False) -> DataFrame:
     """Per (paper, category): share of runs agreeing with the modal label.
 
     Only categories with at least ``min_runs`` distinct runs are scored;
     ``max_run`` keeps runs up to that number (to reproduce a study that read
     fewer runs than it wrote). Sentinel labels count as labels unless
-    ``drop_invalid``."""
+    ``drop_invalid``.
+
+    Plan: labels -> per (paper, category, label) counts -> per (paper,
+    category) max/sum plus a bit mask of the runs seen (runs 1..63). The runs
+    per category are the OR of those masks: a table with one row per
+    category (the closed set of labelling tasks), joined back by broadcast,
+    so the per-paper rows are never shuffled by category (3 categories would
+    mean 3 reduce tasks holding everything). With ``keep_runs`` the mask is
+    returned and nothing is filtered: the per-category reports apply the
+    filter after their own aggregation, without any join."""
     lab = labelled.filter(F.col("label").isNotNull())
     if drop_invalid:
         lab = lab.filter(~F.col("label").isin(list(sentinels)))
     if max_run is not None:
         lab = lab.filter(F.col("run") <= max_run)
-    per_label = lab.groupBy(id_col, "category", "label").agg(F.count(F.lit(1)).alias("n"))
+    run_bit = F.expr("shiftleft(CAST(1 AS BIGINT), CAST(least(run, 63) AS INT))")
+    per_label = lab.groupBy(id_col, "category", "label").agg(
+        F.count(F.lit(1)).alias("n"), F.bit_or(run_bit).alias("runs"))
     per_task = per_label.groupBy(id_col, "category").agg(
-        F.max("n").alias("modal"), F.sum("n").alias("n_labels"))
+        F.max("n").alias("modal"), F.sum("n").alias("n_labels"), F.bit_or("runs").alias("runs"))
     scored = per_task.select(id_col, "category",
                              (F.col("modal") / F.col("n_labels")).alias("consistency"),
-                             "n_labels")
-    if min_runs <= 1:
+                             "n_labels", "runs")
+    if keep_runs:
         return scored
-    # categories whose label columns exist for more than one run: a few rows,
-    # but derived from the data, so no size check up front (it would run the
-    # whole input once more); AQE turns the semi join into a broadcast at run time
-    runs = (lab.groupBy("category").agg(F.count_distinct("run").alias("n_runs"))
-               .filter(F.col("n_runs") >= min_runs).select("category"))
-    return scored.join(runs, "category", "left_semi")
+    if min_runs <= 1:
+        return scored.drop("runs")
+    cats = (scored.groupBy("category").agg(F.bit_or("runs").alias("runs"))
+                  .filter(F.bit_count("runs") >= min_runs).select("category"))
+    return scored.join(F.broadcast(cats), "category", "left_semi").drop("runs")
+
+
+def _multi_run(df: DataFrame, min_runs: int) -> DataFrame:
+    """Keep per-category report rows whose category saw ``min_runs`` runs."""
+    if "runs" not in df.columns:
+        return df
+    return df.filter(F.bit_count("runs") >= min_runs).drop("runs")
 
 
 def consistency_by_category(scores: DataFrame, exclude: Sequence[str] = (),
-                            digits: int = 6) -> DataFrame:
-    """Mean consistency per category (NULL scores skipped), rounded for display."""
+                            digits: int = 6, min_runs: int = 2) -> DataFrame:
+    """Mean consistency per category (NULL scores skipped), rounded for display.
+    ``scores`` from :func:`consistency`; with ``keep_runs`` scores the
+    run filter is applied here, after the aggregation."""
     s = scores.filter(~F.col("category").isin(list(exclude))) if exclude else scores
-    return s.groupBy("category").agg(
-        F.round(F.avg("consistency"), digits).alias("mean_consistency"),
-        F.count("consistency").alias("n_papers"))
+    aggs = [F.round(F.avg("consistency"), digits).alias("mean_consistency"),
+            F.count("consistency").alias("n_papers")]
+    if "runs" in s.columns:
+        aggs.append(F.bit_or("runs").alias("runs"))
+    return _multi_run(s.groupBy("category").agg(*aggs), min_runs)
 
 
-def consistency_box(scores: DataFrame, digits: int = 6) -> DataFrame:
+def consistency_box(scores: DataFrame, digits: int = 6, min_runs: int = 2) -> DataFrame:
     """Box-plot numbers per category: quartiles (linear interpolation),
-    whiskers at the most extreme scores within 1.5 IQR, outlier count."""
+    whiskers at the most extreme scores within 1.5 IQR, outlier count.
+
+    Works on the (category, score, frequency) table, whose size is the number
+    of distinct scores: the exact percentile is a window over that small
+    table, so no self-join and no second pass over the scores."""
+    has_runs = "runs" in scores.columns
+    fa = [F.count(F.lit(1)).alias("w")] + ([F.bit_or("runs").alias("runs")] if has_runs else [])
     freq = (scores.filter(F.col("consistency").isNotNull())
-            .groupBy("category", "consistency").agg(F.count(F.lit(1)).alias("w")))
+            .groupBy("category", "consistency").agg(*fa))
     q = F.percentile(F.col("consistency"), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)),
-                     F.col("w"))
-    quart = freq.groupBy("category").agg(q.alias("q"), F.sum("w").alias("n"))
-    quart = quart.select("category", "n", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"),
-                         F.col("q")[2].alias("q3"))
-    iqr = F.col("q3") - F.col("q1")
-    lo, hi = F.col("q1") - 1.5 * iqr, F.col("q3") + 1.5 * iqr
+                     F.col("w")).over(Window.partitionBy("category"))
+    f = freq.withColumn("q", q)
+    q1, med, q3 = F.col("q")[0], F.col("q")[1], F.col("q")[2]
+    iqr = q3 - q1
     x = F.col("consistency")
-    j = freq.join(quart, "category")
-    inside = (x >= lo) & (x <= hi)
-    return j.groupBy("category").agg(
-        F.first("n").alias("n"),
-        F.round(F.first("q1"), digits).alias("q1"),
-        F.round(F.first("median"), digits).alias("median"),
-        F.round(F.first("q3"), digits).alias("q3"),
-        F.min(F.when(inside, x)).alias("whisker_low"),
-        F.max(F.when(inside, x)).alias("whisker_high"),
-        F.sum(F.when(~inside, F.col("w")).otherwise(F.lit(0))).alias("n_outliers"))
+    inside = (x >= q1 - 1.5 * iqr) & (x <= q3 + 1.5 * iqr)
+    aggs = [F.sum("w").alias("n"),
+            F.round(F.first(q1), digits).alias("q1"),
+            F.round(F.first(med), digits).alias("median"),
+            F.round(F.first(q3), digits).alias("q3"),
+            F.min(F.when(inside, x)).alias("whisker_low"),
+            F.max(F.when(inside, x)).alias("whisker_high"),
+            F.sum(F.when(~inside, F.col("w")).otherwise(F.lit(0))).alias("n_outliers")]
+    if has_runs:
+        aggs.append(F.bit_or("runs").alias("runs"))
+    return _multi_run(f.groupBy("category").agg(*aggs), min_runs)
 
 
 def consistency_matrix(scores: DataFrame, categories: Sequence[str],

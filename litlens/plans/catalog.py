@@ -219,14 +219,18 @@ def consistency_per_paper(spark, sf_dir):
     return _scores(spark, sf_dir)
 
 
+def _scores_with_runs(spark, sf_dir):
+    return A.consistency(resolved(spark, sf_dir), keep_runs=True)
+
+
 @query
 def consistency_by_category(spark, sf_dir):
-    return A.consistency_by_category(_scores(spark, sf_dir))
+    return A.consistency_by_category(_scores_with_runs(spark, sf_dir), min_runs=2)
 
 
 @query
 def consistency_box(spark, sf_dir):
-    return A.consistency_box(_scores(spark, sf_dir))
+    return A.consistency_box(_scores_with_runs(spark, sf_dir), min_runs=2)
 
 
 @query
