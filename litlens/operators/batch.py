@@ -24,10 +24,6 @@ VOCAB_MAX_ROWS = 100_000
 AnswerFn = Callable[[pd.DataFrame], "pd.Series | list"]
 
 
-def _strip(s):
-    return s.strip() if isinstance(s, str) else s
-
-
 def label_batch(tasks: DataFrame, vocab: DataFrame, fn: AnswerFn, max_attempts: int = 3,
                 partitions: int | None = None, rows_per_call: int = 64) -> DataFrame:
     """Answer log ``(paper_id, category, run, attempt, response)`` for tasks
@@ -47,10 +43,14 @@ def label_batch(tasks: DataFrame, vocab: DataFrame, fn: AnswerFn, max_attempts:
         # pile up in one Python worker
         t = t.repartition(partitions)
 
+    pairs = {(c, lab) for c, labs in allowed.items() for lab in labs}
+    cols = ["paper_id", "category", "run", "attempt", "response"]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
+            out = []
             for start in range(0, len(b), rows_per_call):
-                todo = b.iloc[start:start + rows_per_call].reset_index(drop=True)
+                todo = b.iloc[start:start + rows_per_call]
                 for attempt in range(1, max_attempts + 1):
                     if todo.empty:
                         break
@@ -59,10 +59,12 @@ def label_batch(tasks: DataFrame, vocab: DataFrame, fn: AnswerFn, max_attempts:
                         resp = list(fn(call))
                     except Exception:  # a failed call: every row of it failed
                         resp = [None] * len(call)
-                    call = call.assign(response=pd.Series(resp, dtype="object"))
-                    yield call[["paper_id", "category", "run", "attempt", "response"]]
-                    ok = [(_strip(r) in allowed.get(c, ())) if isinstance(r, str) else False
-                          for r, c in zip(call["response"], call["category"])]
-                    todo = todo[[not x for x in ok]].reset_index(drop=True)
+                    call["response"] = pd.Series(resp, index=call.index, dtype="object")
+                    out.append(call[cols])
+                    ok = [isinstance(r, str) and (c, r.strip()) in pairs
+                          for r, c in zip(resp, call["category"])]
+                    todo = todo[[not x for x in ok]]
+            if out:
+                yield pd.concat(out, ignore_index=True)
 
     return t.mapInPandas(run, ANSWER_LOG_SCHEMA).withColumn("run", F.col("run").cast("int"))

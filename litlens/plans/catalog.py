@@ -406,3 +406,12 @@ def conversation_roles(spark, sf_dir):
     c = spread(spark, read_table(spark, sf_dir, "conversations")).select(
         "conv_id", F.lit("role").alias("category"), "turn", F.col("role").alias("label"))
     return A.assigned_labels(c, id_col="conv_id", order_col="turn", chunk=1000)
+
+
+@query
+def label_collection_stub(spark, sf_dir):
+    """The whole labelling run (budget, prompts, answers, persisted log,
+    resolution) with the deterministic stand-in answer function."""
+    from ..operators.labelling import label_collection
+    p = T.screened(X.papers(spark, sf_dir))
+    return label_collection(spark, p, X.vocabulary(spark), stub_answers, CATEGORIES, runs=1)

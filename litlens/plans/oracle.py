@@ -440,3 +440,5 @@ SQL["conversation_roles"] = """
 SELECT conv_id, 'role' AS category, CAST(floor(turn / 1000) AS BIGINT) AS piece,
        string_agg(role, ', ' ORDER BY turn) AS labels, count(*) AS n_runs
 FROM conversations WHERE role IS NOT NULL GROUP BY conv_id, floor(turn / 1000)"""
+
+SQL["label_collection_stub"] = SQL["label_batch_stub"]

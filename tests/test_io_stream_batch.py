@@ -91,3 +91,20 @@ def test_label_batch_retries_and_failures(spark):
     assert [r[2] for r in rows if r[0] == 3][0] is None
     res = {r.paper_id: (r.label, r.attempts_used) for r in L.resolve_answers(log, vocab).collect()}
     assert res == {1: ("A", 1), 2: ("A", 3), 3: ("A", 3)}
+
+
+def test_label_collection_budget_and_log(spark, tmp_dir):
+    from litlens.operators.labelling import label_collection
+    papers = spark.createDataFrame([(1, "short", "t", "x"), (2, "long", "t", "y" * 4000)],
+                                   "paper_id long, abstract string, title string, fulltext string")
+    vocab = spark.createDataFrame([("topic", "A")], "category string, label string")
+
+    def fn(batch):
+        return ["A" if a == 2 else "no" for a in batch["attempt"]]
+
+    log_path = os.path.join(tmp_dir, "log")
+    got = label_collection(spark, papers, vocab, fn, ["topic"], limit=500, answers_path=log_path)
+    res = {r.paper_id: (r.label, r.attempts_used) for r in got.collect()}
+    assert res == {1: ("A", 2), 2: ("invalid entry", None)}
+    log = spark.read.parquet(log_path)
+    assert sorted((r.paper_id, r.attempt) for r in log.collect()) == [(1, 1), (1, 2)]
