@@ -44,12 +44,17 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    On a cluster this is set by the deployment and points at shared storage.
-    Only when it is unset (local tests, the bench) a folder of our own is made
+    On a cluster this is set by the deployment and points at shared storage;
+    if it is unset there, this fails rather than falling back to a local
+    folder. Only in local mode (tests, the bench) a folder of our own is made
     and registered, so ``DataFrame.checkpoint()`` and streaming checkpoints work.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: on a cluster it must name a "
+                               "folder on shared storage (a machine-local folder would be lost "
+                               "with its executor)")
         d = tempfile.mkdtemp(prefix="litlens-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     if spark.sparkContext.getCheckpointDir() is None:
