@@ -68,3 +68,24 @@ def start_resolve_stream(spark: SparkSession, answers_dir: str, vocab: DataFrame
 def read_labels(spark: SparkSession, partials_dir: str, sentinel: str = INVALID_RESULT) -> DataFrame:
     """The current labels from everything the stream has written."""
     return merge_partials(spark.read.parquet(partials_dir), sentinel)
+
+
+def compact_partials(spark: SparkSession, partials_dir: str) -> None:
+    """Merge all partials into one partial per task, in place.
+
+    The merged rows keep the partial form (``best``, ``seen``) and go to the
+    highest batch id seen, so later micro-batches still land in new
+    partitions. The merge is checkpointed into the shared scratch folder
+    before the folder is overwritten (it reads what it replaces). ``min`` and
+    ``max`` are idempotent, so a batch replayed after compaction changes
+    nothing."""
+    from ..session import scratch_dir
+    scratch_dir(spark)
+    p = spark.read.parquet(partials_dir)
+    # the highest batch id: a partition column, answered from the file listing
+    last = p.agg(F.max("batch_id")).first()[0]
+    merged = (p.groupBy(*TASK_KEYS).agg(F.min("best").alias("best"), F.max("seen").alias("seen"))
+               .withColumn("batch_id", F.lit(last)))
+    stable = merged.checkpoint(eager=True)
+    (stable.write.mode("overwrite").option("partitionOverwriteMode", "static")
+     .partitionBy("batch_id").parquet(partials_dir))

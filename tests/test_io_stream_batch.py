@@ -108,3 +108,21 @@ def test_label_collection_budget_and_log(spark, tmp_dir):
     assert res == {1: ("A", 2), 2: ("invalid entry", None)}
     log = spark.read.parquet(log_path)
     assert sorted((r.paper_id, r.attempt) for r in log.collect()) == [(1, 1), (1, 2)]
+
+
+def test_compaction_keeps_labels(spark, tmp_dir):
+    from litlens.streaming.resolve_stream import compact_partials
+    resp = X.responses(spark, SF)
+    src = os.path.join(tmp_dir, "answers")
+    for wave in (2, 3, 1):
+        resp.filter(F.col("attempt") == wave).coalesce(1).write.mode("append").parquet(src)
+    vocab = X.vocabulary(spark)
+    parts, ckpt = os.path.join(tmp_dir, "partials"), os.path.join(tmp_dir, "ckpt")
+    start_resolve_stream(spark, src, vocab, parts, ckpt, files_per_batch=1).awaitTermination()
+    before = sorted(tuple(r) for r in read_labels(spark, parts).collect())
+    n_before = spark.read.parquet(parts).count()
+    compact_partials(spark, parts)
+    after = read_labels(spark, parts)
+    assert spark.read.parquet(parts).count() < n_before
+    assert sorted(tuple(r) for r in after.collect()) == before
+    assert after.drop("seen").exceptAll(L.resolve_answers(resp, vocab)).count() == 0
