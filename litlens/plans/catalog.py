@@ -9,11 +9,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import prompts as P
 from ..functions import scalars as S
+from ..operators import agree as A
+from ..operators import keywords as K
 from ..operators import labels as L
+from ..operators import sample as O
 from ..operators import trends as T
+from ..operators import upsert as U
 from ..sources import fixtures as X
 from ..sources.dims import local_dim
+from ..sources.tables import read_table, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -203,12 +209,6 @@ def technique_invalid(spark, sf_dir):
 
 # ---- agreement ------------------------------------------------------------------
 
-from ..operators import agree as A  # noqa: E402
-from ..operators import keywords as K  # noqa: E402
-from ..operators import sample as O  # noqa: E402
-from ..operators import upsert as U  # noqa: E402
-from ..functions import prompts as P  # noqa: E402
-
 
 def _scores(spark, sf_dir):
     return A.consistency(resolved(spark, sf_dir))
@@ -353,8 +353,6 @@ def stream_resolve(spark, sf_dir):
 
 # ---- the same operators over the other given tables ------------------------------
 
-from ..sources.tables import read_table, spread  # noqa: E402
-
 
 @query
 def label_source_contingency(spark, sf_dir):
