@@ -68,13 +68,24 @@ def _split(template: str) -> tuple[str, str, str]:
     return a, b, c
 
 
+def with_entry(papers: DataFrame, fields: Sequence[str] = LABEL_FIELDS) -> DataFrame:
+    """Add ``entry_json`` (the paper as JSON text) and its length ``entry_len``
+    once per paper, before the paper fans out into one task per category."""
+    return (papers.withColumn("entry_json", entry_text(fields))
+                  .withColumn("entry_len", F.length("entry_json")))
+
+
 def with_prompt(tasks: DataFrame, vocab_json: DataFrame, template: str = DEFAULT_TEMPLATE,
-                fields: Sequence[str] = LABEL_FIELDS) -> DataFrame:
-    """Add the prompt text to tasks that carry the paper fields."""
+                fields: Sequence[str] = LABEL_FIELDS, skip_col: str | None = None) -> DataFrame:
+    """Add the prompt text to tasks that carry the paper fields (or a
+    prebuilt ``entry_json``). Rows where ``skip_col`` is true get no prompt."""
     a, b, c = _split(template)
+    entry = F.col("entry_json") if "entry_json" in tasks.columns else entry_text(fields)
     j = tasks.join(sized_broadcast(vocab_json), "category")  # one row per category
-    return j.withColumn("prompt", F.concat(F.lit(a), entry_text(fields), F.lit(b),
-                                           F.col("categories_json"), F.lit(c)))
+    prompt = F.concat(F.lit(a), entry, F.lit(b), F.col("categories_json"), F.lit(c))
+    if skip_col:
+        prompt = F.when(~F.col(skip_col), prompt)
+    return j.withColumn("prompt", prompt)
 
 
 def with_entry_length(papers: DataFrame, fields: Sequence[str] = LABEL_FIELDS) -> DataFrame:

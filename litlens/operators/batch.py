@@ -25,11 +25,13 @@ AnswerFn = Callable[[pd.DataFrame], "pd.Series | list"]
 
 
 def label_batch(tasks: DataFrame, vocab: DataFrame, fn: AnswerFn, max_attempts: int = 3,
-                partitions: int | None = None, rows_per_call: int = 64) -> DataFrame:
+                partitions: int | None = None, rows_per_call: int = 64,
+                skip_col: str | None = None) -> DataFrame:
     """Answer log ``(paper_id, category, run, attempt, response)`` for tasks
     carrying a ``prompt``. Attempts stop at the first allowed answer; an
     exception in ``fn`` counts as a failed attempt for the rows of that call.
-    Over-budget tasks must be filtered out before (see ``with_budget``)."""
+    Tasks where ``skip_col`` is true (over the prompt budget) are not sent:
+    they are logged once with ``attempt = 0`` and no response."""
     # the vocabulary is a small dimension: size-checked, then shipped to the tasks
     v = vocab.select("category", "label").distinct()
     if v.limit(VOCAB_MAX_ROWS + 1).count() > VOCAB_MAX_ROWS:
@@ -37,7 +39,8 @@ def label_batch(tasks: DataFrame, vocab: DataFrame, fn: AnswerFn, max_attempts:
     allowed: dict[str, set[str]] = {}
     for cat, lab in v.collect():
         allowed.setdefault(cat, set()).add(lab)
-    t = tasks.select("paper_id", "category", "run", "prompt")
+    skip = F.col(skip_col) if skip_col else F.lit(False)
+    t = tasks.select("paper_id", "category", "run", "prompt", skip.alias("_skip"))
     if partitions:
         # round-robin: tasks are independent, and copies of one task must not
         # pile up in one Python worker
@@ -49,6 +52,11 @@ def label_batch(tasks: DataFrame, vocab: DataFrame, fn: AnswerFn, max_attempts:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
+            skipped = b["_skip"].fillna(False).astype(bool)
+            if skipped.any():
+                out.append(b.loc[skipped, ["paper_id", "category", "run"]]
+                           .assign(attempt=0, response=None))
+            b = b.loc[~skipped, ["paper_id", "category", "run", "prompt"]]
             for start in range(0, len(b), rows_per_call):
                 todo = b.iloc[start:start + rows_per_call]
                 for attempt in range(1, max_attempts + 1):

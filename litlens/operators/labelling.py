@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.prompts import (DEFAULT_TEMPLATE, LABEL_FIELDS, TOKEN_LIMIT, vocabulary_json,
-                                 with_budget, with_prompt)
+                                 with_budget, with_entry, with_prompt)
 from ..session import scratch_path
 from .batch import ANSWER_LOG_SCHEMA, AnswerFn, label_batch
 from .labels import INVALID_ENTRY, INVALID_RESULT, TASK_KEYS, label_tasks, resolve_answers
@@ -31,16 +31,19 @@ def label_collection(spark: SparkSession, papers: DataFrame, vocab: DataFrame, f
     """Labels ``(paper_id, category, run, label, attempts_used)`` for every
     task; the raw answers are appended to ``answers_path`` (a fresh folder
     under ``spark.checkpoint.dir`` when not given)."""
-    keep = [f for f in fields if f != "_id"]
-    tasks = label_tasks(papers, categories, runs, first_run, keep=keep)
+    papers = with_entry(papers, fields).select("paper_id", "entry_json", "entry_len")
+    tasks = label_tasks(papers, categories, runs, first_run, keep=["entry_json", "entry_len"])
     vj = vocabulary_json(vocab)
     budget = with_budget(tasks, vj, template, fields, limit)
-    over = budget.filter(F.col("over_budget")).select(
-        *TASK_KEYS, F.lit(INVALID_ENTRY).alias("label"), F.lit(None).cast("int").alias("attempts_used"))
-    fit = budget.filter(~F.col("over_budget")).select(*TASK_KEYS, *keep)
-    log = label_batch(with_prompt(fit, vj, template, fields), vocab, fn, max_attempts,
-                      partitions, rows_per_call)
+    prompts = with_prompt(budget, vj, template, fields, skip_col="over_budget")
+    log = label_batch(prompts, vocab, fn, max_attempts, partitions, rows_per_call,
+                      skip_col="over_budget")
     path = answers_path or scratch_path(spark, "answers")
     log.write.mode("append").parquet(path)
     answers = spark.read.schema(ANSWER_LOG_SCHEMA).parquet(path)
-    return resolve_answers(answers, vocab, max_attempts, sentinel).unionByName(over)
+    # attempt 0 marks a task that was not sent (over budget)
+    sent = resolve_answers(answers.filter(F.col("attempt") >= 1), vocab, max_attempts, sentinel)
+    skipped = (answers.filter(F.col("attempt") == 0).select(*TASK_KEYS).distinct()
+               .select(*TASK_KEYS, F.lit(INVALID_ENTRY).alias("label"),
+                       F.lit(None).cast("int").alias("attempts_used")))
+    return sent.unionByName(skipped)

@@ -297,8 +297,9 @@ def taxonomy_best_topic(spark, sf_dir):
 # ---- prompts and answering ----------------------------------------------------------
 
 def _prompt_tasks(spark, sf_dir):
-    p = T.screened(X.papers(spark, sf_dir))
-    return L.label_tasks(p, CATEGORIES, runs=1, keep=["abstract", "title", "fulltext"])
+    # the paper's JSON text is built once, then fans out to its tasks
+    p = P.with_entry(T.screened(X.papers(spark, sf_dir)))
+    return L.label_tasks(p, CATEGORIES, runs=1, keep=["entry_json", "entry_len"])
 
 
 @query

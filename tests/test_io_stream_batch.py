@@ -107,7 +107,8 @@ def test_label_collection_budget_and_log(spark, tmp_dir):
     res = {r.paper_id: (r.label, r.attempts_used) for r in got.collect()}
     assert res == {1: ("A", 2), 2: ("invalid entry", None)}
     log = spark.read.parquet(log_path)
-    assert sorted((r.paper_id, r.attempt) for r in log.collect()) == [(1, 1), (1, 2)]
+    # paper 2 was never sent: only its "not sent" marker (attempt 0) is logged
+    assert sorted((r.paper_id, r.attempt) for r in log.collect()) == [(1, 1), (1, 2), (2, 0)]
 
 
 def test_compaction_keeps_labels(spark, tmp_dir):
