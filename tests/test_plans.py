@@ -32,3 +32,20 @@ def test_trend_windows_run_on_aggregates(spark):
                                                                       X.vocabulary(spark)))
     plan = _plan(r)
     assert plan.index("Window") < plan.index("HashAggregate")  # window above the aggregation
+
+
+def test_no_query_pairs_rows(spark):
+    """No registered query plans a cross product or a nested-loop join."""
+    import __spark_entry__ as E
+    skip = {"stream_resolve", "label_collection_stub"}  # these run jobs when called
+    for name, fn in E.queries().items():
+        if name in skip:
+            continue
+        plan = _plan(fn(spark, SF))
+        assert "CartesianProduct" not in plan, name
+        assert "BroadcastNestedLoopJoin" not in plan, name
+
+
+def test_resolution_is_hash_aggregated(spark):
+    plan = _plan(L.resolve_answers(X.responses(spark, SF), X.vocabulary(spark)))
+    assert "SortAggregate" not in plan
