@@ -1,0 +1,103 @@
+"""Operators against plain-Python versions of the reference's semantics on
+random inputs (one Spark job per operator, many keys per job)."""
+import random
+from collections import Counter
+
+from litlens.operators import agree as A
+from litlens.operators import labels as L
+from litlens.operators import trends as T
+
+RNG = random.Random(7)
+VOCAB = {"topic": ["A", "B", "C"], "ethics": ["Yes", "No"]}
+NOISE = ["A ", " B\n", "b", "Maybe", "", None, "C\t", "Yes", "No ", "no"]
+
+
+def _log(n_tasks=400):
+    rows = []
+    for pid in range(n_tasks):
+        cat = RNG.choice(list(VOCAB))
+        run = RNG.randint(1, 4)
+        for attempt in RNG.sample(range(1, 6), RNG.randint(0, 5)):
+            rows.append((pid, cat, run, attempt, RNG.choice(NOISE + VOCAB[cat])))
+    return rows
+
+
+def _vocab(spark):
+    return spark.createDataFrame([(c, lab) for c, labs in VOCAB.items() for lab in labs],
+                                 "category string, label string")
+
+
+SCHEMA = "paper_id long, category string, run int, attempt int, response string"
+
+
+def test_resolve_matches_python(spark):
+    rows = _log()
+    got = {(r.paper_id, r.category, r.run): (r.label, r.attempts_used)
+           for r in L.resolve_answers(spark.createDataFrame(rows, SCHEMA), _vocab(spark), 3).collect()}
+    exp = {}
+    for pid, cat, run, attempt, resp in sorted(rows, key=lambda r: r[3]):
+        key = (pid, cat, run)
+        if attempt > 3:
+            continue
+        exp.setdefault(key, ("invalid result", None))
+        if exp[key][1] is None and isinstance(resp, str) and resp.strip() in VOCAB[cat]:
+            exp[key] = (resp.strip(), attempt)
+    assert got == exp
+
+
+def test_majority_vote_matches_counter(spark):
+    rows = _log()
+    got = {(r.paper_id, r.category, r.run): (r.label, r.votes)
+           for r in L.majority_vote(spark.createDataFrame(rows, SCHEMA), _vocab(spark), 3).collect()}
+    tasks = {}
+    for pid, cat, run, attempt, resp in sorted(rows, key=lambda r: r[3]):
+        if attempt <= 3:
+            tasks.setdefault((pid, cat, run), []).append(resp)
+    exp = {}
+    for key, resps in tasks.items():
+        votes = [r.strip() for r in resps if r is not None]
+        if not votes:
+            exp[key] = ("invalid result", 0)
+            continue
+        answer, n = Counter(votes).most_common(1)[0]   # ties: first seen
+        exp[key] = (answer if answer in VOCAB[key[1]] else "invalid result", n)
+    assert got == exp
+
+
+def test_consistency_and_shares_match_python(spark):
+    rows = [(pid, cat, run, RNG.choice(["A", "B", "C", None]))
+            for pid in range(300) for cat in ("t", "u") for run in range(1, RNG.randint(2, 6))]
+    df = spark.createDataFrame(rows, "paper_id long, category string, run int, label string")
+    got = {(r.paper_id, r.category): r.consistency for r in A.consistency(df).collect()}
+    per = {}
+    for pid, cat, run, lab in rows:
+        if lab is not None:
+            per.setdefault((pid, cat), []).append(lab)
+    exp = {k: max(Counter(v).values()) / len(v) for k, v in per.items()}
+    assert got == exp
+
+    lp = df.filter("label IS NOT NULL").withColumnRenamed("run", "decade")
+    shares = T.with_share(T.decade_label_counts(lp))
+    for r in shares.collect():
+        tot = sum(1 for x in rows if x[1] == r.category and x[2] == r.decade and x[3] is not None)
+        assert r.total == tot and abs(r.pct - round(r.cnt / tot * 100, 1)) < 0.051
+    sums = {}
+    for r in shares.collect():
+        sums[(r.category, r.decade)] = sums.get((r.category, r.decade), 0) + r.cnt / r.total * 100
+    assert all(abs(v - 100) < 1e-9 for v in sums.values())
+    top = {(r.category, r.decade): r.label for r in T.top_labels(shares).collect()}
+    for (cat, dec), lab in top.items():
+        c = Counter(x[3] for x in rows if x[1] == cat and x[2] == dec and x[3] is not None)
+        best = sorted(c.items(), key=lambda kv: (-kv[1], kv[0]))[0][0]
+        assert lab == best
+
+
+def test_contingency_matches_python(spark):
+    vals = ["yes", "no", "invalid entry", None, "other"]
+    rows = [(RNG.choice(vals), RNG.choice(vals)) for _ in range(1000)]
+    got = {(r.a, r.b): r.n for r in A.contingency(spark.createDataFrame(rows, "a string, b string"),
+                                                  "a", "b").collect()}
+    dom = {"yes", "no", "invalid entry", "missing"}
+    exp = Counter((a or "missing", b or "missing") for a, b in rows
+                  if (a or "missing") in dom and (b or "missing") in dom)
+    assert got == dict(exp)
