@@ -414,3 +414,36 @@ def label_collection_stub(spark, sf_dir):
     from ..operators.labelling import label_collection
     p = T.screened(X.papers(spark, sf_dir))
     return label_collection(spark, p, X.vocabulary(spark), stub_answers, CATEGORIES, runs=1)
+
+
+# The screening vocabulary.
+SCREEN_LABELS = ["yes", "no"]
+
+
+def stub_screen(batch):
+    """Deterministic stand-in for the screening model: yes / padded no / an
+    answer outside the vocabulary, from the prompt length and attempt; some
+    calls fail."""
+    out = []
+    for pid, prompt, attempt in zip(batch["paper_id"], batch["prompt"], batch["attempt"]):
+        if (int(pid) + int(attempt)) % 7 == 0:
+            out.append(None)
+        else:
+            out.append(["yes", " no\n", "Maybe"][(len(prompt) + 5 * int(attempt)) % 3])
+    return out
+
+
+@query
+def screening_resume_stub(spark, sf_dir):
+    """Screening run resumed: papers without a second screening result are
+    screened (abstract only, 2 attempts, ``invalid entry`` when exhausted) and
+    the results are written back by key into the paper records."""
+    from ..operators.labelling import label_collection
+    p = X.papers(spark, sf_dir)
+    todo = p.filter(F.col("screen_alt").isNull())
+    vocab = local_dim(spark, [("screen", v) for v in SCREEN_LABELS],
+                      [("category", "string"), ("label", "string")])
+    lab = label_collection(spark, todo, vocab, stub_screen, ["screen"], fields=P.SCREEN_FIELDS,
+                           max_attempts=2, sentinel=L.INVALID_ENTRY)
+    updates = lab.select("paper_id", F.col("label").alias("screen_alt"))
+    return U.upsert(p.select("paper_id", "screen_alt"), updates, ["paper_id"])

@@ -361,12 +361,12 @@ def _json_len(col: str) -> str:
     return f"(CASE WHEN {col} IS NULL THEN 4 ELSE length({col}) + 2 + {short} + 5 * {ctrl} END)"
 
 
-def _prompt_len_sql() -> str:
-    from ..functions.prompts import DEFAULT_TEMPLATE, LABEL_FIELDS
+def _prompt_len_sql(fields=("_id", "abstract", "title", "fulltext")) -> str:
+    from ..functions.prompts import DEFAULT_TEMPLATE
     fixed_template = len(DEFAULT_TEMPLATE) - len("{entry}") - len("{categories}")
-    fixed_entry = 4 + sum(len(f'  "{f}": ') for f in LABEL_FIELDS) + 2 * (len(LABEL_FIELDS) - 1)
-    return (f"{fixed_template} + {fixed_entry} + {_json_len('CAST(p.paper_id AS VARCHAR)')} + "
-            f"{_json_len('p.abstract')} + {_json_len('p.title')} + {_json_len('p.fulltext')} + vj.cl")
+    fixed_entry = 4 + sum(len(f'  "{f}": ') for f in fields) + 2 * (len(fields) - 1)
+    cols = ["CAST(p.paper_id AS VARCHAR)" if f == "_id" else f"p.{f}" for f in fields]
+    return f"{fixed_template} + {fixed_entry} + " + " + ".join(_json_len(c) for c in cols) + " + vj.cl"
 
 
 PROMPT_LEN = f"""vj AS (
@@ -442,3 +442,20 @@ SELECT conv_id, 'role' AS category, CAST(floor(turn / 1000) AS BIGINT) AS piece,
 FROM conversations WHERE role IS NOT NULL GROUP BY conv_id, floor(turn / 1000)"""
 
 SQL["label_collection_stub"] = SQL["label_batch_stub"]
+
+SQL["screening_resume_stub"] = _with(PAPERS) + f"""
+, plen AS (
+  SELECT p.paper_id, {_prompt_len_sql(("_id", "abstract")).replace("vj.cl", "27")} AS plen
+  FROM papers p WHERE p.screen_alt IS NULL),
+att AS (
+  SELECT x.paper_id, a.attempt,
+    CASE WHEN (x.paper_id + a.attempt) % 7 = 0 THEN NULL
+         ELSE (x.plen + 5 * a.attempt) % 3 END AS k
+  FROM plen x CROSS JOIN (VALUES (1), (2)) AS a(attempt)),
+res AS (
+  SELECT paper_id,
+    coalesce(arg_min(CASE k WHEN 0 THEN 'yes' ELSE 'no' END, attempt) FILTER (WHERE k IN (0, 1)),
+             'invalid entry') AS label
+  FROM att GROUP BY paper_id)
+SELECT p.paper_id, coalesce(r.label, p.screen_alt) AS screen_alt
+FROM papers p LEFT JOIN res r ON r.paper_id = p.paper_id"""
