@@ -12,6 +12,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.errors import AnalysisException
 
 from ..session import scratch_dir
 
@@ -60,3 +61,34 @@ def write_labels(spark: SparkSession, df: DataFrame, path: str,
     stable = df.checkpoint(eager=True)
     (stable.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy(*partition_by).parquet(path))
+
+
+def upsert_table(spark: SparkSession, path: str, updates: DataFrame,
+                 keys: Sequence[str] = ("paper_id", "category", "run"),
+                 partition_by: Sequence[str] = ("category", "run"),
+                 order: str | None = None) -> None:
+    """Upsert ``updates`` into the partitioned parquet table at ``path``.
+
+    Only the partitions the updates touch are read (partition pruning on the
+    few distinct partition values of the updates), merged by key and
+    rewritten (dynamic partition overwrite); the rest of the table is not
+    read, shuffled or written. A missing table is created."""
+    # the distinct partition values of the updates: a handful of rows
+    parts = [tuple(r) for r in updates.select(*partition_by).distinct().collect()]
+    try:
+        target = spark.read.parquet(path)
+    except AnalysisException:  # no table yet: first write
+        target = None
+    if target is None:
+        write_labels(spark, updates.drop(order) if order else updates, path, partition_by)
+        return
+    cond = None
+    for vals in parts:
+        c = None
+        for col, v in zip(partition_by, vals):
+            e = F.col(col).isNull() if v is None else (F.col(col) == F.lit(v))
+            c = e if c is None else (c & e)
+        cond = c if cond is None else (cond | c)
+    touched = target.filter(cond) if cond is not None else target.limit(0)
+    merged = upsert(touched, updates, keys, order)
+    write_labels(spark, merged.select(*target.columns), path, partition_by)

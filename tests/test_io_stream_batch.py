@@ -127,3 +127,17 @@ def test_compaction_keeps_labels(spark, tmp_dir):
     assert spark.read.parquet(parts).count() < n_before
     assert sorted(tuple(r) for r in after.collect()) == before
     assert after.drop("seen").exceptAll(L.resolve_answers(resp, vocab)).count() == 0
+
+
+def test_upsert_table_rewrites_only_touched_partitions(spark, tmp_dir):
+    from litlens.operators.upsert import upsert_table
+    path = os.path.join(tmp_dir, "labels")
+    schema = "paper_id long, label string, category string, run int"
+    upsert_table(spark, path, spark.createDataFrame(
+        [(1, "A", "topic", 1), (1, "X", "ethics", 1), (2, "Y", "ethics", 2)], schema))
+    ethics_files = sorted(os.listdir(os.path.join(path, "category=ethics", "run=1")))
+    upsert_table(spark, path, spark.createDataFrame([(1, "B", "topic", 1), (3, "C", "topic", 1)], schema))
+    got = sorted((r.paper_id, r.category, r.run, r.label) for r in spark.read.parquet(path).collect())
+    assert got == [(1, "ethics", 1, "X"), (1, "topic", 1, "B"), (2, "ethics", 2, "Y"), (3, "topic", 1, "C")]
+    # the untouched partition was not rewritten
+    assert sorted(os.listdir(os.path.join(path, "category=ethics", "run=1"))) == ethics_files
