@@ -57,3 +57,15 @@ def test_contingency_missing_and_domain(spark):
     got = {(r.a, r.b): r.n for r in A.contingency(df, "a", "b").collect()}
     assert got == {("yes", "missing"): 1, ("yes", "no"): 1, ("missing", "missing"): 1}
     assert sum(got.values()) == 3
+
+
+def test_long_lists_come_in_bounded_pieces(spark):
+    rows = [(1, "role", t, "user" if t % 2 == 0 else "assistant") for t in range(2500)]
+    rows += [(2, "role", 0, "user")]
+    df = spark.createDataFrame(rows, "conv_id long, category string, turn long, label string")
+    got = sorted((r.conv_id, r.piece, r.n_runs) for r in
+                 A.assigned_labels(df, id_col="conv_id", order_col="turn", chunk=1000).collect())
+    assert got == [(1, 0, 1000), (1, 1, 1000), (1, 2, 500), (2, 0, 1)]
+    first = A.assigned_labels(df, id_col="conv_id", order_col="turn", chunk=1000) \
+        .filter("conv_id = 1 AND piece = 0").collect()[0].labels
+    assert first.startswith("user, assistant, user") and first.count(",") == 999
