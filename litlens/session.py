@@ -23,6 +23,9 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # prompts carry whole texts: 1,000 rows per Arrow batch keeps a Python
+    # worker's batch in the tens of MB even for long papers
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
     "spark.ui.enabled": "false",
 }
 
