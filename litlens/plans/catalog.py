@@ -447,3 +447,10 @@ def screening_resume_stub(spark, sf_dir):
                            max_attempts=2, sentinel=L.INVALID_ENTRY)
     updates = lab.select("paper_id", F.col("label").alias("screen_alt"))
     return U.upsert(p.select("paper_id", "screen_alt"), updates, ["paper_id"])
+
+
+@query
+def prompt_build(spark, sf_dir):
+    """The full prompt text of every labelling task of the screened papers."""
+    vj = P.vocabulary_json(X.vocabulary(spark))
+    return P.with_prompt(_prompt_tasks(spark, sf_dir), vj).select("paper_id", "category", "prompt")

@@ -459,3 +459,39 @@ res AS (
   FROM att GROUP BY paper_id)
 SELECT p.paper_id, coalesce(r.label, p.screen_alt) AS screen_alt
 FROM papers p LEFT JOIN res r ON r.paper_id = p.paper_id"""
+
+
+def _json_text(col: str) -> str:
+    """JSON string literal of ``col`` (quotes included; NULL -> null): backslash
+    and quote escaped first, then each control character (short escapes for
+    \\b \\f \\n \\r \\t, upper-case \\u00XX for the others)."""
+    short = {8: "\\b", 9: "\\t", 10: "\\n", 12: "\\f", 13: "\\r"}
+    e = f"replace(replace({col}, '\\', '\\\\'), '\"', '\\\"')"
+    for c in range(32):
+        esc = short.get(c, "\\u%04X" % c)
+        e = f"replace({e}, chr({c}), '{esc}')"
+    return f"(CASE WHEN {col} IS NULL THEN 'null' ELSE concat('\"', {e}, '\"') END)"
+
+
+def _prompt_text_sql() -> str:
+    from ..functions.prompts import DEFAULT_TEMPLATE, LABEL_FIELDS
+    a, rest = DEFAULT_TEMPLATE.split("{entry}", 1)
+    b, c = rest.split("{categories}", 1)
+    lit = lambda t: "'" + t.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+    parts = ["'{' || chr(10)"]
+    for i, f in enumerate(LABEL_FIELDS):
+        col = "CAST(p.paper_id AS VARCHAR)" if f == "_id" else f"p.{f}"
+        sep = "',' || chr(10)" if i < len(LABEL_FIELDS) - 1 else "chr(10)"
+        parts += [f"'  \"{f}\": '", _json_text(col), sep]
+    parts.append("'}'")
+    entry = " || ".join(parts)
+    return f"{lit(a)} || {entry} || {lit(b)} || vj.txt || {lit(c)}"
+
+
+SQL["prompt_build"] = _with(PAPERS, VOCAB) + f"""
+, vj AS (
+  SELECT category, '{{' || chr(10) || string_agg('  "' || label || '": {{}}', ',' || chr(10) ORDER BY label)
+         || chr(10) || '}}' AS txt
+  FROM vocab GROUP BY category)
+SELECT p.paper_id, vj.category, {_prompt_text_sql()} AS prompt
+FROM papers p CROSS JOIN vj WHERE p.screen = 'yes'"""
