@@ -30,7 +30,13 @@ def write_share_csv(shares: DataFrame, out_dir: str, labels: dict[str, Sequence[
     rounded shares as computed, header row, ordered by decade.
 
     ``labels`` gives each category's label columns (vocabulary plus
-    sentinels), which fixes the schema and avoids a distinct-values job."""
+    sentinels), which fixes the schema and avoids a distinct-values job.
+    The share table (category x decade x label: small) is checkpointed once
+    into the shared scratch folder, so the per-category writes do not each
+    recompute the pipeline behind it."""
+    from ..session import scratch_dir
+    scratch_dir(shares.sparkSession)
+    shares = shares.select("category", "decade", "label", "pct").checkpoint(eager=True)
     for category, labs in labels.items():
         m = (shares.filter(F.col("category") == category)
              .groupBy("decade").pivot("label", list(labs)).agg(F.first("pct"))
