@@ -141,3 +141,25 @@ def test_upsert_table_rewrites_only_touched_partitions(spark, tmp_dir):
     assert got == [(1, "ethics", 1, "X"), (1, "topic", 1, "B"), (2, "ethics", 2, "Y"), (3, "topic", 1, "C")]
     # the untouched partition was not rewritten
     assert sorted(os.listdir(os.path.join(path, "category=ethics", "run=1"))) == ethics_files
+
+
+def test_load_papers_absent_field_is_null(spark, tmp_dir):
+    from litlens.sources.papers import load_papers
+    path = os.path.join(tmp_dir, "papers")
+    spark.createDataFrame([(1, "t", "yes")], "paper_id long, title string, screen string") \
+        .write.parquet(path)
+    r = load_papers(spark, path).collect()[0]
+    assert (r.paper_id, r.title, r.screen, r.abstract, r.screen_alt) == (1, "t", "yes", None, None)
+
+
+def test_sample_is_deterministic_and_whole_when_small(spark):
+    from litlens.operators.sample import sample_papers, sample_report
+    p = X.papers(spark, SF)
+    a = [r.paper_id for r in sample_papers(p, 10, seed=3).collect()]
+    b = [r.paper_id for r in sample_papers(p, 10, seed=3).collect()]
+    c = [r.paper_id for r in sample_papers(p, 10, seed=4).collect()]
+    assert a == b and a != c and len(set(a)) == 10
+    small = p.limit(5)
+    rep = sample_report(small, 10, seed=3, show_col="url").collect()
+    assert len(rep) == 5 and [r.pos for r in rep] == [1, 2, 3, 4, 5]
+    assert {r.url for r in rep} == {"No URL"}
