@@ -42,8 +42,11 @@ def label_collection(spark: SparkSession, papers: DataFrame, vocab: DataFrame, f
     log.write.mode("append").parquet(path)
     answers = spark.read.schema(ANSWER_LOG_SCHEMA).parquet(path)
     # attempt 0 marks a task that was not sent (over budget)
-    sent = resolve_answers(answers.filter(F.col("attempt") >= 1), vocab, max_attempts, sentinel)
+    sent = resolve_answers(answers, vocab, max_attempts, sentinel)  # attempts from 1
+    # a marker counts only while the task has no real attempt (a later run
+    # with a larger budget may have sent it)
     skipped = (answers.filter(F.col("attempt") == 0).select(*TASK_KEYS).distinct()
+               .join(sent.select(*TASK_KEYS), list(TASK_KEYS), "left_anti")
                .select(*TASK_KEYS, F.lit(INVALID_ENTRY).alias("label"),
                        F.lit(None).cast("int").alias("attempts_used")))
     return sent.unionByName(skipped)

@@ -85,12 +85,13 @@ def resolve_answers(answers: DataFrame, vocab: DataFrame, max_attempts: int = 3,
                     sentinel: str = INVALID_RESULT,
                     keys: Sequence[str] = TASK_KEYS) -> DataFrame:
     """First valid answer per task within ``max_attempts``; the sentinel when
-    every attempt failed. ``attempts_used`` is NULL for exhausted tasks."""
-    a = (answers.filter(F.col("attempt") <= max_attempts)
-         .withColumn("answer", py_strip(F.col("response"))))
+    every attempt failed. ``attempts_used`` is NULL for exhausted tasks.
+    Attempts count from 1 (attempt 0 marks a task that was not sent)."""
+    in_range = F.col("attempt").between(1, max_attempts)
+    a = answers.filter(in_range).withColumn("answer", py_strip(F.col("response")))
     ids = _vocab_ids(vocab)
     if ids is None:  # very large vocabulary: minimum over (attempt, answer) structs
-        v = answer_validity(answers.filter(F.col("attempt") <= max_attempts), vocab)
+        v = answer_validity(answers.filter(in_range), vocab)
         best = F.min(F.when(F.col("valid"), F.struct("attempt", "answer")))
         return (v.groupBy(*keys).agg(best.alias("best"))
                  .select(*keys, F.coalesce(F.col("best.answer"), F.lit(sentinel)).alias("label"),

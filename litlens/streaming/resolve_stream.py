@@ -26,7 +26,7 @@ from ..operators.labels import INVALID_RESULT, TASK_KEYS, allowed_answers
 def partial_resolve(answers: DataFrame, allowed: DataFrame, max_attempts: int = 3) -> DataFrame:
     """Mergeable per-task partial of :func:`resolve_answers`; ``allowed`` is
     the prepared vocabulary (:func:`allowed_answers`)."""
-    a = (answers.filter(F.col("attempt") <= max_attempts)
+    a = (answers.filter(F.col("attempt").between(1, max_attempts))
          .withColumn("answer", py_strip(F.col("response"))))
     v = (a.join(allowed, ["category", "answer"], "left")
           .withColumn("valid", F.coalesce(F.col("valid"), F.lit(False))))

@@ -163,3 +163,17 @@ def test_sample_is_deterministic_and_whole_when_small(spark):
     rep = sample_report(small, 10, seed=3, show_col="url").collect()
     assert len(rep) == 5 and [r.pos for r in rep] == [1, 2, 3, 4, 5]
     assert {r.url for r in rep} == {"No URL"}
+
+
+def test_label_collection_rerun_with_larger_budget(spark, tmp_dir):
+    from litlens.operators.labelling import label_collection
+    papers = spark.createDataFrame([(2, "long", "t", "y" * 4000)],
+                                   "paper_id long, abstract string, title string, fulltext string")
+    vocab = spark.createDataFrame([("topic", "A")], "category string, label string")
+    log_path = os.path.join(tmp_dir, "log")
+    first = label_collection(spark, papers, vocab, lambda b: ["A"] * len(b), ["topic"], limit=500,
+                             answers_path=log_path).collect()
+    assert [(r.label, r.attempts_used) for r in first] == [("invalid entry", None)]
+    again = label_collection(spark, papers, vocab, lambda b: ["A"] * len(b), ["topic"],
+                             answers_path=log_path).collect()
+    assert [(r.label, r.attempts_used) for r in again] == [("A", 1)]

@@ -79,3 +79,11 @@ def test_screen_outcomes(spark):
     p = spark.createDataFrame([("yes",), ("no",), ("no",), ("invalid entry",), (None,)], "screen string")
     r = L.screen_outcomes(p).collect()[0]
     assert (r.n_invalid, r.n_related, r.n_unrelated) == (1, 1, 2)
+
+
+def test_resolve_ignores_not_sent_markers(spark):
+    rows = [(1, "topic", 1, 0, None), (2, "topic", 1, 0, "HCI"), (2, "topic", 1, 1, "x"),
+            (2, "topic", 1, 2, "ML")]
+    got = {r.paper_id: (r.label, r.attempts_used)
+           for r in L.resolve_answers(spark.createDataFrame(rows, SCHEMA), _vocab(spark)).collect()}
+    assert got == {2: ("ML", 2)}
