@@ -49,3 +49,11 @@ def test_no_query_pairs_rows(spark):
 def test_resolution_is_hash_aggregated(spark):
     plan = _plan(L.resolve_answers(X.responses(spark, SF), X.vocabulary(spark)))
     assert "SortAggregate" not in plan
+
+
+def test_every_query_reads_the_given_tables(spark):
+    """Each registered query scans the test tables (its work grows with them)."""
+    import __spark_entry__ as E
+    for name, fn in E.queries().items():
+        plan = _plan(fn(spark, SF))
+        assert "FileScan parquet" in plan or "Scan parquet" in plan, name
