@@ -21,9 +21,9 @@ def con():
 def _rows(cols, rows):
     order = sorted(range(len(cols)), key=lambda i: cols[i])
 
-    def norm(v):
-        if isinstance(v, float):
-            return "nan" if math.isnan(v) else round(v, 9)
+    def norm(v):  # exact: no rounding of doubles
+        if isinstance(v, float) and math.isnan(v):
+            return "nan"
         return v
     return sorted(tuple(repr(norm(r[i])) for i in order) for r in rows)
 
