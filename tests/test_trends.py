@@ -60,3 +60,20 @@ def test_label_span_and_dated(spark):
     assert sorted(r.paper_id for r in lp.collect()) == [1, 2]
     s = T.label_span(lp).collect()
     assert [(r.label, r.first_year, r.last_year, r.span_years) for r in s] == [("A", 1990, 2005, 15)]
+
+
+def test_decade_report_writes_csvs_and_returns_top(spark, tmp_dir):
+    import os
+
+    from litlens.operators.reports import decade_report
+    papers = spark.createDataFrame(
+        [(1, "01-01-1990", "yes"), (2, "05-06-1995", "yes"), (3, "01-01-2001", "yes")],
+        "paper_id long, date_publication string, screen string")
+    lab = spark.createDataFrame([(1, "topic", 1, "A"), (2, "topic", 1, "B"), (3, "topic", 1, "B"),
+                                 (1, "ethics", 1, "Yes")],
+                                "paper_id long, category string, run int, label string")
+    top = decade_report(papers, lab, tmp_dir, {"topic": ["A", "B"], "ethics": ["Yes", "No"]})
+    assert sorted((r.category, r.decade, r.label) for r in top.collect()) == [
+        ("ethics", 1990, "Yes"), ("topic", 1990, "A"), ("topic", 2000, "B")]
+    back = spark.read.option("header", True).csv(os.path.join(tmp_dir, "category=topic")).collect()
+    assert [(r.decade, float(r.A), float(r.B)) for r in back] == [("1990", 50.0, 50.0), ("2000", 0.0, 100.0)]
