@@ -25,3 +25,28 @@ def decade_report(papers: DataFrame, labelled: DataFrame, out_dir: str,
     shares = with_share(counts).checkpoint(eager=True)
     write_share_csv(shares, out_dir, labels)
     return top_labels(shares, 1)
+
+
+def repeat_study(spark, papers: DataFrame, labelled: DataFrame, vocab: DataFrame, fn,
+                 categories: Sequence[str], n: int = 10, seed: int = 0, extra_runs: int = 4,
+                 **labelling) -> dict[str, DataFrame]:
+    """Label a deterministic sample of ``n`` papers ``extra_runs`` more times
+    (runs 2, 3, ...) and measure how consistently each paper gets the same
+    label. Run 1 comes from ``labelled``. Returns the labels, per-paper
+    scores, mean per category, box statistics and the paper x category
+    matrix."""
+    from .agree import consistency, consistency_box, consistency_by_category, consistency_matrix
+    from .labelling import label_collection
+    from .sample import sample_papers
+    picked = sample_papers(papers, n, seed)
+    ids = picked.select("paper_id")
+    again = label_collection(spark, picked, vocab, fn, categories, runs=extra_runs, first_run=2,
+                             **labelling)
+    base = labelled.filter("run = 1").join(ids, "paper_id", "left_semi").select(*again.columns)
+    lab = base.unionByName(again)
+    scores = consistency(lab)
+    with_runs = consistency(lab, keep_runs=True)
+    return {"labels": lab, "scores": scores,
+            "by_category": consistency_by_category(with_runs),
+            "box": consistency_box(with_runs),
+            "matrix": consistency_matrix(scores, categories)}

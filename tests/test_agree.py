@@ -69,3 +69,27 @@ def test_long_lists_come_in_bounded_pieces(spark):
     first = A.assigned_labels(df, id_col="conv_id", order_col="turn", chunk=1000) \
         .filter("conv_id = 1 AND piece = 0").collect()[0].labels
     assert first.startswith("user, assistant, user") and first.count(",") == 999
+
+
+def test_repeat_study(spark):
+    from litlens.operators.reports import repeat_study
+    papers = spark.createDataFrame([(i, f"abstract {i}", "t", "x") for i in range(20)],
+                                   "paper_id long, abstract string, title string, fulltext string")
+    vocab = spark.createDataFrame([("topic", "A"), ("topic", "B")], "category string, label string")
+    labelled = spark.createDataFrame([(i, "topic", 1, "A", 1) for i in range(20)],
+                                     "paper_id long, category string, run int, label string, "
+                                     "attempts_used int")
+
+    def fn(batch):  # papers with an even id keep answering A, odd ids flip to B on run 3
+        return ["B" if (pid % 2 and run == 3) else "A"
+                for pid, run in zip(batch["paper_id"], batch["run"])]
+
+    out = repeat_study(spark, papers, labelled, vocab, fn, ["topic"], n=6, seed=1, extra_runs=2)
+    lab = out["labels"].collect()
+    assert len(lab) == 18 and {r.run for r in lab} == {1, 2, 3}
+    scores = {r.paper_id: r.consistency for r in out["scores"].collect()}
+    assert len(scores) == 6
+    assert all(v == (2 / 3 if pid % 2 else 1.0) for pid, v in scores.items())
+    mean = out["by_category"].collect()[0]
+    assert mean.n_papers == 6
+    assert out["matrix"].count() == 6 and out["box"].count() == 1
