@@ -23,7 +23,7 @@ def decade_report(papers: DataFrame, labelled: DataFrame, out_dir: str,
     counts = decade_label_counts(labelled_papers(papers, labelled, run=run, width=width,
                                                  drop_invalid=drop_invalid))
     shares = with_share(counts).checkpoint(eager=True)
-    write_share_csv(shares, out_dir, labels)
+    write_share_csv(shares, out_dir, labels, checkpoint=False)
     return top_labels(shares, 1)
 
 

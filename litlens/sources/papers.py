@@ -25,7 +25,8 @@ def load_papers_json(spark: SparkSession, path: str, schema: str = PAPER_JSON_SC
             .json(path))
 
 
-def write_share_csv(shares: DataFrame, out_dir: str, labels: dict[str, Sequence[str]]) -> None:
+def write_share_csv(shares: DataFrame, out_dir: str, labels: dict[str, Sequence[str]],
+                    checkpoint: bool = True) -> None:
     """One CSV per category: decade x label share matrix (missing = 0.0),
     rounded shares as computed, header row, ordered by decade.
 
@@ -33,10 +34,13 @@ def write_share_csv(shares: DataFrame, out_dir: str, labels: dict[str, Sequence[
     sentinels), which fixes the schema and avoids a distinct-values job.
     The share table (category x decade x label: small) is checkpointed once
     into the shared scratch folder, so the per-category writes do not each
-    recompute the pipeline behind it."""
-    from ..session import scratch_dir
-    scratch_dir(shares.sparkSession)
-    shares = shares.select("category", "decade", "label", "pct").checkpoint(eager=True)
+    recompute the pipeline behind it (``checkpoint=False`` when the caller
+    already materialised it)."""
+    shares = shares.select("category", "decade", "label", "pct")
+    if checkpoint:
+        from ..session import scratch_dir
+        scratch_dir(shares.sparkSession)
+        shares = shares.checkpoint(eager=True)
     for category, labs in labels.items():
         m = (shares.filter(F.col("category") == category)
              .groupBy("decade").pivot("label", list(labs)).agg(F.first("pct"))
