@@ -311,8 +311,6 @@ SELECT DISTINCT concat('como-tax-', category, '2',
        category, run
 FROM resolved"""
 
-SQL["screen_contingency"] = SQL["screen_contingency"]
-
 # ---- sampling, write-back ---------------------------------------------------------
 
 SAMPLE_KEY = "md5(concat('42:', CAST(paper_id AS VARCHAR)))"
