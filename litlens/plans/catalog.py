@@ -19,6 +19,7 @@ from ..operators import trends as T
 from ..operators import upsert as U
 from ..sources import fixtures as X
 from ..sources.dims import local_dim
+from ..sources.papers import entries
 from ..sources.tables import read_table, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -130,8 +131,7 @@ def screened_with_label(spark, sf_dir):
 
 @query
 def entry_projection(spark, sf_dir):
-    p = T.screened(X.papers(spark, sf_dir))
-    return p.select(F.col("paper_id").cast("string").alias("_id"), "abstract", "title", "fulltext")
+    return entries(T.screened(X.papers(spark, sf_dir)))
 
 
 @query

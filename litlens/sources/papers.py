@@ -52,3 +52,19 @@ def write_share_csv(shares: DataFrame, out_dir: str, labels: dict[str, Sequence[
 def write_year_table(table: DataFrame, path: str) -> None:
     """The yearly report as one CSV with a header, by year."""
     table.orderBy(table.columns[0]).coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+
+
+def entries(papers: DataFrame, fields: Sequence[str] = ("_id", "abstract", "title", "fulltext"),
+            id_col: str = "paper_id") -> DataFrame:
+    """Papers projected to the entry fields a prompt shows: ``_id`` as a
+    string, a field the collection lacks as NULL (column pruning keeps the
+    scan to these columns)."""
+    cols = []
+    for f in fields:
+        if f == "_id":
+            cols.append(F.col(id_col).cast("string").alias("_id"))
+        elif f in papers.columns:
+            cols.append(F.col(f))
+        else:
+            cols.append(F.lit(None).cast("string").alias(f))
+    return papers.select(*cols)

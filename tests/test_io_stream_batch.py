@@ -177,3 +177,10 @@ def test_label_collection_rerun_with_larger_budget(spark, tmp_dir):
     again = label_collection(spark, papers, vocab, lambda b: ["A"] * len(b), ["topic"],
                              answers_path=log_path).collect()
     assert [(r.label, r.attempts_used) for r in again] == [("A", 1)]
+
+
+def test_entries_projection(spark):
+    from litlens.sources.papers import entries
+    p = spark.createDataFrame([(5, "abs", "t")], "paper_id long, abstract string, title string")
+    r = entries(p).collect()[0]
+    assert (r._id, r.abstract, r.title, r.fulltext) == ("5", "abs", "t", None)
