@@ -7,16 +7,39 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import public_tokenizers
+
 from .common import read_table
+from .embed_dedup import embedding_links
 from .exact_dedup import exact_duplicates, normalized_sha256
+from .mixing import mix_schedule
+from .sentencepiece_scan import decode, encode, read_model
 from .sharding import shard_documents
 from .simhash import simhash_components
+from .token_counts import read_ranks, token_counts
+
+SENTENCEPIECE_MODEL = "piece_bpe_32k.model"
+BYTE_RANKS = "byte_bpe_50k.tiktoken"
+#: Sources weigh the root of their size: small ones come more often than their share.
+MIX_POWER = 0.5
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(read_table(spark, sf_dir, "documents"), width=4, max_bits=4)
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of language, source and every line of the text, of one encoding."""
+    ranks = read_ranks(public_tokenizers.path(BYTE_RANKS))
+    out = token_counts(read_table(spark, sf_dir, "documents"), ["lang", "source", "text"], ranks,
+                       public_tokenizers.PATTERN, breaks=r"\n", rule="first")
+    return out.withColumn("n_tokens", F.col("n_tokens").cast("long"))
+
+
+def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_links(read_table(spark, sf_dir, "embeddings"), threshold=0.95)
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     digest = normalized_sha256(docs, "doc_id").select(
@@ -24,12 +47,33 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(docs).join(digest, "doc_id")
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the piece ids and of the text decoded from them."""
+    docs = read_table(spark, sf_dir, "documents")
+    model = read_model(public_tokenizers.path(SENTENCEPIECE_MODEL))
+    ids = encode(docs, model)
+    back = decode(ids.select(F.struct("doc_id", F.size("ids").alias("n"), F.xxhash64("ids").alias("h")).alias("d"),
+                             "ids"), model, id_col="d")
+    return back.select(
+        "d.doc_id", F.greatest("d.n", F.lit(0)).alias("n_tokens"), F.col("d.h").alias("ids_xxhash64"),
+        F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("decoded_crc32"),
+        F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("decoded_bytes"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(read_table(spark, sf_dir, "documents"), shards=8)
 
 
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_schedule(read_table(spark, sf_dir, "documents"), power=MIX_POWER)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
+    "op2_token_counts": op2_token_counts,
+    "op3_embedding_near_dedup": op3_embedding_near_dedup,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_sentencepiece": op5_sentencepiece,
     "op9_sharding": op9_sharding,
+    "op10_mixing": op10_mixing,
 }

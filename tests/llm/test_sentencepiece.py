@@ -1,0 +1,70 @@
+import random
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+
+from litlens.llm import sentencepiece_scan as S
+
+MODEL = S.read_model(public_tokenizers.path("piece_bpe_32k.model"))
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+WORDS = "the of and Łódź naïve 日本語 foo_bar aaaaaaaa \n\t 12345 émentation ththshthe ░ 😀 in ing ▁ \x00".split(" ")
+
+
+def scan(text, chunk):
+    p = S.pieces(MODEL)
+    parts = S.split_text(" " + text, chunk, p.longest)
+    chunks = [S.Chunk(p, *x) for x in parts]
+    states = S.best_states([c.matrix() for c in chunks])
+    out = []
+    for (_, body, after), c, i, j in zip(parts, chunks, states, states[1:]):
+        out += p.encode((body + after)[c.entries[i][1]:len(body) + c.exits[j][1]]).tolist()
+    return out
+
+
+@pytest.mark.parametrize("window", [4, 16, 256])
+def test_scan_equals_the_library(window, monkeypatch):
+    monkeypatch.setattr(S, "WINDOW", window)
+    rng, p = random.Random(window), S.pieces(MODEL)
+    kinds = [lambda: "".join(rng.choice(WORDS) + rng.choice([" ", "", "   "]) for _ in range(rng.randint(1, 60))),
+             lambda: "".join(rng.choice("ab e") for _ in range(200)), lambda: "a" * rng.randint(1, 300),
+             lambda: " " * rng.randint(1, 100), lambda: "".join(chr(rng.randint(1, 0x3000)) for _ in range(120))]
+    for _ in range(120):
+        text = rng.choice(kinds)()
+        assert scan(text, rng.choice([40, 64, 200])) == p.whole.encode(text)
+
+
+def test_compose_is_associative():
+    rng = np.random.default_rng(1)
+    a, b, c = (np.where(rng.random(s) < .5, -np.inf, rng.integers(-3, 3, s)) for s in ((3, 4), (4, 5), (5, 2)))
+    assert (S.compose(S.compose(a, b), c) == S.compose(a, S.compose(b, c))).all()
+
+
+def test_rows(spark):
+    rng = random.Random(3)
+    giant = " ".join(rng.choice(WORDS) for _ in range(6000)).replace("▁", "")  # decodes as a space
+    rows = [(1, "Plain text.", "en", "s", 1), (2, None, None, None, None), (3, "", "en", "s", 0), (4, giant, "en", "s", 1),
+            (5, giant, "en", "s", 1), (4, giant, "en", "s", 1), (None, "null id", "en", "s", 1), (6, " lead  ", "en", "s", 1),
+            (7, "b" * 3000, "en", "s", 1)]
+    docs = spark.createDataFrame(rows, DOCS).selectExpr("*", "1 as ids", "2 as id", "3 as key")
+    ids = S.encode(docs, MODEL, chunk=500)
+    p = S.pieces(MODEL)
+    want = [(i, None if t is None else p.whole.encode(t)) for i, t, *_ in rows]
+    assert sorted(((r.doc_id, r.ids) for r in ids.collect()), key=str) == sorted(want, key=str)
+    back = S.decode(ids, MODEL).collect()
+    assert sorted(((r.doc_id, r.text) for r in back), key=str) == sorted(((r[0], r[1]) for r in rows), key=str)
+
+
+def test_empty_table(spark):
+    assert S.encode(spark.createDataFrame([], DOCS), MODEL).collect() == []
+
+
+def test_query_round_trip(spark):
+    from litlens.llm.catalog import QUERIES
+    sf = "/root/testdata/sf0.001"
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = QUERIES["op5_sentencepiece"](spark, sf).collect()
+    assert {(r.doc_id, r.n_tokens, r.decoded_crc32, r.decoded_bytes) for r in got} == {
+        (i, len(S.pieces(MODEL).whole.encode(t)), zlib.crc32(t.encode()), len(t.encode())) for i, t in docs.items()}
+    assert len(got) == len(docs)

@@ -1,0 +1,93 @@
+import re
+
+import numpy as np
+import public_tokenizers
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from litlens.llm import token_counts as T
+
+RANKS = T.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def plain_counts(fields, breaks, rule):
+    """By decoding every token and asking each character for its section."""
+    encoding, _ = T.tokenizer(RANKS, public_tokenizers.PATTERN)
+    owner, names = [], []
+    for k, value in enumerate(fields):
+        value, at = value or "", 0
+        parts = []
+        for m in re.finditer(breaks, value):
+            if m.end() > m.start():
+                parts.append(value[at:m.end()])
+                at = m.end()
+        if at < len(value) or not parts:
+            parts.append(value[at:])
+        if k < len(fields) - 1:
+            parts[-1] += "\n"
+        for s, part in enumerate(parts):
+            owner += [len(names)] * len(part)
+            names.append((k, s, len(part)))
+    text = "".join("".join(x) for x in [[(v or "") + ("\n" if k < len(fields) - 1 else "")] for k, v in enumerate(fields)])
+    char = [i for i, c in enumerate(text) for _ in c.encode()]
+    out, at = [0.0] * len(names), 0
+    for t in encoding.encode_ordinary(text):
+        n = len(encoding.decode_single_token_bytes(t))
+        own = [owner[c] for c in sorted(set(char[at:at + n]))]
+        at += n
+        if rule == "first":
+            out[own[0]] += 1
+        elif rule == "most":
+            out[max(sorted(set(own)), key=lambda o: (own.count(o), -o))] += 1
+        else:
+            for o in own:
+                out[o] += 1 / len(own)
+    return names, out
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.text(alphabet="ab  \n\né日😀.", max_size=30)), min_size=1, max_size=3),
+       st.sampled_from(T.RULES), st.sampled_from([r"\n", r"\n+", r"[.]|\n", "a*"]))
+def test_attribution_equals_brute_force(fields, rule, breaks):
+    encoding, lengths = T.tokenizer(RANKS, public_tokenizers.PATTERN)
+    text, field, section, ends = T.section_spans(fields, re.compile(breaks))
+    raw = np.frombuffer(text.encode(), np.uint8)
+    got = T.attribute(np.cumsum(lengths[np.array(encoding.encode_ordinary(text), np.int64)]),
+                      np.cumsum((raw & 0xC0) != 0x80) - 1, np.array(ends), rule)
+    names, want = plain_counts(fields, breaks, rule)
+    assert list(zip(field, section, np.diff(ends, prepend=0).tolist())) == names
+    assert np.allclose(got, want) and got.sum() == pytest.approx(len(encoding.encode_ordinary(text)))
+
+
+def test_rows(spark):
+    rows = [(1, "One line.\nTwo lines\n\n", "en", "src", 1), (2, None, None, None, None), (3, "", "", "", 0),
+            (3, "", "", "", 0), (4, "a" * 200_000 + "\n" + "word " * 30_000, "fr", "s", 1), (None, "x", "de", "y", 1)]
+    docs = spark.createDataFrame(rows, DOCS).selectExpr("*", "1 as id", "2 as field", "3 as f0")
+    got = T.token_counts(docs, ["lang", "text"], RANKS, public_tokenizers.PATTERN, rule="split").collect()
+    for i, text, lang, *_ in {str(r): r for r in rows}.values():
+        names, want = plain_counts([lang, text], r"\n", "split")
+        mine = sorted((r for r in got if r.doc_id == i), key=lambda r: (r.field, r.section))
+        times = sum(r[0] == i for r in rows)
+        assert [(["lang", "text"].index(r.field), r.section, r.n_chars) for r in mine] == sorted(names * times)
+        assert np.allclose([r.n_tokens for r in mine[::times]], want)
+    assert T.token_counts(spark.createDataFrame([], DOCS), ["text"], RANKS, public_tokenizers.PATTERN).collect() == []
+
+
+def test_unknown_rule(spark):
+    with pytest.raises(ValueError):
+        T.token_counts(spark.createDataFrame([], DOCS), ["text"], RANKS, public_tokenizers.PATTERN, rule="x")
+
+
+def test_query(spark):
+    from litlens.llm.catalog import QUERIES
+    sf = "/root/testdata/sf0.001"
+    got = {}
+    for r in QUERIES["op2_token_counts"](spark, sf).collect():
+        got.setdefault(r.doc_id, []).append((["lang", "source", "text"].index(r.field), r.section, r.n_chars, r.n_tokens))
+    docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    assert len(docs) == len(got)
+    for d in docs:
+        names, want = plain_counts([d.lang, d.source, d.text], r"\n", "first")
+        assert sorted(got[d.doc_id]) == sorted((*n, w) for n, w in zip(names, want))
