@@ -16,6 +16,7 @@ from .mixing import mix_schedule
 from .sentencepiece_scan import decode, encode, read_model
 from .sharding import shard_documents
 from .simhash import simhash_components
+from .substring_dedup import remove_repeated_sentences
 from .token_counts import read_ranks, token_counts
 
 SENTENCEPIECE_MODEL = "piece_bpe_32k.model"
@@ -60,6 +61,12 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("decoded_bytes"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = F.coalesce("kept_text", F.lit(""))
+    return remove_repeated_sentences(read_table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_sentences", "n_removed", F.sha2(kept, 256).alias("kept_sha256"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(read_table(spark, sf_dir, "documents"), shards=8)
 
@@ -74,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_embedding_near_dedup": op3_embedding_near_dedup,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_sentencepiece": op5_sentencepiece,
+    "op6_substring_dedup": op6_substring_dedup,
     "op9_sharding": op9_sharding,
     "op10_mixing": op10_mixing,
 }
