@@ -13,6 +13,7 @@ from .common import read_table
 from .embed_dedup import embedding_links
 from .exact_dedup import exact_duplicates, normalized_sha256
 from .mixing import mix_schedule
+from .quality import quality_scores
 from .sentencepiece_scan import decode, encode, read_model
 from .sharding import shard_documents
 from .simhash import simhash_components
@@ -67,6 +68,11 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_sentences", "n_removed", F.sha2(kept, 256).alias("kept_sha256"))
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = quality_scores(read_table(spark, sf_dir, "documents"))
+    return scores.withColumn("score", F.round("score", 4))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(read_table(spark, sf_dir, "documents"), shards=8)
 
@@ -82,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_exact_dedup": op4_exact_dedup,
     "op5_sentencepiece": op5_sentencepiece,
     "op6_substring_dedup": op6_substring_dedup,
+    "op8_quality_classifier": op8_quality_classifier,
     "op9_sharding": op9_sharding,
     "op10_mixing": op10_mixing,
 }
