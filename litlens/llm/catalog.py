@@ -18,6 +18,7 @@ from .sentencepiece_scan import decode, encode, read_model
 from .sharding import shard_documents
 from .simhash import simhash_components
 from .substring_dedup import remove_repeated_sentences
+from .suffix_dedup import remove_repeated_bytes
 from .token_counts import read_ranks, token_counts
 
 SENTENCEPIECE_MODEL = "piece_bpe_32k.model"
@@ -68,6 +69,13 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_sentences", "n_removed", F.sha2(kept, 256).alias("kept_sha256"))
 
 
+def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = remove_repeated_bytes(read_table(spark, sf_dir, "documents"), length=50)
+    removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, r: n + r["stop"] - r["start"])
+    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"),
+                      F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     scores = quality_scores(read_table(spark, sf_dir, "documents"))
     return scores.withColumn("score", F.round("score", 4))
@@ -88,6 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_exact_dedup": op4_exact_dedup,
     "op5_sentencepiece": op5_sentencepiece,
     "op6_substring_dedup": op6_substring_dedup,
+    "op7_suffix_array_dedup": op7_suffix_array_dedup,
     "op8_quality_classifier": op8_quality_classifier,
     "op9_sharding": op9_sharding,
     "op10_mixing": op10_mixing,
