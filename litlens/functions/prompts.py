@@ -54,7 +54,7 @@ def vocabulary_json(vocab: DataFrame) -> DataFrame:
     object of empty objects, two-space indent, labels in ``ord`` (or name) order.
     One small aggregation per category over the vocabulary dimension."""
     order = F.col("ord") if "ord" in vocab.columns else F.lit(0)
-    items = (vocab.select("category", "label", order.alias("ord")).distinct()
+    items = (vocab.groupBy("category", "label").agg(F.min(order).alias("ord"))  # once, also if in two groups
              .groupBy("category")
              .agg(F.array_sort(F.collect_list(F.struct("ord", "label"))).alias("l")))
     body = F.array_join(F.transform("l", lambda s: F.concat(F.lit("  "), json_string(s["label"]),
@@ -62,10 +62,29 @@ def vocabulary_json(vocab: DataFrame) -> DataFrame:
     return items.select("category", F.concat(F.lit("{\n"), body, F.lit("\n}")).alias("categories_json"))
 
 
-def _split(template: str) -> tuple[str, str, str]:
-    a, rest = template.split("{entry}", 1)
-    b, c = rest.split("{categories}", 1)
-    return a, b, c
+def prompt_dim(spark, rows: Sequence[tuple[str, str, str]]) -> DataFrame:
+    """``(category, technique, template)``: one template per labelling task and
+    prompting technique, each with the slots ``{entry}`` and ``{categories}``."""
+    from ..sources.dims import local_dim
+    for _, _, t in rows:
+        if t.count("{entry}") != 1 or t.count("{categories}") != 1 or t.index("{entry}") > t.index("{categories}"):
+            raise ValueError("a template has {entry} once, then {categories} once")
+    return local_dim(spark, rows, [("category", "string"), ("technique", "string"), ("template", "string")])
+
+
+def _with_template(tasks: DataFrame, template: str | DataFrame) -> DataFrame:
+    """Add the template's three fixed parts ``_a _b _c``: of one text for all
+    tasks, or joined from :func:`prompt_dim` by category (and by technique
+    where the tasks have one)."""
+    if isinstance(template, str):
+        j = tasks.withColumn("template", F.lit(template))
+    else:
+        keys = ["category"] + (["technique"] if "technique" in tasks.columns else [])
+        j = tasks.join(sized_broadcast(template), keys)
+    rest = F.substring_index("template", "{entry}", -1)
+    return (j.withColumn("_a", F.substring_index("template", "{entry}", 1))
+             .withColumn("_b", F.substring_index(rest, "{categories}", 1))
+             .withColumn("_c", F.substring_index(rest, "{categories}", -1)).drop("template"))
 
 
 def with_entry(papers: DataFrame, fields: Sequence[str] = LABEL_FIELDS) -> DataFrame:
@@ -75,17 +94,16 @@ def with_entry(papers: DataFrame, fields: Sequence[str] = LABEL_FIELDS) -> DataF
                   .withColumn("entry_len", F.length("entry_json")))
 
 
-def with_prompt(tasks: DataFrame, vocab_json: DataFrame, template: str = DEFAULT_TEMPLATE,
+def with_prompt(tasks: DataFrame, vocab_json: DataFrame, template: str | DataFrame = DEFAULT_TEMPLATE,
                 fields: Sequence[str] = LABEL_FIELDS, skip_col: str | None = None) -> DataFrame:
     """Add the prompt text to tasks that carry the paper fields (or a
     prebuilt ``entry_json``). Rows where ``skip_col`` is true get no prompt."""
-    a, b, c = _split(template)
     entry = F.col("entry_json") if "entry_json" in tasks.columns else entry_text(fields)
-    j = tasks.join(sized_broadcast(vocab_json), "category")  # one row per category
-    prompt = F.concat(F.lit(a), entry, F.lit(b), F.col("categories_json"), F.lit(c))
+    j = _with_template(tasks, template).join(sized_broadcast(vocab_json), "category")
+    prompt = F.concat(F.col("_a"), entry, F.col("_b"), F.col("categories_json"), F.col("_c"))
     if skip_col:
         prompt = F.when(~F.col(skip_col), prompt)
-    return j.withColumn("prompt", prompt)
+    return j.withColumn("prompt", prompt).drop("_a", "_b", "_c")
 
 
 def with_entry_length(papers: DataFrame, fields: Sequence[str] = LABEL_FIELDS) -> DataFrame:
@@ -94,19 +112,18 @@ def with_entry_length(papers: DataFrame, fields: Sequence[str] = LABEL_FIELDS) -
     return papers.withColumn("entry_len", entry_text_length(fields))
 
 
-def with_budget(tasks: DataFrame, vocab_json: DataFrame, template: str = DEFAULT_TEMPLATE,
+def with_budget(tasks: DataFrame, vocab_json: DataFrame, template: str | DataFrame = DEFAULT_TEMPLATE,
                 fields: Sequence[str] = LABEL_FIELDS, limit: int = TOKEN_LIMIT) -> DataFrame:
     """Add ``prompt_tokens`` (characters // 4, from lengths only) and
     ``over_budget`` (strictly more than ``limit`` tokens). Tasks carry either
     the paper fields or a precomputed ``entry_len``."""
-    a, b, c = _split(template)
     if "entry_len" not in tasks.columns:
         tasks = with_entry_length(tasks, fields)
-    j = tasks.join(sized_broadcast(vocab_json.select(
+    j = _with_template(tasks, template).join(sized_broadcast(vocab_json.select(
         "category", F.length("categories_json").alias("_cl"))), "category")
-    n = F.lit(len(a) + len(b) + len(c)) + F.col("entry_len") + F.col("_cl")
+    n = F.length("_a") + F.length("_b") + F.length("_c") + F.col("entry_len") + F.col("_cl")
     tok = F.floor(n / CHARS_PER_TOKEN).cast("long")
-    return (j.withColumn("prompt_tokens", tok).drop("_cl")
+    return (j.withColumn("prompt_tokens", tok).drop("_cl", "_a", "_b", "_c")
              .withColumn("over_budget", F.col("prompt_tokens") > limit))
 
 

@@ -11,6 +11,7 @@ DATE_FORMAT = "d-M-yyyy"                       # day-month-year as in the paper
 DATE_SHAPE = r"^[0-9]{1,2}-[0-9]{1,2}-[0-9]{4}$"  # only this shape is a date
 WIDE_PREFIX = "como-tax-"                      # wide label column: como-tax-<category>2[-<run>]
 WIDE_KEY = r"^como-tax-(.*?)2(?:-([0-9]+))?$"
+COLUMN_ALIASES = {"openess": "openness"}       # spelling of a column name -> category
 CHARS_PER_TOKEN = 4                            # approximate tokens = characters // 4
 # Characters Python's str.strip() removes, derived from Python itself
 # (Unicode white space plus U+001C..U+001F; 29 code points).
@@ -93,8 +94,12 @@ def wide_key(category, run) -> Column:
 
 
 def key_category(key_col) -> Column:
-    """Category of a wide label column name (prefix and trailing ``2`` removed)."""
-    return F.regexp_extract(_c(key_col), WIDE_KEY, 1)
+    """Category of a wide label column name (prefix and trailing ``2`` removed),
+    under the name its vocabulary has."""
+    name = F.regexp_extract(_c(key_col), WIDE_KEY, 1)
+    for old, new in COLUMN_ALIASES.items():
+        name = F.when(name == old, F.lit(new)).otherwise(name)
+    return name
 
 
 def key_run(key_col) -> Column:

@@ -9,12 +9,15 @@ the number of distinct scores, not by the number of papers.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import WIDE_PREFIX, key_category, key_run, wide_key
+from ..functions.scalars import WIDE_KEY, WIDE_PREFIX, key_category, key_run, wide_key
+from ..plans.joins import sized_broadcast
+from ..session import scratch_dir
 
 # The default value domain of the screening contingency and the
 # label an absent field is counted as.
@@ -25,13 +28,14 @@ SCREEN_DOMAIN = ("yes", "no", "invalid entry", MISSING)
 def contingency(df: DataFrame, a: str, b: str, domain: Sequence[str] = SCREEN_DOMAIN,
                 a_name: str | None = None, b_name: str | None = None) -> DataFrame:
     """Counts of (a, b) value pairs; NULL counts as ``missing``; pairs with a
-    value outside ``domain`` are left out."""
+    value outside ``domain`` are left out. By pair."""
     x = F.coalesce(F.col(a), F.lit(MISSING)).alias(a_name or a)
     y = F.coalesce(F.col(b), F.lit(MISSING)).alias(b_name or b)
     p = df.select(x, y)
     dom = list(domain)
     return (p.filter(F.col(a_name or a).isin(dom) & F.col(b_name or b).isin(dom))
-             .groupBy(a_name or a, b_name or b).agg(F.count(F.lit(1)).alias("n")))
+             .groupBy(a_name or a, b_name or b).agg(F.count(F.lit(1)).alias("n"))
+             .orderBy(a_name or a, b_name or b))
 
 
 def labels_wide(labelled: DataFrame, categories: Sequence[str], runs: Sequence[int],
@@ -48,7 +52,7 @@ def labels_long(wide: DataFrame, id_col: str = "paper_id") -> DataFrame:
     """Wide label columns -> ``(paper_id, category, run, label)``; the base
     column is run 1, ``-n`` is run n; absent (NULL) labels are dropped.
     Columns not shaped like a label column are ignored."""
-    cols = [c for c in wide.columns if c != id_col and c.startswith(WIDE_PREFIX)]
+    cols = [c for c in wide.columns if c != id_col and re.match(WIDE_KEY, c)]
     if not cols:
         return wide.select(id_col, F.lit(None).cast("string").alias("category"),
                            F.lit(None).cast("int").alias("run"),
@@ -67,8 +71,7 @@ def present(df: DataFrame, keys: Sequence[str]) -> list[str]:
 
 def consistency(labelled: DataFrame, min_runs: int = 2, max_run: int | None = None,
                 id_col: str = "paper_id", drop_invalid: bool = False,
-                sentinels: Sequence[str] = ("invalid result", "invalid entry"),
-                keep_runs: bool = False) -> DataFrame:
+                sentinels: Sequence[str] = ("invalid result", "invalid entry")) -> DataFrame:
     """Per (paper, category): share of runs agreeing with the modal label.
 
     Only categories with at least ``min_runs`` distinct runs are scored;
@@ -77,66 +80,48 @@ def consistency(labelled: DataFrame, min_runs: int = 2, max_run: int | None = No
     ``drop_invalid``.
 
     Plan: labels -> per (paper, category, label) counts -> per (paper,
-    category) max/sum plus a bit mask of the runs seen (runs 1..63). The runs
-    per category are the OR of those masks: a table with one row per
-    category (the closed set of labelling tasks), joined back by broadcast,
-    so the per-paper rows are never shuffled by category (3 categories would
-    mean 3 reduce tasks holding everything). With ``keep_runs`` the mask is
-    returned and nothing is filtered: the per-category reports apply the
-    filter after their own aggregation, without any join."""
+    category) max/sum. The categories with enough runs come from the distinct
+    (category, run) pairs, which collapse map-side to one row per pair and
+    task; they are joined back under a size check."""
     lab = labelled.filter(F.col("label").isNotNull())
     if drop_invalid:
         lab = lab.filter(~F.col("label").isin(list(sentinels)))
     if max_run is not None:
         lab = lab.filter(F.col("run") <= max_run)
-    run_bit = F.expr("shiftleft(CAST(1 AS BIGINT), CAST(least(run, 63) AS INT))")
-    per_label = lab.groupBy(id_col, "category", "label").agg(
-        F.count(F.lit(1)).alias("n"), F.bit_or(run_bit).alias("runs"))
+    per_label = lab.groupBy(id_col, "category", "label").agg(F.count(F.lit(1)).alias("n"))
     per_task = per_label.groupBy(id_col, "category").agg(
-        F.max("n").alias("modal"), F.sum("n").alias("n_labels"), F.bit_or("runs").alias("runs"))
+        F.max("n").alias("modal"), F.sum("n").alias("n_labels"))
     scored = per_task.select(id_col, "category",
-                             (F.col("modal") / F.col("n_labels")).alias("consistency"),
-                             "n_labels", "runs")
-    if keep_runs:
-        return scored
+                             (F.col("modal") / F.col("n_labels")).alias("consistency"), "n_labels")
     if min_runs <= 1:
-        return scored.drop("runs")
-    cats = (scored.groupBy("category").agg(F.bit_or("runs").alias("runs"))
-                  .filter(F.bit_count("runs") >= min_runs).select("category"))
-    return scored.join(F.broadcast(cats), "category", "left_semi").drop("runs")
-
-
-def _multi_run(df: DataFrame, min_runs: int) -> DataFrame:
-    """Keep per-category report rows whose category saw ``min_runs`` runs."""
-    if "runs" not in df.columns:
-        return df
-    return df.filter(F.bit_count("runs") >= min_runs).drop("runs")
+        return scored
+    cats = (lab.select("category", "run").distinct().groupBy("category").agg(F.count("run").alias("n"))
+               .filter(F.col("n") >= min_runs).select("category"))
+    scratch_dir(labelled.sparkSession)
+    cats = cats.checkpoint(eager=True)  # computed once for the size check and the join
+    return scored.join(sized_broadcast(cats), "category", "left_semi")
 
 
 def consistency_by_category(scores: DataFrame, exclude: Sequence[str] = (),
-                            digits: int = 6, min_runs: int = 2) -> DataFrame:
-    """Mean consistency per category (NULL scores skipped), rounded for display.
-    ``scores`` from :func:`consistency`; with ``keep_runs`` scores the
-    run filter is applied here, after the aggregation."""
+                            digits: int = 6) -> DataFrame:
+    """Mean consistency per category (NULL scores skipped), rounded for display,
+    by ascending mean, then category. ``scores`` from :func:`consistency`."""
     s = scores.filter(~F.col("category").isin(list(exclude))) if exclude else scores
-    aggs = [F.round(F.avg("consistency"), digits).alias("mean_consistency"),
-            F.count("consistency").alias("n_papers")]
-    if "runs" in s.columns:
-        aggs.append(F.bit_or("runs").alias("runs"))
-    return _multi_run(s.groupBy("category").agg(*aggs), min_runs)
+    mean = F.avg("consistency")
+    return (s.groupBy("category").agg(F.round(mean, digits).alias("mean_consistency"),
+                                      F.count("consistency").alias("n_papers"))
+             .orderBy("mean_consistency", "category"))
 
 
-def consistency_box(scores: DataFrame, digits: int = 6, min_runs: int = 2) -> DataFrame:
+def consistency_box(scores: DataFrame, digits: int = 6) -> DataFrame:
     """Box-plot numbers per category: quartiles (linear interpolation),
     whiskers at the most extreme scores within 1.5 IQR, outlier count.
 
     Works on the (category, score, frequency) table, whose size is the number
     of distinct scores: the exact percentile is a window over that small
     table, so no self-join and no second pass over the scores."""
-    has_runs = "runs" in scores.columns
-    fa = [F.count(F.lit(1)).alias("w")] + ([F.bit_or("runs").alias("runs")] if has_runs else [])
     freq = (scores.filter(F.col("consistency").isNotNull())
-            .groupBy("category", "consistency").agg(*fa))
+            .groupBy("category", "consistency").agg(F.count(F.lit(1)).alias("w")))
     q = F.percentile(F.col("consistency"), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)),
                      F.col("w")).over(Window.partitionBy("category"))
     f = freq.withColumn("q", q)
@@ -151,9 +136,7 @@ def consistency_box(scores: DataFrame, digits: int = 6, min_runs: int = 2) -> Da
             F.min(F.when(inside, x)).alias("whisker_low"),
             F.max(F.when(inside, x)).alias("whisker_high"),
             F.sum(F.when(~inside, F.col("w")).otherwise(F.lit(0))).alias("n_outliers")]
-    if has_runs:
-        aggs.append(F.bit_or("runs").alias("runs"))
-    return _multi_run(f.groupBy("category").agg(*aggs), min_runs)
+    return f.groupBy("category").agg(*aggs)
 
 
 def consistency_matrix(scores: DataFrame, categories: Sequence[str],
@@ -164,25 +147,26 @@ def consistency_matrix(scores: DataFrame, categories: Sequence[str],
 
 
 def assigned_labels(labelled: DataFrame, sep: str = ", ", id_col: str = "paper_id",
-                    order_col: str = "run", chunk: int | None = None) -> DataFrame:
+                    order_col: str = "run") -> DataFrame:
     """Labels of each (paper, category) over the runs, in run order, as text.
-
-    A list over runs is bounded by the number of runs. For keys whose lists
-    are not bounded (turns of a conversation), ``chunk`` splits each list
-    into pieces of consecutive ``order_col`` values (``order // chunk``):
-    one output row per piece, so no group grows with the data and nothing
-    is dropped; a list shorter than ``chunk`` is one piece."""
+    A list is bounded by the number of runs; lists that can grow with the data
+    stay long rows, see :func:`ordered_labels`."""
     ordered = F.array_sort(F.collect_list(F.struct(F.col(order_col).alias("run"), "label")))
-    keys = [id_col, "category"]
     df = labelled.filter(F.col("label").isNotNull())
-    if chunk:
-        df = df.withColumn("piece", F.floor(F.col(order_col) / chunk).cast("long"))
-        keys.append("piece")
-    return (df.groupBy(*keys)
+    return (df.groupBy(id_col, "category")
             .agg(F.array_join(F.transform(ordered, lambda s: s["label"]), sep).alias("labels"),
                  F.count(F.lit(1)).alias("n_runs")))
 
 
+def ordered_labels(labelled: DataFrame, id_col: str = "paper_id", order_col: str = "run") -> DataFrame:
+    """``(id, category, position, label)``: the non-null labels of each key
+    numbered from 1 in order. A key's rows are sorted by Spark (which spills),
+    never gathered into one list."""
+    w = Window.partitionBy(id_col, "category").orderBy(order_col)
+    return (labelled.filter(F.col("label").isNotNull())
+            .select(id_col, "category", F.row_number().over(w).cast("long").alias("position"), "label"))
+
+
 def categories_present(labelled: DataFrame) -> DataFrame:
     """Distinct categories that have labels."""
     return labelled.select("category").distinct()

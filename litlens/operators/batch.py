@@ -16,8 +16,18 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-ANSWER_LOG_SCHEMA = "paper_id long, category string, run int, attempt int, response string"
+# A vocabulary up to this many labels is shipped to the tasks, which then stop
+# at the first allowed answer; beyond it every attempt is made, and resolving
+# the log picks the same answer.
 VOCAB_MAX_ROWS = 100_000
+ERROR_CHARS = 500  # fixed value: how much of an error's text is logged
+
+
+def answer_log_schema(id_type: str = "bigint") -> str:
+    """Columns of the answer log; ids have the type of the papers' ids."""
+    return (f"paper_id {id_type}, category string, run int, attempt int, response string, "
+            "error string")
+
 
 # fn(batch) -> responses: ``batch`` has columns paper_id, category, run,
 # attempt, prompt; return one response (str or None = failed call) per row.
@@ -27,18 +37,15 @@ AnswerFn = Callable[[pd.DataFrame], "pd.Series | list"]
 def label_batch(tasks: DataFrame, vocab: DataFrame, fn: AnswerFn, max_attempts: int = 3,
                 partitions: int | None = None, rows_per_call: int = 64,
                 skip_col: str | None = None) -> DataFrame:
-    """Answer log ``(paper_id, category, run, attempt, response)`` for tasks
-    carrying a ``prompt``. Attempts stop at the first allowed answer; an
-    exception in ``fn`` counts as a failed attempt for the rows of that call.
-    Tasks where ``skip_col`` is true (over the prompt budget) are not sent:
+    """Answer log ``(paper_id, category, run, attempt, response, error)`` for
+    tasks carrying a ``prompt``. Attempts stop at the first allowed answer; an
+    exception in ``fn``, or an answer list of another length than the call,
+    counts as a failed attempt for the rows of that call and is logged as
+    ``error``. Ids may be of any type. Tasks where ``skip_col`` is true (over the prompt budget) are not sent:
     they are logged once with ``attempt = 0`` and no response."""
     # the vocabulary is a small dimension: size-checked, then shipped to the tasks
-    v = vocab.select("category", "label").distinct()
-    if v.limit(VOCAB_MAX_ROWS + 1).count() > VOCAB_MAX_ROWS:
-        raise ValueError(f"vocabulary above {VOCAB_MAX_ROWS} labels cannot be shipped to tasks")
-    allowed: dict[str, set[str]] = {}
-    for cat, lab in v.collect():
-        allowed.setdefault(cat, set()).add(lab)
+    got = vocab.select("category", "label").distinct().limit(VOCAB_MAX_ROWS + 1).collect()
+    pairs = {tuple(r) for r in got} if len(got) <= VOCAB_MAX_ROWS else None
     skip = F.col(skip_col) if skip_col else F.lit(False)
     t = tasks.select("paper_id", "category", "run", "prompt", skip.alias("_skip"))
     if partitions:
@@ -46,8 +53,7 @@ def label_batch(tasks: DataFrame, vocab: DataFrame, fn: AnswerFn, max_attempts:
         # pile up in one Python worker
         t = t.repartition(partitions)
 
-    pairs = {(c, lab) for c, labs in allowed.items() for lab in labs}
-    cols = ["paper_id", "category", "run", "attempt", "response"]
+    cols = ["paper_id", "category", "run", "attempt", "response", "error"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -55,7 +61,7 @@ def label_batch(tasks: DataFrame, vocab: DataFrame, fn: AnswerFn, max_attempts:
             skipped = b["_skip"].fillna(False).astype(bool)
             if skipped.any():
                 out.append(b.loc[skipped, ["paper_id", "category", "run"]]
-                           .assign(attempt=0, response=None))
+                           .assign(attempt=0, response=None, error=None))
             b = b.loc[~skipped, ["paper_id", "category", "run", "prompt"]]
             for start in range(0, len(b), rows_per_call):
                 todo = b.iloc[start:start + rows_per_call]
@@ -63,16 +69,21 @@ def label_batch(tasks: DataFrame, vocab: DataFrame, fn: AnswerFn, max_attempts:
                     if todo.empty:
                         break
                     call = todo.assign(attempt=attempt)
+                    error = None
                     try:
                         resp = list(fn(call))
-                    except Exception:  # a failed call: every row of it failed
-                        resp = [None] * len(call)
+                        if len(resp) != len(call):
+                            raise ValueError(f"{len(resp)} answers for {len(call)} prompts")
+                    except Exception as e:  # a failed call: every row of it failed
+                        resp, error = [None] * len(call), f"{type(e).__name__}: {e}"[:ERROR_CHARS]
                     call["response"] = pd.Series(resp, index=call.index, dtype="object")
+                    call["error"] = pd.Series([error] * len(call), index=call.index, dtype="object")
                     out.append(call[cols])
-                    ok = [isinstance(r, str) and (c, r.strip()) in pairs
+                    ok = [pairs is not None and isinstance(r, str) and (c, r.strip()) in pairs
                           for r, c in zip(resp, call["category"])]
                     todo = todo[[not x for x in ok]]
             if out:
                 yield pd.concat(out, ignore_index=True)
 
-    return t.mapInPandas(run, ANSWER_LOG_SCHEMA).withColumn("run", F.col("run").cast("int"))
+    schema = answer_log_schema(tasks.schema["paper_id"].dataType.simpleString())
+    return t.mapInPandas(run, schema).withColumn("run", F.col("run").cast("int"))

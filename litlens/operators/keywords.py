@@ -2,11 +2,11 @@
 pick the best-matching topic per paper.
 
 A prefix match ``token LIKE stem || '%'`` would plan as a nested-loop join.
-Here it becomes an equi-join: every token emits its prefixes at the stem
-lengths in use (a handful), and the prefixes join the stem dimension by hash
-(broadcast, size-checked). Tokens are exploded from each row in place, the
-join is map-side, and the first aggregation combines map-side per paper, so
-the only shuffle carries one row per (paper, topic, stem) hit.
+Here it becomes an equi-join: a token whose shortest prefix starts some stem
+emits its prefixes at the stem lengths in use, and the prefixes join the stem
+dimension by hash (broadcast, size-checked). Tokens are exploded from each row
+in place, both joins are map-side, and the first aggregation combines map-side
+per paper: the hits shuffle once by (paper, topic, stem), one row per hit.
 """
 
 from __future__ import annotations
@@ -42,11 +42,14 @@ def taxonomy_hits(papers: DataFrame, stems: DataFrame, text_col: str = "fulltext
         return papers.select(id_col, F.lit(None).cast("string").alias("topic"),
                              F.lit(None).cast("string").alias("stem"),
                              F.lit(0).cast("long").alias("hits")).limit(0)
-    tok = tokens(papers, text_col, id_col).filter(F.length("token") >= lengths[0])
+    # only words whose shortest prefix starts some stem fan out, and only into the prefixes they have
+    heads = s.select(F.substring("stem", 1, lengths[0]).alias("head")).distinct()
+    tok = tokens(papers, text_col, id_col).withColumn("head", F.substring("token", 1, lengths[0]))
+    tok = tok.join(sized_broadcast(heads), "head", "left_semi")
     tl = F.length("token")
-    prefixes = F.array(*[F.when(tl >= n, F.substring("token", 1, n)) for n in lengths])
-    pref = (tok.select(id_col, F.explode(prefixes).alias("stem"))
-               .filter(F.col("stem").isNotNull()))
+    prefixes = F.filter(F.array(*[F.when(tl >= n, F.substring("token", 1, n)) for n in lengths]),
+                        lambda x: x.isNotNull())
+    pref = tok.select(id_col, F.explode(prefixes).alias("stem"))
     return (pref.join(sized_broadcast(s), "stem")
                 .groupBy(id_col, "topic", "stem").agg(F.count(F.lit(1)).alias("hits")))
 
@@ -62,10 +65,9 @@ def best_topic(papers: DataFrame, stems: DataFrame, text_col: str = "fulltext",
     """Exactly one topic per paper: most hits, then most distinct stems, then
     the alphabetically first topic; ``Other`` when nothing matched.
 
-    Plan: the hit rows (one per paper, topic and stem, already combined
-    map-side) are hash-partitioned by paper once; the per-topic sums and the
-    per-paper ranking then run inside those partitions without another
-    shuffle. Papers without hits enter as a zero-score ``Other`` row through a
+    Plan: three hash exchanges of small rows, never of texts: the distinct
+    stems, the hits by (paper, topic, stem), and the hits by paper; the
+    per-topic sums and the per-paper ranking run inside the last one. Papers without hits enter as a zero-score ``Other`` row through a
     union, so no join back to the papers is needed. A paper's rows are
     bounded by the size of the stem dimension."""
     hits = taxonomy_hits(papers, stems, text_col, id_col)

@@ -2,14 +2,19 @@
 
 tasks (paper x category x run) -> prompt budget (over-budget tasks get
 ``invalid entry`` without any call) -> prompts -> answers from the user's
-function (``label_batch``) -> answer log persisted to shared storage ->
-labels resolved from the log. The log is written before it is read back
-because an answer function (a model) does not give the same answer twice:
-resolving must not trigger a second round of calls if a stage is retried.
+function (``label_batch``) -> answer log on shared storage -> labels resolved
+from the log.
+
+The log is the run's memory. It is written slice by slice (papers by a hash
+of their id), each slice one committed write, and a run with the same
+``answers_path`` and ``call_id`` first leaves out the tasks already logged, so
+a run that died goes on where its last committed slice ended. Within a slice,
+Spark may repeat calls of a task it retries; only one attempt is committed.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,35 +23,47 @@ from pyspark.sql import functions as F
 from ..functions.prompts import (DEFAULT_TEMPLATE, LABEL_FIELDS, TOKEN_LIMIT, vocabulary_json,
                                  with_budget, with_entry, with_prompt)
 from ..session import scratch_path
-from .batch import ANSWER_LOG_SCHEMA, AnswerFn, label_batch
+from ..sources.tables import read_if_exists
+from .batch import AnswerFn, answer_log_schema, label_batch
 from .labels import INVALID_ENTRY, INVALID_RESULT, TASK_KEYS, label_tasks, resolve_answers
 
 
 def label_collection(spark: SparkSession, papers: DataFrame, vocab: DataFrame, fn: AnswerFn,
                      categories: Sequence[str], runs: int = 1, first_run: int = 1,
-                     template: str = DEFAULT_TEMPLATE, fields: Sequence[str] = LABEL_FIELDS,
+                     template: str | DataFrame = DEFAULT_TEMPLATE, fields: Sequence[str] = LABEL_FIELDS,
                      limit: int = TOKEN_LIMIT, max_attempts: int = 3,
                      sentinel: str = INVALID_RESULT, answers_path: str | None = None,
-                     partitions: int | None = None, rows_per_call: int = 64) -> DataFrame:
+                     call_id: str | None = None, slices: int = 1,
+                     partitions: int | None = None, rows_per_call: int = 64,
+                     categories_json: DataFrame | None = None) -> DataFrame:
     """Labels ``(paper_id, category, run, label, attempts_used)`` for every
-    task; the raw answers are appended to ``answers_path`` (a fresh folder
-    under ``spark.checkpoint.dir`` when not given)."""
-    papers = with_entry(papers, fields).select("paper_id", "entry_json", "entry_len")
-    tasks = label_tasks(papers, categories, runs, first_run, keep=["entry_json", "entry_len"])
-    vj = vocabulary_json(vocab)
-    budget = with_budget(tasks, vj, template, fields, limit)
-    prompts = with_prompt(budget, vj, template, fields, skip_col="over_budget")
-    log = label_batch(prompts, vocab, fn, max_attempts, partitions, rows_per_call,
-                      skip_col="over_budget")
-    path = answers_path or scratch_path(spark, "answers")
-    log.write.mode("append").parquet(path)
-    answers = spark.read.schema(ANSWER_LOG_SCHEMA).parquet(path)
+    task of this call.
+
+    The raw answers go to ``<answers_path>/call=<call_id>`` (a fresh folder
+    under ``spark.checkpoint.dir``, and a fresh id, when not given) in
+    ``slices`` commits. Only this call's answers are resolved, so labelling a
+    paper again under another id gives the new answers; ``upsert_table`` then
+    replaces the old label. ``categories_json`` shows the categories in
+    another form than :func:`vocabulary_json`."""
+    path = f"{(answers_path or scratch_path(spark, 'answers')).rstrip('/')}/call={call_id or uuid.uuid4().hex}"
+    kind = papers.schema["paper_id"].dataType.simpleString()
+    vj = categories_json if categories_json is not None else vocabulary_json(vocab)
+    for k in range(slices):
+        mine = papers.filter(F.pmod(F.xxhash64("paper_id"), F.lit(slices)) == k) if slices > 1 else papers
+        with_json = with_entry(mine, fields).select("paper_id", "entry_json", "entry_len")
+        tasks = label_tasks(with_json, categories, runs, first_run, keep=["entry_json", "entry_len"])
+        logged = read_if_exists(spark, path)
+        if logged is not None:
+            tasks = tasks.join(logged.select(*TASK_KEYS).distinct(), list(TASK_KEYS), "left_anti")
+        budget = with_budget(tasks, vj, template, fields, limit)
+        prompts = with_prompt(budget, vj, template, fields, skip_col="over_budget")
+        log = label_batch(prompts, vocab, fn, max_attempts, partitions, rows_per_call,
+                          skip_col="over_budget")
+        log.write.mode("append").parquet(path)
+    answers = spark.read.schema(answer_log_schema(kind)).parquet(path)
     # attempt 0 marks a task that was not sent (over budget)
     sent = resolve_answers(answers, vocab, max_attempts, sentinel)  # attempts from 1
-    # a marker counts only while the task has no real attempt (a later run
-    # with a larger budget may have sent it)
     skipped = (answers.filter(F.col("attempt") == 0).select(*TASK_KEYS).distinct()
-               .join(sent.select(*TASK_KEYS), list(TASK_KEYS), "left_anti")
                .select(*TASK_KEYS, F.lit(INVALID_ENTRY).alias("label"),
                        F.lit(None).cast("int").alias("attempts_used")))
     return sent.unionByName(skipped)

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import py_strip
 from ..plans.joins import sized_broadcast
+from ..session import scratch_dir
 
 TASK_KEYS = ("paper_id", "category", "run")
 # Sentinels written instead of a label.
@@ -27,6 +28,8 @@ def label_tasks(papers: DataFrame, categories: Sequence[str], runs: int = 1,
                 first_run: int = 1, keep: Sequence[str] = ()) -> DataFrame:
     """One task per paper x category x run (a generator, no join); ``keep``
     names paper columns carried along into each task."""
+    if runs < 1:
+        raise ValueError("runs must be at least 1")
     cats = F.array(*[F.lit(c) for c in categories])
     return (papers.select("paper_id", *keep, F.explode(cats).alias("category"))
             .select("*", F.explode(F.sequence(F.lit(first_run),
@@ -67,18 +70,27 @@ def rejected_answers(answers: DataFrame, vocab: DataFrame) -> DataFrame:
 # numeric aggregate (hash aggregation, code-generated) instead of a minimum
 # over a struct with a string inside (sort-based aggregation).
 _ID_BITS = 40
-_VOCAB_MAX_ROWS = 1 << 20
 
 
-def _vocab_ids(vocab: DataFrame) -> DataFrame | None:
-    """``(category, answer, label_id)`` with dense ids, or None if the
-    vocabulary is too large to number in one task."""
+def _vocab_ids(vocab: DataFrame) -> DataFrame:
+    """``(category, answer, label_id)``: labels numbered by name, as a broadcast
+    side if its size check passes. The numbering sorts the vocabulary, a table
+    of a user's labels, and is stored once, so every use sees the same ids."""
     v = vocab.select("category", F.col("label").alias("answer")).distinct()
-    if v.limit(_VOCAB_MAX_ROWS + 1).count() > _VOCAB_MAX_ROWS:
-        return None
-    w = Window.orderBy("category", "answer")  # a bounded dimension: one small task
-    # the count above bounds the rows, so the numbered vocabulary is broadcast
-    return F.broadcast(v.withColumn("label_id", F.row_number().over(w).cast("long")))
+    w = Window.orderBy("category", "answer")
+    numbered = v.withColumn("label_id", F.row_number().over(w).cast("long"))
+    scratch_dir(vocab.sparkSession)
+    return sized_broadcast(numbered.checkpoint(eager=True))
+
+
+def _with_ids(answers: DataFrame, ids: DataFrame) -> DataFrame:
+    """Answers with their ``label_id`` (NULL: not allowed). Failed calls have no
+    answer to look up: they get a key of their own each, so that they do not
+    meet under one hot NULL key when the join shuffles."""
+    key = F.coalesce("answer", F.concat(F.lit("\x00"), F.monotonically_increasing_id().cast("string")))
+    return (answers.withColumn("_key", key)
+            .join(ids.select("category", F.col("answer").alias("_key"), "label_id"), ["category", "_key"], "left")
+            .drop("_key"))
 
 
 def resolve_answers(answers: DataFrame, vocab: DataFrame, max_attempts: int = 3,
@@ -90,15 +102,8 @@ def resolve_answers(answers: DataFrame, vocab: DataFrame, max_attempts: int = 3,
     in_range = F.col("attempt").between(1, max_attempts)
     a = answers.filter(in_range).withColumn("answer", py_strip(F.col("response")))
     ids = _vocab_ids(vocab)
-    if ids is None:  # very large vocabulary: minimum over (attempt, answer) structs
-        v = answer_validity(answers.filter(in_range), vocab)
-        best = F.min(F.when(F.col("valid"), F.struct("attempt", "answer")))
-        return (v.groupBy(*keys).agg(best.alias("best"))
-                 .select(*keys, F.coalesce(F.col("best.answer"), F.lit(sentinel)).alias("label"),
-                         F.col("best.attempt").alias("attempts_used")))
     code = F.shiftleft(F.col("attempt").cast("long"), _ID_BITS) + F.col("label_id")
-    best = (a.join(ids, ["category", "answer"], "left")
-             .groupBy(*keys).agg(F.min(code).alias("code")))   # NULL label_id: not valid
+    best = _with_ids(a, ids).groupBy(*keys).agg(F.min(code).alias("code"))  # NULL label_id: not valid
     mask = (1 << _ID_BITS) - 1
     dec = best.select(*keys, F.shiftright("code", _ID_BITS).cast("int").alias("attempts_used"),
                       F.col("code").bitwiseAND(F.lit(mask)).alias("label_id"))
@@ -114,18 +119,23 @@ def majority_vote(answers: DataFrame, vocab: DataFrame, votes: int = 3,
     """Most frequent answer among the first ``votes`` attempts; a tie goes to
     the answer seen first. Validity is tested after the vote; failed calls
     cast no vote, and a task without any vote resolves to the sentinel."""
-    a = (answers.filter(F.col("attempt") <= votes)
-         .withColumn("answer", py_strip(F.col("response"))))
-    tally = a.groupBy(*keys, "answer").agg(F.count(F.lit(1)).alias("n"),
+    cast = answers.filter(F.col("attempt").between(1, votes))  # attempt 0 marks a task not sent
+    a = cast.withColumn("answer", py_strip(F.col("response")))
+    ids = _vocab_ids(vocab)
+    # answers outside the vocabulary vote too, each for its own text: a hash of
+    # it stands for the text, so both aggregations stay numeric
+    a = _with_ids(a, ids).withColumn("choice", F.coalesce(
+        F.col("label_id"), F.when(F.col("answer").isNotNull(), -1 - F.xxhash64("answer").bitwiseAND(F.lit((1 << 62) - 1)))))
+    tally = a.groupBy(*keys, "choice").agg(F.count(F.lit(1)).alias("n"),
                                            F.min("attempt").alias("first_seen"))
-    win = F.min(F.when(F.col("answer").isNotNull(),
-                       F.struct((-F.col("n")).alias("neg_n"), "first_seen", "answer")))
-    w = tally.groupBy(*keys).agg(win.alias("w")).select(
-        *keys, F.col("w.answer").alias("answer"),
-        F.coalesce(-F.col("w.neg_n"), F.lit(0)).alias("votes"))
-    j = w.join(allowed_answers(vocab), ["category", "answer"], "left")
-    return j.select(*keys, F.when(F.col("valid"), F.col("answer"))
-                    .otherwise(F.lit(sentinel)).alias("label"), "votes")
+    # most votes, then seen first; attempts of one task differ, so this names one choice
+    rank = F.when(F.col("choice").isNotNull(),
+                  F.shiftleft(votes - F.col("n"), 20) + F.col("first_seen").cast("long"))
+    won = tally.groupBy(*keys).agg(F.min(rank).alias("best"), F.min_by("choice", rank).alias("label_id"))
+    named = won.join(ids.select("label_id", F.col("answer").alias("label")), "label_id", "left")
+    return named.select(*keys, F.coalesce("label", F.lit(sentinel)).alias("label"),
+                        F.when(F.col("best").isNull(), F.lit(0).cast("long"))
+                         .otherwise(votes - F.shiftright("best", 20)).alias("votes"))
 
 
 def outcome_counts(labelled: DataFrame, sentinel: str = INVALID_RESULT,
@@ -136,7 +146,9 @@ def outcome_counts(labelled: DataFrame, sentinel: str = INVALID_RESULT,
         F.count(F.lit(1)).alias("n_tasks"),
         F.count_if(~lab.isin(sentinel, over_budget)).alias("n_valid"),
         F.count_if(lab == sentinel).alias("n_invalid"),
-        F.count_if(lab == over_budget).alias("n_over_budget"))
+        # with one sentinel for both, exhausted and unsent tasks cannot be told apart:
+        # they count as invalid only
+        F.count_if((lab == over_budget) & F.lit(over_budget != sentinel)).alias("n_over_budget"))
 
 
 def attempts_used(labelled: DataFrame) -> DataFrame:

@@ -45,8 +45,7 @@ def repeat_study(spark, papers: DataFrame, labelled: DataFrame, vocab: DataFrame
     base = labelled.filter("run = 1").join(ids, "paper_id", "left_semi").select(*again.columns)
     lab = base.unionByName(again)
     scores = consistency(lab)
-    with_runs = consistency(lab, keep_runs=True)
     return {"labels": lab, "scores": scores,
-            "by_category": consistency_by_category(with_runs),
-            "box": consistency_box(with_runs),
+            "by_category": consistency_by_category(scores),
+            "box": consistency_box(scores),
             "matrix": consistency_matrix(scores, categories)}

@@ -50,8 +50,8 @@ def labelled_papers(papers: DataFrame, labelled: DataFrame, run: int = 1,
 
 
 def papers_per_year(papers: DataFrame, count_col: str = "papers_in_year") -> DataFrame:
-    """Rows per year (input: :func:`dated` papers, or any frame with ``year``)."""
-    return papers.groupBy("year").agg(F.count(F.lit(1)).alias(count_col))
+    """Rows per year, by year (input: :func:`dated` papers, or any frame with ``year``)."""
+    return papers.groupBy("year").agg(F.count(F.lit(1)).alias(count_col)).orderBy("year")
 
 
 def cumulative(year_counts: DataFrame, count_col: str = "papers_in_year",
@@ -112,17 +112,20 @@ def pivot_counts(counts: DataFrame, labels: Sequence[str], value: str = "cnt") -
             .na.fill(0, subset=list(labels)))
 
 
-def pivot_share(shares: DataFrame, labels: Sequence[str]) -> DataFrame:
-    """decade x label matrix of one category's shares (percent); missing = 0.0."""
-    return (shares.groupBy("decade").pivot("label", list(labels)).agg(F.first("pct"))
+def pivot_share(shares: DataFrame, labels: Sequence[str], by: Sequence[str] = ("decade",)) -> DataFrame:
+    """decade x label matrix of one category's shares (percent); missing = 0.0.
+    With ``by=("category", "decade")`` the matrices of all categories, stacked."""
+    return (shares.groupBy(*by).pivot("label", list(labels)).agg(F.first("pct"))
             .na.fill(0.0, subset=list(labels)))
 
 
 def label_span(df: DataFrame) -> DataFrame:
-    """First and last year each label appears, and the span between them."""
+    """First and last year each label appears, and the span between them; by
+    category, first appearance, then label."""
     return (df.groupBy("category", "label")
             .agg(F.min("year").alias("first_year"), F.max("year").alias("last_year"))
-            .withColumn("span_years", F.col("last_year") - F.col("first_year")))
+            .withColumn("span_years", F.col("last_year") - F.col("first_year"))
+            .orderBy("category", "first_year", "label"))
 
 
 def year_table(cum: DataFrame) -> DataFrame:

@@ -1,55 +1,68 @@
 """Keyed write-back of labels: updates replace target rows with the same key,
 new keys are inserted, untouched rows stay.
 
-Expressed as one union + aggregation (latest version wins per key): a single
-shuffle on the key with map-side combine, so a key repeated across many
-update batches collapses before it is shuffled.
+The latest update of each key is chosen first (a window over the updates
+only), then one full outer join on the key sets the changed fields. Target
+rows pass through the join as they are; nothing is aggregated over them.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.errors import AnalysisException
 
+from ..plans.joins import sized_broadcast
 from ..session import scratch_dir
+from ..sources.tables import read_if_exists
+
+
+def latest(updates: DataFrame, keys: Sequence[str], order: str | None = None) -> DataFrame:
+    """One update per key: the one with the largest ``order`` value, compared in
+    its own type (NULL is below every value). Equal order values, and updates
+    without an order column, are decided by a hash of the row."""
+    rest = [c for c in updates.columns if c not in keys and c != order]
+    tie = F.xxhash64(*rest) if rest else F.lit(0)
+    by = ([F.col(order).desc_nulls_last()] if order else []) + [tie]
+    w = Window.partitionBy(*keys).orderBy(*by)
+    return updates.withColumn("_rk", F.row_number().over(w)).filter("_rk = 1").drop("_rk")
 
 
 def upsert(target: DataFrame, updates: DataFrame, keys: Sequence[str],
            order: str | None = None) -> DataFrame:
-    """Rows of ``updates`` replace rows of ``target`` with equal ``keys``.
+    """Rows of ``updates`` replace rows of ``target`` with equal ``keys``
+    (NULL keys are equal to each other).
 
     ``updates`` may carry a subset of the target columns (like setting one
     field): the others keep their target values, and are NULL for new keys.
-    A column present in ``updates`` overwrites even with NULL. When several
-    updates share a key, the one with the largest ``order`` value wins.
-    Target keys are assumed unique.
+    Columns the target lacks are added after its own, NULL where no update set
+    them. A column present in ``updates`` overwrites even with NULL. Of several
+    updates of a key, :func:`latest` decides. Target rows that share a key are
+    all kept, and all updated.
     """
     keys = list(keys)
-    vals = [c for c in target.columns if c not in keys]
-    upd_vals = [c for c in vals if c in updates.columns]
-    t_struct = F.struct(*[F.col(c) for c in vals])
-    u_struct = F.struct(*[F.col(c) for c in upd_vals])
-    t_type = target.select(t_struct.alias("s")).schema[0].dataType
-    u_type = updates.select(u_struct.alias("s")).schema[0].dataType
-    version = (F.col(order).cast("long") + 1) if order else F.lit(1).cast("long")
-    t = target.select(*keys, t_struct.alias("_t"), F.lit(None).cast(u_type).alias("_u"),
-                      F.lit(0).cast("long").alias("_v"))
-    u = updates.select(*keys, F.lit(None).cast(t_type).alias("_t"), u_struct.alias("_u"),
-                       version.alias("_v"))
-    g = t.unionByName(u).groupBy(*keys).agg(
-        F.first("_t", ignorenulls=True).alias("_t"),
-        F.max_by("_u", "_v").alias("_u"),
-        F.max("_v").alias("_v"))
-    out = [F.col(k) for k in keys]
-    for c in vals:
-        if c in upd_vals:
-            out.append(F.when(F.col("_v") > 0, F.col(f"_u.{c}")).otherwise(F.col(f"_t.{c}")).alias(c))
+    last = latest(updates, keys, order)
+    if order and order not in target.columns:
+        last = last.drop(order)
+    fields = [c for c in last.columns if c not in keys]
+    u = last.select(*[F.col(c).alias(f"_u_{c}") for c in [*keys, *fields]], F.lit(True).alias("_is_update"))
+    on = None
+    for k in keys:
+        c = F.col(k).eqNullSafe(F.col(f"_u_{k}"))
+        on = c if on is None else on & c
+    j = target.withColumn("_is_target", F.lit(True)).join(u, on, "full_outer")
+    hit = F.col("_is_update").isNotNull()
+    out = []
+    for c in target.columns:
+        if c in keys:
+            out.append(F.when(F.col("_is_target").isNotNull(), F.col(c)).otherwise(F.col(f"_u_{c}")).alias(c))
+        elif c in fields:
+            out.append(F.when(hit, F.col(f"_u_{c}")).otherwise(F.col(c)).alias(c))
         else:
-            out.append(F.col(f"_t.{c}").alias(c))
-    return g.select(*out)
+            out.append(F.col(c))
+    out += [F.col(f"_u_{c}").alias(c) for c in fields if c not in target.columns]
+    return j.select(*out)
 
 
 def write_labels(spark: SparkSession, df: DataFrame, path: str,
@@ -69,26 +82,18 @@ def upsert_table(spark: SparkSession, path: str, updates: DataFrame,
                  order: str | None = None) -> None:
     """Upsert ``updates`` into the partitioned parquet table at ``path``.
 
-    Only the partitions the updates touch are read (partition pruning on the
-    few distinct partition values of the updates), merged by key and
-    rewritten (dynamic partition overwrite); the rest of the table is not
-    read, shuffled or written. A missing table is created."""
-    # the distinct partition values of the updates: a handful of rows
-    parts = [tuple(r) for r in updates.select(*partition_by).distinct().collect()]
-    try:
-        target = spark.read.parquet(path)
-    except AnalysisException:  # no table yet: first write
-        target = None
+    Only the partitions the updates touch are rewritten (dynamic partition
+    overwrite), and read where the list of their values is small enough to
+    prune by. A missing table is created by the same merge; any other reading
+    error is raised. A field that is new to the table is added to the
+    rewritten partitions: read the table with ``mergeSchema``."""
+    target = read_if_exists(spark, path, merge=True)
     if target is None:
-        write_labels(spark, updates.drop(order) if order else updates, path, partition_by)
-        return
-    cond = None
-    for vals in parts:
-        c = None
-        for col, v in zip(partition_by, vals):
-            e = F.col(col).isNull() if v is None else (F.col(col) == F.lit(v))
-            c = e if c is None else (c & e)
-        cond = c if cond is None else (cond | c)
-    touched = target.filter(cond) if cond is not None else target.limit(0)
-    merged = upsert(touched, updates, keys, order)
-    write_labels(spark, merged.select(*target.columns), path, partition_by)
+        target = updates.drop(order).limit(0) if order else updates.limit(0)
+    parts = sized_broadcast(updates.select(*partition_by).distinct())
+    on = None
+    for k in partition_by:
+        c = target[k].eqNullSafe(parts[k])
+        on = c if on is None else on & c
+    touched = target.join(parts, on, "left_semi")
+    write_labels(spark, upsert(touched, updates, keys, order), path, partition_by)

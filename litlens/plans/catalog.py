@@ -20,7 +20,7 @@ from ..operators import upsert as U
 from ..sources import fixtures as X
 from ..sources.dims import local_dim
 from ..sources.papers import entries
-from ..sources.tables import read_table, spread
+from ..sources.tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -79,8 +79,7 @@ def decade_topic_pivot(spark, sf_dir):
 
 @query
 def decade_share_pivot(spark, sf_dir):
-    s = T.with_share(_counts(spark, sf_dir).filter(F.col("category") == "topic"))
-    return T.pivot_share(s, TOPIC_LABELS)
+    return T.pivot_share(T.with_share(_counts(spark, sf_dir)), TOPIC_LABELS, by=("category", "decade"))
 
 
 @query
@@ -193,17 +192,17 @@ def pending_tasks(spark, sf_dir):
     return L.pending_tasks(_tasks(spark, sf_dir), resolved(spark, sf_dir))
 
 
-# The prompting techniques compared on the topic task, one per run
-# of the answer log; self-consistency votes over 3 answers, the others retry.
+# The seven prompting loops compared on the topic task, one per run
+# of the answer log; one votes over 3 answers, the others retry.
 TECHNIQUES = [(1, "vanilla", "retry"), (2, "rephrase_and_respond", "retry"),
               (3, "emotion", "retry"), (4, "chain_of_thought", "retry"),
-              (5, "self_consistency", "vote")]
+              (5, "self_consistency", "vote"), (6, "few_shot", "retry"), (7, "combined", "retry")]
 
 
 @query
 def technique_invalid(spark, sf_dir):
     t = local_dim(spark, TECHNIQUES, [("run", "int"), ("technique", "string"), ("mode", "string")])
-    a = X.responses(spark, sf_dir).filter(F.col("category") == "topic")
+    a = X.responses(spark, sf_dir, runs=len(TECHNIQUES)).filter(F.col("category") == "topic")
     return L.technique_invalid(a, X.vocabulary(spark), t, max_attempts=5, votes=3)
 
 
@@ -219,18 +218,14 @@ def consistency_per_paper(spark, sf_dir):
     return _scores(spark, sf_dir)
 
 
-def _scores_with_runs(spark, sf_dir):
-    return A.consistency(resolved(spark, sf_dir), keep_runs=True)
-
-
 @query
 def consistency_by_category(spark, sf_dir):
-    return A.consistency_by_category(_scores_with_runs(spark, sf_dir), min_runs=2)
+    return A.consistency_by_category(_scores(spark, sf_dir))
 
 
 @query
 def consistency_box(spark, sf_dir):
-    return A.consistency_box(_scores_with_runs(spark, sf_dir), min_runs=2)
+    return A.consistency_box(_scores(spark, sf_dir))
 
 
 @query
@@ -276,10 +271,16 @@ def sample_papers(spark, sf_dir):
 
 @query
 def label_upsert(spark, sf_dir):
+    """Two versions of an update per paper (order negative, NULL or positive),
+    and a field the target does not have."""
     p = X.papers(spark, sf_dir)
-    updates = (p.filter(F.col("screen_alt").isNotNull())
-               .select("paper_id", F.col("screen_alt").alias("screen")))
-    return U.upsert(p.select("paper_id", "screen"), updates, ["paper_id"])
+    u = p.filter(F.col("screen_alt").isNotNull())
+    old = u.select("paper_id", F.lit("old").alias("screen"), F.lit("lost").alias("note"),
+                   F.when(F.col("paper_id") % 2 == 0, F.lit(-5)).alias("version"))
+    new = u.select("paper_id", F.col("screen_alt").alias("screen"), "lang",
+                   F.when(F.col("paper_id") % 2 == 0, -1).otherwise(F.col("paper_id")).cast("int").alias("version"))
+    updates = old.unionByName(new.withColumnRenamed("lang", "note"))
+    return U.upsert(p.select("paper_id", "screen"), updates, ["paper_id"], order="version")
 
 
 # ---- keyword taxonomy -------------------------------------------------------------
@@ -302,13 +303,18 @@ def _prompt_tasks(spark, sf_dir):
     return L.label_tasks(p, CATEGORIES, runs=1, keep=["entry_json", "entry_len"])
 
 
+# A limit that the longest documents of every test table exceed.
+SHORT_LIMIT = 2_000
+
+
 @query
 def prompt_budget(spark, sf_dir):
-    vj = P.vocabulary_json(X.vocabulary(spark))
+    """Tokens of each task's prompt under every technique's template, from
+    lengths only, against a limit that some papers exceed."""
     p = P.with_entry_length(T.screened(X.papers(spark, sf_dir))).select("paper_id", "entry_len")
     tasks = L.label_tasks(p, CATEGORIES, runs=1, keep=["entry_len"])
-    b = P.with_budget(tasks, vj)
-    return b.select("paper_id", "category", "prompt_tokens", "over_budget")
+    b = P.with_budget(tasks, X.tree_json(spark), X.prompt_templates(spark), limit=SHORT_LIMIT)
+    return b.select("paper_id", "category", "technique", "prompt_tokens", "over_budget")
 
 
 def stub_answers(batch):
@@ -317,7 +323,7 @@ def stub_answers(batch):
     some calls fail."""
     out = []
     for pid, prompt, attempt in zip(batch["paper_id"], batch["prompt"], batch["attempt"]):
-        if (int(pid) + int(attempt)) % 5 == 0:
+        if (int(str(pid).lstrip("p")) + int(attempt)) % 5 == 0:
             out.append(None)
         else:
             out.append(f" label {(len(prompt) + 3 * int(attempt)) % 8} ")
@@ -364,7 +370,7 @@ def label_source_contingency(spark, sf_dir):
 
 
 def _orders(spark, sf_dir):
-    o = spread(spark, read_table(spark, sf_dir, "orders"))
+    o = read_table(spark, sf_dir, "orders")
     return o.select(F.year("o_orderdate").alias("year"),
                     F.lit("o_orderpriority").alias("category"),
                     F.col("o_orderpriority").alias("label"))
@@ -390,7 +396,7 @@ def orders_priority_share_by_year(spark, sf_dir):
 
 @query
 def events_top_type_per_day(spark, sf_dir):
-    e = spread(spark, read_table(spark, sf_dir, "events")).filter(
+    e = read_table(spark, sf_dir, "events").filter(
         F.col("ts").isNotNull() & F.col("event_type").isNotNull())
     e = e.select(F.to_date("ts").alias("day"), F.lit("event_type").alias("category"),
                  F.col("event_type").alias("label"))
@@ -401,10 +407,10 @@ def events_top_type_per_day(spark, sf_dir):
 
 @query
 def conversation_roles(spark, sf_dir):
-    """Roles of each conversation in turn order (an ordered list per key)."""
-    c = spread(spark, read_table(spark, sf_dir, "conversations")).select(
+    """Roles of each conversation in turn order, one row per turn."""
+    c = read_table(spark, sf_dir, "conversations").select(
         "conv_id", F.lit("role").alias("category"), "turn", F.col("role").alias("label"))
-    return A.assigned_labels(c, id_col="conv_id", order_col="turn", chunk=1000)
+    return A.ordered_labels(c, id_col="conv_id", order_col="turn")
 
 
 @query
@@ -451,6 +457,60 @@ def screening_resume_stub(spark, sf_dir):
 
 @query
 def prompt_build(spark, sf_dir):
-    """The full prompt text of every labelling task of the screened papers."""
-    vj = P.vocabulary_json(X.vocabulary(spark))
-    return P.with_prompt(_prompt_tasks(spark, sf_dir), vj).select("paper_id", "category", "prompt")
+    """The full prompt text of every labelling task of the screened papers, by
+    the template of each technique, over the nested category tree."""
+    return P.with_prompt(_prompt_tasks(spark, sf_dir), X.tree_json(spark), X.prompt_templates(spark)).select(
+        "paper_id", "category", "technique", "prompt")
+
+
+@query
+def label_collection_string_ids(spark, sf_dir):
+    """The labelling run over papers whose ids are strings."""
+    from ..operators.labelling import label_collection
+    p = T.screened(X.papers(spark, sf_dir)).withColumn("paper_id", F.concat(F.lit("p"), F.col("paper_id")))
+    return label_collection(spark, p, X.vocabulary(spark), stub_answers, CATEGORIES, runs=1, slices=2)
+
+
+@query
+def consistency_uneven_runs(spark, sf_dir):
+    """Runs numbered from 64 on, one category with a single run (not scored),
+    one excluded by name."""
+    lab = resolved(spark, sf_dir).filter((F.col("category") != "ethics") | (F.col("run") == 1))
+    lab = lab.withColumn("run", F.col("run") + 63)
+    return A.consistency_by_category(A.consistency(lab), exclude=["openness"])
+
+
+@query
+def conversation_first_word(spark, sf_dir):
+    """An answer log of real strings: the first word of each turn is an answer,
+    the turns of a conversation are its attempts."""
+    vocab = local_dim(spark, [("opening", v) for v in OPENING_WORDS], [("category", "string"), ("label", "string")])
+    turns = read_table(spark, sf_dir, "conversations")
+    log = turns.select(F.col("conv_id").alias("paper_id"), F.lit("opening").alias("category"), F.lit(1).alias("run"),
+                       (F.col("turn") + 1).cast("int").alias("attempt"),
+                       F.concat(F.lit(" "), F.lower(F.substring_index("text", " ", 1)), F.lit("\n")).alias("response"))
+    return L.resolve_answers(log, vocab, max_attempts=5)
+
+
+# Words that open a turn.
+OPENING_WORDS = ["the", "of", "is", "was", "and", "an", "de", "la", "le", "der", "die", "das", "los", "as"]
+
+
+@query
+def stream_resolve_compacted(spark, sf_dir):
+    """The stream compacted after two waves, the merged batches deleted, the
+    last one replayed from a checkpoint that does not know it, then the third
+    wave: the labels equal the batch resolution."""
+    from ..session import scratch_path
+    from ..streaming import resolve_stream as R
+    base = scratch_path(spark, "stream-compacted")
+    src, parts = f"{base}/answers", f"{base}/partials"
+    resp, vocab = X.responses(spark, sf_dir), X.vocabulary(spark)
+    for wave, checkpoint in (((3, 1), "a"), ((2,), "b")):
+        for k in wave:
+            resp.filter(F.col("attempt") == k).write.mode("append").parquet(src)
+        R.start_resolve_stream(spark, src, vocab, parts, f"{base}/{checkpoint}").awaitTermination()
+        R.compact_partials(spark, parts)
+        R.drop_batches(spark, parts)
+    R.start_resolve_stream(spark, src, vocab, parts, f"{base}/c").awaitTermination()
+    return R.read_labels(spark, parts).drop("seen")

@@ -9,7 +9,7 @@ from __future__ import annotations
 PAPERS = """papers AS (
   SELECT doc_id AS paper_id, source AS venue, lang,
     concat('paper ', CAST(doc_id AS VARCHAR)) AS title,
-    CASE WHEN doc_id % 53 = 0 THEN NULL ELSE substr(text, 1, 400) END AS abstract,
+    CASE WHEN doc_id % 53 = 0 THEN NULL ELSE text END AS abstract,
     text AS fulltext,
     CASE WHEN doc_id % 37 = 0 THEN NULL WHEN doc_id % 41 = 0 THEN 'n.d.'
          WHEN doc_id % 43 = 0 THEN '31-02-2001'
@@ -122,9 +122,9 @@ SELECT decade,
 FROM counts WHERE category = 'topic' GROUP BY decade"""
 
 SQL["decade_share_pivot"] = _with(*TREND_CTES) + f"""
-SELECT decade,
+SELECT category, decade,
   {_pivot_cols('pct', '0.0', 'DOUBLE')}
-FROM shares WHERE category = 'topic' GROUP BY decade"""
+FROM shares GROUP BY category, decade"""
 
 SQL["label_span"] = _with(*TREND_CTES) + """
 SELECT category, label, min(year) AS first_year, max(year) AS last_year,
@@ -225,10 +225,13 @@ WHERE p.screen = 'yes' AND NOT EXISTS (
 
 TECHNIQUES = """techniques AS (
   SELECT * FROM (VALUES (1, 'vanilla', 'retry'), (2, 'rephrase_and_respond', 'retry'),
-    (3, 'emotion', 'retry'), (4, 'chain_of_thought', 'retry'), (5, 'self_consistency', 'vote'))
+    (3, 'emotion', 'retry'), (4, 'chain_of_thought', 'retry'), (5, 'self_consistency', 'vote'),
+    (6, 'few_shot', 'retry'), (7, 'combined', 'retry'))
     AS t(run, technique, mode))"""
 
-SQL["technique_invalid"] = _with(PAPERS, VOCAB, RESPONSES, CHECKED, TECHNIQUES) + f"""
+SEVEN_RUNS = RESPONSES.replace("(4), (5)) AS r(run)", "(4), (5), (6), (7)) AS r(run)")
+
+SQL["technique_invalid"] = _with(PAPERS, VOCAB, SEVEN_RUNS, CHECKED, TECHNIQUES) + f"""
 , retry AS (
   SELECT t.technique, c.paper_id, c.category, c.run,
     bool_or(c.valid) AS ok
@@ -322,7 +325,9 @@ FROM papers WHERE screen_alt = 'yes'
 ORDER BY {SAMPLE_KEY}, paper_id LIMIT 10"""
 
 SQL["label_upsert"] = _with(PAPERS) + """
-SELECT paper_id, coalesce(screen_alt, screen) AS screen FROM papers"""
+SELECT paper_id, coalesce(screen_alt, screen) AS screen,
+       CASE WHEN screen_alt IS NOT NULL THEN lang END AS note
+FROM papers"""
 
 # ---- keyword taxonomy -------------------------------------------------------------
 
@@ -353,6 +358,12 @@ FROM papers p LEFT JOIN ranked r ON r.paper_id = p.paper_id AND r.rk = 1"""
 
 # ---- prompts and answering ----------------------------------------------------------
 
+# the prompt around the paper and the labels
+PROMPT_START = "Classify the research paper below into exactly one of the allowed labels.\nPaper (JSON):\n"
+PROMPT_MIDDLE = "\nAllowed labels (JSON keys):\n"
+PROMPT_END = "\nAnswer with the label only.\n"
+
+
 def _json_len(col: str) -> str:
     short = f"""length(regexp_replace({col}, '[^"\\\\\\n\\r\\t\\x08\\x0c]', '', 'g'))"""
     ctrl = f"""length(regexp_replace({col}, '[^\\x00-\\x07\\x0b\\x0e-\\x1f]', '', 'g'))"""
@@ -360,8 +371,7 @@ def _json_len(col: str) -> str:
 
 
 def _prompt_len_sql(fields=("_id", "abstract", "title", "fulltext")) -> str:
-    from ..functions.prompts import DEFAULT_TEMPLATE
-    fixed_template = len(DEFAULT_TEMPLATE) - len("{entry}") - len("{categories}")
+    fixed_template = len(PROMPT_START + PROMPT_MIDDLE + PROMPT_END)
     fixed_entry = 4 + sum(len(f'  "{f}": ') for f in fields) + 2 * (len(fields) - 1)
     cols = ["CAST(p.paper_id AS VARCHAR)" if f == "_id" else f"p.{f}" for f in fields]
     return f"{fixed_template} + {fixed_entry} + " + " + ".join(_json_len(c) for c in cols) + " + vj.cl"
@@ -373,9 +383,44 @@ plen AS (
   SELECT p.paper_id, vj.category, {_prompt_len_sql()} AS plen
   FROM papers p CROSS JOIN vj WHERE p.screen = 'yes')"""
 
-SQL["prompt_budget"] = _with(PAPERS, VOCAB, PROMPT_LEN) + """
-SELECT paper_id, category, CAST(plen // 4 AS BIGINT) AS prompt_tokens, plen // 4 > 131000 AS over_budget
-FROM plen"""
+TOPIC_JSON = "{\n" + ",\n".join(f'  "label {k}": [\n    "stem{k}*",\n    "word{k}*"\n  ]' for k in range(7)) + "\n}"
+ETHICS_JSON = """{
+  "silent": {
+    "label 0": {}
+  },
+  "spoken": {
+    "label 1": {},
+    "label 2": {}
+  }
+}"""
+OPENNESS_JSON = """{
+  "label 0": {},
+  "label 1": {},
+  "label 2": {},
+  "label 3": {}
+}"""
+
+
+def _text(value: str) -> str:
+    return "concat(" + ", chr(10), ".join(f"'{part}'" for part in value.split("\n")) + ")"
+
+
+# category, technique, text before the paper, between paper and labels, after the labels
+PROMPTS = "prompts AS (SELECT * FROM (VALUES " + ", ".join(
+    f"('{c}', '{t}', {_text(a)}, {_text(b)}, {_text(z)}, {_text(j)})" for c, t, a, b, z, j in [
+        ("topic", "plain", "Name the topic of this paper.\n", "\nTopics and their stems:\n", "\n", TOPIC_JSON),
+        ("topic", "steps", "Think step by step. Paper: ", "\nWhich one of ", " fits? Label only.", TOPIC_JSON),
+        ("ethics", "plain", "Does this paper treat ethics?\n", "\nOne of:\n", "", ETHICS_JSON),
+        ("ethics", "steps", "Quote what the paper says on ethics, then decide.\n", "\n", "\n", ETHICS_JSON),
+        ("openness", "plain", "Paper:\n", "\nWhat does it publish? ", "", OPENNESS_JSON),
+        ("openness", "steps", "List what the paper publishes.\n", "\nThen choose from ", ".", OPENNESS_JSON),
+    ]) + ") AS x(category, technique, a, b, z, labels))"
+
+SQL["prompt_budget"] = _with(PAPERS, PROMPTS) + f"""
+SELECT paper_id, category, technique, CAST(n // 4 AS BIGINT) AS prompt_tokens, n // 4 > 2000 AS over_budget
+FROM (SELECT p.paper_id, x.category, x.technique, length(x.a) + length(x.b) + length(x.z) + length(x.labels) + 
+        {_prompt_len_sql().replace(" + vj.cl", "")} - {len(PROMPT_START + PROMPT_MIDDLE + PROMPT_END)} AS n
+      FROM papers p CROSS JOIN prompts x WHERE p.screen = 'yes')"""
 
 SQL["label_batch_stub"] = _with(PAPERS, VOCAB, PROMPT_LEN) + f"""
 , att AS (
@@ -435,9 +480,9 @@ SELECT category, day, label, cnt, total, pct, CAST(rank AS INTEGER) AS rank FROM
 WHERE rank <= 1"""
 
 SQL["conversation_roles"] = """
-SELECT conv_id, 'role' AS category, CAST(floor(turn / 1000) AS BIGINT) AS piece,
-       string_agg(role, ', ' ORDER BY turn) AS labels, count(*) AS n_runs
-FROM conversations WHERE role IS NOT NULL GROUP BY conv_id, floor(turn / 1000)"""
+SELECT conv_id, 'role' AS category, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS position,
+       role AS label
+FROM conversations WHERE role IS NOT NULL"""
 
 SQL["label_collection_stub"] = SQL["label_batch_stub"]
 
@@ -471,25 +516,41 @@ def _json_text(col: str) -> str:
     return f"(CASE WHEN {col} IS NULL THEN 'null' ELSE concat('\"', {e}, '\"') END)"
 
 
-def _prompt_text_sql() -> str:
-    from ..functions.prompts import DEFAULT_TEMPLATE, LABEL_FIELDS
-    a, rest = DEFAULT_TEMPLATE.split("{entry}", 1)
-    b, c = rest.split("{categories}", 1)
-    lit = lambda t: "'" + t.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+def _entry_sql() -> str:
+    fields = ["_id", "abstract", "title", "fulltext"]
     parts = ["'{' || chr(10)"]
-    for i, f in enumerate(LABEL_FIELDS):
+    for i, f in enumerate(fields):
         col = "CAST(p.paper_id AS VARCHAR)" if f == "_id" else f"p.{f}"
-        sep = "',' || chr(10)" if i < len(LABEL_FIELDS) - 1 else "chr(10)"
+        sep = "',' || chr(10)" if i < len(fields) - 1 else "chr(10)"
         parts += [f"'  \"{f}\": '", _json_text(col), sep]
     parts.append("'}'")
-    entry = " || ".join(parts)
-    return f"{lit(a)} || {entry} || {lit(b)} || vj.txt || {lit(c)}"
+    return " || ".join(parts)
+
 
+SQL["prompt_build"] = _with(PAPERS, PROMPTS) + f"""
+SELECT p.paper_id, x.category, x.technique, x.a || {_entry_sql()} || x.b || x.labels || x.z AS prompt
+FROM papers p CROSS JOIN prompts x WHERE p.screen = 'yes'"""
+
+# ---- queries over edge cases of the operators above ------------------------------
+
+SQL["label_collection_string_ids"] = SQL["label_batch_stub"].replace(
+    "(x.plen + 3 *", "(x.plen + 1 + 3 *").replace(
+    "SELECT paper_id, category, 1 AS run,", "SELECT concat('p', CAST(paper_id AS VARCHAR)) AS paper_id, category, 1 AS run,")
+
+SQL["consistency_uneven_runs"] = _with(*AGREE_CTES) + """
+SELECT category, round(avg(consistency), 6) AS mean_consistency, count(consistency) AS n_papers
+FROM scores WHERE category NOT IN ('ethics', 'openness') GROUP BY category"""
+
+SQL["conversation_first_word"] = r"""
+WITH answers AS (
+  SELECT conv_id, turn + 1 AS attempt,
+         regexp_replace(lower(split_part(text, ' ', 1)), '^\s+|\s+$', '', 'g') AS answer
+  FROM conversations WHERE turn < 5)
+SELECT conv_id AS paper_id, 'opening' AS category, 1 AS run,
+  coalesce(arg_min(answer, attempt) FILTER (WHERE valid), 'invalid result') AS label,
+  CAST(min(attempt) FILTER (WHERE valid) AS INTEGER) AS attempts_used
+FROM (SELECT *, answer IN ('the', 'of', 'is', 'was', 'and', 'an', 'de', 'la', 'le', 'der', 'die', 'das', 'los', 'as')
+      AS valid FROM answers)
+GROUP BY conv_id"""
 
-SQL["prompt_build"] = _with(PAPERS, VOCAB) + f"""
-, vj AS (
-  SELECT category, '{{' || chr(10) || string_agg('  "' || label || '": {{}}', ',' || chr(10) ORDER BY label)
-         || chr(10) || '}}' AS txt
-  FROM vocab GROUP BY category)
-SELECT p.paper_id, vj.category, {_prompt_text_sql()} AS prompt
-FROM papers p CROSS JOIN vj WHERE p.screen = 'yes'"""
+SQL["stream_resolve_compacted"] = SQL["resolve_answers"]

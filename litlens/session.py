@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -30,12 +31,18 @@ DEFAULT_CONF = {
 }
 
 
+def _driver_memory() -> str:
+    """Half of the machine's memory, 16 GiB at most."""
+    total = os.sysconf("SC_PAGE_SIZE") * os.sysconf("SC_PHYS_PAGES")
+    return f"{max(1, min(16 << 10, total // 2 >> 20))}m"
+
+
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
                   app: str = "litlens") -> SparkSession:
     """A local session as used by tests and ``bench.py``."""
     b = (SparkSession.builder.master(f"local[{cores}]").appName(app)
          .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-         .config("spark.driver.memory", os.environ.get("LITLENS_DRIVER_MEMORY", "16g")))
+         .config("spark.driver.memory", os.environ.get("LITLENS_DRIVER_MEMORY", _driver_memory())))
     for k, v in DEFAULT_CONF.items():
         b = b.config(k, v)
     spark = b.getOrCreate()
@@ -48,29 +55,29 @@ def scratch_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
     On a cluster this is set by the deployment and points at shared storage;
-    if it is unset there, this fails rather than falling back to a local
-    folder. Only in local mode (tests, the bench) a folder of our own is made
-    and registered, so ``DataFrame.checkpoint()`` and streaming checkpoints work.
+    if it is unset there, or names a machine-local ``file:`` folder, this
+    fails. Only in local mode (tests, the bench) a folder of our own is made
+    where none is set, so ``DataFrame.checkpoint()`` and streaming checkpoints
+    work.
     """
+    local = spark.sparkContext.master.startswith("local")
     d = spark.conf.get("spark.checkpoint.dir", None)
+    if d and d.startswith("file:") and not local:
+        raise RuntimeError(f"spark.checkpoint.dir is {d}: on a cluster it must name a folder on shared storage")
+    if not d:
+        d = spark.sparkContext.getCheckpointDir()
     if not d:
-        if not spark.sparkContext.master.startswith("local"):
+        if not local:
             raise RuntimeError("spark.checkpoint.dir is not set: on a cluster it must name a "
                                "folder on shared storage (a machine-local folder would be lost "
                                "with its executor)")
         d = tempfile.mkdtemp(prefix="litlens-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(d)
     return d
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh sub-folder of the shared scratch folder for one job."""
-    base = scratch_dir(spark)
-    if "://" in base and not base.startswith("file:"):
-        import uuid
-        return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    base = base[len("file:"):] if base.startswith("file:") else base
-    os.makedirs(base, exist_ok=True)
-    return tempfile.mkdtemp(prefix=f"{name}-", dir=base)
+    """A fresh sub-folder of the shared scratch folder for one job. Only Spark
+    opens it, so it may be on any file system."""
+    return f"{scratch_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -10,9 +10,12 @@ its raw JSON value in file order.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.prompts import LABEL_FIELDS, SCREEN_FIELDS
 from ..operators.labels import INVALID_ENTRY, INVALID_RESULT
 from .dims import local_dim
 
@@ -71,13 +74,32 @@ TASKS = [
 ]
 
 
+def category_json(spark: SparkSession, path: str) -> DataFrame:
+    """``(category, categories_json)`` per labelling task: the task's part of
+    the tree as it stands there (groups, stems and file order kept), or its
+    fixed list; two-space indent. The tree is one small configuration file,
+    read whole."""
+    tree = json.loads(spark.read.text(path, wholetext=True).first()[0])
+    rows = [(task, json.dumps(tree[category] if category else {v: {} for v in fixed}, indent=2, ensure_ascii=False))
+            for task, category, fixed, _, _ in TASKS if category is None or category in tree]
+    return local_dim(spark, rows, [("category", "string"), ("categories_json", "string")])
+
+
+def task_settings(task: str) -> dict:
+    """Keyword arguments of ``label_collection`` for one task: attempts,
+    sentinel, and the paper fields its prompt shows."""
+    attempts, sentinel = next((n, s) for t, _, _, n, s in TASKS if t == task)
+    return {"max_attempts": attempts, "sentinel": sentinel,
+            "fields": SCREEN_FIELDS if task == "screen" else LABEL_FIELDS}
+
+
 def task_vocabulary(spark: SparkSession, label_dim: DataFrame) -> DataFrame:
-    """``(category, label)`` allowed per labelling task; labels present in two
-    groups of a category (``Other``) appear once."""
+    """``(category, label, ord)`` allowed per labelling task, in file order;
+    labels present in two groups of a category (``Other``) appear once."""
     tree_map = [(t, c) for t, c, fixed, _, _ in TASKS if c is not None]
-    fixed = [(t, lab) for t, c, vals, _, _ in TASKS if vals for lab in vals]
+    fixed = [(t, lab, k) for t, c, vals, _, _ in TASKS if vals for k, lab in enumerate(vals, 1)]
     m = local_dim(spark, tree_map, [("task", "string"), ("category", "string")])
     from_tree = (label_dim.join(F.broadcast(m), "category")
-                 .select(F.col("task").alias("category"), "label"))
+                 .groupBy(F.col("task").alias("category"), "label").agg(F.min("ord").alias("ord")))
     return from_tree.unionByName(
-        local_dim(spark, fixed, [("category", "string"), ("label", "string")])).distinct()
+        local_dim(spark, fixed, [("category", "string"), ("label", "string"), ("ord", "int")]))

@@ -7,22 +7,27 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-PAPER_SCHEMA = ("paper_id long, venue string, lang string, title string, abstract string, "
-                "fulltext string, date_publication string, screen string, screen_alt string")
+# ids are strings in a paper collection; a numeric id column is read with its own
+# type by passing another schema
+PAPER_SCHEMA = ("paper_id string, venue string, lang string, title string, abstract string, "
+                "fulltext string, date_publication string, url string, screen string, screen_alt string")
 PAPER_JSON_SCHEMA = ("_id string, title string, abstract string, fulltext string, "
                      "date_publication string, url string")
 
 
 def load_papers(spark: SparkSession, path: str, schema: str = PAPER_SCHEMA) -> DataFrame:
     """The paper collection from parquet with an explicit schema; a field
-    absent from the files reads as NULL."""
-    return spark.read.schema(schema).parquet(path)
+    absent from the files reads as NULL. The id keeps the type it has in the
+    files, so string and numeric ids both work."""
+    kind = spark.read.parquet(path).schema["paper_id"].dataType.simpleString()
+    return spark.read.schema(schema.replace("paper_id string", f"paper_id {kind}")).parquet(path)
 
 
 def load_papers_json(spark: SparkSession, path: str, schema: str = PAPER_JSON_SCHEMA) -> DataFrame:
-    """Papers from UTF-8 JSON files holding one array of paper objects each."""
+    """Papers from UTF-8 JSON files holding one array of paper objects each;
+    ``_id`` becomes ``paper_id``, the key every operator uses."""
     return (spark.read.schema(schema).option("multiLine", True).option("encoding", "UTF-8")
-            .json(path))
+            .json(path).withColumnRenamed("_id", "paper_id"))
 
 
 def write_share_csv(shares: DataFrame, out_dir: str, labels: dict[str, Sequence[str]],

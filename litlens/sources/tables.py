@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import os
-from urllib.parse import urlparse
-
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = ("region nation customer supplier part orders lineitem events documents "
@@ -16,24 +14,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-# Tables above this size are never spread: they are split by row group anyway.
-SPREAD_MAX_BYTES = 1 << 30
-
-
-def spread(spark: SparkSession, df: DataFrame) -> DataFrame:
-    """Spread a small table stored in fewer files than the cluster has cores.
-
-    A single-file table with one row group is scanned by one task however it
-    is split, and everything downstream of the scan (tokenising, fan-out)
-    would run on one core. Such a table is round-robined over the cores once.
-    Only small local tables qualify (under 1 GiB in total): a large table is
-    split by row group, and a table on distributed storage is left alone, so
-    a big input is never shuffled for this. Filters and column pruning still
-    reach the scan below the repartition.
-    """
-    cores = spark.sparkContext.defaultParallelism
-    files = df.inputFiles()
-    if len(files) >= cores or not all(f.startswith("file:") for f in files):
-        return df
-    size = sum(os.path.getsize(urlparse(f).path) for f in files)
-    return df.repartition(cores) if size <= SPREAD_MAX_BYTES else df
+def read_if_exists(spark: SparkSession, path: str, merge: bool = False) -> DataFrame | None:
+    """The parquet table at ``path``, or None if there is no such path yet;
+    every other error (a damaged file, another format) is raised."""
+    try:
+        return spark.read.option("mergeSchema", merge).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise

@@ -3,59 +3,72 @@
 Retries of one task can land in different micro-batches and out of order,
 so resolving each batch and overwriting the label would be wrong. Instead
 each micro-batch writes a *mergeable partial* per task:
-``best = min(struct(attempt, answer))`` over allowed answers and
-``seen = max(attempt)``, into partition ``batch_id=N`` with dynamic
+``best = min(attempt, label id)`` over allowed answers, packed into one long,
+and ``seen = max(attempt)``, into partition ``batch_id=N`` with dynamic
 overwrite, so a replayed batch replaces its own output (idempotent). The
 label view merges the partials with ``min(best)``/``max(seen)``, which
 equals the batch resolution over the same answers. The key set lives in
-the partial files, not in streaming state, so no watermark is needed; old
-partials can be compacted with the same merge.
+the partial files, not in streaming state, so no watermark is needed.
+
+Layout: ``<partials>`` holds the stream's batches, ``<partials>-labels`` the
+label behind each id, ``<partials>-base`` merged partials in a folder per
+compaction, and ``<partials>-marker`` the compactions that are complete.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.batch import ANSWER_LOG_SCHEMA
 from ..functions.scalars import py_strip
-from ..operators.labels import INVALID_RESULT, TASK_KEYS, allowed_answers
+from ..operators.batch import answer_log_schema
+from ..operators.labels import INVALID_RESULT, TASK_KEYS
+from ..plans.joins import sized_broadcast
+from ..sources.tables import read_if_exists
+
+ID_BITS = 40
+
+
+def label_ids(vocab: DataFrame) -> DataFrame:
+    """``(category, answer, label_id)``: the id is a hash of the label's text,
+    so it is the same in every batch and every restart."""
+    v = vocab.select("category", F.col("label").alias("answer")).distinct()
+    return v.withColumn("label_id", F.xxhash64("answer").bitwiseAND(F.lit((1 << ID_BITS) - 1)))
 
 
-def partial_resolve(answers: DataFrame, allowed: DataFrame, max_attempts: int = 3) -> DataFrame:
-    """Mergeable per-task partial of :func:`resolve_answers`; ``allowed`` is
-    the prepared vocabulary (:func:`allowed_answers`)."""
+def partial_resolve(answers: DataFrame, ids: DataFrame, max_attempts: int = 3) -> DataFrame:
+    """Mergeable per-task partial of :func:`resolve_answers`; ``ids`` is the
+    prepared vocabulary (:func:`label_ids`)."""
     a = (answers.filter(F.col("attempt").between(1, max_attempts))
          .withColumn("answer", py_strip(F.col("response"))))
-    v = (a.join(allowed, ["category", "answer"], "left")
-          .withColumn("valid", F.coalesce(F.col("valid"), F.lit(False))))
-    return v.groupBy(*TASK_KEYS).agg(
-        F.min(F.when(F.col("valid"), F.struct("attempt", "answer"))).alias("best"),
-        F.max("attempt").alias("seen"))
+    best = F.shiftleft(F.col("attempt").cast("long"), ID_BITS) + F.col("label_id")
+    return (a.join(ids, ["category", "answer"], "left").groupBy(*TASK_KEYS)
+             .agg(F.min(best).alias("best"), F.max("attempt").alias("seen")))
 
 
-def merge_partials(partials: DataFrame, sentinel: str = INVALID_RESULT) -> DataFrame:
-    """Labels from partials: ``(paper_id, category, run, label, attempts_used)``
-    plus ``seen`` (highest attempt that arrived)."""
-    m = partials.groupBy(*TASK_KEYS).agg(F.min("best").alias("best"), F.max("seen").alias("seen"))
-    return m.select(*TASK_KEYS, F.coalesce(F.col("best.answer"), F.lit(sentinel)).alias("label"),
-                    F.col("best.attempt").alias("attempts_used"), "seen")
+def merge_partials(partials: DataFrame) -> DataFrame:
+    """One partial per task; merging again, or a partial twice, changes nothing."""
+    return partials.groupBy(*TASK_KEYS).agg(F.min("best").alias("best"), F.max("seen").alias("seen"))
 
 
 def start_resolve_stream(spark: SparkSession, answers_dir: str, vocab: DataFrame,
                          partials_dir: str, checkpoint_dir: str, max_attempts: int = 3,
-                         files_per_batch: int | None = None,
-                         available_now: bool = True) -> StreamingQuery:
+                         files_per_batch: int | None = None, available_now: bool = True,
+                         id_type: str = "bigint") -> StreamingQuery:
     """Stream parquet answer files from ``answers_dir`` into partials."""
-    reader = spark.readStream.schema(ANSWER_LOG_SCHEMA)
+    reader = spark.readStream.schema(answer_log_schema(id_type))
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     answers = reader.parquet(answers_dir)
-    allowed = allowed_answers(vocab)  # size-checked once, reused by every micro-batch
+    ids = label_ids(vocab)
+    ids.write.mode("append").parquet(f"{partials_dir}-labels")  # a repeated start repeats rows, not ids
+    ids = sized_broadcast(ids)  # size-checked once, reused by every micro-batch
 
     def write_partial(batch: DataFrame, batch_id: int) -> None:
-        (partial_resolve(batch, allowed, max_attempts)
+        (partial_resolve(batch, ids, max_attempts)
          .withColumn("batch_id", F.lit(batch_id))
          .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy("batch_id").parquet(partials_dir))
@@ -65,27 +78,62 @@ def start_resolve_stream(spark: SparkSession, answers_dir: str, vocab: DataFrame
     return w.start()
 
 
+def _last_base(spark: SparkSession, partials_dir: str) -> tuple[str, int] | None:
+    """Folder and last batch id of the newest complete compaction."""
+    marker = read_if_exists(spark, f"{partials_dir}-marker")
+    row = None if marker is None else marker.orderBy(F.col("version").desc()).first()
+    return None if row is None else (row.folder, row.upto)
+
+
+def _all_partials(spark: SparkSession, partials_dir: str) -> DataFrame:
+    """The newest merged partials and every batch still there; batches that are
+    in both count once, as the merge is idempotent."""
+    batches = spark.read.parquet(partials_dir).select(*TASK_KEYS, "best", "seen")
+    base = _last_base(spark, partials_dir)
+    return batches if base is None else spark.read.parquet(base[0]).unionByName(batches)
+
+
 def read_labels(spark: SparkSession, partials_dir: str, sentinel: str = INVALID_RESULT) -> DataFrame:
-    """The current labels from everything the stream has written."""
-    return merge_partials(spark.read.parquet(partials_dir), sentinel)
-
-
-def compact_partials(spark: SparkSession, partials_dir: str) -> None:
-    """Merge all partials into one partial per task, in place.
-
-    The merged rows keep the partial form (``best``, ``seen``) and go to the
-    highest batch id seen, so later micro-batches still land in new
-    partitions. The merge is checkpointed into the shared scratch folder
-    before the folder is overwritten (it reads what it replaces). ``min`` and
-    ``max`` are idempotent, so a batch replayed after compaction changes
-    nothing."""
-    from ..session import scratch_dir
-    scratch_dir(spark)
-    p = spark.read.parquet(partials_dir)
+    """The current labels from everything the stream has written:
+    ``(paper_id, category, run, label, attempts_used)`` plus ``seen`` (highest
+    attempt that arrived)."""
+    names = (spark.read.parquet(f"{partials_dir}-labels").select("label_id", F.col("answer").alias("label"))
+             .distinct())
+    m = merge_partials(_all_partials(spark, partials_dir))
+    m = m.withColumn("label_id", F.col("best").bitwiseAND(F.lit((1 << ID_BITS) - 1)))
+    return m.join(sized_broadcast(names), "label_id", "left").select(
+        *TASK_KEYS, F.coalesce("label", F.lit(sentinel)).alias("label"),
+        F.shiftright("best", ID_BITS).cast("int").alias("attempts_used"), "seen")
+
+
+def compact_partials(spark: SparkSession, partials_dir: str) -> int | None:
+    """Merge all partials into a new base; returns the last batch id in it.
+
+    The merge goes to a folder of its own, outside the batches, and counts
+    only when its marker row is written: a crash before that leaves the old
+    base in force. Batches that arrive meanwhile, or are replayed afterwards,
+    are read besides the base, so nothing can be lost. Batches up to the
+    returned id may be deleted with :func:`drop_batches`."""
     # the highest batch id: a partition column, answered from the file listing
-    last = p.agg(F.max("batch_id")).first()[0]
-    merged = (p.groupBy(*TASK_KEYS).agg(F.min("best").alias("best"), F.max("seen").alias("seen"))
-               .withColumn("batch_id", F.lit(last)))
-    stable = merged.checkpoint(eager=True)
-    (stable.write.mode("overwrite").option("partitionOverwriteMode", "static")
-     .partitionBy("batch_id").parquet(partials_dir))
+    upto = spark.read.parquet(partials_dir).agg(F.max("batch_id")).first()[0]
+    before = read_if_exists(spark, f"{partials_dir}-marker")
+    version = 1 + (0 if before is None else before.agg(F.max("version")).first()[0])
+    folder = f"{partials_dir}-base/{version}-{uuid.uuid4().hex}"
+    merge_partials(_all_partials(spark, partials_dir)).write.parquet(folder)
+    mark = spark.range(1).select(F.lit(version).alias("version"), F.lit(folder).alias("folder"),
+                                 F.lit(upto).cast("long").alias("upto"))
+    mark.write.mode("append").parquet(f"{partials_dir}-marker")
+    return upto
+
+
+def drop_batches(spark: SparkSession, partials_dir: str) -> None:
+    """Delete the batches that the newest complete base holds; a replayed one
+    comes back and is merged again without effect."""
+    base = _last_base(spark, partials_dir)
+    if base is None:
+        return
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    old = spark.read.parquet(partials_dir).filter(F.col("batch_id") <= base[1]).select("batch_id").distinct()
+    for (batch,) in old.toLocalIterator():
+        path = hadoop.Path(f"{partials_dir}/batch_id={batch}")
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

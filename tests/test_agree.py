@@ -59,16 +59,39 @@ def test_contingency_missing_and_domain(spark):
     assert sum(got.values()) == 3
 
 
-def test_long_lists_come_in_bounded_pieces(spark):
+def test_ordered_labels_are_long_rows(spark):
     rows = [(1, "role", t, "user" if t % 2 == 0 else "assistant") for t in range(2500)]
-    rows += [(2, "role", 0, "user")]
+    rows += [(2, "role", 7, "user"), (2, "role", 3, None), (2, "role", 1, "x")]
     df = spark.createDataFrame(rows, "conv_id long, category string, turn long, label string")
-    got = sorted((r.conv_id, r.piece, r.n_runs) for r in
-                 A.assigned_labels(df, id_col="conv_id", order_col="turn", chunk=1000).collect())
-    assert got == [(1, 0, 1000), (1, 1, 1000), (1, 2, 500), (2, 0, 1)]
-    first = A.assigned_labels(df, id_col="conv_id", order_col="turn", chunk=1000) \
-        .filter("conv_id = 1 AND piece = 0").collect()[0].labels
-    assert first.startswith("user, assistant, user") and first.count(",") == 999
+    got = A.ordered_labels(df, id_col="conv_id", order_col="turn").orderBy("conv_id", "position").collect()
+    assert [(r.position, r.label) for r in got if r.conv_id == 1] == [(t + 1, r[3]) for t, r in enumerate(rows[:2500])]
+    assert [(r.position, r.label) for r in got if r.conv_id == 2] == [(1, "x"), (2, "user")]
+
+
+LABELS = "paper_id long, category string, run int, label string"
+
+
+def test_consistency_of_any_run_numbers(spark):
+    df = spark.createDataFrame([(1, "topic", 64, "A"), (1, "topic", 65, "B"), (2, "topic", 64, "A"), (2, "topic", 65, "A"),
+                                (1, "ethics", 9, "C"), (1, "openness", 0, "D"), (1, "openness", -1, "D")], LABELS)
+    got = {(r.paper_id, r.category): r.consistency for r in A.consistency(df).collect()}
+    assert got == {(1, "topic"): 0.5, (2, "topic"): 1.0, (1, "openness"): 1.0}
+    assert {r.category for r in A.consistency(df, min_runs=1).collect()} == {"topic", "ethics", "openness"}
+    means = A.consistency_by_category(A.consistency(df), exclude=["openness"]).collect()
+    assert [(r.category, r.mean_consistency, r.n_papers) for r in means] == [("topic", 0.75, 2)]
+
+
+def test_reports_are_sorted(spark):
+    df = spark.createDataFrame([(1, "b", 1, "x"), (1, "b", 2, "y"), (1, "a", 1, "x"), (1, "a", 2, "y"),
+                                (1, "c", 1, "x"), (1, "c", 2, "x")], LABELS)
+    assert [r.category for r in A.consistency_by_category(A.consistency(df)).collect()] == ["a", "b", "c"]
+
+
+def test_wide_columns_need_the_whole_key(spark):
+    wide = spark.createDataFrame([(1, "A", "B", "C", "D")], "paper_id long, `como-tax-topic` string, "
+                                 "`como-tax-topic2` string, `como-tax-openess2-3` string, `como-tax-x2-y` string")
+    got = sorted((r.category, r.run, r.label) for r in A.labels_long(wide).collect())
+    assert got == [("openness", 3, "C"), ("topic", 1, "B")]
 
 
 def test_repeat_study(spark):

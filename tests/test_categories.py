@@ -1,36 +1,51 @@
 import json
 import os
 
-from litlens.sources.categories import load_categories, task_vocabulary
+from litlens.functions.prompts import vocabulary_json
+from litlens.sources.categories import category_json, load_categories, task_settings, task_vocabulary
 
 TREE = {
-    "Modelling Approach": {"Theory-Driven": {"Cognitive Models": {}, "Other": {}},
-                           "Data Driven": {"Deep Learning": {}, "Other": {}}},
-    "Ethics": {"Ignored": {}, "Discussed": {}, "Discussed + Addressed": {}},
-    "Openness": {"Open Source": {}, "Closed Source": {}},
-    "Taxonomy": {"User Interfaces": ["design*", "interfac*"], "Learning": ["learn*", "design*"],
+    "Modelling Approach": {"By Hand": {"Slide Rule": {}, "Other": {}},
+                           "By Machine": {"Clockwork": {}, "Other": {}}},
+    "Type of Evaluation": {"Guess": {}, "Walk": {}, "Weigh": {}},
+    "Openness": {"Window": {}, "Shutter": {}},
+    "Taxonomy": {"Gardens": ["plant*", "seed*"], "Kitchens": ["cook*", "plant*"],
                  "Other": {}},
 }
 
 
-def test_load_categories_keeps_empty_leaves_and_order(spark, tmp_dir):
+def _tree(spark, tmp_dir):
     path = os.path.join(tmp_dir, "tree.json")
     with open(path, "w") as f:
         json.dump(TREE, f, indent=2)
-    label_dim, stem_dim = load_categories(spark, path)
+    return path
+
+
+def test_load_categories_keeps_empty_leaves_and_order(spark, tmp_dir):
+    label_dim, stem_dim = load_categories(spark, _tree(spark, tmp_dir))
     rows = [(r.category, r.grp, r.label, r.ord) for r in label_dim.orderBy("category", "ord").collect()]
-    assert ("Modelling Approach", "Theory-Driven", "Cognitive Models", 1) in rows
-    assert ("Modelling Approach", "Data Driven", "Other", 4) in rows
-    assert [r[2] for r in rows if r[0] == "Taxonomy"] == ["User Interfaces", "Learning", "Other"]
-    assert [r[2] for r in rows if r[0] == "Ethics"] == ["Ignored", "Discussed", "Discussed + Addressed"]
+    assert ("Modelling Approach", "By Hand", "Slide Rule", 1) in rows
+    assert ("Modelling Approach", "By Machine", "Other", 4) in rows
+    assert [r[2] for r in rows if r[0] == "Taxonomy"] == ["Gardens", "Kitchens", "Other"]
+    assert [r[2] for r in rows if r[0] == "Type of Evaluation"] == ["Guess", "Walk", "Weigh"]
     stems = sorted((r.topic, r.stem) for r in stem_dim.collect())
-    assert stems == [("Learning", "design*"), ("Learning", "learn*"),
-                     ("User Interfaces", "design*"), ("User Interfaces", "interfac*")]
+    assert stems == [("Gardens", "plant*"), ("Gardens", "seed*"), ("Kitchens", "cook*"), ("Kitchens", "plant*")]
     voc = task_vocabulary(spark, label_dim)
-    ma = sorted(r.label for r in voc.filter("category = 'modelling_approach'").collect())
-    assert ma == ["Cognitive Models", "Deep Learning", "Other"]          # Other once
-    eth = sorted(r.label for r in voc.filter("category = 'ethics'").collect())
-    assert eth == ["Discussed", "Discussed and Addressed", "Ignored"]     # task vocabulary
-    topics = sorted(r.label for r in voc.filter("category = 'topic'").collect())
-    assert topics == ["Learning", "Other", "User Interfaces"]
-    assert voc.filter("category = 'screen'").count() == 2
+    ordered = lambda task: [r.label for r in voc.filter(f"category = '{task}'").orderBy("ord").collect()]
+    assert ordered("modelling_approach") == ["Slide Rule", "Other", "Clockwork"]  # Other once, in file order
+    assert ordered("topic") == ["Gardens", "Kitchens", "Other"]
+    assert ordered("screen") == ["yes", "no"] and len(ordered("ethics")) == 3     # lists of the task itself
+    shown = {r.category: r.categories_json for r in vocabulary_json(label_dim).collect()}
+    assert list(json.loads(shown["Modelling Approach"])) == ["Slide Rule", "Other", "Clockwork"]
+
+
+def test_category_json_keeps_the_tree(spark, tmp_dir):
+    got = {r.category: r.categories_json for r in category_json(spark, _tree(spark, tmp_dir)).collect()}
+    assert got["topic"] == json.dumps(TREE["Taxonomy"], indent=2)
+    assert got["modelling_approach"] == json.dumps(TREE["Modelling Approach"], indent=2)
+    assert json.loads(got["screen"]) == {"yes": {}, "no": {}}
+
+
+def test_task_settings():
+    assert task_settings("screen") == {"max_attempts": 2, "sentinel": "invalid entry", "fields": ("_id", "abstract")}
+    assert task_settings("topic")["max_attempts"] == 3 and task_settings("topic")["sentinel"] == "invalid result"

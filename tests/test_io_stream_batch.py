@@ -41,8 +41,8 @@ def test_json_array_source(spark, tmp_dir):
               {"_id": "a2", "title": "t", "abstract": "ab", "url": "u"}]
     with open(path, "w", encoding="utf-8") as f:
         json.dump(papers, f, ensure_ascii=False)
-    rows = load_papers_json(spark, path).orderBy("_id").collect()
-    assert [(r._id, r.title, r.abstract, r.url) for r in rows] == [
+    rows = load_papers_json(spark, path).orderBy("paper_id").collect()
+    assert [(r.paper_id, r.title, r.abstract, r.url) for r in rows] == [
         ("a1", "Ünïcode ✓", None, None), ("a2", "t", "ab", "u")]
 
 
@@ -111,22 +111,47 @@ def test_label_collection_budget_and_log(spark, tmp_dir):
     assert sorted((r.paper_id, r.attempt) for r in log.collect()) == [(1, 1), (1, 2), (2, 0)]
 
 
-def test_compaction_keeps_labels(spark, tmp_dir):
-    from litlens.streaming.resolve_stream import compact_partials
-    resp = X.responses(spark, SF)
-    src = os.path.join(tmp_dir, "answers")
-    for wave in (2, 3, 1):
-        resp.filter(F.col("attempt") == wave).coalesce(1).write.mode("append").parquet(src)
-    vocab = X.vocabulary(spark)
-    parts, ckpt = os.path.join(tmp_dir, "partials"), os.path.join(tmp_dir, "ckpt")
-    start_resolve_stream(spark, src, vocab, parts, ckpt, files_per_batch=1).awaitTermination()
-    before = sorted(tuple(r) for r in read_labels(spark, parts).collect())
-    n_before = spark.read.parquet(parts).count()
-    compact_partials(spark, parts)
-    after = read_labels(spark, parts)
-    assert spark.read.parquet(parts).count() < n_before
-    assert sorted(tuple(r) for r in after.collect()) == before
-    assert after.drop("seen").exceptAll(L.resolve_answers(resp, vocab)).count() == 0
+def _wave(resp, src, k):
+    resp.filter(F.col("attempt") == k).coalesce(1).write.mode("append").parquet(src)
+
+
+def _same(labels, batch):
+    got = labels.drop("seen")
+    return got.exceptAll(batch).count() == 0 and got.count() == batch.count()
+
+
+def test_compaction_replay_late_batches_and_crashes(spark, tmp_dir, monkeypatch):
+    from litlens.streaming import resolve_stream as R
+    resp, vocab = X.responses(spark, SF), X.vocabulary(spark)
+    batch = L.resolve_answers(resp, vocab)
+    src, parts = os.path.join(tmp_dir, "answers"), os.path.join(tmp_dir, "partials")
+    go = lambda ckpt: R.start_resolve_stream(spark, src, vocab, parts, os.path.join(tmp_dir, ckpt),
+                                             files_per_batch=1).awaitTermination()
+    for k in (3, 1):
+        _wave(resp, src, k)
+    go("a")
+    before = sorted(tuple(r) for r in R.read_labels(spark, parts).collect())
+    # a crash before the marker is written leaves everything as it was
+    with monkeypatch.context() as m:
+        m.setattr(R.uuid, "uuid4", lambda: (_ for _ in ()).throw(RuntimeError("down")))
+        try:
+            R.compact_partials(spark, parts)
+        except RuntimeError:
+            pass
+    assert sorted(tuple(r) for r in R.read_labels(spark, parts).collect()) == before
+    # a batch that arrives between the merge and the deletion is kept
+    assert R.compact_partials(spark, parts) == 1
+    _wave(resp, src, 2)
+    go("a")
+    R.drop_batches(spark, parts)
+    assert sorted(os.listdir(parts))[-1] == "batch_id=2" and "batch_id=1" not in os.listdir(parts)
+    assert _same(R.read_labels(spark, parts), batch)
+    # the last batch replayed after a compaction, and everything replayed from a new checkpoint
+    R.compact_partials(spark, parts)
+    R.drop_batches(spark, parts)
+    assert _same(R.read_labels(spark, parts), batch) if any(f.startswith("batch") for f in os.listdir(parts)) else True
+    go("b")
+    assert _same(R.read_labels(spark, parts), batch)
 
 
 def test_upsert_table_rewrites_only_touched_partitions(spark, tmp_dir):
@@ -184,3 +209,146 @@ def test_entries_projection(spark):
     p = spark.createDataFrame([(5, "abs", "t")], "paper_id long, abstract string, title string")
     r = entries(p).collect()[0]
     assert (r._id, r.abstract, r.title, r.fulltext) == ("5", "abs", "t", None)
+
+
+KEYS = "paper_id long, category string, run int"
+
+
+def test_upsert_order_in_its_own_type(spark):
+    t = spark.createDataFrame([(1, "a"), (2, "a"), (3, "a"), (3, "b")], "id long, s string")
+    u = spark.createDataFrame([(1, "new", -5), (2, "old", None), (2, "new", -9), (3, "new", None), (4, None, 0)],
+                              "id long, s string, v int")
+    got = sorted((r.id, r.s) for r in upsert(t, u, ["id"], order="v").collect())
+    assert got == [(1, "new"), (2, "new"), (3, "new"), (3, "new"), (4, None)]
+    times = spark.sql("SELECT 1L AS id, 'late' AS s, timestamp'2024-01-01 00:00:00.9' AS at UNION ALL "
+                      "SELECT 1L, 'early', timestamp'2024-01-01 00:00:00.1'")
+    assert [r.s for r in upsert(t.filter("id = 1"), times, ["id"], order="at").collect()] == ["late"]
+
+
+def test_upsert_adds_a_new_field_and_null_keys(spark):
+    t = spark.createDataFrame([(1, "a"), (None, "n")], "id long, s string")
+    u = spark.createDataFrame([(1, "yes"), (None, "no"), (5, "new")], "id long, screen string")
+    got = sorted(((r.id, r.s, r.screen) for r in upsert(t, u, ["id"]).collect()), key=str)
+    assert got == [(1, "a", "yes"), (5, None, "new"), (None, "n", "no")]
+
+
+def test_first_write_merges_and_errors_are_raised(spark, tmp_dir):
+    import pytest
+
+    from litlens.operators.upsert import upsert_table
+    path = os.path.join(tmp_dir, "labels")
+    u = spark.createDataFrame([(1, "topic", 1, "A", 1), (1, "topic", 1, "B", 2)], KEYS + ", label string, v int")
+    upsert_table(spark, path, u, order="v")
+    assert [r.label for r in spark.read.parquet(path).collect()] == ["B"]
+    upsert_table(spark, path, spark.createDataFrame([(1, "topic", 1, "x")], KEYS + ", note string"))
+    r = spark.read.option("mergeSchema", True).parquet(path).collect()[0]
+    assert (r.label, r.note) == ("B", "x")
+    bad = os.path.join(tmp_dir, "bad")
+    os.makedirs(bad)
+    with open(os.path.join(bad, "x.parquet"), "w") as f:
+        f.write("not parquet")
+    with pytest.raises(Exception):
+        upsert_table(spark, bad, u, order="v")
+
+
+def test_string_ids_from_json_to_labels(spark, tmp_dir):
+    from litlens.operators.labelling import label_collection
+    path = os.path.join(tmp_dir, "papers.json")
+    with open(path, "w") as f:
+        json.dump([{"_id": f"{k:024x}", "title": "t", "abstract": "a", "fulltext": "x"} for k in range(5)], f)
+    vocab = spark.createDataFrame([("topic", "A")], "category string, label string")
+    got = label_collection(spark, load_papers_json(spark, path), vocab, lambda b: ["A"] * len(b), ["topic"])
+    assert {r.paper_id: r.label for r in got.collect()} == {f"{k:024x}": "A" for k in range(5)}
+
+
+def test_errors_are_logged(spark):
+    vocab = spark.createDataFrame([("topic", "A")], "category string, label string")
+    tasks = spark.createDataFrame([(1, "topic", 1, "p"), (2, "topic", 1, "p")], KEYS + ", prompt string")
+
+    def fn(batch):
+        if (batch["attempt"] == 1).all():
+            raise KeyError("bug")
+        return ["A"] if (batch["attempt"] == 2).all() else []
+
+    log = label_batch(tasks, vocab, fn, max_attempts=3, rows_per_call=1).orderBy("paper_id", "attempt").collect()
+    assert [(r.attempt, r.response, r.error) for r in log if r.paper_id == 1] == [
+        (1, None, "KeyError: 'bug'"), (2, "A", None)]
+    short = label_batch(tasks, vocab, lambda b: [], max_attempts=1, rows_per_call=1).collect()
+    assert {r.error for r in short} == {"ValueError: 0 answers for 1 prompts"}
+
+
+def test_large_vocabularies_are_not_refused(spark, monkeypatch):
+    from litlens.operators import batch as B
+    vocab = spark.createDataFrame([("topic", f"L{k}") for k in range(20)], "category string, label string")
+    tasks = spark.createDataFrame([(k, "topic", 1, "p") for k in range(4)], KEYS + ", prompt string")
+    fn = lambda b: [f"L{p}" if a > 1 else "?" for p, a in zip(b["paper_id"], b["attempt"])]
+    small = sorted(map(tuple, L.resolve_answers(label_batch(tasks, vocab, fn), vocab).collect()))
+    monkeypatch.setattr(B, "VOCAB_MAX_ROWS", 3)
+    assert sorted(map(tuple, L.resolve_answers(label_batch(tasks, vocab, fn), vocab).collect())) == small
+
+
+def test_vocabulary_joined_by_shuffle_gives_the_same(spark, monkeypatch):
+    resp, vocab = X.responses(spark, SF), X.vocabulary(spark)
+    want = sorted(map(tuple, L.resolve_answers(resp, vocab).collect()), key=str)
+    votes = sorted(map(tuple, L.majority_vote(resp, vocab).collect()), key=str)
+    monkeypatch.setattr(L, "sized_broadcast", lambda df: df)
+    assert sorted(map(tuple, L.resolve_answers(resp, vocab).collect()), key=str) == want
+    assert sorted(map(tuple, L.majority_vote(resp, vocab).collect()), key=str) == votes
+
+
+def test_a_run_that_died_goes_on(spark, tmp_dir):
+    from litlens.operators.labelling import label_collection
+    papers = spark.createDataFrame([(k, "a", "t", "x") for k in range(40)],
+                                   "paper_id long, abstract string, title string, fulltext string")
+    vocab = spark.createDataFrame([("topic", "A"), ("topic", "B")], "category string, label string")
+    log, seen = os.path.join(tmp_dir, "log"), os.path.join(tmp_dir, "seen")
+    os.makedirs(seen)
+
+    def fn(batch, die=False):
+        if die and len(os.listdir(seen)) > 15:
+            raise SystemExit("killed")
+        for p in batch["paper_id"]:
+            with open(os.path.join(seen, f"{p}-{len(os.listdir(seen))}"), "w"):
+                pass
+        return ["A"] * len(batch)
+
+    run = lambda f, call: label_collection(spark, papers, vocab, f, ["topic"], answers_path=log, call_id=call,
+                                           slices=5, rows_per_call=1)
+    try:
+        run(lambda b: fn(b, die=True), "one")
+    except Exception:
+        pass
+    logged = {r.paper_id for r in spark.read.parquet(f"{log}/call=one").collect()}
+    assert 0 < len(logged) < 40
+    for f in os.listdir(seen):
+        os.rename(os.path.join(seen, f), os.path.join(tmp_dir, f"before-{f}"))
+    assert {(r.paper_id, r.label) for r in run(fn, "one").collect()} == {(k, "A") for k in range(40)}
+    assert {int(f.split("-")[0]) for f in os.listdir(seen)} == set(range(40)) - logged
+    again = run(lambda b: ["B"] * len(b), "two")
+    assert {(r.paper_id, r.label) for r in again.collect()} == {(k, "B") for k in range(40)}
+
+
+class _Session:
+    """As much of a session as the scratch folder needs."""
+    def __init__(self, master, conf):
+        self.sparkContext, self.master, self._dir, self.conf = self, master, None, conf
+
+    def getCheckpointDir(self):
+        return self._dir
+
+    def setCheckpointDir(self, d):
+        self._dir = d
+
+
+def test_scratch_folder_on_any_file_system():
+    import pytest
+
+    from litlens.session import scratch_path
+    for d in ("hdfs:/x", "/x", "s3a://bucket/x", "dbfs:/x/"):
+        got = scratch_path(_Session("spark://h:7077", {"spark.checkpoint.dir": d}), "job")
+        assert got.startswith(d.rstrip("/") + "/job-")
+    for conf in ({}, {"spark.checkpoint.dir": "file:/x"}):
+        with pytest.raises(RuntimeError):
+            scratch_path(_Session("yarn", conf), "job")
+    own = _Session("local[2]", {})  # none preset: a folder of our own
+    assert scratch_path(own, "job").startswith(own._dir)

@@ -87,3 +87,21 @@ def test_resolve_ignores_not_sent_markers(spark):
     got = {r.paper_id: (r.label, r.attempts_used)
            for r in L.resolve_answers(spark.createDataFrame(rows, SCHEMA), _vocab(spark)).collect()}
     assert got == {2: ("ML", 2)}
+
+
+def test_runs_must_be_positive(spark):
+    import pytest
+    with pytest.raises(ValueError):
+        L.label_tasks(spark.createDataFrame([(1,)], "paper_id long"), ["topic"], runs=0)
+
+
+def test_one_sentinel_counts_once(spark):
+    df = spark.createDataFrame([(1, "topic", 1, "invalid entry"), (2, "topic", 1, "A")],
+                               "paper_id long, category string, run int, label string")
+    r = L.outcome_counts(df, sentinel="invalid entry").collect()[0]
+    assert (r.n_tasks, r.n_valid, r.n_invalid, r.n_over_budget) == (2, 1, 1, 0)
+
+
+def test_unsent_tasks_do_not_vote(spark):
+    a = spark.createDataFrame([(1, "topic", 1, 0, None)], "paper_id long, category string, run int, attempt int, response string")
+    assert L.majority_vote(a, _vocab(spark)).collect() == []

@@ -5,6 +5,8 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
+from litlens.plans.catalog import QUERIES
+from litlens.plans.oracle import SQL
 from litlens.sources.tables import TABLES
 
 SF = "/root/testdata/sf0.001"
@@ -28,10 +30,10 @@ def _rows(cols, rows):
     return sorted(tuple(repr(norm(r[i])) for i in order) for r in rows)
 
 
-@pytest.mark.parametrize("name", sorted(E.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_query_matches_oracle(spark, con, name):
-    df = E.queries()[name](spark, SF)
-    rel = con.sql(E.oracle_sql()[name])
+    df = QUERIES[name](spark, SF)
+    rel = con.sql(SQL[name])
     assert sorted(df.columns) == sorted(rel.columns)
     assert _rows(df.columns, [tuple(r) for r in df.collect()]) == _rows(rel.columns, rel.fetchall())
 
@@ -39,4 +41,4 @@ def test_query_matches_oracle(spark, con, name):
 def test_entry_smoke(spark):
     df = E.entry(spark)
     assert df.count() > 0
-    assert set(E.queries()) == set(E.oracle_sql())
+    assert set(QUERIES) == set(SQL) and set(QUERIES) <= set(E.queries())

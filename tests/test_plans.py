@@ -1,5 +1,6 @@
 from litlens.operators import labels as L
 from litlens.operators import trends as T
+from litlens.plans.catalog import QUERIES
 from litlens.sources import fixtures as X
 
 SF = "/root/testdata/sf0.001"
@@ -36,11 +37,7 @@ def test_trend_windows_run_on_aggregates(spark):
 
 def test_no_query_pairs_rows(spark):
     """No registered query plans a cross product or a nested-loop join."""
-    import __spark_entry__ as E
-    skip = {"stream_resolve", "label_collection_stub"}  # these run jobs when called
-    for name, fn in E.queries().items():
-        if name in skip:
-            continue
+    for name, fn in QUERIES.items():
         plan = _plan(fn(spark, SF))
         assert "CartesianProduct" not in plan, name
         assert "BroadcastNestedLoopJoin" not in plan, name
@@ -51,9 +48,13 @@ def test_resolution_is_hash_aggregated(spark):
     assert "SortAggregate" not in plan
 
 
+def test_votes_and_stream_are_hash_aggregated(spark):
+    for name in ("majority_vote", "technique_invalid", "stream_resolve"):
+        assert "SortAggregate" not in _plan(QUERIES[name](spark, SF)), name
+
+
 def test_every_query_reads_the_given_tables(spark):
     """Each registered query scans the test tables (its work grows with them)."""
-    import __spark_entry__ as E
-    for name, fn in E.queries().items():
+    for name, fn in QUERIES.items():
         plan = _plan(fn(spark, SF))
         assert "FileScan parquet" in plan or "Scan parquet" in plan, name
