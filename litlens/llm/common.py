@@ -38,7 +38,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     later costs a re-read, not the work before this point."""
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/llm-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
