@@ -289,8 +289,14 @@ def decode(encoded: DataFrame, model: bytes, id_col: str = "doc_id", ids_col: st
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = pieces(model)
         for batch in batches:
-            text = [None if x.as_py() is None else p.whole.decode(x.as_py()) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(text, pa.string())], ["id", "text"])
+            for at in range(0, batch.num_rows, 500):
+                ids = batch.column(1).slice(at, 500)
+                flat = ids.flatten().to_pylist() if ids.flatten().null_count else ids.flatten().to_numpy().tolist()
+                ends = np.cumsum(ids.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)).tolist()
+                text = [p.whole.decode(flat[a:z]) if ok else None
+                        for a, z, ok in zip([0, *ends], ends, ids.is_valid().to_pylist())]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 500), pa.array(text, pa.string())],
+                                                 ["id", "text"])
 
     return encoded.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids")).mapInArrow(
         of, f"id {kind}, text string").withColumnRenamed("id", id_col)
