@@ -64,9 +64,9 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = F.coalesce("kept_text", F.lit(""))
+    """What is left of every document, with the sentences it had and lost."""
     return remove_repeated_sentences(read_table(spark, sf_dir, "documents")).select(
-        "doc_id", "n_sentences", "n_removed", F.sha2(kept, 256).alias("kept_sha256"))
+        "doc_id", "n_sentences", "n_removed", "kept_text")
 
 
 def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
