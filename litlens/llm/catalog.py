@@ -47,7 +47,13 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     digest = normalized_sha256(docs, "doc_id").select(
         F.col("id").alias("doc_id"), F.lower(F.hex("sha")).alias("text_sha256"))
-    return exact_duplicates(docs).join(digest, "doc_id")
+    decided = exact_duplicates(docs)
+    known = decided.filter("doc_id is not null").join(digest.dropDuplicates(["doc_id"]), "doc_id")
+    # rows without an id are groups of their own
+    nameless = digest.filter("doc_id is null").select(
+        "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"),
+        F.lit(True).alias("kept"), "text_sha256")
+    return known.unionByName(nameless)
 
 
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
