@@ -12,7 +12,7 @@ import sys
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-import __spark_entry__ as E  # noqa: E402
+from litlens.plans.catalog import QUERIES  # noqa: E402
 from litlens.session import local_session  # noqa: E402
 
 OPS = [("Exchange hashpartitioning", "hash exch"), ("Exchange RoundRobin", "rr exch"),
@@ -31,11 +31,12 @@ def main() -> None:
     print(f"Operator counts in the initial (pre-AQE) physical plan at `{sf_dir}`, from "
           "`tools/plan_summary.py`. Small dimensions (vocabulary, stems, tasks) account for "
           "the single-partition exchanges and most broadcasts; none of the queries plans a "
-          "cartesian product or a nested-loop join.\n")
+          "cartesian product or a nested-loop join. The queries of `litlens/llm` are not in "
+          "the table: their plans and figures come from the check tool (README).\n")
     print("| query | " + " | ".join(short for _, short in OPS) + " |")
     print("|---|" + "---|" * len(OPS))
-    for name in sorted(E.queries()):
-        plan = E.queries()[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    for name in sorted(QUERIES):
+        plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
         counts = []
         for op, _ in OPS:
             if op == "HashAggregate":
