@@ -2,6 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before
 it kept; its result is written as Parquet and read again as the next one's docs.
+The mixing stage also stores the slots it gave by id; the last stage returns them.
 """
 
 from __future__ import annotations
@@ -12,14 +13,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from litlens.llm.catalog import MIX_POWER
 from litlens.llm.common import read_table, scratch_root
 from litlens.llm.exact_dedup import drop_exact_duplicates
-from litlens.llm.mixing import mix_documents
+from litlens.llm.mixing import in_mix_order, mix_plan
 from litlens.llm.quality import keep_good
 from litlens.llm.sentencepiece_scan import encode, read_model
 from litlens.llm.simhash import drop_near_duplicates
 
 MODEL = "piece_bpe_32k.model"
+#: The stored slots of the last mix of a folder's documents, for the last stage.
+_plans: dict[str, DataFrame] = {}
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,15 +42,22 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents in the order of the mix: a source is within one block of
-    its share of the corpus at any point of it, so all sources end together."""
-    return mix_documents(docs, power=1.0)
+    """All documents in the order of the mix, in which a source weighs the root
+    of its size: small ones come more often than their share. Files are not
+    reread in order, so slots and places are also kept by id."""
+    _plans[sf_dir] = mix_plan(docs, power=MIX_POWER)
+    return in_mix_order(docs, _plans[sf_dir])
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The SentencePiece ids of every document."""
+    """The SentencePiece ids of every document, with its slot in the mix and its
+    place there; both NULL for rows without an id."""
+    if sf_dir not in _plans:
+        raise RuntimeError("the mixing stage must run before the last one, in the same process")
+    plan = _plans[sf_dir].withColumnRenamed("doc_id", "_id").hint("merge")
     ids = encode(docs, read_model(public_tokenizers.path(MODEL)))
-    return ids.select("doc_id", F.coalesce(F.size("ids"), F.lit(0)).alias("n_tokens"), "ids")
+    return ids.join(plan, F.col("doc_id") == F.col("_id"), "left").select(
+        "doc_id", F.coalesce(F.size("ids"), F.lit(0)).alias("n_tokens"), "ids", "slot", "place")
 
 
 STAGES = [("quality classifier", quality), ("exact dedup", exact), ("simhash near-dedup", near),

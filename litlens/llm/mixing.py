@@ -108,13 +108,23 @@ def mix_schedule(docs: DataFrame, weights: Mapping[str | None, float] | None = N
         (F.col("at") + past).alias("slot"))
 
 
+def mix_plan(docs: DataFrame, weights: Mapping[str | None, float] | None = None, power: float = 1.0,
+             block_rows: int = 16, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
+    """A stored row of id, ``slot`` and ``place`` for every document."""
+    return stored(mix_schedule(docs, weights, power, block_rows, id_col=id_col, source_col=source_col)
+                  .select(id_col, "slot", "place"), "mix-plan")
+
+
+def in_mix_order(docs: DataFrame, plan: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """All rows of ``docs`` sorted into the mix of ``plan``; rows without a slot
+    come last. The texts move twice, by id to meet their slots and then into
+    order; the join is the same at every size."""
+    plan = plan.select(F.col(id_col).alias("_id"), F.col("slot").alias("_slot"), F.col("place").alias("_place"))
+    return docs.join(plan.hint("merge"), F.col(id_col) == F.col("_id"), "left").orderBy(
+        F.col("_slot").asc_nulls_last(), "_place", F.xxhash64(id_col)).select(*[docs[c] for c in docs.columns])
+
+
 def mix_documents(docs: DataFrame, weights: Mapping[str | None, float] | None = None, power: float = 1.0,
                   block_rows: int = 16, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
-    """All rows of ``docs`` sorted into the mix; rows without a slot come last.
-    The texts move twice, by id to meet their slots and then into order; the
-    join is the same at every size."""
-    plan = stored(mix_schedule(docs, weights, power, block_rows, id_col=id_col, source_col=source_col)
-                  .select(F.col(id_col).alias("_id"), F.col("slot").alias("_slot"), F.col("place").alias("_place")),
-                  "mix-plan").hint("merge")
-    return docs.join(plan, F.col(id_col) == F.col("_id"), "left").orderBy(
-        F.col("_slot").asc_nulls_last(), "_place", F.xxhash64(id_col)).select(*[docs[c] for c in docs.columns])
+    """All rows of ``docs`` sorted into the mix; rows without a slot come last."""
+    return in_mix_order(docs, mix_plan(docs, weights, power, block_rows, id_col, source_col), id_col)

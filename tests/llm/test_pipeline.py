@@ -1,3 +1,4 @@
+import math
 import random
 
 import public_tokenizers
@@ -47,3 +48,29 @@ def test_stages_take_edge_rows(spark):
             docs = spark.createDataFrame(out.collect(), out.schema)
         ids = [r.doc_id for r in docs.collect()]
         assert len(ids) == len(set(ids)) and (not table or {None, *range(20)} - {2} <= set(ids) | {1, 2})
+
+
+def test_run_returns_the_slots_of_the_mix(spark):
+    from litlens.llm.catalog import MIX_POWER
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    got = {r.doc_id: (r.slot, r.place) for r in P.run(spark, sf).collect()}
+    kept = docs.filter(docs.doc_id.isin(list(got)))
+    rows = {}
+    for r in kept.collect():
+        rows.setdefault(r.source, []).append(r.doc_id)
+    n = {s: len(ids) for s, ids in rows.items()}
+    # earliest deadline first, slot by slot, over the blocks of every source
+    names = sorted(n, key=lambda s: (s is not None, s))
+    weight = {s: n[s] ** MIX_POWER for s in names}
+    total, taken, slot, at = sum(weight.values()), dict.fromkeys(names, 0), 0, {}
+    while any(taken[s] * 16 < n[s] for s in names):
+        ready = [(math.ceil((taken[s] + 1) * total / weight[s]), i, s) for i, s in enumerate(names)
+                 if math.floor(taken[s] * total / weight[s]) <= slot]
+        s = min(ready)[2]
+        at[s, taken[s]] = slot
+        taken[s] += 1
+        slot += 1
+    want = sorted((s, at[s, k // 16], k % 16) for s in names for k in range(n[s]))
+    source = {r.doc_id: r.source for r in kept.collect()}
+    assert sorted((source[i], *where) for i, where in got.items()) == want
