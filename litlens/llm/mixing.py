@@ -2,25 +2,30 @@
 
 Block k of a source with weight w is released at floor(k / w) and due at
 ceil((k + 1) / w); earliest deadline first over these windows keeps every
-source within one block of its share at every slot. Weights are fractions of
-an integer period, so the schedule repeats: one period is scheduled on the
-driver (its length is a parameter, not a function of the data), and every
-block finds its slot by arithmetic.
+source within one block of its share at every slot. Weights are exact ratios
+of integers: nothing is rounded or reserved, so the bound holds against the
+target weights at any length. The schedule is made by one task that goes on
+from block to block, holds one waiting block a source and hands its blocks on
+in portions; the blocks are joined to the documents.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections.abc import Mapping
+import math
+from collections.abc import Iterator, Mapping
+from fractions import Fraction
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import running, stored
+from .common import running, small_or_plain, stored
 
-#: Slots of a period: weights are rounded to multiples of 1 / PERIOD.
+#: Blocks that are handed on at once; slots of a period in ``whole_shares``.
 PERIOD = 10_000
+#: Slots, in multiples of the blocks, up to which ended sources still take part.
+VACANT = 4
 
 
 def whole_shares(weights: Mapping[str | None, float], period: int = PERIOD) -> dict[str | None, int]:
@@ -56,6 +61,72 @@ def one_period(shares: Mapping[str | None, int]) -> list[tuple[str | None, int,
     return out
 
 
+def exact_shares(weights: list[Fraction]) -> list[int]:
+    """Integers in the exact ratio of ``weights``."""
+    scale = math.lcm(*(w.denominator for w in weights))
+    shares = [int(w * scale) for w in weights]
+    common = math.gcd(*shares)
+    return [n // common for n in shares]
+
+
+def whole_schedule(shares: list[int], blocks: list[int]) -> Iterator[tuple[int, int, int, int, int]]:
+    """(source, block, release, deadline, slot) of each of a source's blocks by
+    earliest deadline first, ties to the first source, in the order of slots.
+
+    Sources that ended still take their slots, which stay vacant, up to slot
+    ``VACANT`` x all blocks: the others keep the slots they would have had.
+    Beyond it they are left out, so a tiny weight costs no walk over vacant
+    slots; the windows of the others hold all the same.
+    """
+    total, left = sum(shares), sum(blocks)
+    stop = VACANT * left
+    waiting = [(0, i, 0) for i in range(len(shares))]  # (release, source, block): sorted, so a heap
+    ready: list[tuple[int, int, int, int]] = []
+    slot = 0
+    while left:
+        while waiting and waiting[0][0] <= slot:
+            release, i, k = heapq.heappop(waiting)
+            if k < blocks[i] or slot < stop:
+                heapq.heappush(ready, (-(-(k + 1) * total // shares[i]), i, k, release))
+        if not ready:
+            slot = waiting[0][0]
+            continue
+        due, i, k, release = heapq.heappop(ready)
+        if k < blocks[i]:
+            yield i, k, release, due, slot
+            left -= 1
+        heapq.heappush(waiting, ((k + 1) * total // shares[i], i, k + 1))
+        slot += 1
+
+
+def block_slots(sizes: DataFrame, weights: Mapping[str | None, float] | None, power: float, block_rows: int,
+                portion: int) -> DataFrame:
+    """A row for each block of the ``source, first, n`` rows that has a slot."""
+    names = ["first", "block", "release", "deadline", "slot"]
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = []
+        for b in batches:
+            for source, first, n in zip(*(c.to_pylist() for c in b.columns)):
+                w = n ** power if weights is None else weights.get(source, 0)
+                if w > 0:
+                    found.append(((source is not None, source or ""), first, n, Fraction(w)))
+        if not found:
+            return
+        _, firsts, counts, exact = zip(*sorted(found))
+        out = []
+        for i, *row in whole_schedule(exact_shares(list(exact)), [-(-n // block_rows) for n in counts]):
+            out.append((firsts[i], *row))
+            if len(out) == portion:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names)
+                out = []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names)
+
+    # one row a source meets in the task: earliest deadline first goes slot by slot
+    return sizes.select("source", "first", "n").repartition(1).mapInArrow(of, ", ".join(f"{c} long" for c in names))
+
+
 def mix_schedule(docs: DataFrame, weights: Mapping[str | None, float] | None = None, power: float = 1.0,
                  block_rows: int = 16, period: int = PERIOD, id_col: str = "doc_id",
                  source_col: str = "source") -> DataFrame:
@@ -67,8 +138,9 @@ def mix_schedule(docs: DataFrame, weights: Mapping[str | None, float] | None = N
     stand in a hashed order and are cut into blocks of ``block_rows``; the last
     block may be shorter. Up to the slot in which the first source runs out,
     each source has had its share of the slots to within one block; after it
-    the slots of ended sources stay vacant and the others keep theirs, so no
-    document is dropped or repeated.
+    the slots of ended sources stay vacant and the others keep their windows, so
+    no document is dropped or repeated. ``period`` is the number of blocks
+    handed on at once; the schedule does not depend on it.
 
     Returns id, source, ``block``, ``place`` (row in its block), ``release``,
     ``deadline`` and ``slot``. A source without a positive weight is not
@@ -80,32 +152,17 @@ def mix_schedule(docs: DataFrame, weights: Mapping[str | None, float] | None = N
     order = ["source", "mixed", "id"]
     placed = stored(running(rows.withColumn("mixed", F.xxhash64("id")), order, {"upto": F.lit(1)}, "mix-order"),
                     "mix-placed")
-    # one row a source: the target weights are a user's table of the same size
-    sizes = placed.groupBy("source").agg(F.min("upto").alias("first"), F.count("*").alias("n")).collect()
-    if weights is None:
-        weights = {r.source: r.n ** power for r in sizes}
-    shares = whole_shares({r.source: weights.get(r.source, 0) for r in sizes}, period)
-    total, spark = sum(shares.values()), docs.sparkSession
-    text, long = T.StringType(), T.LongType()
-    starts = spark.createDataFrame(
-        [(r.source, r.first, shares.get(r.source)) for r in sizes],
-        T.StructType([T.StructField("s", text), T.StructField("first", long), T.StructField("share", long)]))
-    slots = spark.createDataFrame(
-        [(s, k, release, due, slot) for s, k, release, due, slot in one_period(shares)],
-        T.StructType([T.StructField("s2", text)] + [T.StructField(c, long) for c in ("turn", "rel", "due", "at")]))
-    block = F.floor((F.col("upto") - F.col("first")) / block_rows)
-    out = placed.join(F.broadcast(starts), F.col("source").eqNullSafe(F.col("s")))  # a row a source
-    out = out.withColumn("block", F.when(F.col("share").isNotNull(), block)).withColumn(
-        "turn", F.col("block") % F.col("share"))
-    slots = slots.withColumnRenamed("turn", "turn2")
-    out = out.join(F.broadcast(slots), F.col("source").eqNullSafe(F.col("s2")) & (F.col("turn") == F.col("turn2")),
-                   "left")  # PERIOD rows
-    past = F.floor(F.col("block") / F.col("share")) * total
+    sizes = stored(placed.groupBy("source").agg(F.min("upto").alias("first"), F.count("*").alias("n")), "mix-sizes")
+    slots = stored(block_slots(sizes, weights, power, block_rows, period), "mix-slots").withColumnRenamed(
+        "first", "first2").withColumnRenamed("block", "block2")
+    starts = small_or_plain(sizes.select(F.col("source").alias("s"), "first"))
+    out = placed.join(starts, F.col("source").eqNullSafe(F.col("s")))
+    since = F.col("upto") - F.col("first")
+    out = out.withColumn("of", F.floor(since / block_rows)).join(
+        slots.hint("merge"), (F.col("first") == F.col("first2")) & (F.col("of") == F.col("block2")), "left")
     return out.select(
-        F.col("id").alias(id_col), F.col("source").alias(source_col), "block",
-        F.when(F.col("block").isNotNull(), (F.col("upto") - F.col("first")) % block_rows).alias("place"),
-        (F.col("rel") + past).alias("release"), (F.col("due") + past).alias("deadline"),
-        (F.col("at") + past).alias("slot"))
+        F.col("id").alias(id_col), F.col("source").alias(source_col), F.col("block2").alias("block"),
+        F.when(F.col("block2").isNotNull(), since % block_rows).alias("place"), "release", "deadline", "slot")
 
 
 def mix_plan(docs: DataFrame, weights: Mapping[str | None, float] | None = None, power: float = 1.0,

@@ -1,4 +1,5 @@
 import random
+from fractions import Fraction
 
 import pytest
 
@@ -89,3 +90,35 @@ def test_query(spark):
     assert len(got) == sum(n.values())
     for r in got:
         assert (r.release, r.deadline, r.slot) == want[r.source, r.block]
+
+
+@pytest.mark.parametrize("seed, sources", [(0, 3), (1, 40), (2, 3000)])
+def test_target_weights_hold_over_many_periods(seed, sources):
+    """Against the target weights themselves, at each block of a long schedule."""
+    rng = random.Random(seed)
+    weights = [Fraction(rng.choice([1, 7, rng.random() * 30])) for _ in range(sources - 1)]
+    weights.append(sum(weights) / 2)  # a third of all
+    shares, total = M.exact_shares(weights), sum(weights)
+    assert [Fraction(n, sum(shares)) for n in shares] == [w / total for w in weights]
+    blocks = [int(50_000 * w / total) + 1 for w in weights]
+    rows = list(M.whole_schedule(shares, blocks))
+    assert sorted((i, k) for i, k, *_ in rows) == [(i, k) for i, n in enumerate(blocks) for k in range(n)]
+    assert len({r[4] for r in rows}) == len(rows)
+    for i, k, release, due, slot in rows:  # before its slot k blocks, after it k + 1: both within one of the share
+        share = weights[i] / total
+        assert abs(k - slot * share) < 1 and abs(k + 1 - (slot + 1) * share) < 1 and release <= slot < due
+
+
+def test_tiny_weight_needs_no_walk_over_vacant_slots():
+    rows = list(M.whole_schedule([10 ** 12, 1], [5, 5]))
+    assert len(rows) == 10 and all(release <= slot < due for *_, release, due, slot in rows)
+
+
+def test_schedule_meets_target_weights(spark):
+    docs = spark.createDataFrame([(i, None, "en", f"s{i % 1500}" if i % 3 else "hot", 1) for i in range(6000)], DOCS)
+    got = M.mix_schedule(docs, block_rows=1).collect()
+    n = {}
+    for r in got:
+        n[r.source] = n.get(r.source, 0) + 1
+    assert sorted(r.slot for r in got) == list(range(6000))  # all sources end together
+    assert all(abs(r.block - Fraction(r.slot * n[r.source], 6000)) < 1 for r in got)
