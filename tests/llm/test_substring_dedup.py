@@ -85,3 +85,26 @@ def test_query(spark):
     want = {(i, n, r, t) for i, (t, n, r) in plain_dedup(docs, S.RUN, S.MIN_WORDS).items()}
     got = QUERIES["op6_substring_dedup"](spark, sf).collect()
     assert {(r.doc_id, r.n_sentences, r.n_removed, r.kept_text) for r in got} == want and len(got) == len(docs)
+
+
+def test_long_sentences_and_text_without_spaces(spark):
+    rng = random.Random(7)
+    words = lambda n: " ".join("w" + str(rng.randint(0, 10 ** 6)) for _ in range(n))
+    lone, passage = words(60) + ". ", words(300)
+    han = lambda n: "".join(chr(rng.randint(0x4e00, 0x9fff)) for _ in range(n))
+    chinese = han(12) + "。" + han(12) + "！"
+    docs = {1: words(8) + ". " + lone + words(8) + ".", 2: words(9) + ". " + lone + words(9) + ".",
+            3: words(200) + " " + passage + " " + words(200), 4: words(150) + " " + passage + " " + words(170),
+            5: han(9) + "。" + chinese + han(9) + "。", 6: han(7) + "。" + chinese + han(8) + "。",
+            7: han(400), 9: words(100)}
+    docs[8] = han(100) + docs[7][50:350] + han(100)
+    df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in docs.items()], DOCS)
+    got = {r.doc_id: r for r in S.remove_repeated_sentences(df).collect()}
+    assert all(got[i].kept_text == docs[i] for i in (1, 3, 5, 7, 9))
+    assert got[2].kept_text == docs[2].replace(lone, "") and (got[2].n_sentences, got[2].n_removed) == (3, 1)
+    assert got[6].kept_text == docs[6].replace(chinese, "") and got[6].n_removed == 2
+    own = set(docs[4].split()) - set(passage.split())
+    left = got[4].kept_text.split()
+    assert own <= set(left) and len(left) <= 320 + 130 and got[4].n_removed == 0
+    assert 200 <= len(got[8].kept_text) <= 200 + 130
+    assert got[8].kept_text[:100] == docs[8][:100] and got[8].kept_text[-100:] == docs[8][-100:]
