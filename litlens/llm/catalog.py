@@ -12,6 +12,7 @@ import public_tokenizers
 from .common import read_table
 from .embed_dedup import embedding_links
 from .exact_dedup import exact_duplicates, normalized_sha256
+from .langid import identify_languages
 from .mixing import mix_schedule
 from .quality import quality_scores
 from .sentencepiece_scan import decode, encode, read_model
@@ -95,6 +96,11 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_schedule(read_table(spark, sf_dir, "documents"), power=MIX_POWER)
 
 
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    return identify_languages(read_table(spark, sf_dir, "documents"), learn_from=~held_out)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_token_counts": op2_token_counts,
@@ -106,4 +112,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_sharding": op9_sharding,
     "op10_mixing": op10_mixing,
+    "op11_language_id": op11_language_id,
 }
