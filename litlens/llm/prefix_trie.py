@@ -210,32 +210,33 @@ def _swept(rows: DataFrame) -> DataFrame:
 CONTAINER = ["c_rep", "c_depth"]
 
 
-def _burst(rows: DataFrame, placed: DataFrame, big: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The trie heads of the containers ``big``, and the sequences of their
-    smaller containers: one for each turn id behind what all members share."""
-    members = split_join(placed, big.select(*CONTAINER, "seqs", "low", "least"), CONTAINER)
-    inside = stored(split_join(rows.select("rep", "pos", "t1", "t2"), members.drop("parent"), ["rep"])
-                    .filter("pos > c_depth"), "trie-burst")
-    # the first turn in which members differ, or behind which one of them ends
-    differ = inside.groupBy(*CONTAINER, "pos").agg(
-        F.max("seqs").alias("seqs"), F.count("*").alias("k"), F.min("t1").alias("a1"), F.max("t1").alias("z1"),
-        F.min("t2").alias("a2"), F.max("t2").alias("z2")).filter("k < seqs or a1 < z1 or a2 < z2")
-    split = differ.groupBy(*CONTAINER).agg((F.min("pos") - 1).alias("split"))
-    cut = stored(big.join(split, CONTAINER, "left").withColumn("to", F.least("split", "least")), "trie-cut")
-    behind = split_join(inside, cut.select(*CONTAINER, "to"), CONTAINER).filter(F.col("pos") == F.col("to") + 1)
+def _burst(rows: DataFrame, placed: DataFrame, big: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The containers ``big`` as trie heads, the nodes of their paths, and the
+    sequences of the smaller containers below, one for each next turn id.
+
+    The path of a head goes on while all members that are long enough have the
+    same turn, so members that end on it need no burst of their own.
+    """
+    members = split_join(placed.drop("parent"), big.select(*CONTAINER), CONTAINER)
+    inside = stored(split_join(rows, members, ["rep"]).filter("pos > c_depth"), "trie-burst")
+    at = stored(inside.groupBy(*CONTAINER, "pos").agg(
+        F.min("t1").alias("a1"), F.max("t1").alias("z1"), F.min("t2").alias("a2"), F.max("t2").alias("z2"),
+        F.min("rep").alias("conv_id"), F.sum("n").alias("n_convs"), F.max("chars").alias("chars"),
+        F.max(F.when(F.col("len") == F.col("pos"), F.col("rep"))).alias("end")), "trie-at")
+    split = at.filter("a1 < z1 or a2 < z2").groupBy(*CONTAINER).agg((F.min("pos") - 1).alias("split"))
+    cut = stored(big.join(split, CONTAINER, "left").withColumn("to", F.coalesce("split", "longest")).drop("split"),
+                 "trie-cut")
+    path = split_join(at.drop("a1", "z1", "a2", "z2"), cut.select(*CONTAINER, "to"), CONTAINER).filter("pos <= to")
+    last = path.filter("pos = to").select(*CONTAINER, F.col("conv_id").alias("at_to"))
+    cut = cut.join(last, CONTAINER, "left").withColumn("low", F.coalesce("at_to", "low")).drop("at_to")
+    behind = split_join(inside, cut.select(*CONTAINER, "to", "low"), CONTAINER).filter(F.col("pos") == F.col("to") + 1)
     names = behind.groupBy(*CONTAINER, "t1", "t2").agg(F.min("rep").alias("new_rep"))
     following = stored(split_join(behind, names, [*CONTAINER, "t1", "t2"]).select(
         "rep", "n", "len", F.col("new_rep").alias("c_rep"), F.col("to").alias("c_depth"), F.col("low").alias("parent")),
         "trie-next")
-    children = names.join(cut.select(*CONTAINER, "low", "to"), CONTAINER).groupBy(*CONTAINER).agg(
-        F.count("*").alias("n_children"))
-    # sequences differ, so at most one of a container ends with what all share
-    ended = split_join(members, cut.select(*CONTAINER, "to"), CONTAINER).filter("len = to").select(
-        *CONTAINER, F.col("rep").alias("end"))
-    heads = cut.join(children, CONTAINER, "left").join(ended, CONTAINER, "left").select(
-        "low", F.col("c_depth").alias("from"), "to", "parent", "convs",
-        F.coalesce("n_children", F.lit(0)).cast("long").alias("n_children"), "end")
-    return heads, following
+    children = names.groupBy(*CONTAINER).agg(F.count("*").alias("n_children"))
+    heads = cut.join(children, CONTAINER, "left").na.fill(0, ["n_children"])
+    return heads, path.drop("to"), following
 
 
 def prefix_trie(turns: DataFrame, convs: DataFrame, container_turns: int = CONTAINER_TURNS) -> DataFrame:
@@ -252,97 +253,96 @@ def prefix_trie(turns: DataFrame, convs: DataFrame, container_turns: int = CONTA
     """
     named = sequences(turns, convs)
     seqs = named.filter("conv = rep").select("rep", "n", "len")
-    own = split_join(turns.withColumnRenamed("conv", "rep"), seqs.select("rep"), ["rep"])
-    # characters of all turns up to this one: those of a path are a difference
-    rows = stored(running(own, ["rep", "pos"], {"upto": F.col("chars")}, "trie-chars"), "trie-rows")
-    nothing = F.lit(None).cast("long")
-    placed = seqs.select("rep", "n", "len", F.lit(-1).cast("long").alias("c_rep"), F.lit(0).cast("long").alias("c_depth"),
-                         nothing.alias("parent"))
-    paths, swept, level = [], [], 0
+    rows = stored(split_join(turns.withColumnRenamed("conv", "rep"), seqs.select("rep"), ["rep"]), "trie-rows")
+    placed = seqs.select("*", F.lit(-1).cast("long").alias("c_rep"), F.lit(0).cast("long").alias("c_depth"),
+                         F.lit(None).cast("long").alias("parent"))
+    heads, paths, swept = [], [], []
     while True:
+        level = len(swept)  # of the heads made here; what is below them is one deeper
         sizes = stored(placed.groupBy(*CONTAINER, "parent").agg(
             F.count("*").alias("seqs"), F.sum(F.col("len") - F.col("c_depth")).alias("turns"), F.sum("n").alias("convs"),
-            F.min("rep").alias("low"), F.min("len").alias("least")), "trie-sizes")
+            F.min("rep").alias("low"), F.min("rep").alias("least"), F.max("len").alias("longest"),
+            F.min(F.when(F.col("len") == F.col("c_depth"), F.col("rep"))).alias("end")), "trie-sizes")
         # the root is the whole table and always bursts
-        big = sizes.filter(F.lit(level == 0) | ((F.col("turns") > container_turns) & (F.col("seqs") > 1)))
-        if level:
-            chains = sizes.filter("seqs = 1").select(
-                "low", F.col("c_depth").alias("from"), (F.col("c_depth") + F.col("turns")).alias("to"), "parent", "convs",
-                F.lit(0).cast("long").alias("n_children"), F.col("low").alias("end"))
-            paths.append(chains.withColumn("level", F.lit(level)))
+        big = sizes.filter((F.col("turns") > container_turns) & (F.col("seqs") > 1)) if heads else sizes
+        if heads:
+            chains = sizes.filter("seqs = 1")
+            heads.append(chains.select("*", F.col("longest").alias("to"), F.lit(0).cast("long").alias("n_children"),
+                                       F.lit(level + 1).alias("level")))
+            paths.append(split_join(rows.drop("t1", "t2"), chains.select(F.col("low").alias("rep"), *CONTAINER, "convs", "longest"),
+                                    ["rep"]).filter("pos > c_depth").select(
+                *CONTAINER, "pos", F.col("rep").alias("conv_id"), F.col("convs").alias("n_convs"), "chars",
+                F.when(F.col("pos") == F.col("longest"), F.col("rep")).alias("end")))
             small = sizes.filter((F.col("turns") <= container_turns) & (F.col("seqs") > 1)).select(*CONTAINER)
-            inside = split_join(placed, small, CONTAINER).drop("len")
-            swept.append(stored(_swept(split_join(rows.drop("upto"), inside, ["rep"]).filter("pos > c_depth")),
-                                "trie-swept"))
+            inside = split_join(placed.drop("len"), small, CONTAINER)
+            swept.append(stored(_swept(split_join(rows, inside, ["rep"]).filter("pos > c_depth")), "trie-swept"))
+            level += 1
         if big.isEmpty():
             break
-        heads, placed = _burst(rows, placed, big)
-        paths.append(stored(heads, "trie-heads").withColumn("level", F.lit(level)))
-        level += 1
-    if not paths:
-        paths = [named.limit(0).select(*[nothing.alias(c) for c in ("low", "from", "to", "parent", "convs", "n_children", "end")],
-                                       F.lit(0).alias("level"))]
-    nodes = _path_nodes(paths, swept, rows)
+        head, path, placed = _burst(rows, placed, big)
+        heads.append(stored(head, "trie-heads").withColumn("level", F.lit(level)))
+        paths.append(path)
+    if not heads:
+        return _no_nodes(named)
+    nodes = _gathered(heads, paths, swept)
     digests = id_digests(named.select("conv", "rep")).withColumnRenamed("rep", "end")
     named_ends = split_join(nodes.filter("end is not null"), digests, ["end"])
-    empty_ends = nodes.filter("end is null").withColumn("ends_sha256", F.lit(NO_ENDS))
-    return named_ends.unionByName(empty_ends).drop("end")
-
-
-def _path_nodes(paths: list[DataFrame], swept: list[DataFrame], rows: DataFrame) -> DataFrame:
-    """All nodes: the swept ones, and those on the paths of chains and heads,
-    whose totals are gathered from the deepest level up. A path is known by its
-    last node (``low``, ``to``); its turns are those of its least member."""
-    every = paths[0]
-    for p in paths[1:]:
-        every = every.unionByName(p)
-    every = stored(every, "trie-paths")
-    on = stored(split_join(rows.select(F.col("rep").alias("low"), "pos", "upto", "chars"),
-                           every.select("low", "from", "to"), ["low"])
-                .filter((F.col("pos") > F.col("from")) & (F.col("pos") <= F.col("to"))), "trie-on")
-    ends = on.groupBy("low", "to").agg(F.max("upto").alias("total"), F.min(F.col("upto") - F.col("chars")).alias("before"))
-    every = stored(split_join(every, ends, ["low", "to"], "left"), "trie-totals")
+    return named_ends.unionByName(nodes.filter("end is null").withColumn("ends_sha256", F.lit(NO_ENDS))).drop("end")
+
+
+def _no_nodes(any_table: DataFrame) -> DataFrame:
+    names = [c.split()[0] for c in NODES.split(", ")[:-2]]
+    return any_table.limit(0).select(*[F.lit(None).cast("long").alias(c) for c in names],
+                                     F.lit(None).cast("string").alias("ends_sha256"))
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def _gathered(heads: list[DataFrame], paths: list[DataFrame], swept: list[DataFrame]) -> DataFrame:
+    """All nodes: the swept ones, and those on the paths of heads and chains,
+    whose totals are gathered from the deepest level up. What hangs below a
+    container knows it by the last node of its path, (``low``, ``to``)."""
+    own = (F.col("n_convs") - 1) * F.col("chars")
+    on = stored(running(_union(paths), [*CONTAINER, "pos"], {"upto": own}, "trie-upto"), "trie-on")
+    ends = on.groupBy(*CONTAINER).agg(F.max("upto").alias("total"), F.min(F.col("upto") - own).alias("before"))
+    every = stored(split_join(_union(heads), ends, CONTAINER, "left"), "trie-totals")
     done, tops = [], None
     for level in range(len(swept), -1, -1):
         here = every.filter(F.col("level") == level)
         if tops is None:
-            here = here.withColumn("leaves", F.lit(None).cast("long")).withColumn("below", F.lit(None).cast("long"))
+            here = here.select("*", *[F.lit(None).cast("long").alias(c) for c in ("leaves", "below")])
         else:
             below = tops.groupBy("low", "to").agg(F.sum("leaves").alias("leaves"), F.sum("saved").alias("below"))
             here = split_join(here, below, ["low", "to"], "left")
         here = here.withColumn("leaves", F.when(F.col("n_children") == 0, 1).otherwise(F.col("leaves"))).withColumn(
             "below", F.coalesce("below", F.lit(0)))
-        here = stored(here.withColumn("saved", F.col("below") + (F.col("convs") - 1) * F.coalesce(
-            F.col("total") - F.col("before"), F.lit(0))), "trie-level")
+        here = stored(here.withColumn("saved", F.col("below") + F.coalesce(F.col("total") - F.col("before"), F.lit(0))),
+                      "trie-level")
         done.append(here)
-        tops = here.select(F.col("parent").alias("low"), F.col("from").alias("to"), "leaves", "saved")
+        tops = here.select(F.col("parent").alias("low"), F.col("c_depth").alias("to"), "leaves", "saved")
         if level:
             tops = tops.unionByName(swept[level - 1].filter("top = 1").select(
                 F.col("parent_conv_id").alias("low"), (F.col("depth") - 1).alias("to"), F.col("n_leaves").alias("leaves"),
                 F.col("saved_tokens").alias("saved")))
-    all_done = done[0]
-    for d in done[1:]:
-        all_done = all_done.unionByName(d)
-    one, none = F.lit(1).cast("long"), F.lit(None).cast("long")
-    last = F.col("pos") == F.col("to")
-    out = split_join(on.drop("from"), all_done.drop("level", "before", "saved"), ["low", "to"]).select(
-        F.col("low").alias("conv_id"), F.col("pos").alias("depth"),
-        F.when(F.col("pos") == F.col("from") + 1, F.col("parent")).otherwise(F.col("low")).alias("parent_conv_id"),
-        F.col("convs").alias("n_convs"), F.when(last, F.col("n_children")).otherwise(one).alias("n_children"),
-        F.col("leaves").alias("n_leaves"),
-        (F.col("below") + (F.col("convs") - 1) * (F.col("total") - F.col("upto") + F.col("chars"))).alias("saved_tokens"),
-        F.when(last, F.col("end")).alias("end"))
-    # depth 1 lies below the root, which is no turn of the path
-    out = out.withColumn("parent_conv_id", F.when(F.col("depth") == 1, F.coalesce("parent_conv_id", "conv_id"))
-                         .otherwise(F.col("parent_conv_id")))
-    at_root = F.col("to") == 0
-    root = done[-1].select(
-        F.col("low").alias("conv_id"), F.lit(0).cast("long").alias("depth"), none.alias("parent_conv_id"),
+    one, at_root = F.lit(1).cast("long"), F.col("to") == 0
+    first = F.col("pos") == F.col("c_depth") + 1
+    before = on.select(*CONTAINER, (F.col("pos") + 1).alias("pos"), F.col("conv_id").alias("above"))
+    totals = _union(done).select(*CONTAINER, "parent", "least", "to", "n_children", "leaves", "below", "total")
+    out = split_join(split_join(on, before, [*CONTAINER, "pos"], "left"), totals, CONTAINER).select(
+        "conv_id", F.col("pos").alias("depth"),
+        F.when(first, F.coalesce("parent", "least")).otherwise(F.col("above")).alias("parent_conv_id"), "n_convs",
+        F.when(F.col("pos") == F.col("to"), F.col("n_children")).otherwise(one).alias("n_children"),
+        F.col("leaves").alias("n_leaves"), (F.col("below") + F.col("total") - F.col("upto") + own).alias("saved_tokens"),
+        "end")
+    return _union([out, *[s.drop("top") for s in swept], done[-1].select(
+        F.col("least").alias("conv_id"), F.lit(0).cast("long").alias("depth"), F.lit(None).cast("long").alias("parent_conv_id"),
         F.col("convs").alias("n_convs"), F.when(at_root, F.col("n_children")).otherwise(one).alias("n_children"),
-        F.col("leaves").alias("n_leaves"), F.col("saved").alias("saved_tokens"), F.when(at_root, F.col("end")).alias("end"))
-    for s in swept:
-        out = out.unionByName(s.drop("top"))
-    return out.unionByName(root)
+        F.col("leaves").alias("n_leaves"), F.col("saved").alias("saved_tokens"), "end")])
 
 
 def conversation_trie(conversations: DataFrame, base: Column, heads: Column, most: int,

@@ -55,37 +55,21 @@ def trie(spark, rows, **kw):
     return sorted((tuple(r[c] for c in COLUMNS) for r in out.collect()), key=lambda r: r[:2])
 
 
-def test_random_conversations(spark):
+def test_all_kinds_of_conversations(spark):
     rng = random.Random(5)
     rows = []
-    for c in [*range(-3, 40), *range(100, 160), 205, 317]:
+    for c in [*range(-3, 40), *range(100, 130), 205, 317]:  # branching early, some replaced whole
         turns = [rng.choice("ab") * rng.randint(1, 2) for _ in range(rng.randint(1, 9))]
         rows += [(c, t, rng.choice(["user", "assistant"]) if t == 3 else "user", x) for t, x in enumerate(turns)]
+    rows += [(50, None, None, None), (50, 0, "user", "x"), (50, 0, "user", "x"), (50, 0, "assistant", "y"),
+             (51, 1, "", ""), (None, 1, "user", "lost"), (52, 5, "user", "ü€𝄞"), (52, None, "system", "s")]
+    rows += [(c, t, "user", "same" * t) for c in [*range(500, 560), *range(1000, 1060)] for t in range(8)]  # copies
+    # long ones that share their first turns, and prefixes of each other
+    rows += [(c, t, "user", f"turn {t}") for c, n in ((2007, 150), (2008, 140), (2009, 150)) for t in range(n)]
+    rows[-1] = (2009, 149, "user", "another end")
+    rows += [(c, t, "user", f"turn {t}") for c in range(3020, 3050) for t in range(c - 3010)]
     rng.shuffle(rows)
-    assert trie(spark, rows, container_turns=150) == plain(rows)
-
-
-def test_nulls_ties_and_copies(spark):
-    rows = [(1, None, None, None), (1, 0, "user", "x"), (1, 0, "user", "x"), (1, 0, "assistant", "y"), (2, 1, "", ""),
-            (None, 1, "user", "lost"), (3, 5, "user", "ü€𝄞"), (3, None, "system", "s")]
-    rows += [(c, t, "user", "same" * t) for c in range(500, 560) for t in range(8)]
-    rows += [(c, t, "user", "same" * t) for c in range(1000, 1060) for t in range(8)]
-    assert trie(spark, rows, container_turns=60) == plain(rows)
-
-
-def test_long_conversations_and_prefixes_of_each_other(spark):
-    # three containers deep: the long ones share their first turns and are chains then
-    rows = [(c, t, "user", f"turn {t}") for c, n in ((7, 3000), (8, 2990), (9, 3000)) for t in range(n)]
-    rows[-1] = (9, 2999, "user", "another end")
-    rows += [(c, t, "user", f"turn {t}") for c in range(20, 50) for t in range(c - 10)]
-    assert trie(spark, rows, container_turns=1000) == plain(rows)
-
-
-def test_one_turnless_conversation_and_no_conversations(spark):
-    c = next(c for c in range(1, 100) if zlib.crc32(str(c).encode()) % 6 > 0)
-    rows = [(c, 0, "user", "all of it is replaced by the first turns of an absent one")]
-    assert trie(spark, rows) == plain(rows) == [(c, 0, None, 1, 0, 1, 0, hashlib.sha256(str(c).encode()).hexdigest())]
-    assert trie(spark, []) == []
+    assert trie(spark, rows, container_turns=300) == plain(rows)
 
 
 def test_digest_of_a_large_group(spark, monkeypatch):
