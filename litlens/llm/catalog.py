@@ -14,6 +14,7 @@ from .embed_dedup import embedding_links
 from .exact_dedup import exact_duplicates, normalized_sha256
 from .langid import identify_languages
 from .mixing import mix_schedule
+from .phrases import collocations
 from .prefix_trie import conversation_trie
 from .quality import quality_scores
 from .sentencepiece_scan import decode, encode, read_model
@@ -102,6 +103,10 @@ def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(read_table(spark, sf_dir, "documents"), learn_from=~held_out)
 
 
+def op12_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(read_table(spark, sf_dir, "documents"), min_count=10, longest=3, top=2000, cover_percent=50)
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     heads = (F.crc32(F.col("conv").cast("string").cast("binary")) % 6).cast("int")
     return conversation_trie(read_table(spark, sf_dir, "conversations"), base=F.col("conv") - F.col("conv") % 100,
@@ -120,5 +125,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_sharding": op9_sharding,
     "op10_mixing": op10_mixing,
     "op11_language_id": op11_language_id,
+    "op12_phrase_mining": op12_phrase_mining,
     "op13_prefix_trie": op13_prefix_trie,
 }

@@ -50,4 +50,37 @@ SQL: dict[str, str] = {
                b.leaves AS n_leaves, b.saved::BIGINT AS saved_tokens, n.ends AS ends_sha256
         FROM counted n JOIN below b ON b.key = n.key AND b.d = n.d
     """,
+    "op12_phrase_mining": r"""
+        WITH piece AS (
+            SELECT lang, row_number() OVER () AS id, p FROM (
+                SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+                    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                    '[.,;:!?\x0A-\x0D]')) AS p FROM documents)),
+        worded AS (
+            SELECT lang, id, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM (
+                SELECT lang, id, list_filter(string_split_regex(p, '[\x20\x09]+'), lambda x: x <> '') AS w FROM piece)),
+        phrase AS (
+            SELECT lang, unnest([1, 2, 3]) AS k, unnest([w, w || ' ' || w2, w || ' ' || w2 || ' ' || w3]) AS phrase
+            FROM (SELECT lang, w, lead(w) OVER o AS w2, lead(w, 2) OVER o AS w3 FROM worded
+                  WINDOW o AS (PARTITION BY id ORDER BY i))),
+        f AS (SELECT lang, k, phrase, count(*) AS n FROM phrase WHERE phrase IS NOT NULL GROUP BY ALL),
+        total AS (SELECT lang, sum(n)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+        candidate AS (SELECT lang, k AS len, phrase, n AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND n >= 10),
+        cut AS (SELECT *, unnest(range(1, len)) AS j FROM candidate),
+        scored AS (
+            SELECT c.lang, c.phrase, c.a, c.j, x.n AS l, y.n AS r,
+                   (1000000::HUGEINT * c.a * c.a // (x.n::HUGEINT * y.n))::BIGINT AS score
+            FROM cut c JOIN f x ON x.lang = c.lang AND x.phrase = list_aggregate(c.w[1:c.j], 'string_agg', ' ')
+                       JOIN f y ON y.lang = c.lang AND y.phrase = list_aggregate(c.w[c.j + 1:], 'string_agg', ' ')),
+        best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+        inside AS (
+            SELECT lang, a, list_aggregate(w[i:i + 1], 'string_agg', ' ') AS phrase
+            FROM (SELECT *, unnest([1, 2]) AS i FROM candidate WHERE len = 3)),
+        kept AS (
+            SELECT * FROM best b WHERE NOT EXISTS (
+                SELECT 1 FROM inside i WHERE i.lang = b.lang AND i.phrase = b.phrase AND 100 * i.a >= 50 * b.a))
+        SELECT lang, rank, phrase, a, l, r, n, score FROM (
+            SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM kept)
+        JOIN total USING (lang) WHERE rank <= 2000
+    """,
 }
