@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from .common import scratch_root, small_or_plain, split_join, stored
@@ -40,7 +40,14 @@ NEVER = 255
 #: First ranking of a language's phrases by parts, so that no task sorts them all.
 RANK_PARTS = 64
 
-COUNTED = "lang string, len int, phrase string, n long, old long, act int, slot int"
+#: Bytes of text for each part that the counts are dealt to by hash; a part's
+#: counts meet in one task.
+PART_BYTES = 1 << 24
+#: Phrases a task remembers to have named.
+NAMED = 1 << 21
+
+COUNTED = "part long, len int, act int, hi binary, lo binary, n binary, old boolean"
+MERGED = "part long, len int, act int, hi binary, lo binary, n binary, reached binary"
 
 
 def words_of(text: str) -> Iterator[list[bytes]]:
@@ -57,126 +64,224 @@ def words_of(text: str) -> Iterator[list[bytes]]:
     yield [b"\xff"]
 
 
-def phrase_counts(words: list[bytes], seen: int, lang: str, active: list[np.ndarray], step: int,
-                  shards: int) -> Iterator[tuple[int, list[bytes], np.ndarray, np.ndarray, np.ndarray]]:
-    """(length, phrases, counts, first step, slot) of the phrases in ``words``
-    that are counted in this step; those that end before word ``seen`` were
-    counted with the words before."""
-    index: defaultdict[bytes, int] = defaultdict()
-    index.default_factory = index.__len__
-    index[b"\xff"] = 0
-    at = np.fromiter(map(index.__getitem__, words), np.int64, len(words))
-    names, size = list(index), len(index)
-    bits = int(len(active[0])).bit_length() - 1 if active else 0
-    if active:
+class Phrases:
+    """The phrases in a list of words: local word ids and 96-bit hashes of the
+    phrases of each length by their first word. Phrases that end before word
+    ``seen`` were counted with the words before."""
+
+    def __init__(self, words: list[bytes], seen: int, lang: str):
+        index: defaultdict[bytes, int] = defaultdict()
+        index.default_factory = index.__len__
+        index[b"\xff"] = 0
+        self.words, self.seen, self.lang = words, seen, lang
+        self.at = np.fromiter(map(index.__getitem__, words), np.int64, len(words))
+        self.size = len(index)
         salt = lang.encode() + b"\xff"
-        known = np.array([xxhash.xxh64_intdigest(salt + w) for w in names], np.uint64)
-    if step < shards:
-        n = np.bincount(at[seen:], minlength=size)
-        yield 0, [b""], np.array([n[1:].sum()]), np.zeros(1, int), np.zeros(1, int)
-        some = np.flatnonzero(n[1:]) + 1
-        slot = known[some] >> np.uint64(64 - bits) if active else np.zeros(len(some), np.uint64)
-        yield 1, [names[i] for i in some], n[some], np.zeros(len(some), int), slot.astype(int)
-    # hash of the phrase of each length that starts at each word, NEVER across borders
-    h, border = (known[at], at == 0) if active else (None, None)
-    for k in range(2, len(active) + 2):
-        since = np.where(border, NEVER, active[k - 2][h >> np.uint64(64 - bits)])
-        act = np.maximum(since[:-1], since[1:]).astype(np.int64)
-        first = np.flatnonzero((act <= step) & (step < act + shards))
-        first = first[first + k - 1 >= seen]
-        if k <= len(active):
-            h = (h[:-1] ^ np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xD6E8FEB86659FD93) + known[at[k - 1:]]
-            h ^= h >> np.uint64(32)
-            h *= np.uint64(0xFF51AFD7ED558CCD)
-            border = border[:-1] | (at[k - 1:] == 0)
-        if not first.size:
-            continue
-        key = at[first]
-        for j in range(1, k - 1):
-            key = np.unique(key * size + at[first + j], return_inverse=True)[1]
-        _, one, n = np.unique(key * size + at[first + k - 1], return_index=True, return_counts=True)
-        start = first[one]
-        slot = (h[start] >> np.uint64(64 - bits)).astype(int) if k <= len(active) else np.zeros(len(start), int)
-        yield k, [b" ".join(words[i:i + k]) for i in start.tolist()], n, act[start], slot
-
-
-def scan(shard: DataFrame, active: list[np.ndarray], step: int, shards: int) -> DataFrame:
-    """Counts of the active phrases of one shard (``lang, text``), in parts. The
-    row of length 0 has the words of the language."""
-    longest = len(active) + 1
+        known = np.frombuffer(b"".join(xxhash.xxh3_128_digest(salt + w) for w in index), "<u8").reshape(-1, 2)
+        self.known = known[:, 0].copy(), known[:, 1].copy()
+
+    def hashes(self, longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """(length, first and second hash, whether a border is inside) of the
+        phrase that starts at each word."""
+        hi, lo, border = self.known[0][self.at], self.known[1][self.at], self.at == 0
+        yield 1, hi, lo, border
+        for k in range(2, longest + 1):
+            nxt = self.at[k - 1:]
+            hi = (hi[:-1] ^ np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xD6E8FEB86659FD93) + self.known[0][nxt]
+            hi = (hi ^ (hi >> np.uint64(32))) * np.uint64(0xFF51AFD7ED558CCD)
+            lo = (lo[:-1] ^ np.uint64(0xC2B2AE3D27D4EB4F)) * np.uint64(0x9FB21C651E98DF25) + self.known[1][nxt]
+            lo = (lo ^ (lo >> np.uint64(29))) * np.uint64(0xC4CEB9FE1A85EC53)
+            border = border[:-1] | (nxt == 0)
+            yield k, hi, lo, border
+
+    def distinct(self, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """One start and the number of each distinct phrase among those at ``first``."""
+        key = self.at[first]
+        for j in range(1, k):
+            if j > 1:
+                key = np.unique(key, return_inverse=True)[1]
+            key = key * self.size + self.at[first + j]
+        _, one, n = np.unique(key, return_index=True, return_counts=True)
+        return first[one], n
+
+
+def in_windows(batches: Iterator[pa.RecordBatch], longest: int) -> Iterator[Phrases]:
+    """All phrases of the ``lang, text`` rows, by language in windows of words."""
+    held: dict[str, tuple[list[bytes], int]] = {}
+
+    def window(lang: str) -> Phrases:
+        words, seen = held.pop(lang)
+        keep = words[len(words) - (longest - 1):] if longest > 1 else []
+        held[lang] = keep, len(keep)
+        return Phrases(words, seen, lang)
+
+    for b in batches:
+        for lang, text in zip(b.column(0).to_pylist(), b.column(1)):
+            for words in words_of(text.as_py()):
+                if lang not in held:
+                    held[lang] = [], 0
+                held[lang][0].extend(words)
+                if len(held[lang][0]) >= WINDOW_WORDS:
+                    yield window(lang)
+        if sum(len(w) for w, _ in held.values()) >= 2 * WINDOW_WORDS:
+            for lang in list(held):
+                yield window(lang)
+                del held[lang]  # texts end with a border, so nothing goes on
+    for lang in list(held):
+        yield window(lang)
+
+
+def _blob(a: np.ndarray, kind: str) -> bytes:
+    return a.astype(kind).tobytes()
+
+
+def scan(shard: DataFrame, active: list[np.ndarray], step: int, shards: int, parts: int) -> DataFrame:
+    """Counts of the active phrases of one shard (``lang, text``): a row holds
+    the hashes and counts of those of a window in one part, of one length and
+    one first step."""
+    longest, bits = len(active), int(len(active[0])).bit_length() - 1
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, tuple[list[bytes], int]] = {}
-
-        def rows(lang: str) -> Iterator[pa.RecordBatch]:
-            words, seen = held.pop(lang)
-            for k, phrases, n, act, slot in phrase_counts(words, seen, lang, active, step, shards):
-                for i in range(0, len(phrases), 50_000):
-                    p = phrases[i:i + 50_000]
-                    cols = [pa.array([lang] * len(p), pa.string()), pa.array([k] * len(p), pa.int32()),
-                            pa.array(p, pa.string()), pa.array(n[i:i + 50_000], pa.int64()),
-                            pa.array([0] * len(p), pa.int64()), pa.array(act[i:i + 50_000], pa.int32()),
-                            pa.array(slot[i:i + 50_000], pa.int32())]
-                    yield pa.RecordBatch.from_arrays(cols, [c.split()[0] for c in COUNTED.split(", ")])
-            keep = words[len(words) - (longest - 1):] if longest > 1 else []
-            held[lang] = keep, len(keep)
+        for window in in_windows(batches, longest):
+            rows, since = [], None
+            for k, hi, lo, border in window.hashes(longest):
+                if k == 1:
+                    act = np.zeros(len(hi), np.int64)
+                else:
+                    act = np.maximum(since[:-1], since[1:]).astype(np.int64)
+                first = np.flatnonzero(~border & (act <= step) & (step < act + shards))
+                first = first[first + k - 1 >= window.seen]
+                since = np.where(border, NEVER, active[k - 1][hi >> np.uint64(64 - bits)])
+                if not first.size:
+                    continue
+                first, n = window.distinct(first, k)
+                part = hi[first] % np.uint64(parts)
+                order = np.lexsort((act[first], part))
+                first, n, part = first[order], n[order], part[order]
+                a = act[first]
+                new = np.flatnonzero(np.r_[True, (part[1:] != part[:-1]) | (a[1:] != a[:-1])])
+                for i, j in zip(new.tolist(), [*new[1:].tolist(), len(first)]):
+                    at = first[i:j]
+                    rows.append((int(part[i]), k, int(a[i]), _blob(hi[at], "<u8"), _blob(lo[at] >> np.uint64(32), "<u4"),
+                                 _blob(n[i:j], "<i8"), False))
+            for i in range(0, len(rows), 1000):
+                kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.bool_()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows[i:i + 1000]), kinds)],
+                                                 [c.split()[0] for c in COUNTED.split(", ")])
+
+    return shard.select("lang", "text").mapInArrow(count, COUNTED)
+
+
+def merged(counted: DataFrame, min_count: int, step: int, shards: int, bits: int) -> DataFrame:
+    """The counts of each part summed, without those that ended their cycle below
+    ``min_count``; ``reached`` has the slots of those that now got there."""
+
+    def of(table: pa.Table) -> pa.Table:
+        rows = []
+        lens, acts = table["len"].to_numpy(), table["act"].to_numpy()
+        for k, act in sorted(set(zip(lens.tolist(), acts.tolist()))):
+            here = table.filter(pa.array((lens == k) & (acts == act)))
+            hi, lo, n = (np.frombuffer(b"".join(here[c].to_pylist()), kind) for c, kind in (("hi", "<u8"), ("lo", "<u4"), ("n", "<i8")))
+            old = np.repeat(here["old"].to_numpy(zero_copy_only=False), [len(b) // 8 for b in here["hi"].to_pylist()])
+            order = np.lexsort((lo, hi))
+            hi, lo, n, old = hi[order], lo[order], n[order], old[order]
+            new = np.flatnonzero(np.r_[True, (hi[1:] != hi[:-1]) | (lo[1:] != lo[:-1])])
+            total, before = np.add.reduceat(n, new), np.add.reduceat(np.where(old, n, 0), new)
+            hi, lo = hi[new], lo[new]
+            reached = np.unique(hi[(total >= min_count) & (before < min_count)] >> np.uint64(64 - bits))
+            keep = (total >= min_count) | (act + shards > step)
+            rows.append((table["part"][0].as_py(), k, act, _blob(hi[keep], "<u8"), _blob(lo[keep], "<u4"),
+                         _blob(total[keep], "<i8"), _blob(reached, "<u4")))
+        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
+        return pa.table([pa.array(c, kind) for c, kind in zip(zip(*rows), kinds)], [c.split()[0] for c in MERGED.split(", ")])
+
+    return counted.groupBy("part").applyInArrow(of, MERGED)
+
+
+def _numbers(solid: DataFrame) -> DataFrame:
+    """``len, hi, lo, n`` of every phrase."""
 
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lang, text in zip(b.column(0).to_pylist(), b.column(1)):
-                for words in words_of(text.as_py()):
-                    if lang not in held:
-                        held[lang] = [], 0
-                    held[lang][0].extend(words)
-                    if len(held[lang][0]) >= WINDOW_WORDS:
-                        yield from rows(lang)
-            if sum(len(w) for w, _ in held.values()) >= 2 * WINDOW_WORDS:
-                for lang in list(held):
-                    yield from rows(lang)
-                    del held[lang]  # texts end with a border, so nothing goes on
-        for lang in list(held):
-            yield from rows(lang)
+            for k, hi, lo, n in zip(*(c.to_pylist() for c in b.columns)):
+                cols = np.frombuffer(hi, "<i8"), np.frombuffer(lo, "<u4").astype(np.int64), np.frombuffer(n, "<i8")
+                yield pa.RecordBatch.from_arrays([pa.array([k] * len(cols[0]), pa.int32()), *map(pa.array, cols)],
+                                                 ["len", "hi", "lo", "n"])
 
-    return shard.select("lang", "text").mapInArrow(count, COUNTED)
+    return solid.select("len", "hi", "lo", "n").mapInArrow(of, "len int, hi long, lo long, n long")
+
+
+def _names(laid: DataFrame, active: list[np.ndarray]) -> DataFrame:
+    """``lang, len, phrase, hi, lo, n`` of every phrase whose slot has reached the
+    threshold, and rows of length 0 with the number of words."""
+    longest, bits = len(active), int(len(active[0])).bit_length() - 1
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: set[tuple[int, int]] = set()
+        for window in in_windows(batches, longest):
+            rows = [(window.lang, 0, "", 0, 0, int((window.at[window.seen:] != 0).sum()))]
+            for k, hi, lo, border in window.hashes(longest):
+                first = np.flatnonzero(~border & (active[k - 1][hi >> np.uint64(64 - bits)] != NEVER))
+                first = window.distinct(first[first + k - 1 >= window.seen], k)[0]
+                keys = zip(hi[first].view(np.int64).tolist(), (lo[first] >> np.uint64(32)).tolist())
+                for i, key in zip(first.tolist(), keys):
+                    if key not in known:
+                        known.add(key)
+                        rows.append((window.lang, k, b" ".join(window.words[i:i + k]), *key, 0))
+            if len(known) > NAMED:
+                known.clear()
+            for i in range(0, len(rows), 50_000):
+                kinds = [pa.string(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows[i:i + 50_000]), kinds)],
+                                                 ["lang", "len", "phrase", "hi", "lo", "n"])
+
+    return laid.select("lang", "text").mapInArrow(of, "lang string, len int, phrase string, hi long, lo long, n long")
 
 
 def frequent_phrases(docs: DataFrame, min_count: int, longest: int = 3, shards: int = 3, slot_bits: int = 22,
                      text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """``lang, len, phrase, n``: every phrase of up to ``longest`` words with at
     least ``min_count`` occurrences in its language (NULL: ``und``), and the words
-    of each language as length 0. A scan reads one of the ``shards``; the driver
-    keeps 2 ** ``slot_bits`` bytes for each length but the last, and gets the
+    of each language as length 0.
+
+    A scan reads one of the ``shards``; counts are keyed by 96-bit hashes, dealt
+    by hash to parts whose number follows the bytes of text, and named in a last
+    scan. The driver keeps 2 ** ``slot_bits`` bytes for each length and gets the
     slots of the phrases that reach the threshold in a step."""
     spark = docs.sparkSession
     path = f"{scratch_root(spark)}/llm-phrase-shards-{uuid.uuid4().hex}"
+    seen = Observation()
     docs.select(F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"), F.col(text_col).alias("text")).filter(
-        "text is not null").withColumn("shard", F.pmod(F.xxhash64("text"), F.lit(shards))).write.option(
-        "compression", "zstd").partitionBy("shard").parquet(path)
+        "text is not null").withColumn("shard", F.pmod(F.xxhash64("text"), F.lit(shards))).observe(
+        seen, F.sum(F.octet_length("text")).alias("bytes")).write.option("compression", "zstd").partitionBy("shard").parquet(path)
+    parts = max(8, (seen.get["bytes"] or 0) // PART_BYTES)
     laid = spark.read.schema("lang string, text string, shard int").parquet(path)
-    active = [np.full(1 << slot_bits, NEVER, np.uint8) for _ in range(longest - 1)]
+    active = [np.full(1 << slot_bits, NEVER, np.uint8) for _ in range(longest)]
     dashed, solid, step, end = None, [], 0, shards
     while step < end:
-        counted = scan(laid.filter(F.col("shard") == step % shards), active, step, shards)
+        counted = scan(laid.filter(F.col("shard") == step % shards), active, step, shards, parts)
         if dashed is not None:
             counted = dashed.unionByName(counted)
-        counted = stored(counted.groupBy("lang", "len", "phrase").agg(
-            F.sum("n").alias("n"), F.sum("old").alias("old"), F.min("act").alias("act"), F.min("slot").alias("slot")),
-            "phrases")
         step += 1
-        reached = counted.filter((F.col("n") >= min_count) & (F.col("old") < min_count) & F.col("len").between(1, longest - 1))
-        new = reached.select("len", "slot").distinct().toArrow()
-        for k in range(1, longest):
-            at = new["slot"].to_numpy()[new["len"].to_numpy() == k]
+        counted = stored(merged(counted, min_count, step, shards, slot_bits), "phrases")
+        for k, slots in counted.filter("octet_length(reached) > 0").select("len", "reached").collect():
+            at = np.frombuffer(slots, "<u4")
             active[k - 1][at] = np.minimum(active[k - 1][at], step)
-        dashed = counted.filter(F.col("act") + shards > step).withColumn("old", F.col("n"))
-        solid.append(counted.filter((F.col("act") + shards <= step) & ((F.col("len") == 0) | (F.col("n") >= min_count))))
-        last = max((int(a[a != NEVER].max()) for a in active if (a != NEVER).any()), default=0)
+        done = F.col("act") + shards <= step
+        dashed = counted.filter(~done).drop("reached").withColumn("old", F.lit(True))
+        solid.append(counted.filter(done & (F.octet_length("n") > 0)))
+        last = max((int(a[a != NEVER].max()) for a in active[:-1] if (a != NEVER).any()), default=0)
         end = max(end, last + shards) if last else end
-        if end > NEVER:
-            raise ValueError(f"{shards} shards take more than {NEVER} steps")
-    out = solid[0]
+        if end >= NEVER:
+            raise ValueError(f"{shards} shards take {NEVER} steps or more")
+    counts = solid[0]
     for s in solid[1:]:
-        out = out.unionByName(s)
-    return stored(out.select("lang", "len", "phrase", "n"), "phrases-frequent")
+        counts = counts.unionByName(s)
+    names = stored(_names(laid, active), "phrases-names")
+    named = names.filter("len > 0").drop("n").distinct().join(_numbers(counts), ["len", "hi", "lo"])
+    totals = names.filter("len = 0").groupBy("lang").agg(F.sum("n").alias("n"))
+    return stored(named.select("lang", "len", "phrase", "n").unionByName(
+        totals.select("lang", F.lit(0).alias("len"), F.lit("").alias("phrase"), "n")), "phrases-frequent")
 
 
 def _first(words: Column, k: Column) -> Column:
@@ -230,6 +335,6 @@ def collocations(docs: DataFrame, min_count: int = 10, longest: int = 3, top: in
     rows = rows.withColumn("rank", F.row_number().over(part)).filter(F.col("rank") <= top)
     # at most RANK_PARTS x top rows of a language are left
     rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).filter(F.col("rank") <= top)
-    totals = found.filter("len = 0").groupBy("lang").agg(F.sum("n").alias("n"))
+    totals = found.filter("len = 0").select("lang", "n")
     return rows.join(small_or_plain(totals), "lang").select(
         "lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", F.col("score").cast("long").alias("score"))
