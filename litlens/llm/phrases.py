@@ -43,11 +43,11 @@ RANK_PARTS = 64
 #: Bytes of text for each part that the counts are dealt to by hash; a part's
 #: counts meet in one task.
 PART_BYTES = 1 << 24
-#: Phrases a task remembers to have named.
+#: Words a task remembers to have named.
 NAMED = 1 << 21
 
-COUNTED = "part long, len int, act int, hi binary, lo binary, n binary, old boolean"
-MERGED = "part long, len int, act int, hi binary, lo binary, n binary, reached binary"
+COUNTED = "part long, len int, act int, keys binary, n binary, old boolean"
+MERGED = "part long, len int, act int, keys binary, n binary, reached binary"
 
 
 def words_of(text: str) -> Iterator[list[bytes]]:
@@ -65,34 +65,30 @@ def words_of(text: str) -> Iterator[list[bytes]]:
 
 
 class Phrases:
-    """The phrases in a list of words: local word ids and 96-bit hashes of the
-    phrases of each length by their first word. Phrases that end before word
-    ``seen`` were counted with the words before."""
+    """The phrases in a list of words: local word ids, 64-bit hashes of the words
+    (salted with the language) and of the phrases of each length by their first
+    word. Phrases that end before word ``seen`` were counted with those before."""
 
     def __init__(self, words: list[bytes], seen: int, lang: str):
         index: defaultdict[bytes, int] = defaultdict()
         index.default_factory = index.__len__
         index[b"\xff"] = 0
-        self.words, self.seen, self.lang = words, seen, lang
+        self.seen, self.lang = seen, lang
         self.at = np.fromiter(map(index.__getitem__, words), np.int64, len(words))
-        self.size = len(index)
-        salt = lang.encode() + b"\xff"
-        known = np.frombuffer(b"".join(xxhash.xxh3_128_digest(salt + w) for w in index), "<u8").reshape(-1, 2)
-        self.known = known[:, 0].copy(), known[:, 1].copy()
-
-    def hashes(self, longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-        """(length, first and second hash, whether a border is inside) of the
-        phrase that starts at each word."""
-        hi, lo, border = self.known[0][self.at], self.known[1][self.at], self.at == 0
-        yield 1, hi, lo, border
+        self.names, salt = list(index), lang.encode() + b"\xff"
+        self.known = np.array([xxhash.xxh3_64_intdigest(salt + w) for w in self.names], np.uint64)
+
+    def hashes(self, longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(length, hash, whether a border is inside) of the phrase that starts
+        at each word."""
+        h, border = self.known[self.at], self.at == 0
+        yield 1, h, border
         for k in range(2, longest + 1):
             nxt = self.at[k - 1:]
-            hi = (hi[:-1] ^ np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xD6E8FEB86659FD93) + self.known[0][nxt]
-            hi = (hi ^ (hi >> np.uint64(32))) * np.uint64(0xFF51AFD7ED558CCD)
-            lo = (lo[:-1] ^ np.uint64(0xC2B2AE3D27D4EB4F)) * np.uint64(0x9FB21C651E98DF25) + self.known[1][nxt]
-            lo = (lo ^ (lo >> np.uint64(29))) * np.uint64(0xC4CEB9FE1A85EC53)
+            h = (h[:-1] ^ np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xD6E8FEB86659FD93) + self.known[nxt]
+            h = (h ^ (h >> np.uint64(32))) * np.uint64(0xFF51AFD7ED558CCD)
             border = border[:-1] | (nxt == 0)
-            yield k, hi, lo, border
+            yield k, h, border
 
     def distinct(self, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """One start and the number of each distinct phrase among those at ``first``."""
@@ -100,10 +96,14 @@ class Phrases:
         for j in range(1, k):
             if j > 1:
                 key = np.unique(key, return_inverse=True)[1]
-            key = key * self.size + self.at[first + j]
+            key = key * len(self.names) + self.at[first + j]
         _, one, n = np.unique(key, return_index=True, return_counts=True)
         return first[one], n
 
+    def keys(self, first: np.ndarray, k: int) -> np.ndarray:
+        """The hashes of the words of each phrase, a row a phrase."""
+        return np.stack([self.known[self.at[first + j]] for j in range(k)], 1)
+
 
 def in_windows(batches: Iterator[pa.RecordBatch], longest: int) -> Iterator[Phrases]:
     """All phrases of the ``lang, text`` rows, by language in windows of words."""
@@ -135,6 +135,15 @@ def _blob(a: np.ndarray, kind: str) -> bytes:
     return a.astype(kind).tobytes()
 
 
+def _slots(keys: np.ndarray, bits: int) -> np.ndarray:
+    """The slot of each row of word hashes, as :meth:`Phrases.hashes` has it."""
+    h = keys[:, 0]
+    for j in range(1, keys.shape[1]):
+        h = (h ^ np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xD6E8FEB86659FD93) + keys[:, j]
+        h = (h ^ (h >> np.uint64(32))) * np.uint64(0xFF51AFD7ED558CCD)
+    return h >> np.uint64(64 - bits)
+
+
 def scan(shard: DataFrame, active: list[np.ndarray], step: int, shards: int, parts: int) -> DataFrame:
     """Counts of the active phrases of one shard (``lang, text``): a row holds
     the hashes and counts of those of a window in one part, of one length and
@@ -144,28 +153,27 @@ def scan(shard: DataFrame, active: list[np.ndarray], step: int, shards: int, par
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for window in in_windows(batches, longest):
             rows, since = [], None
-            for k, hi, lo, border in window.hashes(longest):
+            for k, h, border in window.hashes(longest):
                 if k == 1:
-                    act = np.zeros(len(hi), np.int64)
+                    act = np.zeros(len(h), np.int64)
                 else:
                     act = np.maximum(since[:-1], since[1:]).astype(np.int64)
                 first = np.flatnonzero(~border & (act <= step) & (step < act + shards))
                 first = first[first + k - 1 >= window.seen]
-                since = np.where(border, NEVER, active[k - 1][hi >> np.uint64(64 - bits)])
+                since = np.where(border, NEVER, active[k - 1][h >> np.uint64(64 - bits)])
                 if not first.size:
                     continue
                 first, n = window.distinct(first, k)
-                part = hi[first] % np.uint64(parts)
+                part = h[first] % np.uint64(parts)
                 order = np.lexsort((act[first], part))
                 first, n, part = first[order], n[order], part[order]
                 a = act[first]
                 new = np.flatnonzero(np.r_[True, (part[1:] != part[:-1]) | (a[1:] != a[:-1])])
+                keys = window.keys(first, k)
                 for i, j in zip(new.tolist(), [*new[1:].tolist(), len(first)]):
-                    at = first[i:j]
-                    rows.append((int(part[i]), k, int(a[i]), _blob(hi[at], "<u8"), _blob(lo[at] >> np.uint64(32), "<u4"),
-                                 _blob(n[i:j], "<i8"), False))
+                    rows.append((int(part[i]), k, int(a[i]), _blob(keys[i:j], "<u8"), _blob(n[i:j], "<i8"), False))
             for i in range(0, len(rows), 1000):
-                kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.bool_()]
+                kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.bool_()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows[i:i + 1000]), kinds)],
                                                  [c.split()[0] for c in COUNTED.split(", ")])
 
@@ -181,72 +189,70 @@ def merged(counted: DataFrame, min_count: int, step: int, shards: int, bits: int
         lens, acts = table["len"].to_numpy(), table["act"].to_numpy()
         for k, act in sorted(set(zip(lens.tolist(), acts.tolist()))):
             here = table.filter(pa.array((lens == k) & (acts == act)))
-            hi, lo, n = (np.frombuffer(b"".join(here[c].to_pylist()), kind) for c, kind in (("hi", "<u8"), ("lo", "<u4"), ("n", "<i8")))
-            old = np.repeat(here["old"].to_numpy(zero_copy_only=False), [len(b) // 8 for b in here["hi"].to_pylist()])
-            order = np.lexsort((lo, hi))
-            hi, lo, n, old = hi[order], lo[order], n[order], old[order]
-            new = np.flatnonzero(np.r_[True, (hi[1:] != hi[:-1]) | (lo[1:] != lo[:-1])])
+            keys = np.frombuffer(b"".join(here["keys"].to_pylist()), "<u8").reshape(-1, k)
+            n = np.frombuffer(b"".join(here["n"].to_pylist()), "<i8")
+            old = np.repeat(here["old"].to_numpy(zero_copy_only=False), [len(b) // 8 for b in here["n"].to_pylist()])
+            order = np.lexsort(keys.T)
+            keys, n, old = keys[order], n[order], old[order]
+            new = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(1)])
             total, before = np.add.reduceat(n, new), np.add.reduceat(np.where(old, n, 0), new)
-            hi, lo = hi[new], lo[new]
-            reached = np.unique(hi[(total >= min_count) & (before < min_count)] >> np.uint64(64 - bits))
+            keys = keys[new]
+            slots = np.unique(_slots(keys[(total >= min_count) & (before < min_count)], bits))
             keep = (total >= min_count) | (act + shards > step)
-            rows.append((table["part"][0].as_py(), k, act, _blob(hi[keep], "<u8"), _blob(lo[keep], "<u4"),
-                         _blob(total[keep], "<i8"), _blob(reached, "<u4")))
-        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
+            rows.append((table["part"][0].as_py(), k, act, _blob(keys[keep], "<u8"), _blob(total[keep], "<i8"),
+                         _blob(slots, "<u4")))
+        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
         return pa.table([pa.array(c, kind) for c, kind in zip(zip(*rows), kinds)], [c.split()[0] for c in MERGED.split(", ")])
 
     return counted.groupBy("part").applyInArrow(of, MERGED)
 
 
 def _numbers(solid: DataFrame) -> DataFrame:
-    """``len, hi, lo, n`` of every phrase."""
+    """``w, n`` of every phrase: the hashes of its words and its count."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for k, hi, lo, n in zip(*(c.to_pylist() for c in b.columns)):
-                cols = np.frombuffer(hi, "<i8"), np.frombuffer(lo, "<u4").astype(np.int64), np.frombuffer(n, "<i8")
-                yield pa.RecordBatch.from_arrays([pa.array([k] * len(cols[0]), pa.int32()), *map(pa.array, cols)],
-                                                 ["len", "hi", "lo", "n"])
+            for k, keys, n in zip(*(c.to_pylist() for c in b.columns)):
+                n = np.frombuffer(n, "<i8")
+                w = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * k), pa.array(np.frombuffer(keys, "<i8")))
+                yield pa.RecordBatch.from_arrays([w, pa.array(n)], ["w", "n"])
 
-    return solid.select("len", "hi", "lo", "n").mapInArrow(of, "len int, hi long, lo long, n long")
+    return solid.select("len", "keys", "n").mapInArrow(of, "w array<long>, n long")
 
 
-def _names(laid: DataFrame, active: list[np.ndarray]) -> DataFrame:
-    """``lang, len, phrase, hi, lo, n`` of every phrase whose slot has reached the
-    threshold, and rows of length 0 with the number of words."""
-    longest, bits = len(active), int(len(active[0])).bit_length() - 1
+def _names(laid: DataFrame, reached: np.ndarray) -> DataFrame:
+    """``lang, word, h, n``: the words whose slot has reached the threshold, with
+    their hashes, and a row without a word with the number of words."""
+    bits = int(len(reached)).bit_length() - 1
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: set[tuple[int, int]] = set()
-        for window in in_windows(batches, longest):
-            rows = [(window.lang, 0, "", 0, 0, int((window.at[window.seen:] != 0).sum()))]
-            for k, hi, lo, border in window.hashes(longest):
-                first = np.flatnonzero(~border & (active[k - 1][hi >> np.uint64(64 - bits)] != NEVER))
-                first = window.distinct(first[first + k - 1 >= window.seen], k)[0]
-                keys = zip(hi[first].view(np.int64).tolist(), (lo[first] >> np.uint64(32)).tolist())
-                for i, key in zip(first.tolist(), keys):
-                    if key not in known:
-                        known.add(key)
-                        rows.append((window.lang, k, b" ".join(window.words[i:i + k]), *key, 0))
+        known: set[int] = set()
+        for window in in_windows(batches, 1):
+            rows = [(window.lang, None, 0, int((window.at != 0).sum()))]
+            often = reached[window.known >> np.uint64(64 - bits)] != NEVER
+            often[0] = False
+            for i, h in zip(np.flatnonzero(often).tolist(), window.known[often].view(np.int64).tolist()):
+                if h not in known:
+                    known.add(h)
+                    rows.append((window.lang, window.names[i], h, 0))
             if len(known) > NAMED:
                 known.clear()
-            for i in range(0, len(rows), 50_000):
-                kinds = [pa.string(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows[i:i + 50_000]), kinds)],
-                                                 ["lang", "len", "phrase", "hi", "lo", "n"])
+            kinds = [pa.string(), pa.string(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows), kinds)],
+                                             ["lang", "word", "h", "n"])
 
-    return laid.select("lang", "text").mapInArrow(of, "lang string, len int, phrase string, hi long, lo long, n long")
+    return laid.select("lang", "text").mapInArrow(of, "lang string, word string, h long, n long")
 
 
-def frequent_phrases(docs: DataFrame, min_count: int, longest: int = 3, shards: int = 3, slot_bits: int = 22,
-                     text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """``lang, len, phrase, n``: every phrase of up to ``longest`` words with at
-    least ``min_count`` occurrences in its language (NULL: ``und``), and the words
-    of each language as length 0.
+def frequent_phrases(docs: DataFrame, min_count: int, longest: int = 3, shards: int = 2, slot_bits: int = 22,
+                     text_col: str = "text", lang_col: str = "lang") -> tuple[DataFrame, DataFrame]:
+    """Every phrase of up to ``longest`` words with at least ``min_count``
+    occurrences in its language (NULL: ``und``), as ``w, n`` (64-bit hashes of its
+    words, salted with the language), and ``lang, word, h, n``: the words of these
+    hashes, and for each language a row without a word that counts all its words.
 
-    A scan reads one of the ``shards``; counts are keyed by 96-bit hashes, dealt
-    by hash to parts whose number follows the bytes of text, and named in a last
-    scan. The driver keeps 2 ** ``slot_bits`` bytes for each length and gets the
+    A scan reads one of the ``shards``; counts are dealt by hash to parts whose
+    number follows the bytes of text. The driver keeps 2 ** ``slot_bits`` bytes for each length and gets the
     slots of the phrases that reach the threshold in a step."""
     spark = docs.sparkSession
     path = f"{scratch_root(spark)}/llm-phrase-shards-{uuid.uuid4().hex}"
@@ -277,15 +283,8 @@ def frequent_phrases(docs: DataFrame, min_count: int, longest: int = 3, shards:
     counts = solid[0]
     for s in solid[1:]:
         counts = counts.unionByName(s)
-    names = stored(_names(laid, active), "phrases-names")
-    named = names.filter("len > 0").drop("n").distinct().join(_numbers(counts), ["len", "hi", "lo"])
-    totals = names.filter("len = 0").groupBy("lang").agg(F.sum("n").alias("n"))
-    return stored(named.select("lang", "len", "phrase", "n").unionByName(
-        totals.select("lang", F.lit(0).alias("len"), F.lit("").alias("phrase"), "n")), "phrases-frequent")
-
-
-def _first(words: Column, k: Column) -> Column:
-    return F.array_join(F.slice(words, F.lit(1), k), " ")
+    names = _names(laid, active[0]).groupBy("lang", "word", "h").agg(F.sum("n").alias("n"))
+    return stored(_numbers(counts), "phrases-frequent"), stored(names, "phrases-names")
 
 
 def _whole(c: str) -> Column:
@@ -293,7 +292,7 @@ def _whole(c: str) -> Column:
 
 
 def collocations(docs: DataFrame, min_count: int = 10, longest: int = 3, top: int = 2000, cover_percent: int = 50,
-                 shards: int = 3, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+                 shards: int = 2, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The best phrases of 2 to ``longest`` words of each language.
 
     Texts are lower-cased (A-Z) and cut into pieces at ``. , ; : ! ?`` and line
@@ -310,31 +309,32 @@ def collocations(docs: DataFrame, min_count: int = 10, longest: int = 3, top: in
     result; other columns of ``docs`` are ignored. Products are exact decimals:
     counts may have up to 16 digits.
     """
-    found = frequent_phrases(docs, min_count, longest, shards, text_col=text_col, lang_col=lang_col)
-    counts = found.filter("len > 0").select("lang", "phrase", "n")
-    words = F.split("phrase", " ")
-    candidates = found.filter("len > 1").select("lang", "len", "phrase", F.col("n").alias("a"))
-    cuts = candidates.select("lang", "phrase", "a", words.alias("w"), F.explode(F.expr("sequence(1, len - 1)")).alias("k")).select(
-        "lang", "phrase", "a", "k", _first(F.col("w"), F.col("k")).alias("head"),
-        F.array_join(F.slice("w", F.col("k") + 1, F.size("w")), " ").alias("tail"))
+    counts, names = frequent_phrases(docs, min_count, longest, shards, text_col=text_col, lang_col=lang_col)
+    candidates = counts.filter("size(w) > 1").select("w", F.col("n").alias("a"))
+    cuts = candidates.select("w", "a", F.explode(F.expr("sequence(1, size(w) - 1)")).alias("k")).select(
+        "w", "a", "k", F.slice("w", F.lit(1), F.col("k")).alias("head"), F.slice("w", F.col("k") + 1, F.size("w")).alias("tail"))
     # both parts occur at least as often as the phrase, so their counts are known
-    cuts = split_join(cuts, counts.select("lang", F.col("phrase").alias("head"), F.col("n").alias("l")), ["lang", "head"])
-    cuts = split_join(cuts, counts.select("lang", F.col("phrase").alias("tail"), F.col("n").alias("r")), ["lang", "tail"])
+    cuts = split_join(cuts, counts.select(F.col("w").alias("head"), F.col("n").alias("l")), ["head"])
+    cuts = split_join(cuts, counts.select(F.col("w").alias("tail"), F.col("n").alias("r")), ["tail"])
     cuts = cuts.withColumn("up", _whole("a") * _whole("a") * F.lit(1_000_000).cast("decimal(7,0)")).withColumn(
         "down", _whole("l") * _whole("r")).withColumn("score", F.expr("up div down"))
-    scored = cuts.groupBy("lang", "phrase", "a").agg(F.min(F.struct("score", "k", "l", "r")).alias("best"))
-    longer = candidates.filter("len > 2").select("lang", "a", words.alias("w"), F.explode(F.expr(
-        "flatten(transform(sequence(2, len - 1), m -> transform(sequence(1, len - m + 1), i -> struct(i, m))))")).alias("part"))
-    covered = longer.select("lang", "a", F.array_join(F.slice("w", F.col("part.i"), F.col("part.m")), " ").alias("phrase")) \
-        .groupBy("lang", "phrase").agg(F.max("a").alias("most"))
-    kept = split_join(scored, covered, ["lang", "phrase"], "left").filter(
-        F.col("most").isNull() | (100 * F.col("most") < cover_percent * F.col("a")))
+    scored = cuts.groupBy("w", "a").agg(F.min(F.struct("score", "k", "l", "r")).alias("best"))
+    longer = candidates.filter("size(w) > 2").select("a", "w", F.explode(F.expr(
+        "flatten(transform(sequence(2, size(w) - 1), m -> transform(sequence(1, size(w) - m + 1), i -> struct(i, m))))")).alias("part"))
+    covered = longer.select("a", F.slice("w", F.col("part.i"), F.col("part.m")).alias("w")).groupBy("w").agg(
+        F.max("a").alias("most"))
+    kept = split_join(scored, covered, ["w"], "left").filter(
+        F.col("most").isNull() | (100 * F.col("most") < cover_percent * F.col("a"))).drop("most")
+    words = names.filter("word is not null").select("h", "lang", "word")
+    spelt = split_join(kept.select("w", F.posexplode("w").alias("i", "h")), words, ["h"]).groupBy("w").agg(
+        F.min("lang").alias("lang"), F.array_sort(F.collect_list(F.struct("i", "word"))).alias("words"))
+    rows = stored(split_join(kept, spelt, ["w"]).select(
+        "lang", F.array_join(F.col("words.word"), " ").alias("phrase"), "a", "best.l", "best.r", "best.score"), "phrases-scored")
     order = [F.col("score").desc(), F.col("a").desc(), F.col("phrase")]
-    rows = kept.select("lang", "phrase", "a", "best.l", "best.r", "best.score")
     part = Window.partitionBy("lang", F.pmod(F.xxhash64("phrase"), F.lit(RANK_PARTS))).orderBy(*order)
     rows = rows.withColumn("rank", F.row_number().over(part)).filter(F.col("rank") <= top)
     # at most RANK_PARTS x top rows of a language are left
     rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).filter(F.col("rank") <= top)
-    totals = found.filter("len = 0").select("lang", "n")
+    totals = names.filter("word is null").select("lang", "n")
     return rows.join(small_or_plain(totals), "lang").select(
         "lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", F.col("score").cast("long").alias("score"))
