@@ -11,7 +11,7 @@ import public_tokenizers
 
 from .common import read_table
 from .embed_dedup import embedding_links
-from .exact_dedup import exact_duplicates, normalized_sha256
+from .exact_dedup import exact_duplicates
 from .langid import identify_languages
 from .mixing import mix_schedule
 from .phrases import collocations
@@ -47,16 +47,7 @@ def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents")
-    digest = normalized_sha256(docs, "doc_id").select(
-        F.col("id").alias("doc_id"), F.lower(F.hex("sha")).alias("text_sha256"))
-    decided = exact_duplicates(docs)
-    known = decided.filter("doc_id is not null").join(digest.dropDuplicates(["doc_id"]), "doc_id")
-    # rows without an id are groups of their own
-    nameless = digest.filter("doc_id is null").select(
-        "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"),
-        F.lit(True).alias("kept"), "text_sha256")
-    return known.unionByName(nameless)
+    return exact_duplicates(read_table(spark, sf_dir, "documents"), digest="text_sha256")
 
 
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

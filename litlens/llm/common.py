@@ -60,6 +60,27 @@ def small_or_plain(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores before it as no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def text_hash(text_col: str) -> Column:
+    """64 bits of a text as it stands; NULL counts as empty."""
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+
+
+def without_rows(docs: DataFrame, gone: DataFrame, id_col: str, h: Column) -> DataFrame:
+    """``docs`` without the rows of the stored ``id, h`` table; ``h`` is the hash
+    of the text, so ids that clash only lose the texts named there."""
+    a, b = unused(docs, "gone_id"), unused(docs, "gone_h")
+    named = small_or_plain(gone).select(F.col("id").alias(a), F.col("h").alias(b))
+    return docs.join(named, (F.col(id_col) == F.col(a)) & (h == F.col(b)), "left_anti")
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -20,45 +20,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import running, small_or_plain, stored
+from .common import running, small_or_plain, stored, unused
 
-#: Blocks that are handed on at once; slots of a period in ``whole_shares``.
+#: Blocks that are handed on at once.
 PERIOD = 10_000
 #: Slots, in multiples of the blocks, up to which ended sources still take part.
 VACANT = 4
-
-
-def whole_shares(weights: Mapping[str | None, float], period: int = PERIOD) -> dict[str | None, int]:
-    """Weights as integer slots of a period (largest remainder, at least one
-    slot each); the period grows to four slots a source if it is too short."""
-    keys = sorted((k for k, w in weights.items() if w > 0), key=lambda k: (k is not None, k))
-    if not keys:
-        return {}
-    period = max(period, 4 * len(keys))
-    total, spare = sum(weights[k] for k in keys), period - len(keys)
-    exact = [weights[k] / total * spare for k in keys]
-    slots = [1 + int(x) for x in exact]
-    order = sorted(range(len(keys)), key=lambda i: (int(exact[i]) - exact[i], i))
-    for i in order[:period - sum(slots)]:
-        slots[i] += 1
-    return dict(zip(keys, slots))
-
-
-def one_period(shares: Mapping[str | None, int]) -> list[tuple[str | None, int, int, int, int]]:
-    """(source, block, release, deadline, slot) of every block of a period."""
-    period, out = sum(shares.values()), []
-    waiting: dict[int, list[tuple[int, int, str | None, int]]] = {}
-    for i, (source, n) in enumerate(shares.items()):
-        for k in range(n):
-            release, due = k * period // n, -(-(k + 1) * period // n)
-            waiting.setdefault(release, []).append((due, i, source, k))
-    ready: list[tuple[int, int, int, str | None]] = []
-    for slot in range(period):
-        for due, i, source, k in waiting.pop(slot, []):
-            heapq.heappush(ready, (due, i, k, source))
-        due, _, k, source = heapq.heappop(ready)
-        out.append((source, k, k * period // shares[source], due, slot))
-    return out
+#: Slots there are; a weight too small for its blocks to end before is refused.
+LAST_SLOT = 1 << 62
 
 
 def exact_shares(weights: list[Fraction]) -> list[int]:
@@ -69,17 +38,19 @@ def exact_shares(weights: list[Fraction]) -> list[int]:
     return [n // common for n in shares]
 
 
-def whole_schedule(shares: list[int], blocks: list[int]) -> Iterator[tuple[int, int, int, int, int]]:
+def whole_schedule(shares: list[int], blocks: list[int], vacant: int = VACANT) -> Iterator[tuple[int, int, int, int, int]]:
     """(source, block, release, deadline, slot) of each of a source's blocks by
     earliest deadline first, ties to the first source, in the order of slots.
 
     Sources that ended still take their slots, which stay vacant, up to slot
-    ``VACANT`` x all blocks: the others keep the slots they would have had.
+    ``vacant`` x all blocks: the others keep the slots they would have had.
     Beyond it they are left out, so a tiny weight costs no walk over vacant
     slots; the windows of the others hold all the same.
     """
     total, left = sum(shares), sum(blocks)
-    stop = VACANT * left
+    if any(n and -(-n * total // share) + left > LAST_SLOT for n, share in zip(blocks, shares)):
+        raise ValueError(f"a weight is too small: its source would not end before slot {LAST_SLOT}")
+    stop = vacant * left
     waiting = [(0, i, 0) for i in range(len(shares))]  # (release, source, block): sorted, so a heap
     ready: list[tuple[int, int, int, int]] = []
     slot = 0
@@ -100,7 +71,7 @@ def whole_schedule(shares: list[int], blocks: list[int]) -> Iterator[tuple[int,
 
 
 def block_slots(sizes: DataFrame, weights: Mapping[str | None, float] | None, power: float, block_rows: int,
-                portion: int) -> DataFrame:
+                portion: int, vacant: int = VACANT) -> DataFrame:
     """A row for each block of the ``source, first, n`` rows that has a slot."""
     names = ["first", "block", "release", "deadline", "slot"]
 
@@ -115,7 +86,7 @@ def block_slots(sizes: DataFrame, weights: Mapping[str | None, float] | None, po
             return
         _, firsts, counts, exact = zip(*sorted(found))
         out = []
-        for i, *row in whole_schedule(exact_shares(list(exact)), [-(-n // block_rows) for n in counts]):
+        for i, *row in whole_schedule(exact_shares(list(exact)), [-(-n // block_rows) for n in counts], vacant):
             out.append((firsts[i], *row))
             if len(out) == portion:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names)
@@ -129,7 +100,7 @@ def block_slots(sizes: DataFrame, weights: Mapping[str | None, float] | None, po
 
 def mix_schedule(docs: DataFrame, weights: Mapping[str | None, float] | None = None, power: float = 1.0,
                  block_rows: int = 16, period: int = PERIOD, id_col: str = "doc_id",
-                 source_col: str = "source") -> DataFrame:
+                 source_col: str = "source", vacant: int = VACANT) -> DataFrame:
     """Slot of every document in the mix.
 
     ``weights`` are the target shares of blocks by source (None is the NULL
@@ -140,7 +111,9 @@ def mix_schedule(docs: DataFrame, weights: Mapping[str | None, float] | None = N
     each source has had its share of the slots to within one block; after it
     the slots of ended sources stay vacant and the others keep their windows, so
     no document is dropped or repeated. ``period`` is the number of blocks
-    handed on at once; the schedule does not depend on it.
+    handed on at once; the schedule does not depend on it. Ended sources take part
+    up to slot ``vacant`` x all blocks. A weight so small that its source would
+    not end before slot 2 ** 62 is refused with a ValueError.
 
     Returns id, source, ``block``, ``place`` (row in its block), ``release``,
     ``deadline`` and ``slot``. A source without a positive weight is not
@@ -153,7 +126,7 @@ def mix_schedule(docs: DataFrame, weights: Mapping[str | None, float] | None = N
     placed = stored(running(rows.withColumn("mixed", F.xxhash64("id")), order, {"upto": F.lit(1)}, "mix-order"),
                     "mix-placed")
     sizes = stored(placed.groupBy("source").agg(F.min("upto").alias("first"), F.count("*").alias("n")), "mix-sizes")
-    slots = stored(block_slots(sizes, weights, power, block_rows, period), "mix-slots").withColumnRenamed(
+    slots = stored(block_slots(sizes, weights, power, block_rows, period, vacant), "mix-slots").withColumnRenamed(
         "first", "first2").withColumnRenamed("block", "block2")
     starts = small_or_plain(sizes.select(F.col("source").alias("s"), "first"))
     out = placed.join(starts, F.col("source").eqNullSafe(F.col("s")))
@@ -176,9 +149,10 @@ def in_mix_order(docs: DataFrame, plan: DataFrame, id_col: str = "doc_id") -> Da
     """All rows of ``docs`` sorted into the mix of ``plan``; rows without a slot
     come last. The texts move twice, by id to meet their slots and then into
     order; the join is the same at every size."""
-    plan = plan.select(F.col(id_col).alias("_id"), F.col("slot").alias("_slot"), F.col("place").alias("_place"))
-    return docs.join(plan.hint("merge"), F.col(id_col) == F.col("_id"), "left").orderBy(
-        F.col("_slot").asc_nulls_last(), "_place", F.xxhash64(id_col)).select(*[docs[c] for c in docs.columns])
+    own, slot, place = (unused(docs, f"mix_{c}") for c in ("id", "slot", "place"))
+    plan = plan.select(F.col(id_col).alias(own), F.col("slot").alias(slot), F.col("place").alias(place))
+    return docs.join(plan.hint("merge"), F.col(id_col) == F.col(own), "left").orderBy(
+        F.col(slot).asc_nulls_last(), place, F.xxhash64(id_col)).drop(own, slot, place)
 
 
 def mix_documents(docs: DataFrame, weights: Mapping[str | None, float] | None = None, power: float = 1.0,

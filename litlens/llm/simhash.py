@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, split_join, stored
+from .common import ASCII_LOWER, split_join, stored, text_hash, without_rows
 from .components import components
 
 SEED = 42
@@ -45,15 +45,17 @@ def fingerprint(text: str | None, width: int) -> int:
 
 
 def fingerprints(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
-    """``id, fp`` (the 64 bits as a long) for every row."""
+    """``id, h, fp`` for every row: a hash of the text as it stands, and the 64
+    bits as a long."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = np.array([fingerprint(t.as_py(), width) for t in b.column(1)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], ["id", "fp"])
+            fp = np.array([fingerprint(t.as_py(), width) for t in b.column(2)], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp)], ["id", "h", "fp"])
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(of, f"id {kind}, fp long")
+    return docs.select(F.col(id_col).alias("id"), text_hash(text_col).alias("h"), F.col(text_col).alias("text")).mapInArrow(
+        of, f"id {kind}, h long, fp long")
 
 
 def variants(max_bits: int) -> list[tuple[int, int, int]]:
@@ -159,19 +161,32 @@ def simhash_components(docs: DataFrame, width: int = 4, max_bits: int = 4, id_co
     fingerprint, NULL if no row with an id has it. Repeated rows agree. An
     empty table gives an empty result; other columns of ``docs`` are ignored.
     """
-    rows = stored(fingerprints(docs, width, id_col, text_col), "simhash-rows")
-    nodes = stored(rows.groupBy("fp").agg(F.min("id").cast("long").alias("node")), "simhash-nodes")
-    found = components(links(nodes.filter("node is not null"), max_bits))
-    named = nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return split_join(rows, named, ["fp"]).select(
+    return _components(docs, width, max_bits, id_col, text_col).select(
         F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _components(docs: DataFrame, width: int, max_bits: int, id_col: str, text_col: str) -> DataFrame:
+    """``id, h, fp, component_id`` of every row."""
+    rows = stored(fingerprints(docs, width, id_col, text_col), "simhash-rows")
+    # a fingerprint is its own node: ids may clash
+    nodes = stored(rows.groupBy("fp").agg(F.min("id").cast("long").alias("least"))
+                   .select("fp", F.col("fp").alias("node"), "least"), "simhash-nodes")
+    found = components(links(nodes.filter("least is not null").drop("least"), max_bits))
+    placed = nodes.join(found, "node", "left").select("fp", "least", F.coalesce("component", "node").alias("component"))
+    smallest = placed.groupBy("component").agg(F.min("least").alias("component_id"))
+    named = split_join(placed, smallest, ["component"]).select("fp", "component_id")
+    return split_join(rows, named, ["fp"]).select("id", "h", "fp", "component_id")
+
+
 def drop_near_duplicates(docs: DataFrame, width: int = 4, max_bits: int = 4, id_col: str = "doc_id",
                          text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each component: the one with the smallest id.
-    Rows without an id stay."""
-    from .common import small_or_plain
-    gone = stored(simhash_components(docs, width, max_bits, id_col, text_col)
-                  .filter(F.col(id_col) != F.col("component_id")).select(id_col).distinct(), "simhash-gone")
-    return docs.join(small_or_plain(gone), id_col, "left_anti")
+    """``docs`` with one row of each component: the one with the smallest id, of
+    equal ids the one with the least text hash. Ids that clash keep their texts
+    apart; rows that repeat both id and text stay or go together; rows without
+    an id stay."""
+    found = stored(_components(docs, width, max_bits, id_col, text_col).filter("id is not null")
+                   .select("id", "h", "component_id").distinct(), "simhash-found")
+    first = found.filter("id = component_id").groupBy("component_id").agg(F.min("h").alias("first"))
+    gone = stored(split_join(found, first, ["component_id"]).filter("id != component_id or h != first").select("id", "h"),
+                  "simhash-gone")
+    return without_rows(docs, gone, id_col, text_hash(text_col))

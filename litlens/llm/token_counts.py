@@ -19,6 +19,11 @@ from pyspark.sql import functions as F
 
 RULES = ("first", "most", "split")
 SEPARATOR = "\n"
+#: White space of the patterns (Unicode White_Space), in runs too long for a
+#: pattern engine that recurses; and the end of the patterns that such a run may
+#: be cut out of: they take it whole, less its last character before a word.
+LONG_SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{10000,}")
+SPACE_RULE = r"\s+(?!\S)|\s+"
 _LOADED: dict[tuple[str, int], tuple[tiktoken.Encoding, np.ndarray]] = {}
 
 
@@ -38,6 +43,20 @@ def tokenizer(ranks: bytes, pattern: str) -> tuple[tiktoken.Encoding, np.ndarray
     return _LOADED[key]
 
 
+def encode(encoding: tiktoken.Encoding, text: str, pattern: str) -> list[int]:
+    """The tokens of a whole text. Long runs of white space are pieces of their
+    own under ``SPACE_RULE`` and go past the pattern engine, with the same tokens."""
+    if not pattern.endswith(SPACE_RULE):
+        return encoding.encode_ordinary(text)
+    out, at = [], 0
+    for run in LONG_SPACE.finditer(text):
+        stop = run.end() - (run.end() < len(text))
+        out += encoding.encode_ordinary(text[at:run.start()])
+        out += encoding._encode_single_piece(text[run.start():stop])
+        at = stop
+    return out + encoding.encode_ordinary(text[at:])
+
+
 def section_spans(fields: Sequence[str | None], breaks: re.Pattern) -> tuple[str, list[int], list[int], list[int]]:
     """The joined text, and (field, section, end in characters) of its sections.
 
@@ -113,8 +132,8 @@ def token_counts(docs: DataFrame, fields: Sequence[str], ranks: bytes, pattern:
             for r in range(batch.num_rows):
                 text, f, s, ends = section_spans([batch.column(c + 1)[r].as_py() for c in range(len(names))], find)
                 raw = np.frombuffer(text.encode(), np.uint8)
-                char_of_byte = np.cumsum((raw & 0xC0) != 0x80) - 1
-                token_ends = np.cumsum(lengths[np.array(encoding.encode_ordinary(text), np.int64)])
+                char_of_byte = np.cumsum((raw & 0xC0) != 0x80, dtype=np.int32 if len(raw) < 1 << 31 else np.int64) - 1
+                token_ends = np.cumsum(lengths[np.array(encode(encoding, text, pattern), np.int64)])
                 rows += [r] * len(f)
                 field += f
                 section += s

@@ -45,3 +45,16 @@ def test_shuffled_semi_join(spark, monkeypatch):
     rows = [(i, f"text {i // 3}") for i in range(90)]
     got = X.exact_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(tuple(r) for r in got) == [(i, i // 3 * 3 + 2, 3, i % 3 == 2) for i in range(90)]
+
+
+def test_clashing_ids_keep_unique_texts(spark):
+    rows = [(1, "same", "en", "a", 1), (2, "same", "en", "a", 1), (1, "unique text here", "en", "a", 1),
+            (2, "other", "en", "a", 1), (2, "OTHER", "en", "a", 1)]
+    docs = spark.createDataFrame(rows, DOCS).selectExpr("*", "1 as gone_id", "2 as same", "3 as h")
+    kept = X.drop_exact_duplicates(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id, r.text.lower()) for r in kept.collect()) == [(1, "unique text here"), (2, "other"), (2, "same")]
+    got = X.exact_duplicates(docs, digest="sha").collect()
+    assert sorted((r.doc_id, r.keep_id, r.kept) for r in got) == [
+        (1, 1, True), (1, 2, False), (2, 2, True), (2, 2, True), (2, 2, True)]
+    assert {r.sha for r in got} == {hashlib.sha256(low(t)).hexdigest() for _, t, *_ in rows}

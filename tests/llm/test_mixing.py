@@ -1,3 +1,4 @@
+import math
 import random
 from fractions import Fraction
 
@@ -8,40 +9,18 @@ from litlens.llm import mixing as M
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
 
-@pytest.mark.parametrize("seed", range(8))
-def test_period_meets_windows_and_deviation(seed):
-    rng = random.Random(seed)
-    weights = {f"s{i}": rng.choice([0.1, 1, 5, rng.random() * 30]) for i in range(rng.randint(1, 40))}
-    shares = M.whole_shares(weights, 500)
-    total = sum(shares.values())
-    assert total == max(500, 4 * len(weights)) and all(n >= 1 for n in shares.values())
-    rows = M.one_period(shares)
-    assert [r[4] for r in rows] == list(range(total))
-    assert all(release <= slot < due for _, _, release, due, slot in rows)
-    given = dict.fromkeys(shares, 0)
-    for t, row in enumerate(rows, 1):
-        given[row[0]] += 1
-        assert all(abs(given[s] * total - n * t) < total for s, n in shares.items())
-    assert given == shares
-
-
-def test_weights():
-    assert M.whole_shares({"a": 1, "b": 1, "c": 2, None: 0}, 100) == {"a": 25, "b": 25, "c": 50}
-    assert M.whole_shares({}, 100) == {} and M.one_period({}) == []
-    assert sum(M.whole_shares({"a": 1e-9, "b": 1}, 10).values()) == 10
-
-
-def plain_slots(blocks, shares):
-    """EDF slot by slot over all blocks, as if no source ended."""
-    total = sum(shares.values())
-    names, out, taken, slot = list(shares), {}, dict.fromkeys(shares, 0), 0
-    while len([1 for b in out if b[1] < blocks[b[0]]]) < sum(blocks.values()):
-        ready = [(-(-(taken[s] % shares[s] + 1) * total // shares[s]) + taken[s] // shares[s] * total, i, s)
-                 for i, s in enumerate(names)
-                 if taken[s] % shares[s] * total // shares[s] + taken[s] // shares[s] * total <= slot]
-        s = min(ready)[2]
-        out[s, taken[s]] = slot
-        taken[s] += 1
+def plain_schedule(weights, blocks):
+    """Earliest deadline first, slot by slot: {(source, block): (release, deadline, slot)}."""
+    total, taken, slot, out = sum(weights.values()), dict.fromkeys(weights, 0), 0, {}
+    names = sorted(weights, key=lambda s: (s is not None, s or ""))
+    while any(taken[s] < blocks[s] for s in names):  # ended sources go on taking slots
+        ready = [(math.ceil((taken[s] + 1) * total / weights[s]), i) for i, s in enumerate(names)
+                 if math.floor(taken[s] * total / weights[s]) <= slot]
+        if ready:
+            due, i = min(ready)
+            s = names[i]
+            out[s, taken[s]] = (math.floor(taken[s] * total / weights[s]), due, slot)
+            taken[s] += 1
         slot += 1
     return out
 
@@ -56,11 +35,11 @@ def test_schedule_equals_plain_edf(spark):
     assert sorted(r.doc_id for r in got) == list(range(700))
     assert all(r.slot is None and r.block is None for r in got if r.source == "c")
     n = {s: sum(r[3] == s for r in rows) for s in weights}
-    want = plain_slots({s: -(-k // 4) for s, k in n.items()}, M.whole_shares(weights, 20))
+    want = plain_schedule(weights, {s: -(-k // 4) for s, k in n.items()})
     for s, k in n.items():
         mine = [r for r in got if r.source == s]
         assert sorted((r.block, r.place) for r in mine) == [(i // 4, i % 4) for i in range(k)]
-        assert all(r.slot == want[s, r.block] and r.release <= r.slot < r.deadline for r in mine)
+        assert all((r.release, r.deadline, r.slot) == want[s, r.block] and r.release <= r.slot < r.deadline for r in mine)
 
 
 def test_documents_in_order(spark):
@@ -84,14 +63,25 @@ def test_query(spark):
     n = {}
     for r in spark.read.parquet(f"{sf}/documents.parquet").collect():
         n[r.source] = n.get(r.source, 0) + 1
-    shares = M.whole_shares({s: k ** MIX_POWER for s, k in n.items()})
-    want = {(r[0], r[1]): r[2:] for r in M.one_period(shares)}
+    want = plain_schedule({s: Fraction(k ** MIX_POWER) for s, k in n.items()}, {s: -(-k // 16) for s, k in n.items()})
     got = QUERIES["op10_mixing"](spark, sf).collect()
     assert len(got) == sum(n.values())
     for r in got:
         assert (r.release, r.deadline, r.slot) == want[r.source, r.block]
 
 
+def test_clashing_columns_and_weights_beyond_64_bits(spark):
+    docs = spark.createDataFrame([(i, "t", "en", "ab"[i % 2], 1) for i in range(40)], DOCS).selectExpr(
+        "*", "'x' as _id", "1 as _slot", "2 as _place", "3 as mix_slot", "4 as MIX_id")
+    got = M.mix_documents(docs, block_rows=4)
+    assert got.columns == docs.columns and sorted(map(str, got.collect())) == sorted(map(str, docs.collect()))
+    with pytest.raises(Exception, match="a weight is too small"):
+        M.mix_schedule(docs, weights={"a": 1.0, "b": 1e-18}, block_rows=1).collect()
+    # the smallest that fits goes through the long columns
+    rows = M.mix_schedule(docs, weights={"a": 1.0, "b": 1e-16}, block_rows=1).collect()
+    assert all(r.release <= r.slot < r.deadline < 2 ** 63 for r in rows) and len({r.slot for r in rows}) == 40
+
+
 @pytest.mark.parametrize("seed, sources", [(0, 3), (1, 40), (2, 3000)])
 def test_target_weights_hold_over_many_periods(seed, sources):
     """Against the target weights themselves, at each block of a long schedule."""

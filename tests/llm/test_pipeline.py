@@ -50,6 +50,19 @@ def test_stages_take_edge_rows(spark):
         assert len(ids) == len(set(ids)) and (not table or {None, *range(20)} - {2} <= set(ids) | {1, 2})
 
 
+def test_last_stage_finds_the_slots_in_a_new_process_state(spark):
+    import importlib
+    docs = spark.createDataFrame([(i, f"text {i}", "en", f"s{i % 3}", 1) for i in range(50)], DOCS).selectExpr("*", "'x' as _id", "1 as _slot")
+    out = P.mix(spark, docs, "")
+    assert out.columns == docs.columns
+    new = importlib.reload(P)
+    stored = sorted(tuple(r) for r in new.pieces(spark, out, "elsewhere").collect())
+    path, slots = new._mix_of(spark, docs)
+    assert sorted(tuple(r) for r in spark.read.parquet(path).collect()) == sorted(tuple(r) for r in slots.collect())
+    other = docs.filter("doc_id < 40")  # slots that were never stored are made
+    assert len(stored) == 50 and all(r.slot is not None for r in new.pieces(spark, other, "").collect())
+
+
 def test_run_returns_the_slots_of_the_mix(spark):
     from litlens.llm.catalog import MIX_POWER
     sf = "/root/testdata/sf0.001"

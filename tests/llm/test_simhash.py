@@ -118,3 +118,13 @@ def test_query_equals_brute_force(spark):
     got = QUERIES["op1_simhash_near_dedup"](spark, sf).collect()
     assert {(r.doc_id, r.fingerprint, r.component_id) for r in got} == {
         (i, f"{x:016x}", want[i]) for i, x in fps.items()} and len(got) == len(docs)
+
+
+def test_clashing_ids_keep_unlike_texts(spark):
+    import random
+    rng = random.Random(4)
+    a, b = (" ".join(f"{rng.choice('abcdefgh')}{rng.randint(0, 9999)}" for _ in range(300)) for _ in range(2))
+    rows = [(1, a), (2, a + " end"), (2, b), (3, b), (3, b)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as gone_h")
+    kept = S.drop_near_duplicates(docs)
+    assert kept.columns == docs.columns and sorted(tuple(r)[:2] for r in kept.collect()) == sorted([(1, a), (2, b)])

@@ -91,3 +91,14 @@ def test_query(spark):
     for d in docs:
         names, want = plain_counts([d.lang, d.source, d.text], r"\n", "first")
         assert sorted(got[d.doc_id]) == sorted((*n, w) for n, w in zip(names, want))
+
+
+def test_long_white_space_has_the_tokens_of_the_whole_text():
+    enc = T.tokenizer(T.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN)[0]
+    for kind in (" ", "\t", "\n", " \t\r\n\u2003", "\x1c "):
+        for tail in ("", "word", "!", "\x1c", "1"):
+            text = "begin" + kind * 30_000 + tail + kind * 20_000 + "end"
+            assert T.encode(enc, text, public_tokenizers.PATTERN) == enc.encode_ordinary(text)
+    for kind in (" ", "\t", "\n "):
+        got = T.encode(enc, "a" + kind * 2_000_000 + "b", public_tokenizers.PATTERN)
+        assert enc.decode(got) == "a" + kind * 2_000_000 + "b"
