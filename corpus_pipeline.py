@@ -2,7 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before
 it kept; its result is written as Parquet and read again as the next one's docs.
-The mixing stage also stores the slots it gave by id; the last stage returns them.
+The mixing stage stores the slots it gave in the shared folder, under a digest of
+the ids and sources it saw; the last stage reads them there, in any process, and
+returns them with the pieces.
 """
 
 from __future__ import annotations
@@ -10,20 +12,19 @@ from __future__ import annotations
 import uuid
 
 import public_tokenizers
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from litlens.llm.catalog import MIX_POWER
 from litlens.llm.common import read_table, scratch_root
 from litlens.llm.exact_dedup import drop_exact_duplicates
-from litlens.llm.mixing import in_mix_order, mix_plan
+from litlens.llm.mixing import mix_schedule
 from litlens.llm.quality import keep_good
 from litlens.llm.sentencepiece_scan import encode, read_model
 from litlens.llm.simhash import drop_near_duplicates
 
 MODEL = "piece_bpe_32k.model"
-#: The stored slots of the last mix of a folder's documents, for the last stage.
-_plans: dict[str, DataFrame] = {}
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,22 +42,34 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return drop_near_duplicates(docs, width=4, max_bits=4)
 
 
+def _mix_of(spark: SparkSession, docs: DataFrame) -> tuple[str, DataFrame]:
+    """Where the slots of these documents are stored, and what they are: both
+    depend on ids and sources only."""
+    n, mark = docs.select(F.count("*"), F.bit_xor(F.xxhash64("doc_id", "source"))).first()
+    slots = mix_schedule(docs, power=MIX_POWER).select(F.col("doc_id").alias("mixed_id"), "slot", "place")
+    return f"{scratch_root(spark)}/corpus-mix-{n}-{(mark or 0) & (1 << 64) - 1:016x}", slots
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents in the order of the mix, in which a source weighs the root
-    of its size: small ones come more often than their share. Files are not
-    reread in order, so slots and places are also kept by id."""
-    _plans[sf_dir] = mix_plan(docs, power=MIX_POWER)
-    return in_mix_order(docs, _plans[sf_dir])
+    """All documents, each with its slot in a mix in which a source weighs the
+    root of its size: small ones come more often than their share. The slots go
+    to a table of their own, so the texts need not move."""
+    path, slots = _mix_of(spark, docs)
+    slots.write.mode("overwrite").parquet(path)
+    return docs
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The SentencePiece ids of every document, with its slot in the mix and its
-    place there; both NULL for rows without an id."""
-    if sf_dir not in _plans:
-        raise RuntimeError("the mixing stage must run before the last one, in the same process")
-    plan = _plans[sf_dir].withColumnRenamed("doc_id", "_id").hint("merge")
+    place there; both NULL for rows without an id. Slots that are no longer
+    stored are made again from the same documents."""
+    path, slots = _mix_of(spark, docs)
+    try:
+        slots = spark.read.schema(slots.schema).parquet(path)
+    except AnalysisException:
+        pass
     ids = encode(docs, read_model(public_tokenizers.path(MODEL)))
-    return ids.join(plan, F.col("doc_id") == F.col("_id"), "left").select(
+    return ids.join(slots.hint("merge"), F.col("doc_id") == F.col("mixed_id"), "left").select(
         "doc_id", F.coalesce(F.size("ids"), F.lit(0)).alias("n_tokens"), "ids", "slot", "place")
 
 
