@@ -12,7 +12,7 @@ from .common import stored
 def _lowest(edges: DataFrame, key: str, other: str) -> DataFrame:
     """Per ``key`` the smallest ``other``; ``neg`` carries the key inverted, so
     that a join on it deals both sides out anew and can split hot keys."""
-    return edges.groupBy(key).agg(F.min(other).alias("low")).select((F.bitwise_not(F.col(key)).alias("neg"), "low")
+    return edges.groupBy(key).agg(F.min(other).alias("low")).select(F.bitwise_not(F.col(key)).alias("neg"), "low")
 
 
 def _with_lowest(edges: DataFrame, key: str, low: DataFrame) -> DataFrame:
