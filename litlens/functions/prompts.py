@@ -72,6 +72,11 @@ def prompt_dim(spark, rows: Sequence[tuple[str, str, str]]) -> DataFrame:
     return local_dim(spark, rows, [("category", "string"), ("technique", "string"), ("template", "string")])
 
 
+def with_template_keys(tasks: DataFrame, templates: DataFrame) -> DataFrame:
+    """Tasks once for every technique that their category has a template for."""
+    return tasks.join(sized_broadcast(templates.select("category", "technique")), "category")
+
+
 def _with_template(tasks: DataFrame, template: str | DataFrame) -> DataFrame:
     """Add the template's three fixed parts ``_a _b _c``: of one text for all
     tasks, or joined from :func:`prompt_dim` by category (and by technique
@@ -113,9 +118,9 @@ def with_entry_length(papers: DataFrame, fields: Sequence[str] = LABEL_FIELDS) -
 
 
 def with_budget(tasks: DataFrame, vocab_json: DataFrame, template: str | DataFrame = DEFAULT_TEMPLATE,
-                fields: Sequence[str] = LABEL_FIELDS, limit: int = TOKEN_LIMIT) -> DataFrame:
+                fields: Sequence[str] = LABEL_FIELDS, limit: int | Column = TOKEN_LIMIT) -> DataFrame:
     """Add ``prompt_tokens`` (characters // 4, from lengths only) and
-    ``over_budget`` (strictly more than ``limit`` tokens). Tasks carry either
+    ``over_budget`` (strictly more than ``limit`` tokens, a number or a column). Tasks carry either
     the paper fields or a precomputed ``entry_len``."""
     if "entry_len" not in tasks.columns:
         tasks = with_entry_length(tasks, fields)

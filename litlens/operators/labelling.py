@@ -20,12 +20,12 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.prompts import (DEFAULT_TEMPLATE, LABEL_FIELDS, TOKEN_LIMIT, vocabulary_json,
-                                 with_budget, with_entry, with_prompt)
+from ..functions.prompts import (DEFAULT_TEMPLATE, LABEL_FIELDS, TOKEN_LIMIT, entry_text,
+                                 vocabulary_json, with_budget, with_prompt)
 from ..session import scratch_path
 from ..sources.tables import read_if_exists
 from .batch import AnswerFn, answer_log_schema, label_batch
-from .labels import INVALID_ENTRY, INVALID_RESULT, TASK_KEYS, label_tasks, resolve_answers
+from .labels import INVALID_ENTRY, INVALID_RESULT, TASK_KEYS, resolve_answers
 
 
 def label_collection(spark: SparkSession, papers: DataFrame, vocab: DataFrame, fn: AnswerFn,
@@ -35,7 +35,7 @@ def label_collection(spark: SparkSession, papers: DataFrame, vocab: DataFrame, f
                      sentinel: str = INVALID_RESULT, answers_path: str | None = None,
                      call_id: str | None = None, slices: int = 1,
                      partitions: int | None = None, rows_per_call: int = 64,
-                     categories_json: DataFrame | None = None) -> DataFrame:
+                     categories_json: DataFrame | None = None, settings: DataFrame | None = None) -> DataFrame:
     """Labels ``(paper_id, category, run, label, attempts_used)`` for every
     task of this call.
 
@@ -44,26 +44,53 @@ def label_collection(spark: SparkSession, papers: DataFrame, vocab: DataFrame, f
     ``slices`` commits. Only this call's answers are resolved, so labelling a
     paper again under another id gives the new answers; ``upsert_table`` then
     replaces the old label. ``categories_json`` shows the categories in
-    another form than :func:`vocabulary_json`."""
+    another form than :func:`vocabulary_json`. ``settings``
+    (:func:`~litlens.sources.categories.settings_dim`) gives each category its
+    own attempts, sentinel, token limit and fields; it takes the place of
+    ``max_attempts``, ``sentinel``, ``limit`` and ``fields``."""
+    if runs < 1:
+        raise ValueError("runs must be at least 1")
     path = f"{(answers_path or scratch_path(spark, 'answers')).rstrip('/')}/call={call_id or uuid.uuid4().hex}"
     kind = papers.schema["paper_id"].dataType.simpleString()
     vj = categories_json if categories_json is not None else vocabulary_json(vocab)
     for k in range(slices):
         mine = papers.filter(F.pmod(F.xxhash64("paper_id"), F.lit(slices)) == k) if slices > 1 else papers
-        with_json = with_entry(mine, fields).select("paper_id", "entry_json", "entry_len")
-        tasks = label_tasks(with_json, categories, runs, first_run, keep=["entry_json", "entry_len"])
+        tasks = _tasks(mine, categories, runs, first_run, fields, limit, max_attempts, settings)
         logged = read_if_exists(spark, path)
         if logged is not None:
             tasks = tasks.join(logged.select(*TASK_KEYS).distinct(), list(TASK_KEYS), "left_anti")
-        budget = with_budget(tasks, vj, template, fields, limit)
-        prompts = with_prompt(budget, vj, template, fields, skip_col="over_budget")
-        log = label_batch(prompts, vocab, fn, max_attempts, partitions, rows_per_call,
+        budget = with_budget(tasks, vj, template, limit=F.col("token_limit"))
+        prompts = with_prompt(budget, vj, template, skip_col="over_budget")
+        log = label_batch(prompts, vocab, fn, partitions=partitions, rows_per_call=rows_per_call,
                           skip_col="over_budget")
         log.write.mode("append").parquet(path)
     answers = spark.read.schema(answer_log_schema(kind)).parquet(path)
     # attempt 0 marks a task that was not sent (over budget)
-    sent = resolve_answers(answers, vocab, max_attempts, sentinel)  # attempts from 1
+    sent = resolve_answers(answers, vocab, max_attempts, sentinel, settings=settings)  # attempts from 1
     skipped = (answers.filter(F.col("attempt") == 0).select(*TASK_KEYS).distinct()
                .select(*TASK_KEYS, F.lit(INVALID_ENTRY).alias("label"),
                        F.lit(None).cast("int").alias("attempts_used")))
     return sent.unionByName(skipped)
+
+
+def _tasks(papers: DataFrame, categories: Sequence[str], runs: int, first_run: int, fields: Sequence[str],
+           limit: int, max_attempts: int, settings: DataFrame | None) -> DataFrame:
+    """A row for each paper, category and run, with the paper's JSON text as the
+    category shows it, its length, ``token_limit`` and ``attempts``. Each list of
+    fields in use becomes one text per paper, before the paper fans out."""
+    if settings is None:
+        rows = [(c, max_attempts, limit, tuple(fields)) for c in categories]
+    else:  # a row a category: the configuration of the run
+        known = {r.category: (r.attempts, r.token_limit, tuple(r.fields)) for r in
+                 settings.filter(F.col("category").isin(list(categories))).collect()}
+        if missing := [c for c in categories if c not in known]:
+            raise ValueError(f"no settings for {missing}")
+        rows = [(c, *known[c]) for c in categories]
+    shown = list(dict.fromkeys(f for *_, f in rows))
+    texts = papers.select("paper_id", *[entry_text(f).alias(f"_entry{k}") for k, f in enumerate(shown)])
+    texts = texts.select("*", *[F.length(f"_entry{k}").alias(f"_len{k}") for k in range(len(shown))])
+    each = F.array(*[F.struct(F.lit(c).alias("category"), F.lit(n).alias("attempts"), F.lit(most).alias("token_limit"),
+                              F.col(f"_entry{shown.index(f)}").alias("entry_json"), F.col(f"_len{shown.index(f)}").alias("entry_len"))
+                     for c, n, most, f in rows])
+    return texts.select("paper_id", F.inline(each)).select(
+        "*", F.explode(F.sequence(F.lit(first_run), F.lit(first_run + runs - 1))).alias("run"))

@@ -95,10 +95,19 @@ def _with_ids(answers: DataFrame, ids: DataFrame) -> DataFrame:
 
 def resolve_answers(answers: DataFrame, vocab: DataFrame, max_attempts: int = 3,
                     sentinel: str = INVALID_RESULT,
-                    keys: Sequence[str] = TASK_KEYS) -> DataFrame:
+                    keys: Sequence[str] = TASK_KEYS, settings: DataFrame | None = None) -> DataFrame:
     """First valid answer per task within ``max_attempts``; the sentinel when
     every attempt failed. ``attempts_used`` is NULL for exhausted tasks.
-    Attempts count from 1 (attempt 0 marks a task that was not sent)."""
+    Attempts count from 1 (attempt 0 marks a task that was not sent).
+
+    ``settings`` (``category, attempts, sentinel``) gives each category its own
+    limit and sentinel; categories without a row there are left out."""
+    if settings is not None:
+        own = sized_broadcast(settings.select("category", F.col("attempts").alias("_most"), F.col("sentinel").alias("_sentinel")))
+        within = answers.join(own.drop("_sentinel"), "category").filter(F.col("attempt") <= F.col("_most"))
+        found = resolve_answers(within.drop("_most"), vocab, (1 << 31) - 1, None, keys)
+        return found.join(own.drop("_most"), "category").select(
+            *keys, F.coalesce("label", "_sentinel").alias("label"), "attempts_used")
     in_range = F.col("attempt").between(1, max_attempts)
     a = answers.filter(in_range).withColumn("answer", py_strip(F.col("response")))
     ids = _vocab_ids(vocab)
@@ -182,10 +191,11 @@ def technique_invalid(answers: DataFrame, vocab: DataFrame, techniques: DataFram
 
     ``answers`` is an answer log keyed by (paper_id, category, run, attempt);
     ``techniques(run, technique, mode)`` names the technique behind each run and
-    whether it retries until valid (``retry``) or votes (``vote``).
+    whether it retries until valid (``retry``) or votes (``vote``). A log that
+    names the technique itself is joined by it, and ``techniques`` needs no run.
     """
-    t = sized_broadcast(techniques)
-    a = answers.join(t, "run")
+    by = "technique" if "technique" in answers.columns else "run"
+    a = answers.join(sized_broadcast(techniques.select(*dict.fromkeys([by, "technique", "mode"]))), by)
     retry = resolve_answers(a.filter(F.col("mode") == "retry"), vocab, max_attempts, sentinel,
                             keys=("paper_id", "category", "run", "technique"))
     vote = majority_vote(a.filter(F.col("mode") == "vote"), vocab, votes, sentinel,

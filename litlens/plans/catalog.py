@@ -339,6 +339,47 @@ def label_batch_stub(spark, sf_dir):
     return L.resolve_answers(log, vocab, max_attempts=3)
 
 
+@query
+def technique_votes_stub(spark, sf_dir):
+    """All seven prompting techniques through the answer function: each task
+    draws by its technique's plan (five attempts until valid, or three for a
+    vote), and the log gives the invalid results per technique."""
+    from ..operators.batch import EXACTLY, FIRST_VALID, label_batch, with_draw_plan
+    vocab = X.vocabulary(spark).filter("category = 'topic'")
+    kinds = [("technique", "string"), ("mode", "string"), ("stop", "string"), ("attempts", "int")]
+    t = local_dim(spark, [(name, mode, *((EXACTLY, 3) if mode == "vote" else (FIRST_VALID, 5)))
+                          for _, name, mode in TECHNIQUES], kinds)
+    templates = P.prompt_dim(spark, [("topic", name, f"[{name}] {P.DEFAULT_TEMPLATE}") for _, name, _ in TECHNIQUES])
+    p = P.with_entry(T.screened(X.papers(spark, sf_dir))).select("paper_id", "entry_json", "entry_len")
+    tasks = L.label_tasks(p, ["topic"], keep=["entry_json", "entry_len"])
+    prompts = P.with_prompt(with_draw_plan(P.with_template_keys(tasks, templates), t), P.vocabulary_json(vocab), templates)
+    log = label_batch(prompts, vocab, stub_answers)
+    return L.technique_invalid(log, vocab, t, max_attempts=5, votes=3)
+
+
+def stub_by_task(batch):
+    """The stand-in of each task: screening answers for ``screen``."""
+    out = [None] * len(batch)
+    for fn, mine in ((stub_screen, batch["category"] == "screen"), (stub_answers, batch["category"] != "screen")):
+        for at, answer in zip(mine.to_numpy().nonzero()[0], fn(batch[mine])):
+            out[at] = answer
+    return out
+
+
+@query
+def label_collection_settings(spark, sf_dir):
+    """One labelling run over tasks of different settings: screening shows the
+    abstract only, makes two attempts and gives up with ``invalid entry``."""
+    from ..operators.labelling import label_collection
+    from ..sources.categories import settings_dim
+    vocab = X.vocabulary(spark).unionByName(local_dim(
+        spark, [("screen", v) for v in SCREEN_LABELS], [("category", "string"), ("label", "string")]))
+    settings = settings_dim(spark, [("screen", 2, L.INVALID_ENTRY, P.TOKEN_LIMIT, P.SCREEN_FIELDS)] +
+                            [(c, 3, L.INVALID_RESULT, P.TOKEN_LIMIT, P.LABEL_FIELDS) for c in CATEGORIES])
+    p = T.screened(X.papers(spark, sf_dir))
+    return label_collection(spark, p, vocab, stub_by_task, ["screen", *CATEGORIES], settings=settings)
+
+
 @query
 def stream_resolve(spark, sf_dir):
     """Answers arrive in three waves (attempt 3, then 1, then 2) and are
@@ -346,7 +387,7 @@ def stream_resolve(spark, sf_dir):
     from ..session import scratch_path
     from ..streaming.resolve_stream import read_labels, start_resolve_stream
     base = scratch_path(spark, "stream-resolve")
-    src, parts, ckpt = f"{base}/answers", f"{base}/partials", f"{base}/checkpoint"
+    src, parts, ckpt = f"{base}/answers", f"{base}/labels", f"{base}/checkpoint"
     resp = X.responses(spark, sf_dir)
     for wave in (3, 1, 2):
         resp.filter(F.col("attempt") == wave).write.mode("append").parquet(src)
@@ -498,19 +539,16 @@ OPENING_WORDS = ["the", "of", "is", "was", "and", "an", "de", "la", "le", "der",
 
 @query
 def stream_resolve_compacted(spark, sf_dir):
-    """The stream compacted after two waves, the merged batches deleted, the
-    last one replayed from a checkpoint that does not know it, then the third
-    wave: the labels equal the batch resolution."""
+    """The stream stopped after two waves and started again from its checkpoint
+    for the third: the state, one compact row a task, comes from Spark's state
+    store, so the second run only reads the new wave. Labels equal the batch
+    resolution."""
     from ..session import scratch_path
-    from ..streaming import resolve_stream as R
-    base = scratch_path(spark, "stream-compacted")
-    src, parts = f"{base}/answers", f"{base}/partials"
+    from ..streaming.resolve_stream import read_labels, start_resolve_stream
+    base = scratch_path(spark, "stream-restarted")
     resp, vocab = X.responses(spark, sf_dir), X.vocabulary(spark)
-    for wave, checkpoint in (((3, 1), "a"), ((2,), "b")):
-        for k in wave:
-            resp.filter(F.col("attempt") == k).write.mode("append").parquet(src)
-        R.start_resolve_stream(spark, src, vocab, parts, f"{base}/{checkpoint}").awaitTermination()
-        R.compact_partials(spark, parts)
-        R.drop_batches(spark, parts)
-    R.start_resolve_stream(spark, src, vocab, parts, f"{base}/c").awaitTermination()
-    return R.read_labels(spark, parts).drop("seen")
+    for waves in ((3, 1), (2,)):
+        for k in waves:
+            resp.filter(F.col("attempt") == k).write.mode("append").parquet(f"{base}/answers")
+        start_resolve_stream(spark, f"{base}/answers", vocab, f"{base}/labels", f"{base}/checkpoint").awaitTermination()
+    return read_labels(spark, f"{base}/labels").drop("seen")

@@ -554,3 +554,28 @@ FROM (SELECT *, answer IN ('the', 'of', 'is', 'was', 'and', 'an', 'de', 'la', 'l
 GROUP BY conv_id"""
 
 SQL["stream_resolve_compacted"] = SQL["resolve_answers"]
+
+SQL["technique_votes_stub"] = _with(PAPERS, VOCAB, PROMPT_LEN, TECHNIQUES) + """
+, att AS (
+  SELECT x.paper_id, t.technique, t.mode, a.attempt,
+    CASE WHEN (x.paper_id + a.attempt) % 5 = 0 THEN NULL
+         ELSE (x.plen + length(t.technique) + 3 + 3 * a.attempt) % 8 END AS k
+  FROM plen x CROSS JOIN techniques t CROSS JOIN (VALUES (1), (2), (3), (4), (5)) AS a(attempt)
+  WHERE x.category = 'topic' AND (t.mode = 'retry' OR a.attempt <= 3)),
+retried AS (
+  SELECT paper_id, technique, coalesce(bool_or(k < 7), false) AS ok FROM att WHERE mode = 'retry' GROUP BY ALL),
+voted AS (
+  SELECT paper_id, technique, coalesce(k < 7, false) AS ok FROM (
+    SELECT paper_id, technique, k, row_number() OVER (PARTITION BY paper_id, technique
+      ORDER BY (k IS NULL), count(*) DESC, min(attempt)) AS rk
+    FROM att WHERE mode = 'vote' GROUP BY paper_id, technique, k) WHERE rk = 1)
+SELECT technique, count(*) AS n_entries, count(*) FILTER (WHERE NOT ok) AS n_invalid
+FROM (SELECT * FROM retried UNION ALL SELECT * FROM voted) GROUP BY technique"""
+
+SQL["label_collection_settings"] = SQL["label_batch_stub"] + "\nUNION ALL\n" + (
+    "SELECT paper_id, 'screen' AS category, 1 AS run, coalesce(arg_min(CASE k WHEN 0 THEN 'yes' ELSE 'no' END, attempt)"
+    " FILTER (WHERE k IN (0, 1)), 'invalid entry') AS label,"
+    " CAST(min(attempt) FILTER (WHERE k IN (0, 1)) AS INTEGER) AS attempts_used FROM (\n"
+    "  SELECT p.paper_id, a.attempt, CASE WHEN (p.paper_id + a.attempt) % 7 = 0 THEN NULL ELSE ("
+    + _prompt_len_sql(("_id", "abstract")).replace("vj.cl", "27") + " + 5 * a.attempt) % 3 END AS k\n"
+    "  FROM papers p CROSS JOIN (VALUES (1), (2)) AS a(attempt) WHERE p.screen = 'yes') GROUP BY paper_id")

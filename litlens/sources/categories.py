@@ -11,11 +11,12 @@ its raw JSON value in file order.
 from __future__ import annotations
 
 import json
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.prompts import LABEL_FIELDS, SCREEN_FIELDS
+from ..functions.prompts import LABEL_FIELDS, SCREEN_FIELDS, TOKEN_LIMIT
 from ..operators.labels import INVALID_ENTRY, INVALID_RESULT
 from .dims import local_dim
 
@@ -85,12 +86,19 @@ def category_json(spark: SparkSession, path: str) -> DataFrame:
     return local_dim(spark, rows, [("category", "string"), ("categories_json", "string")])
 
 
-def task_settings(task: str) -> dict:
-    """Keyword arguments of ``label_collection`` for one task: attempts,
-    sentinel, and the paper fields its prompt shows."""
-    attempts, sentinel = next((n, s) for t, _, _, n, s in TASKS if t == task)
-    return {"max_attempts": attempts, "sentinel": sentinel,
-            "fields": SCREEN_FIELDS if task == "screen" else LABEL_FIELDS}
+def settings_dim(spark: SparkSession, rows: Sequence[tuple[str, int, str, int, Sequence[str]]]) -> DataFrame:
+    """``(category, attempts, sentinel, token_limit, fields)`` of labelling tasks."""
+    flat = [(c, n, s, limit, ",".join(fields)) for c, n, s, limit, fields in rows]
+    dim = local_dim(spark, flat, [("category", "string"), ("attempts", "int"), ("sentinel", "string"),
+                                  ("token_limit", "int"), ("fields", "string")])
+    return dim.withColumn("fields", F.split("fields", ","))
+
+
+def task_settings(spark: SparkSession) -> DataFrame:
+    """The settings of every labelling task, for ``label_collection``: screening
+    shows the abstract only and gives up after two attempts."""
+    return settings_dim(spark, [(t, n, s, TOKEN_LIMIT, SCREEN_FIELDS if t == "screen" else LABEL_FIELDS)
+                                for t, _, _, n, s in TASKS])
 
 
 def task_vocabulary(spark: SparkSession, label_dim: DataFrame) -> DataFrame:

@@ -1,25 +1,23 @@
 """Resolve labels while answers arrive (Structured Streaming).
 
-Retries of one task can land in different micro-batches and out of order,
-so resolving each batch and overwriting the label would be wrong. Instead
-each micro-batch writes a *mergeable partial* per task:
-``best = min(attempt, label id)`` over allowed answers, packed into one long,
-and ``seen = max(attempt)``, into partition ``batch_id=N`` with dynamic
-overwrite, so a replayed batch replaces its own output (idempotent). The
-label view merges the partials with ``min(best)``/``max(seen)``, which
-equals the batch resolution over the same answers. The key set lives in
-the partial files, not in streaming state, so no watermark is needed.
-
-Layout: ``<partials>`` holds the stream's batches, ``<partials>-labels`` the
-label behind each id, ``<partials>-base`` merged partials in a folder per
-compaction, and ``<partials>-marker`` the compactions that are complete.
+Retries of one task can land in different micro-batches and out of order, so
+the stream keeps state per task: ``best = min(attempt, label id)`` over allowed
+answers, packed into one long, and ``seen = max(attempt)``. It is a streaming
+aggregation in update mode: Spark's state store holds it, the checkpoint
+restores it after a restart, and every micro-batch puts out the tasks that it
+touched, each with all that is known of it. Both aggregates only ever improve,
+so the label of a task is that of its last row, in any order of reading, and a
+replayed batch changes nothing.
+
+Layout: ``<labels_dir>/batch_id=N`` holds the rows of batch N, ``<labels_dir>-labels``
+the label behind each id. The state has one row of two longs a task, as labels
+may be corrected by a better attempt at any time; a session with many tasks
+keeps it in RocksDB (``spark.sql.streaming.stateStore.providerClass``).
 """
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -32,108 +30,61 @@ from ..sources.tables import read_if_exists
 ID_BITS = 40
 
 
-def label_ids(vocab: DataFrame) -> DataFrame:
-    """``(category, answer, label_id)``: the id is a hash of the label's text,
-    so it is the same in every batch and every restart."""
+def label_ids(spark: SparkSession, labels_dir: str, vocab: DataFrame) -> DataFrame:
+    """``(category, answer, label_id)``: labels numbered by name. The numbers are
+    kept beside the labels, since the state refers to them: a restart finds the
+    old ones and numbers only labels that are new."""
+    path = f"{labels_dir}-labels"
     v = vocab.select("category", F.col("label").alias("answer")).distinct()
-    return v.withColumn("label_id", F.xxhash64("answer").bitwiseAND(F.lit((1 << ID_BITS) - 1)))
-
-
-def partial_resolve(answers: DataFrame, ids: DataFrame, max_attempts: int = 3) -> DataFrame:
-    """Mergeable per-task partial of :func:`resolve_answers`; ``ids`` is the
-    prepared vocabulary (:func:`label_ids`)."""
-    a = (answers.filter(F.col("attempt").between(1, max_attempts))
-         .withColumn("answer", py_strip(F.col("response"))))
+    old = read_if_exists(spark, path)
+    last = 0
+    if old is not None:
+        v = v.join(old, ["category", "answer"], "left_anti")
+        last = old.agg(F.max("label_id")).first()[0] or 0
+    number = F.row_number().over(Window.orderBy("category", "answer")).cast("long") + last
+    v.withColumn("label_id", number).coalesce(1).write.mode("append").parquet(path)
+    return spark.read.parquet(path)
+
+
+def resolve_state(answers: DataFrame, ids: DataFrame, max_attempts: int = 3) -> DataFrame:
+    """``best`` and ``seen`` of each task, of a stream or a table of answers.
+    Failed calls have no answer to look up; each gets a key of its own, so that
+    they do not meet under one NULL key when the join shuffles."""
+    a = answers.filter(F.col("attempt").between(1, max_attempts)).withColumn("answer", F.coalesce(
+        py_strip(F.col("response")),
+        F.concat(F.lit("\x00"), F.xxhash64(*TASK_KEYS, "attempt").cast("string"))))
     best = F.shiftleft(F.col("attempt").cast("long"), ID_BITS) + F.col("label_id")
     return (a.join(ids, ["category", "answer"], "left").groupBy(*TASK_KEYS)
              .agg(F.min(best).alias("best"), F.max("attempt").alias("seen")))
 
 
-def merge_partials(partials: DataFrame) -> DataFrame:
-    """One partial per task; merging again, or a partial twice, changes nothing."""
-    return partials.groupBy(*TASK_KEYS).agg(F.min("best").alias("best"), F.max("seen").alias("seen"))
-
-
 def start_resolve_stream(spark: SparkSession, answers_dir: str, vocab: DataFrame,
-                         partials_dir: str, checkpoint_dir: str, max_attempts: int = 3,
+                         labels_dir: str, checkpoint_dir: str, max_attempts: int = 3,
                          files_per_batch: int | None = None, available_now: bool = True,
                          id_type: str = "bigint") -> StreamingQuery:
-    """Stream parquet answer files from ``answers_dir`` into partials."""
+    """Stream parquet answer files from ``answers_dir`` into the label rows that
+    :func:`read_labels` reads; state and progress are in ``checkpoint_dir``."""
     reader = spark.readStream.schema(answer_log_schema(id_type))
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    answers = reader.parquet(answers_dir)
-    ids = label_ids(vocab)
-    ids.write.mode("append").parquet(f"{partials_dir}-labels")  # a repeated start repeats rows, not ids
-    ids = sized_broadcast(ids)  # size-checked once, reused by every micro-batch
-
-    def write_partial(batch: DataFrame, batch_id: int) -> None:
-        (partial_resolve(batch, ids, max_attempts)
-         .withColumn("batch_id", F.lit(batch_id))
-         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("batch_id").parquet(partials_dir))
-
-    w = answers.writeStream.foreachBatch(write_partial).option("checkpointLocation", checkpoint_dir)
-    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
-    return w.start()
+    ids = sized_broadcast(label_ids(spark, labels_dir, vocab))
+    state = resolve_state(reader.parquet(answers_dir), ids, max_attempts)
 
+    def write(batch: DataFrame, batch_id: int) -> None:
+        # a replayed batch replaces its own rows
+        batch.write.mode("overwrite").parquet(f"{labels_dir}/batch_id={batch_id}")
 
-def _last_base(spark: SparkSession, partials_dir: str) -> tuple[str, int] | None:
-    """Folder and last batch id of the newest complete compaction."""
-    marker = read_if_exists(spark, f"{partials_dir}-marker")
-    row = None if marker is None else marker.orderBy(F.col("version").desc()).first()
-    return None if row is None else (row.folder, row.upto)
-
-
-def _all_partials(spark: SparkSession, partials_dir: str) -> DataFrame:
-    """The newest merged partials and every batch still there; batches that are
-    in both count once, as the merge is idempotent."""
-    batches = spark.read.parquet(partials_dir).select(*TASK_KEYS, "best", "seen")
-    base = _last_base(spark, partials_dir)
-    return batches if base is None else spark.read.parquet(base[0]).unionByName(batches)
+    w = state.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint_dir)
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
+    return w.start()
 
 
-def read_labels(spark: SparkSession, partials_dir: str, sentinel: str = INVALID_RESULT) -> DataFrame:
-    """The current labels from everything the stream has written:
-    ``(paper_id, category, run, label, attempts_used)`` plus ``seen`` (highest
-    attempt that arrived)."""
-    names = (spark.read.parquet(f"{partials_dir}-labels").select("label_id", F.col("answer").alias("label"))
-             .distinct())
-    m = merge_partials(_all_partials(spark, partials_dir))
-    m = m.withColumn("label_id", F.col("best").bitwiseAND(F.lit((1 << ID_BITS) - 1)))
-    return m.join(sized_broadcast(names), "label_id", "left").select(
+def read_labels(spark: SparkSession, labels_dir: str, sentinel: str = INVALID_RESULT) -> DataFrame:
+    """The current labels: ``(paper_id, category, run, label, attempts_used)``
+    plus ``seen`` (highest attempt that arrived)."""
+    names = spark.read.parquet(f"{labels_dir}-labels").select("label_id", F.col("answer").alias("label"))
+    last = spark.read.parquet(labels_dir).groupBy(*TASK_KEYS).agg(F.min("best").alias("best"), F.max("seen").alias("seen"))
+    last = last.withColumn("label_id", F.col("best").bitwiseAND(F.lit((1 << ID_BITS) - 1)))
+    return last.join(sized_broadcast(names), "label_id", "left").select(
         *TASK_KEYS, F.coalesce("label", F.lit(sentinel)).alias("label"),
         F.shiftright("best", ID_BITS).cast("int").alias("attempts_used"), "seen")
-
-
-def compact_partials(spark: SparkSession, partials_dir: str) -> int | None:
-    """Merge all partials into a new base; returns the last batch id in it.
-
-    The merge goes to a folder of its own, outside the batches, and counts
-    only when its marker row is written: a crash before that leaves the old
-    base in force. Batches that arrive meanwhile, or are replayed afterwards,
-    are read besides the base, so nothing can be lost. Batches up to the
-    returned id may be deleted with :func:`drop_batches`."""
-    # the highest batch id: a partition column, answered from the file listing
-    upto = spark.read.parquet(partials_dir).agg(F.max("batch_id")).first()[0]
-    before = read_if_exists(spark, f"{partials_dir}-marker")
-    version = 1 + (0 if before is None else before.agg(F.max("version")).first()[0])
-    folder = f"{partials_dir}-base/{version}-{uuid.uuid4().hex}"
-    merge_partials(_all_partials(spark, partials_dir)).write.parquet(folder)
-    mark = spark.range(1).select(F.lit(version).alias("version"), F.lit(folder).alias("folder"),
-                                 F.lit(upto).cast("long").alias("upto"))
-    mark.write.mode("append").parquet(f"{partials_dir}-marker")
-    return upto
-
-
-def drop_batches(spark: SparkSession, partials_dir: str) -> None:
-    """Delete the batches that the newest complete base holds; a replayed one
-    comes back and is merged again without effect."""
-    base = _last_base(spark, partials_dir)
-    if base is None:
-        return
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    old = spark.read.parquet(partials_dir).filter(F.col("batch_id") <= base[1]).select("batch_id").distinct()
-    for (batch,) in old.toLocalIterator():
-        path = hadoop.Path(f"{partials_dir}/batch_id={batch}")
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

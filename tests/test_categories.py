@@ -46,6 +46,8 @@ def test_category_json_keeps_the_tree(spark, tmp_dir):
     assert json.loads(got["screen"]) == {"yes": {}, "no": {}}
 
 
-def test_task_settings():
-    assert task_settings("screen") == {"max_attempts": 2, "sentinel": "invalid entry", "fields": ("_id", "abstract")}
-    assert task_settings("topic")["max_attempts"] == 3 and task_settings("topic")["sentinel"] == "invalid result"
+def test_task_settings(spark):
+    got = {r.category: r for r in task_settings(spark).collect()}
+    assert (got["screen"].attempts, got["screen"].sentinel, got["screen"].fields) == (2, "invalid entry", ["_id", "abstract"])
+    assert (got["topic"].attempts, got["topic"].sentinel, got["topic"].token_limit) == (3, "invalid result", 131_000)
+    assert len(got) == 11

@@ -67,11 +67,6 @@ def test_stream_equals_batch_out_of_order(spark, tmp_dir):
     streamed = read_labels(spark, parts).drop("seen")
     batch = L.resolve_answers(resp, vocab)
     assert streamed.exceptAll(batch).count() == 0 and batch.exceptAll(streamed).count() == 0
-    # replay from a fresh checkpoint rewrites the same batches: result unchanged
-    q = start_resolve_stream(spark, src, vocab, parts, ckpt + "2", files_per_batch=1)
-    q.awaitTermination()
-    again = read_labels(spark, parts).drop("seen")
-    assert again.exceptAll(batch).count() == 0 and again.count() == batch.count()
 
 
 def test_label_batch_retries_and_failures(spark):
@@ -120,38 +115,37 @@ def _same(labels, batch):
     return got.exceptAll(batch).count() == 0 and got.count() == batch.count()
 
 
-def test_compaction_replay_late_batches_and_crashes(spark, tmp_dir, monkeypatch):
-    from litlens.streaming import resolve_stream as R
+def test_stream_state_survives_restart_and_replay(spark, tmp_dir):
     resp, vocab = X.responses(spark, SF), X.vocabulary(spark)
     batch = L.resolve_answers(resp, vocab)
-    src, parts = os.path.join(tmp_dir, "answers"), os.path.join(tmp_dir, "partials")
-    go = lambda ckpt: R.start_resolve_stream(spark, src, vocab, parts, os.path.join(tmp_dir, ckpt),
-                                             files_per_batch=1).awaitTermination()
+    src, out, ckpt = (os.path.join(tmp_dir, n) for n in ("answers", "labels", "ckpt"))
+
+    def go(words):
+        q = start_resolve_stream(spark, src, words, out, ckpt, files_per_batch=1)
+        q.awaitTermination()
+        return q
+
+    first = vocab.filter("label != 'label 2'")
     for k in (3, 1):
         _wave(resp, src, k)
-    go("a")
-    before = sorted(tuple(r) for r in R.read_labels(spark, parts).collect())
-    # a crash before the marker is written leaves everything as it was
-    with monkeypatch.context() as m:
-        m.setattr(R.uuid, "uuid4", lambda: (_ for _ in ()).throw(RuntimeError("down")))
-        try:
-            R.compact_partials(spark, parts)
-        except RuntimeError:
-            pass
-    assert sorted(tuple(r) for r in R.read_labels(spark, parts).collect()) == before
-    # a batch that arrives between the merge and the deletion is kept
-    assert R.compact_partials(spark, parts) == 1
+    q = go(first)
+    assert any(op["numRowsTotal"] > 0 for p in q.recentProgress for op in p["stateOperators"])
+    # a label more in the vocabulary: the old ones keep their numbers
+    before = {(r.category, r.answer): r.label_id for r in spark.read.parquet(out + "-labels").collect()}
     _wave(resp, src, 2)
-    go("a")
-    R.drop_batches(spark, parts)
-    assert sorted(os.listdir(parts))[-1] == "batch_id=2" and "batch_id=1" not in os.listdir(parts)
-    assert _same(R.read_labels(spark, parts), batch)
-    # the last batch replayed after a compaction, and everything replayed from a new checkpoint
-    R.compact_partials(spark, parts)
-    R.drop_batches(spark, parts)
-    assert _same(R.read_labels(spark, parts), batch) if any(f.startswith("batch") for f in os.listdir(parts)) else True
-    go("b")
-    assert _same(R.read_labels(spark, parts), batch)
+    q = go(first)
+    assert sum(p["numInputRows"] for p in q.recentProgress) == resp.filter("attempt = 2").count()
+    known = {(r.category, r.label) for r in first.collect()}
+    want = L.resolve_answers(resp, first)
+    assert _same(read_labels(spark, out), want)
+    # replayed rows of an old batch change nothing
+    old = spark.read.parquet(f"{out}/batch_id=0")
+    old.write.parquet(f"{out}/batch_id=99")
+    assert _same(read_labels(spark, out), want)
+    from litlens.streaming.resolve_stream import label_ids
+    after = {(r.category, r.answer): r.label_id for r in label_ids(spark, out, vocab).collect()}
+    assert set(before) == known and all(after[k] == i for k, i in before.items())
+    assert len(set(after.values())) == len(after) == vocab.count() and batch.count() == want.count()
 
 
 def test_upsert_table_rewrites_only_touched_partitions(spark, tmp_dir):
@@ -277,14 +271,41 @@ def test_errors_are_logged(spark):
     assert {r.error for r in short} == {"ValueError: 0 answers for 1 prompts"}
 
 
-def test_large_vocabularies_are_not_refused(spark, monkeypatch):
+def test_stop_rules_and_large_vocabularies_give_one_log(spark, monkeypatch):
     from litlens.operators import batch as B
     vocab = spark.createDataFrame([("topic", f"L{k}") for k in range(20)], "category string, label string")
-    tasks = spark.createDataFrame([(k, "topic", 1, "p") for k in range(4)], KEYS + ", prompt string")
-    fn = lambda b: [f"L{p}" if a > 1 else "?" for p, a in zip(b["paper_id"], b["attempt"])]
-    small = sorted(map(tuple, L.resolve_answers(label_batch(tasks, vocab, fn), vocab).collect()))
+    rows = [(k, "topic", 1, "p", t, s, n) for k in range(4) for t, s, n in
+            (("retry", "first_valid", 5), ("once", "first_valid", 1), ("vote", "exactly", 3))]
+    tasks = spark.createDataFrame(rows, KEYS + ", prompt string, technique string, stop string, attempts int")
+    tasks = tasks.withColumn("over", (F.col("paper_id") == 3) & (F.col("technique") == "once"))
+    fn = lambda b: [f" L{p}" if a > 1 else "?" for p, a in zip(b["paper_id"], b["attempt"])]
+    log = sorted(map(tuple, label_batch(tasks, vocab, fn, skip_col="over").collect()))
+    made = {(k, t): [r[4] for r in log if (r[0], r[3]) == (k, t)] for k in range(4) for t in ("retry", "once", "vote")}
+    assert made == {(k, t): [0] if (k, t) == (3, "once") else n for k in range(4)
+                    for t, n in (("retry", [1, 2]), ("once", [1]), ("vote", [1, 2, 3]))}
     monkeypatch.setattr(B, "VOCAB_MAX_ROWS", 3)
-    assert sorted(map(tuple, L.resolve_answers(label_batch(tasks, vocab, fn), vocab).collect())) == small
+    assert sorted(map(tuple, label_batch(tasks, vocab, fn, skip_col="over").collect())) == log
+    assert label_batch(tasks.limit(0), vocab, fn).collect() == []
+
+
+def test_error_texts_are_whole_unless_cut(spark):
+    vocab = spark.createDataFrame([("topic", "A")], "category string, label string")
+    tasks = spark.createDataFrame([(1, "topic", 1, "p")], KEYS + ", prompt string")
+
+    def fn(batch):
+        raise ValueError("x" * 2000)
+
+    assert len(label_batch(tasks, vocab, fn, max_attempts=1).first().error) == 2012
+    assert len(label_batch(tasks, vocab, fn, max_attempts=1, error_chars=10).first().error) == 10
+
+
+def test_resolve_by_settings(spark):
+    vocab = spark.createDataFrame([("a", "yes"), ("b", "yes")], "category string, label string")
+    log = spark.createDataFrame([(1, c, 1, n, "yes" if n == 3 else None) for c in "ab" for n in (1, 2, 3)],
+                                KEYS + ", attempt int, response string")
+    settings = spark.createDataFrame([("a", 2, "none"), ("b", 3, "x")], "category string, attempts int, sentinel string")
+    got = sorted(map(tuple, L.resolve_answers(log, vocab, settings=settings).collect()))
+    assert got == [(1, "a", 1, "none", None), (1, "b", 1, "yes", 3)]
 
 
 def test_vocabulary_joined_by_shuffle_gives_the_same(spark, monkeypatch):
