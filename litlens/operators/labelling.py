@@ -26,6 +26,7 @@ from ..session import scratch_path
 from ..sources.tables import read_if_exists
 from .batch import AnswerFn, answer_log_schema, label_batch
 from .labels import INVALID_ENTRY, INVALID_RESULT, TASK_KEYS, resolve_answers
+from .memo import answer_once
 
 
 def label_collection(spark: SparkSession, papers: DataFrame, vocab: DataFrame, fn: AnswerFn,
@@ -35,7 +36,8 @@ def label_collection(spark: SparkSession, papers: DataFrame, vocab: DataFrame, f
                      sentinel: str = INVALID_RESULT, answers_path: str | None = None,
                      call_id: str | None = None, slices: int = 1,
                      partitions: int | None = None, rows_per_call: int = 64,
-                     categories_json: DataFrame | None = None, settings: DataFrame | None = None) -> DataFrame:
+                     categories_json: DataFrame | None = None, settings: DataFrame | None = None,
+                     memo_path: str | None = None, buckets: int = 16) -> DataFrame:
     """Labels ``(paper_id, category, run, label, attempts_used)`` for every
     task of this call.
 
@@ -47,7 +49,9 @@ def label_collection(spark: SparkSession, papers: DataFrame, vocab: DataFrame, f
     another form than :func:`vocabulary_json`. ``settings``
     (:func:`~litlens.sources.categories.settings_dim`) gives each category its
     own attempts, sentinel, token limit and fields; it takes the place of
-    ``max_attempts``, ``sentinel``, ``limit`` and ``fields``."""
+    ``max_attempts``, ``sentinel``, ``limit`` and ``fields``. With ``memo_path``
+    equal prompts are called once, in ``buckets`` commits, and never again by a
+    later run with the same memo (:mod:`~litlens.operators.memo`)."""
     if runs < 1:
         raise ValueError("runs must be at least 1")
     path = f"{(answers_path or scratch_path(spark, 'answers')).rstrip('/')}/call={call_id or uuid.uuid4().hex}"
@@ -61,8 +65,12 @@ def label_collection(spark: SparkSession, papers: DataFrame, vocab: DataFrame, f
             tasks = tasks.join(logged.select(*TASK_KEYS).distinct(), list(TASK_KEYS), "left_anti")
         budget = with_budget(tasks, vj, template, limit=F.col("token_limit"))
         prompts = with_prompt(budget, vj, template, skip_col="over_budget")
-        log = label_batch(prompts, vocab, fn, partitions=partitions, rows_per_call=rows_per_call,
-                          skip_col="over_budget")
+        if memo_path:
+            log = answer_once(prompts, vocab, fn, memo_path, buckets, partitions=partitions,
+                              rows_per_call=rows_per_call, skip_col="over_budget")
+        else:
+            log = label_batch(prompts, vocab, fn, partitions=partitions, rows_per_call=rows_per_call,
+                              skip_col="over_budget")
         log.write.mode("append").parquet(path)
     answers = spark.read.schema(answer_log_schema(kind)).parquet(path)
     # attempt 0 marks a task that was not sent (over budget)

@@ -380,6 +380,22 @@ def label_collection_settings(spark, sf_dir):
     return label_collection(spark, p, vocab, stub_by_task, ["screen", *CATEGORIES], settings=settings)
 
 
+def stub_by_prompt(batch):
+    """A stand-in that knows nothing but the prompt and the attempt."""
+    return [f"label {(len(p) + 3 * int(a)) % 8}" for p, a in zip(batch["prompt"], batch["attempt"])]
+
+
+@query
+def label_collection_memo(spark, sf_dir):
+    """Prompts that show the abstract alone, so that copies of a text share one:
+    each distinct prompt is called once, in commits by digest."""
+    from ..operators.labelling import label_collection
+    from ..session import scratch_path
+    p = T.screened(X.papers(spark, sf_dir))
+    return label_collection(spark, p, X.vocabulary(spark), stub_by_prompt, CATEGORIES, fields=("abstract",),
+                            memo_path=scratch_path(spark, "memo"), buckets=4)
+
+
 @query
 def stream_resolve(spark, sf_dir):
     """Answers arrive in three waves (attempt 3, then 1, then 2) and are

@@ -579,3 +579,6 @@ SQL["label_collection_settings"] = SQL["label_batch_stub"] + "\nUNION ALL\n" + (
     "  SELECT p.paper_id, a.attempt, CASE WHEN (p.paper_id + a.attempt) % 7 = 0 THEN NULL ELSE ("
     + _prompt_len_sql(("_id", "abstract")).replace("vj.cl", "27") + " + 5 * a.attempt) % 3 END AS k\n"
     "  FROM papers p CROSS JOIN (VALUES (1), (2)) AS a(attempt) WHERE p.screen = 'yes') GROUP BY paper_id")
+
+SQL["label_collection_memo"] = SQL["label_batch_stub"].replace(_prompt_len_sql(), _prompt_len_sql(("abstract",))).replace(
+    "CASE WHEN (x.paper_id + a.attempt) % 5 = 0 THEN NULL ELSE (x.plen + 3 * a.attempt) % 8 END", "(x.plen + 3 * a.attempt) % 8")
