@@ -23,6 +23,8 @@ def scratch_root(spark: SparkSession) -> str:
     """The shared folder of ``spark.checkpoint.dir``; a folder of our own only
     where none is set and the session is local."""
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if d and d.startswith("file:") and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError(f"spark.checkpoint.dir is {d}: on a cluster it must name a folder on shared storage")
     if d:
         return d.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
