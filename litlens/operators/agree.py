@@ -2,9 +2,8 @@
 
 Consistency of a (paper, category) over runs = count of its most frequent
 label / number of non-null labels. It is a two-level hash aggregation
-(per label, then per task) with map-side combine; the box statistics use an
-exact percentile over the (value, frequency) table, whose size is bounded by
-the number of distinct scores, not by the number of papers.
+(per label, then per task) with map-side combine; the box statistics rank the
+(value, frequency) table by range partitions.
 """
 
 from __future__ import annotations
@@ -12,11 +11,12 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import WIDE_KEY, WIDE_PREFIX, key_category, key_run, wide_key
 from ..plans.joins import sized_broadcast
+from ..plans.ranks import running_total
 from ..session import scratch_dir
 
 # The default value domain of the screening contingency and the
@@ -113,30 +113,48 @@ def consistency_by_category(scores: DataFrame, exclude: Sequence[str] = (),
              .orderBy("mean_consistency", "category"))
 
 
+def _with_category(rows: DataFrame, dim: DataFrame) -> DataFrame:
+    """``rows`` with the columns of their category's row, the NULL category's too."""
+    dim = sized_broadcast(dim.withColumnRenamed("category", "_category"))
+    return rows.join(dim, F.col("category").eqNullSafe(F.col("_category"))).drop("_category")
+
+
 def consistency_box(scores: DataFrame, digits: int = 6) -> DataFrame:
     """Box-plot numbers per category: quartiles (linear interpolation),
     whiskers at the most extreme scores within 1.5 IQR, outlier count.
 
-    Works on the (category, score, frequency) table, whose size is the number
-    of distinct scores: the exact percentile is a window over that small
-    table, so no self-join and no second pass over the scores."""
+    Works on the (category, score, frequency) table. Its rows get their ranks by
+    range partitions, so the two neighbours of every quartile are picked, and
+    all else is counted, by map-side combined aggregations: no task holds a
+    category, however many distinct scores there are."""
     freq = (scores.filter(F.col("consistency").isNotNull())
             .groupBy("category", "consistency").agg(F.count(F.lit(1)).alias("w")))
-    q = F.percentile(F.col("consistency"), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)),
-                     F.col("w")).over(Window.partitionBy("category"))
-    f = freq.withColumn("q", q)
-    q1, med, q3 = F.col("q")[0], F.col("q")[1], F.col("q")[2]
-    iqr = q3 - q1
-    x = F.col("consistency")
-    inside = (x >= q1 - 1.5 * iqr) & (x <= q3 + 1.5 * iqr)
-    aggs = [F.sum("w").alias("n"),
-            F.round(F.first(q1), digits).alias("q1"),
-            F.round(F.first(med), digits).alias("median"),
-            F.round(F.first(q3), digits).alias("q3"),
-            F.min(F.when(inside, x)).alias("whisker_low"),
-            F.max(F.when(inside, x)).alias("whisker_high"),
-            F.sum(F.when(~inside, F.col("w")).otherwise(F.lit(0))).alias("n_outliers")]
-    return f.groupBy("category").agg(*aggs)
+    scratch_dir(scores.sparkSession)
+    freq = freq.checkpoint(eager=True)  # a range partitioning reads its input twice
+    ranked = running_total(freq, ["category", "consistency"], "w", "upto")
+    sizes = ranked.groupBy("category").agg(F.sum("w").alias("n"), F.min(F.col("upto") - F.col("w")).alias("start"))
+    placed = _with_category(ranked, sizes)
+    stop = F.col("upto") - F.col("start")  # ranks of the row: from stop - w to before stop
+    x, picks = F.col("consistency"), []
+    quartiles = {"q1": 0.25, "median": 0.5, "q3": 0.75}
+    for name, q in quartiles.items():
+        at = F.lit(q) * (F.col("n") - 1)
+        for side, rank in (("lo", F.floor(at)), ("hi", F.ceil(at))):
+            picks.append(F.max(F.when((rank < stop) & (rank >= stop - F.col("w")), x)).alias(f"{name}_{side}"))
+    near = placed.groupBy("category").agg(F.max("n").alias("n"), *picks)
+
+    def between(name: str) -> Column:
+        at, lo, hi = F.lit(quartiles[name]) * (F.col("n") - 1), F.col(f"{name}_lo"), F.col(f"{name}_hi")
+        whole = F.floor(at)
+        return F.when(lo == hi, lo).otherwise((whole + 1 - at) * lo + (at - whole) * hi)
+
+    box = near.select("category", "n", *[between(name).alias(name) for name in quartiles])
+    iqr = F.col("q3") - F.col("q1")
+    inside = (x >= F.col("q1") - 1.5 * iqr) & (x <= F.col("q3") + 1.5 * iqr)
+    return _with_category(ranked, box).groupBy("category").agg(
+        F.max("n").alias("n"), *[F.round(F.max(name), digits).alias(name) for name in quartiles],
+        F.min(F.when(inside, x)).alias("whisker_low"), F.max(F.when(inside, x)).alias("whisker_high"),
+        F.sum(F.when(~inside, F.col("w")).otherwise(F.lit(0))).alias("n_outliers"))
 
 
 def consistency_matrix(scores: DataFrame, categories: Sequence[str],

@@ -36,6 +36,27 @@ def test_box_matches_numpy(spark):
     assert r.n == len(vals)
 
 
+def test_box_of_a_million_distinct_scores(spark):
+    df = spark.range(1_000_000).selectExpr("id as paper_id", "if(id % 3 = 0, 'b', 'a') as category",
+                                           "pow(id * 7919 % 1000003 / 1000003D, 8) as consistency")
+    df = df.unionByName(spark.createDataFrame([(1, "one", 0.5), (2, None, 0.25), (3, "a", None)],
+                                                 "paper_id long, category string, consistency double"))
+    rows = A.consistency_box(df)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "percentile" not in plan and "windowspecdefinition(category" not in plan
+    got = {r.category: r for r in rows.collect()}
+    ids = np.arange(1_000_000)
+    x = (ids * 7919 % 1000003 / 1000003) ** 8
+    assert got[None].n == 1 and got[None].median == 0.25
+    for c, v in (("a", x[ids % 3 != 0]), ("b", x[ids % 3 == 0]), ("one", np.array([0.5]))):
+        q1, med, q3 = np.percentile(v, [25, 50, 75])
+        inside = v[(v >= q1 - 1.5 * (q3 - q1)) & (v <= q3 + 1.5 * (q3 - q1))]
+        r = got[c]
+        assert (r.n, r.n_outliers) == (len(v), len(v) - len(inside))
+        assert np.allclose((r.q1, r.median, r.q3, r.whisker_low, r.whisker_high),
+                           (round(q1, 6), round(med, 6), round(q3, 6), inside.min(), inside.max()), atol=1.1e-6)
+
+
 def test_wide_long_round_trip(spark):
     rows = [(1, "topic", 1, "A"), (1, "topic", 2, "B"), (2, "ethics", 3, "C"), (2, "topic", 1, "A")]
     lab = spark.createDataFrame(rows, LAB)
