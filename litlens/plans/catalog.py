@@ -568,3 +568,54 @@ def stream_resolve_compacted(spark, sf_dir):
             resp.filter(F.col("attempt") == k).write.mode("append").parquet(f"{base}/answers")
         start_resolve_stream(spark, f"{base}/answers", vocab, f"{base}/labels", f"{base}/checkpoint").awaitTermination()
     return read_labels(spark, f"{base}/labels").drop("seen")
+
+
+# How the answers of the streamed votes are drawn, and when they come.
+VOTE_PLAN = [("topic", "exactly", 3), ("ethics", "exactly", 2), ("openness", "first_valid", 3)]
+
+
+def _vote_waves(spark, sf_dir):
+    """Tasks are asked in two hours. Some second answers come a wave later, which
+    the patience allows; some third ones come when their task is closed. A last row
+    (attempt 0: a task not sent) moves the watermark past all tasks."""
+    i, a = F.col("paper_id"), F.col("attempt")
+    log = X.responses(spark, sf_dir, runs=2).withColumn("error", F.lit(None).cast("string"))
+    log = log.withColumn("hour", (i % 2).cast("int")).withColumn(
+        "wave", F.col("hour") + F.when((a == 3) & (i % 14 == 4), 2).when((a == 2) & (i % 5 == 1), 1).otherwise(0))
+    log = log.withColumn("asked_at", F.timestamp_seconds(F.col("hour") * 3600 + F.lit(1_700_000_000)))
+    end = log.limit(1).withColumn("attempt", F.lit(0)).withColumn(
+        "asked_at", F.timestamp_seconds(F.lit(1_700_000_000 + 86_400)))
+    for wave in range(3):
+        rows = log.filter(F.col("wave") == wave)
+        yield (rows.unionByName(end) if wave == 2 else rows).drop("hour", "wave")
+
+
+def _closed_votes(spark, sf_dir, base, count=False):
+    """Each wave is a run of its own from the checkpoint of the one before."""
+    from ..streaming.vote_stream import start_counter_stream, start_vote_stream
+    plan = local_dim(spark, VOTE_PLAN, [("category", "string"), ("stop", "string"), ("attempts", "int")])
+    for rows in _vote_waves(spark, sf_dir):
+        rows.write.mode("append").parquet(f"{base}/answers")
+        start_vote_stream(spark, f"{base}/answers", X.vocabulary(spark), plan, f"{base}/closed",
+                          f"{base}/votes").awaitTermination()
+        if count:
+            start_counter_stream(spark, f"{base}/closed", f"{base}/counters", f"{base}/counts").awaitTermination()
+
+
+@query
+def stream_votes(spark, sf_dir):
+    """Votes and retries closed while answers arrive, late ones left out."""
+    from ..session import scratch_path
+    base = scratch_path(spark, "stream-votes")
+    _closed_votes(spark, sf_dir, base)
+    return spark.read.parquet(f"{base}/closed").drop("n_answers")
+
+
+@query
+def stream_counters(spark, sf_dir):
+    """The live counters of the same tasks after the last wave."""
+    from ..session import scratch_path
+    from ..streaming.vote_stream import read_counters
+    base = scratch_path(spark, "stream-counters")
+    _closed_votes(spark, sf_dir, base, count=True)
+    return read_counters(spark, f"{base}/counters")

@@ -582,3 +582,35 @@ SQL["label_collection_settings"] = SQL["label_batch_stub"] + "\nUNION ALL\n" + (
 
 SQL["label_collection_memo"] = SQL["label_batch_stub"].replace(_prompt_len_sql(), _prompt_len_sql(("abstract",))).replace(
     "CASE WHEN (x.paper_id + a.attempt) % 5 = 0 THEN NULL ELSE (x.plen + 3 * a.attempt) % 8 END", "(x.plen + 3 * a.attempt) % 8")
+
+CLOSED_VOTES = f"""log AS (
+  SELECT r.*, {STRIP} AS answer, EXISTS (SELECT 1 FROM vocab v WHERE v.category = r.category AND v.label = {STRIP}) AS valid
+  FROM responses r
+  WHERE run <= 2 AND attempt <= CASE category WHEN 'ethics' THEN 2 ELSE 3 END
+    AND NOT (attempt = 3 AND paper_id % 14 = 4)),
+retried AS (
+  SELECT paper_id, category, run, coalesce(arg_min(answer, attempt) FILTER (WHERE valid), 'invalid result') AS label,
+    CAST(coalesce(max(1) FILTER (WHERE valid), 0) AS BIGINT) AS votes,
+    CAST(min(attempt) FILTER (WHERE valid) AS INTEGER) AS attempts_used,
+    bool_or(valid) OR count(*) = 3 AS complete, count(*) AS arrived
+  FROM log WHERE category = 'openness' GROUP BY ALL),
+tally AS (
+  SELECT paper_id, category, run, answer, valid, count(*) AS n, min(attempt) AS first_seen
+  FROM log WHERE category <> 'openness' GROUP BY ALL),
+voted AS (
+  SELECT paper_id, category, run, CASE WHEN valid THEN answer ELSE 'invalid result' END AS label,
+    CASE WHEN answer IS NULL THEN 0 ELSE n END AS votes, CAST(NULL AS INTEGER) AS attempts_used,
+    arrived = CASE category WHEN 'ethics' THEN 2 ELSE 3 END AS complete, arrived
+  FROM (SELECT *, CAST(sum(n) OVER (PARTITION BY paper_id, category, run) AS BIGINT) AS arrived,
+          row_number() OVER (PARTITION BY paper_id, category, run
+                             ORDER BY (answer IS NULL), n DESC, first_seen) AS rk FROM tally) WHERE rk = 1),
+closed AS (SELECT * FROM retried UNION ALL SELECT * FROM voted)"""
+
+SQL["stream_votes"] = _with(PAPERS, VOCAB, RESPONSES, CLOSED_VOTES) + """
+SELECT paper_id, category, run, label, votes, attempts_used, complete FROM closed"""
+
+SQL["stream_counters"] = _with(PAPERS, VOCAB, RESPONSES, CLOSED_VOTES) + """
+SELECT category, run, count(*) AS n_tasks, count(*) FILTER (WHERE label <> 'invalid result') AS n_valid,
+  count(*) FILTER (WHERE label = 'invalid result') AS n_invalid, count(*) FILTER (WHERE NOT complete) AS n_timed_out,
+  CAST(sum(attempts_used) AS BIGINT) AS attempts
+FROM closed GROUP BY category, run"""
