@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .json_arrays import read_json_array
+
 # ids are strings in a paper collection; a numeric id column is read with its own
 # type by passing another schema
 PAPER_SCHEMA = ("paper_id string, venue string, lang string, title string, abstract string, "
@@ -23,9 +25,13 @@ def load_papers(spark: SparkSession, path: str, schema: str = PAPER_SCHEMA) -> D
     return spark.read.schema(schema.replace("paper_id string", f"paper_id {kind}")).parquet(path)
 
 
-def load_papers_json(spark: SparkSession, path: str, schema: str = PAPER_JSON_SCHEMA) -> DataFrame:
+def load_papers_json(spark: SparkSession, path: str, schema: str = PAPER_JSON_SCHEMA,
+                     split: bool = False) -> DataFrame:
     """Papers from UTF-8 JSON files holding one array of paper objects each;
-    ``_id`` becomes ``paper_id``, the key every operator uses."""
+    ``_id`` becomes ``paper_id``, the key every operator uses. ``split`` reads a
+    large file by many tasks instead of one."""
+    if split:
+        return read_json_array(spark, path, schema).withColumnRenamed("_id", "paper_id")
     return (spark.read.schema(schema).option("multiLine", True).option("encoding", "UTF-8")
             .json(path).withColumnRenamed("_id", "paper_id"))
 
