@@ -1,9 +1,12 @@
 """Tasks closed one by one while their answers arrive, and live counters of them.
 
-Every task has its own state in Spark's state store and its own timer. It closes
-as soon as its draw plan is met (``first_valid``: an allowed answer and all
-attempts before it; ``exactly``: all its votes), else when the watermark passes
-the time at which it was asked. It is put out once, when it closes.
+The tasks are dealt to buckets by a hash of their keys. A bucket has one row in
+Spark's state store, with its tasks side by side, and one timer, that of the task
+due first: Python is called once per bucket and micro-batch, however many tasks
+there are. A task closes as soon as its draw plan is met (``first_valid``: an
+allowed answer and all attempts before it; ``exactly``: all its votes), else when
+the watermark passes the time at which it was asked. It is put out once, when it
+closes.
 
 All answers of a task carry the time at which the task was asked, so one
 watermark bounds everything: answers that come when it has passed are late and
@@ -24,6 +27,7 @@ keep the one that came first (the smallest choice, if together), and rows withou
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -38,7 +42,17 @@ from ..plans.joins import sized_broadcast
 from .resolve_stream import label_ids
 
 NO_ANSWER = 0  # choice of a failed call; labels count from 1, other texts are negative
-STATE = "attempts array<int>, choices array<bigint>, closed boolean"
+# Buckets of tasks, unless a stream names another number. A bucket holds its share
+# of the tasks of the last ``patience``.
+BUCKETS = 1024
+# A bucket's tasks, one array per column: keys (as strings, which may be NULL), time
+# asked, draw plan, timer, and whether closed; then the answers of the open ones, end
+# to end.
+TASK = {**{f"_{i}": "string" for i in range(len(TASK_KEYS))}, "asked_ms": "bigint", "stop": "string", "attempts": "int"}
+STATE = ", ".join(f"{c} array<{kind}>" for c, kind in {
+    **TASK, "due_ms": "bigint", "closed": "boolean", "n_seen": "int", "seen": "int", "choices": "bigint"}.items())
+CLOSED = ", ".join(f"_{i} string" for i in range(len(TASK_KEYS))) + \
+    ", choice bigint, votes bigint, attempts_used int, n_answers int, complete boolean"
 
 
 def timed_log_schema(id_type: str = "bigint") -> str:
@@ -64,30 +78,54 @@ def outcome(got: dict[int, int], stop: str, attempts: int) -> tuple[int, int, in
     return best, tally.get(best, 0), 0, everything
 
 
-def close_task(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """One call per task and micro-batch; ``key`` ends with what the plan says of it."""
-    *task, asked_ms, stop, attempts = key
-    seen, choices, closed = state.get if state.exists else ([], [], False)
-    if state.hasTimedOut:
-        state.remove()
-    else:
-        got = dict(zip(seen, choices))
-        for frame in frames:
-            for a, c in sorted(zip(frame["attempt"].tolist(), frame["choice"].tolist())):
-                got.setdefault(a, c)
-        seen, choices = list(got), list(got.values())
-    choice, votes, used, complete = outcome(dict(zip(seen, choices)), stop, attempts)
-    puts_out = not closed and (complete or state.hasTimedOut)
+def held_tasks(value: tuple) -> dict[tuple, tuple[dict[int, int], int, bool]]:
+    """The tasks of a state row, each with its answers, its timer and whether it is closed."""
+    *task, due, closed, n_seen, seen, choices = value
+    answers = zip(seen, choices)
+    return {t: (dict(islice(answers, n)), d, c) for t, d, c, n in zip(zip(*task), due, closed, n_seen)}
+
+
+def state_row(tasks: dict[tuple, tuple[dict[int, int], int, bool]]) -> tuple:
+    """The state row of :func:`held_tasks`."""
+    got, due, closed = zip(*tasks.values())
+    return (*map(list, zip(*tasks)), list(due), list(closed), [len(g) for g in got],
+            [a for g in got for a in g], [c for g in got for c in g.values()])
+
+
+def close_tasks(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """One call per bucket and micro-batch, and one when the bucket's timer fires."""
+    now = state.getCurrentWatermarkMs()
+    tasks = held_tasks(state.get) if state.exists else {}
+    came: dict[tuple, dict[int, int]] = {}
     if not state.hasTimedOut:
-        state.update((seen, choices, closed or puts_out))
-        state.setTimeoutTimestamp(max(int(asked_ms), state.getCurrentWatermarkMs() + 1))
-    if puts_out:
-        yield pd.DataFrame({**{f"_{i}": [v] for i, v in enumerate(task)}, "choice": [choice], "votes": [votes],
-                            "attempts_used": [used], "n_answers": [len(seen)], "complete": [complete]})
+        for frame in frames:
+            for *task, a, c in zip(*(frame[name].tolist() for name in [*TASK, "attempt", "choice"])):
+                answers = came.setdefault(tuple(task), {})
+                answers[a] = min(c, answers.get(a, c))
+    for task, answers in came.items():
+        got, _, closed = tasks.get(task, ({}, 0, False))
+        tasks[task] = ({} if closed else answers | got), max(task[-3], now + 1), closed
+    out, left = [], {}
+    for task, (got, due, closed) in tasks.items():
+        *keys, _, stop, attempts = task
+        if not closed and (task in came or due < now):
+            choice, votes, used, complete = outcome(got, stop, attempts)
+            if complete or due < now:
+                out.append((*keys, choice, votes, used, len(got), complete))
+                got, closed = {}, True
+        if due >= now:
+            left[task] = got, due, closed
+    if left:
+        state.update(state_row(left))
+        state.setTimeoutTimestamp(min(due for _, due, _ in left.values()))
+    else:
+        state.remove()
+    if out:
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in CLOSED.split(", ")])
 
 
 def closed_tasks(answers: DataFrame, ids: DataFrame, plan: DataFrame, patience: str,
-                 sentinel: str = INVALID_RESULT) -> DataFrame:
+                 sentinel: str = INVALID_RESULT, buckets: int = BUCKETS) -> DataFrame:
     """Stream of closed tasks: ``(paper_id, category, run, label, votes,
     attempts_used, n_answers, complete)``; ``complete`` is false for a task that
     the timer closed. Answers outside the vocabulary vote under a hash of their text."""
@@ -98,17 +136,16 @@ def closed_tasks(answers: DataFrame, ids: DataFrame, plan: DataFrame, patience:
     a = a.withColumn("answer", F.coalesce(py_strip(F.col("response")), F.concat(
         F.lit("\x00"), F.xxhash64(*TASK_KEYS, "attempt").cast("string"))))  # no hot NULL key in the join
     other = -1 - F.xxhash64("answer").bitwiseAND(F.lit((1 << 62) - 1))
+    bucket = F.pmod(F.xxhash64(*TASK_KEYS), F.lit(buckets)).cast("int")
     a = a.join(ids, ["category", "answer"], "left").select(
-        *TASK_KEYS, "asked_at", F.unix_millis("asked_at").alias("asked_ms"), "stop", "attempts", "attempt",
+        bucket.alias("bucket"), *[F.col(k).cast("string").alias(f"_{i}") for i, k in enumerate(TASK_KEYS)],
+        "asked_at", F.unix_millis("asked_at").alias("asked_ms"), "stop", "attempts", "attempt",
         F.when(F.col("response").isNull(), F.lit(NO_ANSWER).cast("long"))
          .otherwise(F.coalesce("label_id", other)).alias("choice"))
-    out = ", ".join(f"_{i} {kinds[k]}" for i, k in enumerate(TASK_KEYS))
-    done = a.groupBy(*TASK_KEYS, "asked_ms", "stop", "attempts").applyInPandasWithState(
-        close_task, f"{out}, choice bigint, votes bigint, attempts_used int, n_answers int, complete boolean",
-        STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    done = a.groupBy("bucket").applyInPandasWithState(close_tasks, CLOSED, STATE, "append", GroupStateTimeout.EventTimeTimeout)
     names = ids.select(F.col("label_id").alias("choice"), F.col("answer").alias("label"))
     return done.join(names, "choice", "left").select(
-        *[F.col(f"_{i}").alias(k) for i, k in enumerate(TASK_KEYS)],
+        *[F.col(f"_{i}").cast(kinds[k]).alias(k) for i, k in enumerate(TASK_KEYS)],
         F.coalesce("label", F.lit(sentinel)).alias("label"), "votes", F.nullif("attempts_used", F.lit(0)).alias("attempts_used"),
         "n_answers", "complete")
 
@@ -116,14 +153,15 @@ def closed_tasks(answers: DataFrame, ids: DataFrame, plan: DataFrame, patience:
 def start_vote_stream(spark: SparkSession, answers_dir: str, vocab: DataFrame, plan: DataFrame,
                       closed_dir: str, checkpoint_dir: str, patience: str = "30 minutes",
                       available_now: bool = True, id_type: str = "bigint",
-                      files_per_batch: int | None = None) -> StreamingQuery:
+                      files_per_batch: int | None = None, buckets: int = BUCKETS) -> StreamingQuery:
     """Stream Parquet answers (:func:`timed_log_schema`) into closed tasks. ``plan`` has
-    ``stop`` and ``attempts`` by category."""
+    ``stop`` and ``attempts`` by category. ``buckets`` stays the same for a checkpoint,
+    whose state has them as keys."""
     reader = spark.readStream.schema(timed_log_schema(id_type))
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     ids = sized_broadcast(label_ids(spark, closed_dir, vocab))
-    done = closed_tasks(reader.parquet(answers_dir), ids, plan, patience)
+    done = closed_tasks(reader.parquet(answers_dir), ids, plan, patience, buckets=buckets)
     w = (done.writeStream.format("parquet").outputMode("append").option("path", closed_dir)
          .option("checkpointLocation", checkpoint_dir))
     return (w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")).start()
