@@ -3,7 +3,7 @@ every attempt, until the task's stop rule holds.
 
 Each task carries its draw plan as columns: how many ``attempts`` it may make,
 and whether it stops at the first allowed answer (``first_valid``) or draws all
-of them for a vote (``exactly``). Runs as ``mapInPandas`` over tasks spread
+of them for a vote (``exactly``). Runs as ``mapInArrow`` over tasks spread
 evenly across partitions (the only place where Python touches rows: the answer
 function is user code, e.g. a model client). The number of partitions bounds the
 number of concurrent calls. The output is the answer log that
@@ -16,6 +16,8 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +30,9 @@ from ..session import scratch_path
 VOCAB_MAX_ROWS = 100_000
 # The stop rules of a draw plan.
 FIRST_VALID, EXACTLY = "first_valid", "exactly"
+# Bytes of the Arrow batches in which prompts reach Python, where this package runs
+# the job itself: a worker's memory then does not grow with rows or length of prompts.
+PROMPT_BATCH_BYTES = 8 << 20
 KEYS = ["paper_id", "category", "run"]
 
 
@@ -86,18 +91,26 @@ def _calls(tasks: DataFrame, keys: list[str], schema: str, fn: AnswerFn, pairs:
         # pile up in one Python worker
         tasks = tasks.repartition(partitions)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def logged(todo: pa.RecordBatch, attempt: int, resp: list, error: str | None) -> pa.RecordBatch:
+        n = todo.num_rows
+        return pa.RecordBatch.from_arrays([*(todo.column(k) for k in keys), pa.array([attempt] * n, pa.int32()), pa.array(
+            resp, pa.string(), from_pandas=True), pa.array([error] * n, pa.string())], names=cols)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            skipped = b["_skip"].fillna(False).astype(bool)
-            if skipped.any() and only in (None, 1):
-                out.append(b.loc[skipped, keys].assign(attempt=0, response=None, error=None))
-            b = b.loc[~skipped]
-            for start in range(0, len(b), rows_per_call):
-                todo = b.iloc[start:start + rows_per_call]
+            skipped = pc.fill_null(b.column("_skip"), False)
+            if pc.any(skipped).as_py():
+                if only in (None, 1):
+                    none = b.filter(skipped)
+                    out.append(logged(none, 0, [None] * none.num_rows, None))
+                b = b.filter(pc.invert(skipped))
+            for start in range(0, b.num_rows, rows_per_call):
+                todo = b.slice(start, rows_per_call)
                 attempt = only or 1
-                while len(todo := todo[todo["_attempts"] >= attempt]):
-                    call = todo[[*keys, "prompt"]].assign(attempt=attempt)
+                while (todo := todo.filter(pc.greater_equal(todo.column("_attempts"), attempt))).num_rows:
+                    # only the prompts of one call become Python strings
+                    call = todo.select([*keys, "prompt"]).to_pandas().assign(attempt=attempt)
                     error = None
                     try:
                         resp = list(fn(call))
@@ -105,18 +118,16 @@ def _calls(tasks: DataFrame, keys: list[str], schema: str, fn: AnswerFn, pairs:
                             raise ValueError(f"{len(resp)} answers for {len(call)} prompts")
                     except Exception as e:  # a failed call: every row of it failed
                         resp, error = [None] * len(call), f"{type(e).__name__}: {e}"[:error_chars]
-                    call["response"] = pd.Series(resp, index=call.index, dtype="object")
-                    call["error"] = pd.Series([error] * len(call), index=call.index, dtype="object")
-                    out.append(call[cols])
+                    out.append(logged(todo, attempt, resp, error))
                     if only:
                         break
-                    ok = [isinstance(r, str) and (c, r.strip()) in pairs for r, c in zip(resp, call["category"])]
-                    todo = todo[[not x or s == EXACTLY for x, s in zip(ok, todo["_stop"])]]
+                    ok = [isinstance(r, str) and (c, r.strip()) in pairs for r, c in zip(resp, todo.column("category").to_pylist())]
+                    todo = todo.filter(pa.array([not x or s == EXACTLY for x, s in zip(ok, todo.column("_stop").to_pylist())]))
                     attempt += 1
             if out:
-                yield pd.concat(out, ignore_index=True)
+                yield from pa.Table.from_batches(out).combine_chunks().to_batches()
 
-    return tasks.mapInPandas(run, schema)
+    return tasks.mapInArrow(run, schema)
 
 
 def _rounds(tasks: DataFrame, vocab: DataFrame, keys: list[str], schema: str, fn: AnswerFn, partitions: int | None,

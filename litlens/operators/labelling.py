@@ -22,9 +22,9 @@ from pyspark.sql import functions as F
 
 from ..functions.prompts import (DEFAULT_TEMPLATE, LABEL_FIELDS, TOKEN_LIMIT, entry_text,
                                  vocabulary_json, with_budget, with_prompt)
-from ..session import scratch_path
+from ..session import arrow_batches_below, scratch_path
 from ..sources.tables import read_if_exists
-from .batch import AnswerFn, answer_log_schema, label_batch
+from .batch import PROMPT_BATCH_BYTES, AnswerFn, answer_log_schema, label_batch
 from .labels import INVALID_ENTRY, INVALID_RESULT, TASK_KEYS, resolve_answers
 from .memo import answer_once
 
@@ -71,7 +71,8 @@ def label_collection(spark: SparkSession, papers: DataFrame, vocab: DataFrame, f
         else:
             log = label_batch(prompts, vocab, fn, partitions=partitions, rows_per_call=rows_per_call,
                               skip_col="over_budget")
-        log.write.mode("append").parquet(path)
+        with arrow_batches_below(spark, PROMPT_BATCH_BYTES):
+            log.write.mode("append").parquet(path)
     answers = spark.read.schema(answer_log_schema(kind)).parquet(path)
     # attempt 0 marks a task that was not sent (over budget)
     sent = resolve_answers(answers, vocab, max_attempts, sentinel, settings=settings)  # attempts from 1

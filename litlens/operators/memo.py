@@ -14,9 +14,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import scratch_path
+from ..session import arrow_batches_below, scratch_path
 from ..sources.tables import read_if_exists
-from .batch import KEYS, AnswerFn, answer_log_schema, label_batch
+from .batch import KEYS, PROMPT_BATCH_BYTES, AnswerFn, answer_log_schema, label_batch
 
 
 def prompt_digest(prompt_col: str = "prompt"):
@@ -48,8 +48,9 @@ def answer_once(tasks: DataFrame, vocab: DataFrame, fn: AnswerFn, memo_path: str
     for (bucket,) in open_prompts.select("bucket").distinct().orderBy("bucket").collect():
         mine = open_prompts.filter(F.col("bucket") == bucket)  # one folder, no other is read
         log = label_batch(mine, vocab, fn, max_attempts, partitions, rows_per_call)
-        log.join(mine.select(*KEYS, *technique, "digest"), [*KEYS, *technique]).select(
-            *by, "attempt", "response", "error").write.mode("append").parquet(memo_path)
+        with arrow_batches_below(spark, PROMPT_BATCH_BYTES):
+            log.join(mine.select(*KEYS, *technique, "digest"), [*KEYS, *technique]).select(
+                *by, "attempt", "response", "error").write.mode("append").parquet(memo_path)
     kind = tasks.schema["paper_id"].dataType.simpleString()
     schema = answer_log_schema(kind, bool(technique))
     names = [c.split()[0] for c in schema.split(", ")]

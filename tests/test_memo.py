@@ -4,7 +4,10 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from litlens.operators.batch import PROMPT_BATCH_BYTES
+from litlens.operators.labelling import label_collection
 from litlens.operators.memo import answer_once
+from litlens.session import ARROW_BYTES
 
 TASKS = "paper_id long, category string, run int, prompt string, over boolean"
 
@@ -63,3 +66,32 @@ def test_nothing_to_send(spark, tmp_dir):
     tasks = spark.createDataFrame([(1, "topic", 1, None, True)], TASKS)
     log = answer_once(tasks, vocab, lambda b: [], os.path.join(tmp_dir, "memo"), skip_col="over").collect()
     assert [(r.paper_id, r.attempt, r.response) for r in log] == [(1, 0, None)]
+
+
+def holding():
+    """Answers: the most prompts in a frame of the worker, and the bytes that Arrow holds there."""
+
+    def fn(batch):
+        import gc
+
+        import pandas as pd
+        import pyarrow as pa
+        rows = max(len(o) for o in gc.get_objects() if isinstance(o, pd.DataFrame) and "prompt" in o.columns)
+        return [f"{rows} {pa.total_allocated_bytes()}"] * len(batch)
+
+    return fn
+
+
+@pytest.mark.parametrize("memo", [True, False])
+def test_memory_of_a_worker_is_bounded_by_bytes_and_calls(spark, tmp_dir, memo):
+    papers = spark.range(0, 1000, 1, 1).select(F.col("id").alias("paper_id"), F.concat(
+        F.col("id").cast("string"), F.repeat(F.lit("x"), 40_000)).alias("abstract"))
+    vocab = spark.createDataFrame([("topic", "A")], "category string, label string")
+    was = spark.conf.get(ARROW_BYTES, None)
+    label_collection(spark, papers, vocab, holding(), ["topic"], fields=("abstract",), max_attempts=1, buckets=1, rows_per_call=32,
+                     memo_path=os.path.join(tmp_dir, "memo") if memo else None, answers_path=os.path.join(tmp_dir, "log")).count()
+    assert spark.conf.get(ARROW_BYTES, None) == was
+    got = [tuple(map(int, r.response.split())) for r in spark.read.parquet(os.path.join(tmp_dir, "log")).collect()]
+    assert len(got) == 1000
+    assert max(rows for rows, _ in got) <= 32
+    assert max(size for _, size in got) <= 3 * PROMPT_BATCH_BYTES
