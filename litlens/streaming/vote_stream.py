@@ -39,12 +39,16 @@ from ..functions.scalars import py_strip
 from ..operators.batch import answer_log_schema, with_draw_plan
 from ..operators.labels import INVALID_RESULT, TASK_KEYS
 from ..plans.joins import sized_broadcast
+from ..session import shuffle_partitions_at_most
 from .resolve_stream import label_ids
 
 NO_ANSWER = 0  # choice of a failed call; labels count from 1, other texts are negative
 # Buckets of tasks, unless a stream names another number. A bucket holds its share
 # of the tasks of the last ``patience``.
 BUCKETS = 1024
+# Buckets that a state partition holds at least, as long as all cores have two partitions:
+# each partition starts Python and commits its state in every micro-batch, due tasks or not.
+BUCKETS_A_PARTITION = 64
 # A bucket's tasks, one array per column: keys (as strings, which may be NULL), time
 # asked, draw plan, timer, and whether closed; then the answers of the open ones, end
 # to end.
@@ -99,8 +103,9 @@ def close_tasks(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -
     came: dict[tuple, dict[int, int]] = {}
     if not state.hasTimedOut:
         for frame in frames:
-            for *task, a, c in zip(*(frame[name].tolist() for name in [*TASK, "attempt", "choice"])):
-                answers = came.setdefault(tuple(task), {})
+            keys = zip(*(frame[name].tolist() for name in TASK))
+            for task, a, c in zip(keys, frame["attempt"].tolist(), frame["choice"].tolist()):
+                answers = came.setdefault(task, {})
                 answers[a] = min(c, answers.get(a, c))
     for task, answers in came.items():
         got, _, closed = tasks.get(task, ({}, 0, False))
@@ -150,6 +155,10 @@ def closed_tasks(answers: DataFrame, ids: DataFrame, plan: DataFrame, patience:
         "n_answers", "complete")
 
 
+def state_partitions(spark: SparkSession, buckets: int) -> int:
+    return max(1, buckets // BUCKETS_A_PARTITION, min(buckets, 2 * spark.sparkContext.defaultParallelism))
+
+
 def start_vote_stream(spark: SparkSession, answers_dir: str, vocab: DataFrame, plan: DataFrame,
                       closed_dir: str, checkpoint_dir: str, patience: str = "30 minutes",
                       available_now: bool = True, id_type: str = "bigint",
@@ -164,7 +173,8 @@ def start_vote_stream(spark: SparkSession, answers_dir: str, vocab: DataFrame, p
     done = closed_tasks(reader.parquet(answers_dir), ids, plan, patience, buckets=buckets)
     w = (done.writeStream.format("parquet").outputMode("append").option("path", closed_dir)
          .option("checkpointLocation", checkpoint_dir))
-    return (w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")).start()
+    with shuffle_partitions_at_most(spark, state_partitions(spark, buckets)):
+        return (w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")).start()
 
 
 def counters(closed: DataFrame, sentinel: str = INVALID_RESULT) -> DataFrame:

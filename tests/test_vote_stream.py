@@ -7,7 +7,7 @@ import pandas as pd
 
 from litlens.streaming.vote_stream import (
     NO_ANSWER, TASK, close_tasks, counters, outcome, read_counters, start_counter_stream, start_vote_stream,
-    timed_log_schema,
+    state_partitions, timed_log_schema,
 )
 
 HOUR = datetime(2024, 1, 1, 12)
@@ -176,3 +176,23 @@ def test_state_rows_are_buckets_not_tasks(spark, tmp_dir):
     held, got = wave(log[-1:])
     assert held[-1] == 0
     assert got == {k: ("a", 2, 2, True) for k in ids[:4]} | {k: ("a", 1, 1, False) for k in ids[4:]}
+
+
+def test_state_partitions_follow_buckets_and_cores_not_the_session(spark, tmp_dir):
+    base, key = os.path.join(tmp_dir, "s"), "spark.sql.shuffle.partitions"
+    vocab = spark.createDataFrame([("v", "a")], "category string, label string")
+    plan = spark.createDataFrame([("v", "exactly", 2)], "category string, stop string, attempts int")
+    log = [(i, "v", 1, a, "a", None, HOUR) for i in range(300) for a in (1, 2)]
+    spark.createDataFrame(log, timed_log_schema()).coalesce(1).write.parquet(f"{base}/answers")
+    old = spark.conf.get(key)
+    spark.conf.set(key, "200")
+    try:
+        q = start_vote_stream(spark, f"{base}/answers", vocab, plan, f"{base}/closed", f"{base}/votes", buckets=10)
+        assert spark.conf.get(key) == "200"
+        q.awaitTermination()
+    finally:
+        spark.conf.set(key, old)
+    used = {p["stateOperators"][0]["numShufflePartitions"] for p in q.recentProgress if p["stateOperators"]}
+    assert used == {state_partitions(spark, 10)} and max(used) <= 10
+    assert spark.read.parquet(f"{base}/closed").filter("votes = 2 and complete").count() == 300
+    assert state_partitions(spark, 1 << 20) == (1 << 20) // 64
