@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from litlens.llm.catalog import MIX_POWER
-from litlens.llm.common import read_table, scratch_root
+from litlens.llm.common import few_files, read_table, scratch_root
 from litlens.llm.exact_dedup import drop_exact_duplicates
 from litlens.llm.mixing import mix_schedule
 from litlens.llm.quality import keep_good
@@ -42,12 +42,20 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return drop_near_duplicates(docs, width=4, max_bits=4)
 
 
+def _mix_path(spark: SparkSession, docs: DataFrame) -> str:
+    """Where the slots of these documents are stored."""
+    n, mark = docs.select(F.count("*"), F.bit_xor(F.xxhash64("doc_id", "source"))).first()
+    return f"{scratch_root(spark)}/corpus-mix-{n}-{(mark or 0) & (1 << 64) - 1:016x}"
+
+
+def _mix_slots(docs: DataFrame) -> DataFrame:
+    return mix_schedule(docs, power=MIX_POWER).select(F.col("doc_id").alias("mixed_id"), "slot", "place")
+
+
 def _mix_of(spark: SparkSession, docs: DataFrame) -> tuple[str, DataFrame]:
     """Where the slots of these documents are stored, and what they are: both
     depend on ids and sources only."""
-    n, mark = docs.select(F.count("*"), F.bit_xor(F.xxhash64("doc_id", "source"))).first()
-    slots = mix_schedule(docs, power=MIX_POWER).select(F.col("doc_id").alias("mixed_id"), "slot", "place")
-    return f"{scratch_root(spark)}/corpus-mix-{n}-{(mark or 0) & (1 << 64) - 1:016x}", slots
+    return _mix_path(spark, docs), _mix_slots(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +63,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     root of its size: small ones come more often than their share. The slots go
     to a table of their own, so the texts need not move."""
     path, slots = _mix_of(spark, docs)
-    slots.write.mode("overwrite").parquet(path)
+    slots.coalesce(few_files(spark)).write.mode("overwrite").parquet(path)
     return docs
 
 
@@ -63,11 +71,10 @@ def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The SentencePiece ids of every document, with its slot in the mix and its
     place there; both NULL for rows without an id. Slots that are no longer
     stored are made again from the same documents."""
-    path, slots = _mix_of(spark, docs)
     try:
-        slots = spark.read.schema(slots.schema).parquet(path)
+        slots = spark.read.parquet(_mix_path(spark, docs))
     except AnalysisException:
-        pass
+        slots = _mix_slots(docs)
     ids = encode(docs, read_model(public_tokenizers.path(MODEL)))
     return ids.join(slots.hint("merge"), F.col("doc_id") == F.col("mixed_id"), "left").select(
         "doc_id", F.coalesce(F.size("ids"), F.lit(0)).alias("n_tokens"), "ids", "slot", "place")

@@ -23,7 +23,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``node, component`` for every node of an edge: the smallest node reachable.
     Self-loops and rows with a NULL end are ignored; nodes are longs."""
     hi, lo = F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")
-    e = stored(edges.filter(F.col(a) != F.col(b)).select(hi, lo).distinct(), "cc")
+    e = stored(edges.filter(F.col(a) != F.col(b)).select(hi, lo).distinct(), "cc", narrow=True)
     state = None
     while True:
         now = e.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
@@ -39,4 +39,4 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         low = _lowest(large, "hi", "lo")
         moved = _with_lowest(large, "hi", low)
         e = stored(moved.filter("lo <> low").select(F.col("lo").alias("hi"), F.col("low").alias("lo"))
-                   .unionByName(moved.select("hi", F.col("low").alias("lo"))).distinct(), "cc")
+                   .unionByName(moved.select("hi", F.col("low").alias("lo"))).distinct(), "cc", narrow=True)

@@ -61,7 +61,7 @@ def _decided(docs: DataFrame, id_col: str, text_col: str, digest: bool = False)
     for keys in (["len"], ["len", "head"]):
         company = left.groupBy(*keys).count().filter("count > 1").drop("count")
         left = split_join(left, company, keys)
-    survivors = stored(left.select("id", "h").distinct(), "exact-survivors")
+    survivors = stored(left.select("id", "h").distinct(), "exact-survivors", narrow=True)
     again = docs.select(F.struct(F.col(id_col).alias("id"), F.xxhash64(text).alias("h")).alias("row"), text.alias("text"))
     again = again.select("row.id", "row.h", "row", "text").join(small_or_plain(survivors), ["id", "h"], "left_semi")
     hashed = stored(normalized_sha256(again, "row").select("id.id", "id.h", "sha"), "exact-hashed")
@@ -77,10 +77,10 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """``docs`` without the rows that :func:`exact_duplicates` does not keep; of
     rows that repeat an id and a text (after lower-casing A-Z), one stays. Rows
     that only share an id are rows of their own; rows without an id stay."""
-    gone = stored(_decided(docs, id_col, text_col).filter("not kept").select("id", "h").distinct(), "exact-gone")
+    gone = stored(_decided(docs, id_col, text_col).filter("not kept").select("id", "h").distinct(), "exact-gone", narrow=True)
     left = without_rows(docs, gone, id_col, text_hash(text_col))
     repeated = stored(docs.filter(F.col(id_col).isNotNull()).groupBy(id_col).count().filter("count > 1")
-                      .select(id_col), "exact-repeated")
+                      .select(id_col), "exact-repeated", narrow=True)
     if repeated.isEmpty():
         return left
     repeated = small_or_plain(repeated)

@@ -123,9 +123,9 @@ def mix_schedule(docs: DataFrame, weights: Mapping[str | None, float] | None = N
     rows = docs.filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(
         F.min(source_col).alias("source"))
     order = ["source", "mixed", "id"]
-    placed = stored(running(rows.withColumn("mixed", F.xxhash64("id")), order, {"upto": F.lit(1)}, "mix-order"),
-                    "mix-placed")
-    sizes = stored(placed.groupBy("source").agg(F.min("upto").alias("first"), F.count("*").alias("n")), "mix-sizes")
+    placed = stored(running(rows.withColumn("mixed", F.xxhash64("id")), order, {"upto": F.lit(1)}, "mix-order", narrow=True),
+                    "mix-placed", narrow=True)
+    sizes = stored(placed.groupBy("source").agg(F.min("upto").alias("first"), F.count("*").alias("n")), "mix-sizes", narrow=True)
     slots = stored(block_slots(sizes, weights, power, block_rows, period, vacant), "mix-slots").withColumnRenamed(
         "first", "first2").withColumnRenamed("block", "block2")
     starts = small_or_plain(sizes.select(F.col("source").alias("s"), "first"))
@@ -142,7 +142,7 @@ def mix_plan(docs: DataFrame, weights: Mapping[str | None, float] | None = None,
              block_rows: int = 16, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
     """A stored row of id, ``slot`` and ``place`` for every document."""
     return stored(mix_schedule(docs, weights, power, block_rows, id_col=id_col, source_col=source_col)
-                  .select(id_col, "slot", "place"), "mix-plan")
+                  .select(id_col, "slot", "place"), "mix-plan", narrow=True)
 
 
 def in_mix_order(docs: DataFrame, plan: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -170,7 +170,7 @@ def _components(docs: DataFrame, width: int, max_bits: int, id_col: str, text_co
     rows = stored(fingerprints(docs, width, id_col, text_col), "simhash-rows")
     # a fingerprint is its own node: ids may clash
     nodes = stored(rows.groupBy("fp").agg(F.min("id").cast("long").alias("least"))
-                   .select("fp", F.col("fp").alias("node"), "least"), "simhash-nodes")
+                   .select("fp", F.col("fp").alias("node"), "least"), "simhash-nodes", narrow=True)
     found = components(links(nodes.filter("least is not null").drop("least"), max_bits))
     placed = nodes.join(found, "node", "left").select("fp", "least", F.coalesce("component", "node").alias("component"))
     smallest = placed.groupBy("component").agg(F.min("least").alias("component_id"))
@@ -185,8 +185,8 @@ def drop_near_duplicates(docs: DataFrame, width: int = 4, max_bits: int = 4, id_
     apart; rows that repeat both id and text stay or go together; rows without
     an id stay."""
     found = stored(_components(docs, width, max_bits, id_col, text_col).filter("id is not null")
-                   .select("id", "h", "component_id").distinct(), "simhash-found")
+                   .select("id", "h", "component_id").distinct(), "simhash-found", narrow=True)
     first = found.filter("id = component_id").groupBy("component_id").agg(F.min("h").alias("first"))
     gone = stored(split_join(found, first, ["component_id"]).filter("id != component_id or h != first").select("id", "h"),
-                  "simhash-gone")
+                  "simhash-gone", narrow=True)
     return without_rows(docs, gone, id_col, text_hash(text_col))

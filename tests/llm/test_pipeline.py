@@ -1,4 +1,5 @@
 import math
+import os
 import random
 
 import public_tokenizers
@@ -87,3 +88,39 @@ def test_run_returns_the_slots_of_the_mix(spark):
     want = sorted((s, at[s, k // 16], k % 16) for s in names for k in range(n[s]))
     source = {r.doc_id: r.source for r in kept.collect()}
     assert sorted((source[i], *where) for i, where in got.items()) == want
+
+
+def test_last_stage_reads_the_slots_and_does_not_make_them_again(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"stored text {i}", "en", f"s{i % 4}", 1) for i in range(60)], DOCS)
+    out = P.mix(spark, docs, "")
+    want = {r.doc_id: (r.slot, r.place) for r in P.mix_schedule(docs, power=P.MIX_POWER).collect()}
+    monkeypatch.setattr(P, "mix_schedule", None)
+    assert {r.doc_id: (r.slot, r.place) for r in P.pieces(spark, out, "").collect()} == want
+
+
+def test_small_tables_of_a_wide_shuffle_are_stored_in_few_files(spark, tmp_dir, monkeypatch):
+    from litlens.llm import common
+    monkeypatch.setattr(common, "scratch_root", lambda spark: tmp_dir)
+    monkeypatch.setattr(P, "scratch_root", lambda spark: tmp_dir)
+    conf = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in conf}
+    rows = [(i, " ".join(f"w{i * 7 + k}" for k in range(9)), "en", f"s{i % 3}", 1) for i in range(300)]
+    rows += [(1000 + i, rows[i][1], "en", "s0", 1) for i in range(100)]
+    docs = spark.createDataFrame(rows, DOCS).coalesce(2)
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        kept = sorted(r.doc_id for r in P.exact(spark, docs, "").collect())
+        left = sorted(r.doc_id for r in P.near(spark, docs, "").collect())
+        P.mix(spark, docs, "")
+        few = common.few_files(spark)
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert kept == [*range(100, 300), *range(1000, 1100)]
+    assert left == sorted(i for i, c in plain_components({r[0]: plain_fingerprint(r[1]) for r in rows}, 4).items() if i == c)
+    parts = {d: len([f for f in os.listdir(f"{tmp_dir}/{d}") if f.startswith("part-")]) for d in os.listdir(tmp_dir)}
+    assert max(parts.values()) <= few
+    kinds = ("exact-survivors", "exact-gone", "cc", "simhash-nodes", "simhash-found", "simhash-gone", "mix-order", "mix-placed")
+    assert all(any(d.startswith(f"llm-{k}-") for d in parts) for k in kinds)
+    assert spark.read.parquet(*[f"{tmp_dir}/{d}" for d in parts if d.startswith("corpus-mix-")]).count() == 400
